@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, kn_quality, mixing, nbest, simhash_bk, token_counts, toxicity
+from . import class_lm, exact_dedup, kn_quality, mixing, nbest, simhash_bk, substring_dedup, suffix_array, token_counts, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.encode(read(spark, sf_dir, "documents"), piece_model(), n=4, digests=True)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -48,6 +52,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.byte_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), piece_model())
 
@@ -55,11 +63,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_array": op9_suffix_array,
     "op10_token_counts": op10_token_counts,
 }
 
