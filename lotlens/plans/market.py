@@ -37,11 +37,11 @@ def comps_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "comps_summary",
-    f"""{v.SUMMARISED} SELECT url, step, n, n_numbers, n_financed, method, round(unit_median, 4) AS unit_median, round(estimate, 1) AS estimate, round(unit_mean, 4) AS unit_mean,
+    f"""{v.SUMMARISED} SELECT url, step, n, n_numbers, n_financed, method, round(unit_median, 4) AS unit_median, round(estimate, 6) AS estimate, round(unit_mean, 4) AS unit_mean,
   round(unit_low, 4) AS unit_low, round(unit_high, 4) AS unit_high, round(ratio, 6) AS ratio, confidence, first_year::INT AS first_year, last_year::INT AS last_year FROM summary""",
 )
 def comps_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = {"unit_median": 4, "estimate": 1, "unit_mean": 4, "unit_low": 4, "unit_high": 4, "ratio": 6}
+    places = {"unit_median": 4, "estimate": 6, "unit_mean": 4, "unit_low": 4, "unit_high": 4, "ratio": 6}
     return summaries(spark, sf_dir).withColumns({k: F.round(k, n) for k, n in places.items()})
 
 
