@@ -40,33 +40,27 @@ def kind_of_listing(text: Column, flats: list[str] = FLAT_WORDS, houses: list[st
     return F.when(holds(plain, flats), "apartamento").when(holds(plain, houses), "casa").otherwise("incerto")
 
 
-def _bounded(value: Column, low: float = 20.0, high: float = 100_000.0) -> Column:
-    return F.when(value.between(low, high), value)
-
-
 def _captured(text: Column, pattern: str, group: int = 1) -> Column:
-    return brazilian_number(F.nullif(F.regexp_extract(text, f"(?i){pattern}", group), F.lit("")))
+    return F.nullif(F.regexp_extract(text, f"(?i){pattern}", group), F.lit(""))
 
 
 _NUMBER, _UNIT = r"(\d+(?:[.,]\d+)*)", r"(?:m²|m2|mts|metros?)"
 
 
-def land_area(text: Column, land: str = "terreno", lot: str = "lote", front: str = "frente", by: str = "(?:por|e|x|×)") -> Column:
-    """The land area that a text states: after or before the word for land, after the word for lot, or as a product of two sides; 20 to 100,000."""
+def land_area(text: Column, land: str = "terreno", lot: str = "lote", front: str = "frente", by: str = "(?:por|e|x|×)", low: float = 20.0, high: float = 100_000.0) -> Column:
+    """The land area that a text states: after or before the word for land, after the word for lot, or as a product of two sides; the first within bounds."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d),\s+(\d)", "$1,$2")
     sides, depth = rf"{_NUMBER}\s*[x×]\s*{_NUMBER}\s*{_UNIT}", rf"{_NUMBER}\s*(?:m|metros?)?\s*de\s*{front}\s*{by}\s*{_NUMBER}"
-    return F.coalesce(
-        _bounded(_captured(t, rf"{land}[^\d]{{0,30}}?{_NUMBER}\s*{_UNIT}")),
-        _bounded(_captured(t, rf"{_NUMBER}\s*{_UNIT}\s*(?:d[eoa]s?\s*)?{land}")),
-        _bounded(_captured(t, rf"{lot}[^\d]{{0,20}}?{_NUMBER}\s*{_UNIT}")),
-        _bounded(_captured(t, sides) * _captured(t, sides, 2)),
-        _bounded(_captured(t, depth) * _captured(t, depth, 2)),
-    )
+    stated = [rf"{land}[^\d]{{0,30}}?{_NUMBER}\s*{_UNIT}", rf"{_NUMBER}\s*{_UNIT}\s*(?:d[eoa]s?\s*)?{land}", rf"{lot}[^\d]{{0,20}}?{_NUMBER}\s*{_UNIT}"]
+    pairs = F.array(*[F.array(_captured(t, p), F.lit("1")) for p in stated], *[F.array(_captured(t, p), _captured(t, p, 2)) for p in (sides, depth)])
+    areas = F.transform(pairs, lambda p: brazilian_number(p[0]) * brazilian_number(p[1]))
+    return F.get(F.filter(areas, lambda a: a.between(low, high)), F.lit(0))
 
 
 def built_area(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d),\s+(\d)", "$1,$2")
-    return F.coalesce(_captured(t, rf"{_NUMBER}\s*m[²2]\s*de\s*(?:área\s*)?constru"), _captured(t, rf"constru[íi]d[ao][^\d]{{0,15}}?{_NUMBER}\s*m[²2]"), _captured(t, rf"constru[çc][ãa]o[^\d]{{0,15}}?{_NUMBER}\s*m[²2]"))
+    stated = [rf"{_NUMBER}\s*m[²2]\s*de\s*(?:área\s*)?constru", rf"constru[íi]d[ao][^\d]{{0,15}}?{_NUMBER}\s*m[²2]", rf"constru[çc][ãa]o[^\d]{{0,15}}?{_NUMBER}\s*m[²2]"]
+    return brazilian_number(F.coalesce(*[_captured(t, p) for p in stated]))
 
 
 def accepts_financing(
