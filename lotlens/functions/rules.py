@@ -128,7 +128,8 @@ def tri_state(answer: Column) -> Column:
 
 
 def upkeep_grade(answer: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(5), F.bround(answer.try_cast("double"), 0).cast("int")))
+    grade = F.bround(answer.try_cast("double"), 0).cast("int")
+    return F.when(grade.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(5), grade)))
 
 
 def json_object(answer: Column) -> Column:
