@@ -30,11 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    """Write to a new table in the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    What was shuffled for the table goes when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lotlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

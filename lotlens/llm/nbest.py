@@ -5,13 +5,16 @@ how well each place can be reached from the start. A search backward from the
 end that takes the hypothesis with the best sum of its own score and that
 heuristic therefore completes segmentations in order of their scores.
 
-Pieces never hold a meta space after another character, so the lattice of a
-text is a chain of the lattices of its pre-tokens. Each pre-token is searched by
+No piece crosses the border of a pre-token (see ``token_counts``), so the
+lattice of a text is a chain of the lattices of its pre-tokens. Each pre-token is searched by
 itself, and kept in a cache of two bounded generations. For the n best of the
 whole text only the n - 1 pre-tokens with the least loss between best and second
 best can differ from their best: any other change loses to n texts already
 found. The same search runs over that short chain.
 
+Scores are kept as whole numbers of 2**-20, so sums are exact and segmentations
+of equal score tie exactly.
+
 Models of type unigram are used with their own scores. A BPE model has ranks
 for scores; they are read as Zipf's law: log p = -log(rank + 1) - log(H).
 Characters without a piece are spelt in byte pieces, each below the least score.
@@ -22,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain
-from .token_counts import PieceCounter, pre_tokens
+from .token_counts import PieceCounter
 
-BYTE_PENALTY = 10.0
+BYTE_PENALTY, UNIT = 10.0, 1 << 20
 #: Entries of a generation of the cache, and the longest pre-token that it takes.
-CACHE, CACHE_CHARS = 150_000, 64
+CACHE, CACHE_CHARS = 450_000, 64
 
-Path = tuple[float, tuple[int, ...]]
+Path = tuple[int, tuple[int, ...]]
+_FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 class Lattice:
@@ -48,21 +54,24 @@ class Lattice:
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
+        self.split = PieceCounter.of(model).pre_tokens
         proto.ParseFromString(PieceCounter.of(model).sp.serialized_model_proto())
         normal = [(i, p.piece, p.score) for i, p in enumerate(proto.pieces) if p.type == 1]
         if proto.trainer_spec.model_type == 2:
             harmonic = sum(1 / (r + 1) for r in range(len(normal)))
             normal = [(i, piece, -math.log(r + 1) - math.log(harmonic)) for r, (i, piece, _) in enumerate(normal)]
+        normal = [(i, piece, round(score * UNIT)) for i, piece, score in normal]
         #: piece -> (id, score); None for what only begins pieces.
-        self.pieces: dict[str, tuple[int, float] | None] = {piece[:k]: None for _, piece, _ in normal for k in range(1, len(piece))}
+        self.pieces: dict[str, tuple[int, int] | None] = {piece[:k]: None for _, piece, _ in normal for k in range(1, len(piece))}
         self.pieces |= {piece: (i, score) for i, piece, score in normal}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.byte_score = min(s for _, _, s in normal) - BYTE_PENALTY
+        self.byte_score = min(s for _, _, s in normal) - round(BYTE_PENALTY * UNIT)
         self.text_of = [p.piece.replace("▁", " ").encode() if p.type == 1 else b"" for p in proto.pieces]
         for b, i in self.byte_ids.items():
             self.text_of[i] = bytes([b])
-        self.young: dict[tuple[str, int], list[Path]] = {}
-        self.old: dict[tuple[str, int], list[Path]] = {}
+        self.young: dict[str, tuple[int, float, tuple[int, ...]]] = {}
+        self.old: dict[str, tuple[int, float, tuple[int, ...]]] = {}
+        self.several: dict[tuple[str, int], list[Path]] = {}
 
     @classmethod
     def of(cls, model: str) -> Lattice:
@@ -71,11 +80,11 @@ class Lattice:
             cls.loaded[model] = cls(model)
         return cls.loaded[model]
 
-    def arcs(self, text: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
+    def arcs(self, text: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
         """Forward Viterbi scores, and the arcs (start, score, ids) that end at each place."""
         size, known = len(text), self.pieces
         best, into = [-math.inf] * (size + 1), [[] for _ in range(size + 1)]
-        best[0] = 0.0
+        best[0] = 0
         for i in range(size):
             at, alone = best[i], False
             for j in range(i + 1, size + 1):
@@ -95,9 +104,13 @@ class Lattice:
         return best, into
 
     def search(self, text: str, n: int) -> list[Path]:
-        """The n best segmentations of a text with meta spaces, best first: backward A-star."""
+        """The n best segmentations of a text with meta spaces, best first: backward A-star.
+
+        Of equal hypotheses the latest goes first, so that a text of equal characters, whose segmentations mostly tie,
+        is followed to its start instead of everywhere at once.
+        """
         best, into = self.arcs(text)
-        agenda = [(-best[-1], 0, len(text), 0.0, ())]
+        agenda = [(-best[-1], 0, len(text), 0, ())]
         found: list[Path] = []
         tick = 0
         while agenda and len(found) < n:
@@ -110,34 +123,90 @@ class Lattice:
                 found.append((score, tuple(ids)))
                 continue
             for start, s, ids in into[at]:
-                tick += 1
+                tick -= 1
                 heapq.heappush(agenda, (-(best[start] + s + score), tick, start, s + score, (ids, tail)))
         return found
 
-    def cached(self, pre: str, n: int) -> list[Path]:
-        key = (pre, n)
-        found = self.young.get(key)
+    def best(self, text: str) -> tuple[int, float, tuple[int, ...]]:
+        """Score and ids of the best segmentation of a text with meta spaces, and what the second best loses (infinite if there is none)."""
+        size, known, none = len(text), self.pieces, -math.inf
+        first, second = [none] * (size + 1), [none] * (size + 1)
+        first[0] = 0
+        back: list = [None] * (size + 1)
+        for i in range(size):
+            a, b, alone = first[i], second[i], False
+            for j in range(i + 1, size + 1):
+                found = known.get(text[i:j], 0)
+                if found == 0:
+                    break
+                if found is not None:
+                    piece, score = found
+                    if j == i + 1:
+                        alone = True
+                    at = a + score
+                    if at > first[j]:
+                        second[j] = first[j] if first[j] > b + score else b + score
+                        first[j], back[j] = at, (i, piece)
+                    elif at > second[j]:
+                        second[j] = at
+            if not alone:
+                spelt = text[i].encode("utf-8", "surrogatepass")
+                at = a + self.byte_score * len(spelt)
+                if at > first[i + 1]:
+                    second[i + 1] = max(first[i + 1], b + self.byte_score * len(spelt))
+                    first[i + 1], back[i + 1] = at, (i, spelt)
+                elif at > second[i + 1]:
+                    second[i + 1] = at
+        ids: list[int] = []
+        at = size
+        while at:
+            at, piece = back[at]
+            if isinstance(piece, bytes):
+                ids.extend(self.byte_ids[x] for x in reversed(piece))
+            else:
+                ids.append(piece)
+        ids.reverse()
+        return first[size], first[size] - second[size], tuple(ids)
+
+    def _missed(self, pre: str) -> tuple[int, float, tuple[int, ...]]:
+        found = self.young.get(pre) or self.old.get(pre)
+        if found is None:
+            found = self.best(pre.replace(" ", "▁"))
+        if len(pre) <= CACHE_CHARS:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[pre] = found
+        return found
+
+    def _several(self, pre: str, n: int) -> list[Path]:
+        found = self.several.get((pre, n))
         if found is None:
-            found = self.old.get(key) or self.search(pre.replace(" ", "▁"), n)
+            found = self.search(pre.replace(" ", "▁"), n)
             if len(pre) <= CACHE_CHARS:
-                if len(self.young) >= CACHE:
-                    self.old, self.young = self.young, {}
-                self.young[key] = found
+                if len(self.several) >= CACHE // 4:
+                    self.several.clear()
+                self.several[pre, n] = found
         return found
 
-    def nbest(self, text: str, n: int) -> list[Path]:
-        """The n best segmentations of a whole text, best first; an empty text has one, without pieces."""
-        pre = pre_tokens(text)
-        two = [self.cached(p, min(n, 2)) for p in pre]
-        total = math.fsum(t[0][0] for t in two)
-        loss = np.array([t[0][0] - t[1][0] if len(t) > 1 else math.inf for t in two])
-        if n == 1 or not len(loss):
-            return [(total, tuple(i for t in two for i in t[0][1]))]
-        few = np.sort(np.argsort(loss, kind="stable")[: n - 1]) if len(loss) < 4096 else np.sort(self._least(loss, n - 1))
-        few = [int(i) for i in few if loss[i] < math.inf]
+    def nbest(self, text: str, n: int) -> tuple[list[tuple[float, np.ndarray]], bool]:
+        """The n best segmentations of a whole text, best first, and whether all of them decode to one text, that of the first.
+
+        An empty text has one segmentation, without pieces.
+        """
+        pre = self.split(text)
+        each = list(map(self.young.get, pre))
+        if None in each:
+            each = [e or self._missed(p) for p, e in zip(pre, each, strict=True)]
+        total = sum(map(_FIRST, each))
+        parts = list(map(_THIRD, each))
+        ids = np.fromiter(chain.from_iterable(parts), np.int32)
+        if n == 1 or not pre:
+            return [(total / UNIT, ids)], True
+        loss = np.fromiter(map(_SECOND, each), np.float64, len(each))
+        few = [int(i) for i in np.sort(self._least(loss, min(n - 1, len(loss)))) if loss[i] < math.inf]
         # The chain of the places that may change: a hypothesis is the choice at each of them from the last on.
-        choices = [self.cached(pre[i], n) for i in few]
-        agenda, picked, tick = [(0.0, 0, len(few), ())], [], 0
+        choices = [self._several(pre[i], n) for i in few]
+        agenda, picked, tick = [(0, 0, len(few), ())], [], 0
         while agenda and len(picked) < n:
             lost, _, at, tail = heapq.heappop(agenda)
             if at == 0:
@@ -146,11 +215,18 @@ class Lattice:
             for k, (score, _) in enumerate(choices[at - 1]):
                 tick += 1
                 heapq.heappush(agenda, (lost + choices[at - 1][0][0] - score, tick, at - 1, (k, *tail)))
-        out = []
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        out, alike = [], True
         for lost, picks in picked:
-            change = {i: choices[c][k][1] for c, (i, k) in enumerate(zip(few, picks, strict=True))}
-            out.append((total - lost, tuple(x for i, t in enumerate(two) for x in (change[i] if i in change else t[0][1]))))
-        return out
+            pieces, at = [], 0
+            for c, (i, k) in enumerate(zip(few, picks, strict=True)):
+                changed = choices[c][k][1]
+                if changed != parts[i]:
+                    pieces += [ids[at : ends[i] - len(parts[i])], np.array(changed, np.int32)]
+                    at = int(ends[i])
+                    alike = alike and self.bytes_of(changed) == self.bytes_of(parts[i])
+            out.append(((total - lost) / UNIT, np.concatenate([*pieces, ids[at:]]) if pieces else ids))
+        return out, alike
 
     @staticmethod
     def _least(loss: np.ndarray, k: int) -> np.ndarray:
@@ -158,14 +234,12 @@ class Lattice:
         edge = np.partition(loss, k - 1)[k - 1]
         return np.concatenate((np.flatnonzero(loss < edge), np.flatnonzero(loss == edge)))[:k]
 
-    def decode(self, ids: tuple[int, ...]) -> str:
-        """The text, without the space that encoding put in front."""
-        table = self.text_of
-        return b"".join([table[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
-
+    def bytes_of(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.text_of.__getitem__, ids))
 
-def _digest(ids: tuple[int, ...]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text, without the space that encoding put in front."""
+        return self.bytes_of(ids).decode("utf-8", "surrogatepass")[1:]
 
 
 def encode(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -188,19 +262,16 @@ def encode(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", text
                 part = b.slice(at, 256)
                 rows, decodes = [], []
                 for t in part.column("text"):
-                    text, found = t.as_py(), []
-                    whole = True
-                    for score, ids in lattice.nbest(text, n):
-                        row = {"score": score, "n_pieces": len(ids)}
-                        if digests:
-                            back = lattice.decode(ids)
-                            whole = whole and back == text.replace("▁", " ")
-                            row |= {"ids_sha256": _digest(ids), "text_sha256": hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()}
-                        else:
-                            row["ids"] = ids
-                        found.append(row)
-                    rows.append(found)
-                    decodes.append(whole)
+                    text = t.as_py()
+                    found, alike = lattice.nbest(text, n)
+                    if digests:
+                        back = lattice.decode(found[0][1].tolist())
+                        decodes.append(alike and back == text.replace("▁", " "))
+                        texts = [back if alike else lattice.decode(ids.tolist()) for _, ids in found]
+                        same = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
+                        rows.append([{"score": score, "n_pieces": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "text_sha256": same if text is back else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()} for (score, ids), text in zip(found, texts, strict=True)])
+                    else:
+                        rows.append([{"score": score, "n_pieces": len(ids), "ids": ids} for score, ids in found])
                 columns = [part.column("doc_id"), pa.array([r[0]["n_pieces"] for r in rows], pa.int32()), pa.array([r[0]["score"] for r in rows], pa.float64()), pa.array(rows, item_type)]
                 names = ["doc_id", "n_pieces", "score", "best"]
                 if digests:

@@ -9,16 +9,19 @@ a segment, about one for every (W - k) / 2 symbols.
    elsewhere too. Seeds that a batch of documents repeats are known already, so
    only their first segment is routed by seed: a seed that a third of all
    documents hold brings a few rows a batch to one place.
-2. ``occurrences``: the text of the candidate segments; ``contents``: each
-   different text of a seed once, with what its occurrences add up to. Copies
-   meet here before anything is compared.
-3. ``judged``: seeds in bundles of bounded size go to a comparison of their
-   different texts. A seed with more than ``WIDE`` texts is cut into its windows,
-   which are routed by the hash of the whole window, so no seed makes a large group.
+2. ``occurrences``: the candidate segments again, now with their text. A batch
+   holds each different text once, with what its own occurrences add up to, so
+   copies meet before anything is shuffled or compared.
+3. ``judged``: texts go by seed, in bundles of bounded size, to a comparison of
+   the different ones. A seed with many texts is cut into pieces by where its
+   windows hold the seed; a piece is routed by the hash of the symbols that all
+   its windows share. Pieces that still meet in large groups are cut into single
+   windows, which only meet equals.
 4. ``spans``: the windows found, as ranges of each document's symbols.
 
-Hashes only bring windows together; equal texts are told by a 128-bit digest
-beside the seed, different ones by the operator's own method.
+Hashes only bring windows together: that two texts are equal is told by two
+64-bit hashes, of seed and text; different ones are compared by the operator's
+own method.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Windows of a segment at most; different texts of a seed above which it is cut; bytes of a bundle.
-LONGEST, WIDE, BUNDLE = 64, 400, 48_000
+#: Windows of a segment at most; texts of a seed above which it is cut; bytes of a bundle.
+LONGEST, WIDE, BUNDLE = 64, 400, 64_000
 _NULL_ID = 2**63 - 1
 
 
@@ -48,6 +51,8 @@ class Symbols:
     split: Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
     #: Whether a second place in the same document counts.
     same_document: bool
+    #: How many places of the seed a piece of a large group takes, and a piece of a piece; the last is 1.
+    pieces: tuple[int, ...] = (8, 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,7 +104,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, symbols: Symbols) -> DataFrame:
-    """doc_id, r, starts: of the segments whose seed stands elsewhere too. rows: ``keyed``; doc_id is a long."""
+    """doc_id, starts: of the segments whose seed stands elsewhere too; rows that share an id share their starts. rows: ``keyed``; doc_id is a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,70 +131,96 @@ def candidates(rows: DataFrame, symbols: Symbols) -> DataFrame:
             known = known[group]
             extra = known & ~new  # routed anywhere
             key = np.where(extra, _mix(seed[order] + np.arange(len(order), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)), seed[order])
-            columns = [pa.array(key.view(np.int64), pa.int64()), pa.array(ids[order], pa.int64()), b.column("r").take(pa.array(doc[order])), pa.array(start[order] * 2 + known, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "r", "at"])
+            columns = [pa.array(key.view(np.int64), pa.int64()), pa.array(ids[order], pa.int64()), pa.array(start[order] * 2 + known, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "at"])
 
-    found = rows.mapInArrow(run, "key long, doc_id long, r long, at long")
+    found = rows.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, at long")
     elsewhere = "count(*) over (partition by key) > 1" if symbols.same_document else "min(doc_id) over (partition by key) <> max(doc_id) over (partition by key)"
-    told = found.selectExpr("doc_id", "r", "at", f"{elsewhere} or max(at & 1) over (partition by key) = 1 as repeated").where("repeated or at % 2 = 1")
-    return told.groupBy("doc_id", "r").agg(F.collect_set(F.shiftright("at", 1)).alias("starts"))
+    told = found.selectExpr("doc_id", "at", f"{elsewhere} or max(at & 1) over (partition by key) = 1 as repeated").where("repeated or at % 2 = 1")
+    return told.groupBy("doc_id").agg(F.collect_set(F.shiftright("at", 1)).alias("starts"))
+
+
+def _digest(content: bytes) -> int:
+    x = xxhash.xxh3_64_intdigest(content)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def occurrences(rows: DataFrame, found: DataFrame, symbols: Symbols) -> DataFrame:
-    """seed, cid (digest of the text), doc_id, r, start, n, and the text where a batch has it first. found: ``candidates``."""
+    """seed, cid (hash of the text), doc_id, r, start; and, where a batch has a text first, its content, n windows, weight (occurrences in the batch) and least (smallest doc_id of those)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sent: set[tuple[int, bytes]] = set()
-            columns: list[list] = [[] for _ in range(6)]
-            take = []
+            first: dict[tuple[int, int], int] = {}
+            seeds, cids, starts, docs, contents, sizes, weights = [], [], [], [], [], [], []
+            least: list[int] = []
+            ids = b.column("doc_id").to_pylist()
             for i, (t, wanted) in enumerate(zip(b.column("text"), b.column("starts"), strict=True)):
                 hashes, text = symbols.split(t.as_py())
                 seed, start, n = segments(hashes, symbols.window, symbols.k)
                 some = np.isin(start, wanted.values.to_numpy())
                 for s, a, m in zip(seed[some].view(np.int64).tolist(), start[some].tolist(), n[some].tolist(), strict=True):
                     content = text(a, a + m + symbols.window - 1)
-                    cid = xxhash.xxh3_128_digest(content)
-                    for column, x in zip(columns, (s, cid, a, m, None if (s, cid) in sent else content, i), strict=True):
-                        column.append(x)
-                    sent.add((s, cid))
-            seed, cid, start, n, content, take = columns
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(cid, pa.binary()), b.column("doc_id").take(at), b.column("r").take(at), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(content, pa.binary())], ["seed", "cid", "doc_id", "r", "start", "n", "content"])
+                    cid = _digest(content)
+                    seeds.append(s), cids.append(cid), starts.append(a), docs.append(i)
+                    at = first.setdefault((s, cid), len(seeds) - 1)
+                    if at == len(seeds) - 1:
+                        contents.append(content), sizes.append(m), weights.append(1), least.append(ids[i])
+                    else:
+                        contents.append(None), sizes.append(None), weights.append(None), least.append(None)
+                        weights[at] += 1
+                        least[at] = min(least[at], ids[i])
+            at = pa.array(docs, pa.int64())
+            columns = [pa.array(seeds, pa.int64()), pa.array(cids, pa.int64()), b.column("doc_id").take(at), b.column("r").take(at), pa.array(starts, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64()), pa.array(least, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "cid", "doc_id", "r", "start", "content", "n", "weight", "least"])
 
-    a, b = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))), found
-    joined = a.join(b, ["doc_id", "r"]).select("doc_id", "r", "text", "starts")
-    return joined.mapInArrow(run, "seed long, cid binary, doc_id long, r long, start long, n int, content binary")
+    joined = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).join(found, "doc_id").select("doc_id", "r", "text", "starts")
+    return joined.mapInArrow(run, "seed long, cid long, doc_id long, r long, start long, content binary, n int, weight long, least long")
 
 
-def contents(occ: DataFrame) -> DataFrame:
-    """seed, cid, n, content, weight (its occurrences), least (the smallest doc_id that has it)."""
-    return occ.groupBy("seed", "cid").agg(F.first("n").alias("n"), F.max("content").alias("content"), F.count("*").alias("weight"), F.min("doc_id").alias("least"))
+@dataclass
+class Bundle:
+    """Different texts of some seeds: all texts of each."""
 
+    seeds: np.ndarray
+    contents: list[bytes]
+    #: Windows of each text.
+    n: np.ndarray
+    weight: np.ndarray
+    least: np.ndarray
 
-#: (seed, content, weight, least) of a bundle -> per content the value of each window.
-Judge = Callable[[list[tuple[int, bytes, int, int]]], list[np.ndarray]]
-_JUDGED = "seed long, cid binary, a int, b int, value long"
+
+#: The value of every window of a bundle, text by text.
+Judge = Callable[[Bundle], np.ndarray]
+_JUDGED = "seed long, cid long, a int, b int, value long"
 
 
 def _bundles(texts: DataFrame, judge: Judge) -> DataFrame:
-    """seed, cid, a, b, value: the windows from a to b - 1 of a text have that value."""
+    """seed, cid, a, b, value: the windows from a to b - 1 of a text have that value. texts: seed, cid, content, n, weight, least; a text may have several rows."""
+
+    def told(held: list[tuple]) -> pa.RecordBatch:
+        merged: dict[tuple[int, int], list] = {}
+        for seed, cid, content, n, weight, least in held:
+            one = merged.setdefault((seed, cid), [content, n, 0, least])
+            one[2] += weight
+            one[3] = min(one[3], least)
+        keys = np.array(list(merged), np.int64)
+        n = np.fromiter((x[1] for x in merged.values()), np.int64, len(merged))
+        bundle = Bundle(keys[:, 0], [x[0] for x in merged.values()], n, np.fromiter((x[2] for x in merged.values()), np.int64, len(merged)), np.fromiter((x[3] for x in merged.values()), np.int64, len(merged)))
+        values = judge(bundle)
+        begin = np.cumsum(n) - n
+        cut = np.concatenate(([True], values[1:] != values[:-1]))
+        cut[begin] = True
+        a = np.flatnonzero(cut)
+        owner = np.repeat(np.arange(len(n)), n)[a]
+        size = np.diff(np.append(a, len(values)))
+        columns = [keys[owner, 0], keys[owner, 1], (a - begin[owner]).astype(np.int32), (a - begin[owner] + size).astype(np.int32), values[a]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["seed", "cid", "a", "b", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[tuple]) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(5)]
-            for (seed, cid, *_), values in zip(rows, judge([(r[0], r[2], r[3], r[4]) for r in rows]), strict=True):
-                cuts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)])).tolist()
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for column, x in zip(out, (seed, cid, a, b, int(values[a])), strict=True):
-                        column.append(x)
-            types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["seed", "cid", "a", "b", "value"])
-
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("seed", "cid", "content", "weight", "least")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("seed", "cid", "content", "n", "weight", "least")), strict=True):
                 if size > BUNDLE and row[0] != held[-1][0]:
                     yield told(held)
                     held, size = [], 0
@@ -198,39 +229,54 @@ def _bundles(texts: DataFrame, judge: Judge) -> DataFrame:
         if held:
             yield told(held)
 
-    return texts.repartition("seed").sortWithinPartitions("seed", "cid").select("seed", "cid", "content", "weight", "least").mapInArrow(run, _JUDGED)
+    return texts.select("seed", "cid", "content", "n", "weight", "least").repartition("seed").sortWithinPartitions("seed").mapInArrow(run, _JUDGED)
 
 
-def judged(texts: DataFrame, symbols: Symbols, judge: Judge, wide: int = WIDE) -> DataFrame:
-    """seed, cid, a, b, value of every text. texts: ``contents``, stored."""
-    many = stored(texts.groupBy("seed").count().where(F.col("count") > wide).select("seed"))
-    if many.isEmpty():
-        return _bundles(texts, judge)
+def _cut(texts: DataFrame, symbols: Symbols, step: int) -> DataFrame:
+    """Texts cut into pieces of windows that hold the seed at like places: wseed, wcid, content, n, weight, least; seed and cid of the text, at (the piece's first window)."""
+    w, k = symbols.window, symbols.k
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("seed", "cid", "content", "n", "weight", "least", "key")
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for seed, cid, content, n, weight, least in zip(*(b.column(c).to_pylist() for c in ("seed", "cid", "content", "n", "weight", "least")), strict=True):
-                text = symbols.split(content.decode("utf-8", "surrogateescape"))[1]
-                for a in range(n):
-                    window = text(a, a + symbols.window)
-                    digest = xxhash.xxh3_128_digest(window)
-                    for column, x in zip(out, (int.from_bytes(digest[:8], "little", signed=True), digest, window, weight, least, seed, (cid, a)), strict=True):
+            out: list[list] = [[] for _ in range(10)]
+            for seed, cid, content, n, weight, least, key in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                hashes, text = symbols.split(content.decode("utf-8", "surrogateescape"))
+                places = np.flatnonzero(gram_hashes(hashes, k).view(np.int64) == key)
+                anchor = places[np.searchsorted(places, np.arange(n))]  # the seed's first place in each window
+                part = (anchor - np.arange(n)) // step
+                edges = np.concatenate(([0], np.flatnonzero((part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1])) + 1, [n])).tolist()
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    p, q = int(anchor[lo]), int(part[lo])
+                    core = text(p - q * step, p - (q + 1) * step + 1 + w)
+                    piece = text(lo, hi - 1 + w)
+                    wseed = _digest(b"%d %d %d " % (key, step, q) + core)
+                    for column, x in zip(out, (wseed, _digest(piece), piece, hi - lo, weight, least, seed, cid, lo, key), strict=True):
                         column.append(x)
-            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64()), pa.array([x[0] for x in out[6]], pa.binary()), pa.array([x[1] for x in out[6]], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["wseed", "wcid", "content", "weight", "least", "seed", "cid", "a"])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["wseed", "wcid", "content", "n", "weight", "least", "seed", "cid", "at", "key"])
+
+    return texts.mapInArrow(run, "wseed long, wcid long, content binary, n int, weight long, least long, seed long, cid long, at int, key long")
 
-    windows = stored(texts.join(many, "seed", "left_semi").mapInArrow(cut, "wseed long, wcid binary, content binary, weight long, least long, seed long, cid binary, a int"))
-    single = windows.groupBy("wseed", "wcid").agg(F.first("content").alias("content"), F.sum("weight").alias("weight"), F.min("least").alias("least"))
-    values = stored(_bundles(single.select(F.col("wseed").alias("seed"), F.col("wcid").alias("cid"), "content", "weight", "least"), judge)).select(F.col("seed").alias("wseed"), F.col("cid").alias("wcid"), "value")
-    back = windows.select("wseed", "wcid", "seed", "cid", "a").join(values, ["wseed", "wcid"]).select("seed", "cid", "a", (F.col("a") + 1).alias("b"), "value")
+
+def judged(texts: DataFrame, symbols: Symbols, judge: Judge, wide: int = WIDE, steps: tuple[int, ...] | None = None) -> DataFrame:
+    """seed, cid, a, b, value of every text. texts: stored seed, cid, content, n, weight, least, and key, the hash of the k-gram that is the seed."""
+    steps = symbols.pieces if steps is None else steps
+    many = stored(texts.groupBy("seed").count().where(F.col("count") > wide).select("seed")) if steps else None
+    if many is None or many.isEmpty():
+        return _bundles(texts, judge)
+    pieces = stored(_cut(texts.join(many, "seed", "left_semi"), symbols, steps[0]))
+    once = stored(pieces.groupBy("wseed", "wcid").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.first("key").alias("key")).withColumnsRenamed({"wseed": "seed", "wcid": "cid"}))
+    values = stored(judged(once, symbols, judge, wide, steps[1:])).withColumnsRenamed({"seed": "wseed", "cid": "wcid"})
+    back = pieces.select("wseed", "wcid", "seed", "cid", "at").join(values, ["wseed", "wcid"]).select("seed", "cid", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"), "value")
     return _bundles(texts.join(many, "seed", "left_anti"), judge).unionByName(back)
 
 
 def spans(rows: DataFrame, symbols: Symbols, judge: Judge, removes: str, wide: int = WIDE) -> DataFrame:
     """doc_id, r, spans: ranges of windows (from, to) that ``removes``, SQL over value and doc_id, holds for. A null doc_id comes back as the largest long."""
     occ = stored(occurrences(rows, stored(candidates(rows, symbols)), symbols))
-    values = stored(judged(stored(contents(occ)), symbols, judge, wide))
+    texts = occ.where("content is not null").select("seed", "cid", "content", "n", "weight", "least", F.col("seed").alias("key"))
+    values = stored(judged(texts, symbols, judge, wide))
     hit = occ.select("seed", "cid", "doc_id", "r", "start").join(values, ["seed", "cid"]).where(removes)
     return stored(hit.groupBy("doc_id", "r").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans")))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain
-from .repeats import Symbols, covered, keyed, spans, with_spans
+from .repeats import Bundle, Symbols, covered, keyed, spans, with_spans
 
 WINDOW, GRAM = 35, 8
 
@@ -100,18 +100,19 @@ class SuffixAutomaton:
                 yield self.count[at] if matched >= window else 0
 
 
-def judge(bundle: list[tuple[int, bytes, int, int]]) -> list[np.ndarray]:
-    """Per text and window how many places of the corpus hold it."""
+def judge(bundle: Bundle) -> np.ndarray:
+    """Per window how many places of the corpus hold it, 2 for more."""
     ids: dict[bytes, int] = {}
-    texts = [[ids.setdefault(w, len(ids)) for w in content.split(b" ")] for _, content, _, _ in bundle]
+    texts = [[ids.setdefault(w, len(ids)) for w in content.split(b" ")] for content in bundle.contents]
     shard = SuffixAutomaton()
-    for words, (_, _, weight, _) in zip(texts, bundle, strict=True):
+    for words, weight in zip(texts, bundle.weight.tolist(), strict=True):
         shard.add(words, weight)
     shard.close()
-    return [np.minimum(np.fromiter(shard.stream(words, WINDOW), np.int64), 2) for words in texts]
+    counts = np.fromiter((c for words in texts for c in shard.stream(words, WINDOW)), np.int64, int(bundle.n.sum()))
+    return np.minimum(counts, 2)
 
 
-SYMBOLS = Symbols(WINDOW, GRAM, split_words, same_document=True)
+SYMBOLS = Symbols(WINDOW, GRAM, split_words, same_document=True, pieces=(7, 1))
 
 
 def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None, digests: bool = True) -> DataFrame:

@@ -13,7 +13,6 @@ places the suffixes whose Lyndon prefix ends where it begins.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain
-from .repeats import Symbols, covered, gram_hashes, keyed, spans, with_spans
+from .repeats import Bundle, Symbols, covered, gram_hashes, keyed, spans, with_spans
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 24
 _rng = np.random.default_rng(50)
 BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -104,56 +103,64 @@ def suffix_array(s: list[int]) -> list[int]:
     return out[1:]
 
 
-def judge(bundle: list[tuple[int, bytes, int, int]]) -> list[np.ndarray]:
-    """Per text and window the smallest doc_id that holds the window.
+def judge(bundle: Bundle) -> np.ndarray:
+    """Per window the smallest doc_id that holds it.
 
     A seed with one text needs no order: it is its copies that share it. Of the others, windows whose hash no
     second text of the bundle has are that text's alone; the stretches that remain, each different one once, are
     put into one text with marks between them, whose suffixes are sorted. Suffixes that begin with the same
     window stand next to each other.
     """
-    values = [np.full(len(content) - WINDOW + 1, least, np.int64) for _, content, _, least in bundle]
-    several = Counter(seed for seed, *_ in bundle)
-    texts = [i for i, (seed, *_) in enumerate(bundle) if several[seed] > 1]
-    if not texts:
+    values = np.repeat(bundle.least, bundle.n)
+    _, group, size = np.unique(bundle.seeds, return_inverse=True, return_counts=True)
+    texts = np.flatnonzero(size[group] > 1)
+    if not len(texts):
         return values
-    hashes = [gram_hashes(BYTE_HASH[np.frombuffer(bundle[i][1], np.uint8)], WINDOW) for i in texts]
-    _, which, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    shared = np.split(n[which] > 1, np.cumsum([len(h) for h in hashes])[:-1])
-    stretches: dict[bytes, list[tuple[int, int]]] = {}  # text -> where it stands
-    for i, mask in zip(texts, shared, strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            stretches.setdefault(bundle[i][1][a : b + WINDOW - 1], []).append((i, a))
-    if not stretches:
+    n, begin = bundle.n[texts], (np.cumsum(bundle.n) - bundle.n)[texts]
+    joined = b"".join([bundle.contents[i] for i in texts.tolist()])
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # place of each window in its text
+    at = inside + np.repeat(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1), n)
+    hashes = gram_hashes(BYTE_HASH[np.frombuffer(joined, np.uint8)], WINDOW)[at]
+    _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    opens = shared & np.concatenate(([True], ~shared[:-1] | (inside[1:] == 0)))
+    closes = shared & np.concatenate((~shared[1:] | (inside[1:] == 0), [True]))
+    firsts, lasts = np.flatnonzero(opens), np.flatnonzero(closes)
+    if not len(firsts):
         return values
-    s, owner, offset = [], [], []
-    least = []
-    for k, (text, places) in enumerate(stretches.items()):
-        least.append(min(bundle[i][3] for i, _ in places))
-        s.extend(c + 1 for c in text)
-        s.append(0)
-        owner.extend([k] * (len(text) + 1))
-        offset.extend(range(len(text), -1, -1))
-    found = [np.full(len(text) - WINDOW + 1, least[k], np.int64) for k, text in enumerate(stretches)]
-    sizes = [len(text) for text in stretches]
-    data = bytes(c - 1 if c else 0 for c in s)
+    flat = inside + np.repeat(begin, n)  # place of each window among all
+    stretches: dict[bytes, list[tuple[int, int]]] = {}  # text -> where its windows stand
+    for a, b, lo, hi in zip(at[firsts].tolist(), at[lasts].tolist(), flat[firsts].tolist(), flat[lasts].tolist(), strict=True):
+        stretches.setdefault(joined[a : b + WINDOW], []).append((lo, hi + 1))
+    least = [min(int(values[lo]) for lo, _ in places) for places in stretches.values()]
+    order = [c + 1 for text in stretches for c in (*text, -1)]
+    lengths = np.array([len(text) + 1 for text in stretches])
+    owner = np.repeat(np.arange(len(lengths)), lengths).tolist()
+    offset = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).tolist()
+    room = np.repeat(lengths - WINDOW, lengths).tolist()  # windows of the stretch
+    data = b"\0".join(stretches) + b"\0"
+    found = [[low] * (size - WINDOW) for low, size in zip(least, lengths.tolist(), strict=True)]
     run: list[int] = []
-    before = b""
-    for at in [*suffix_array(s), -1]:
-        if at >= 0 and offset[at] < WINDOW:
+    before: bytes | None = b""
+
+    def close() -> None:
+        if len(run) > 1:
+            low = min(least[owner[x]] for x in run)
+            for x in run:
+                found[owner[x]][offset[x]] = low
+
+    for x in suffix_array(order):
+        if offset[x] >= room[x]:
             continue
-        window = data[at : at + WINDOW] if at >= 0 else None
+        window = data[x : x + WINDOW]
         if window != before:
-            if len(run) > 1:
-                low = min(least[owner[x]] for x in run)
-                for x in run:
-                    found[owner[x]][sizes[owner[x]] - offset[x]] = low
+            close()
             run, before = [], window
-        run.append(at)
-    for k, places in enumerate(stretches.values()):
-        for i, a in places:
-            values[i][a : a + len(found[k])] = found[k]
+        run.append(x)
+    close()
+    for own, places in zip(found, stretches.values(), strict=True):
+        for lo, hi in places:
+            values[lo:hi] = own
     return values
 
 

@@ -1,9 +1,11 @@
 """Token counts from pieces counted once per distinct pre-token.
 
-A pre-token is a run of the meta space followed by other characters. No piece
-of the vocabulary holds a meta space after another character, so no merge
-crosses the border of a pre-token, and a document's count is the sum of its
-pre-tokens' counts; ``PieceCounter`` refuses a model for which that is untrue.
+A pre-token is a run of the meta space followed by characters of one kind. Two
+characters are of one kind if pieces of the vocabulary join them, directly or
+through others: letters are, marks and line ends mostly aren't joined to them.
+No piece holds a meta space after another character. So no merge crosses the
+border of a pre-token, and a document's count is the sum of its pre-tokens'
+counts; ``PieceCounter`` refuses a model for which that is untrue.
 
 The most frequent pre-tokens, found over all documents, go to every task with
 their counts: a table bounded in entries and in length. All others are joined
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import plain
 
 #: Bounds of the broadcast table, in entries and code points of one entry, and of what a task proposes for it.
-FREQUENT, FREQUENT_CHARS, PROPOSED = 100_000, 48, 40_000
-_PRE = re.compile(" *[^ ]+| +")
+FREQUENT, FREQUENT_CHARS, PROPOSED = 400_000, 32, 120_000
+#: Stands in front of a pre-token without a meta space, to keep that which encoding adds away from it.
+_GUARD = "\n"
 
 
 class PieceCounter:
@@ -46,6 +49,29 @@ class PieceCounter:
         if any(re.search("[^▁]▁", p.piece) for p in proto.pieces) or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not norm.add_dummy_prefix or any(p.type == 4 for p in proto.pieces):
             raise ValueError("this model's pieces cross the borders of pre-tokens")
 
+        others = self._other_kinds([p.piece for p in proto.pieces if p.type == 1])
+        kinds = f"[{''.join(map(re.escape, sorted(others)))}]+" if others else "(?!)"
+        self.pattern = re.compile(f" *{kinds}| *[^ {kinds[1:-2]}]+| +" if others else " *[^ ]+| +")
+        self.guard = len(self.sp.encode(_GUARD))
+        if any(_GUARD in p.piece for p in proto.pieces):
+            raise ValueError("this model joins line ends to other characters")
+
+    @staticmethod
+    def _other_kinds(pieces: list[str]) -> set[str]:
+        """Characters that no chain of pieces joins to the letter a."""
+        near: dict[str, set[str]] = {}
+        for piece in pieces:
+            bare = piece.lstrip("▁")
+            for a, b in zip(bare, bare[1:], strict=False):
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        joined, todo = {"a"}, ["a"]
+        while todo:
+            for c in near.get(todo.pop(), set()) - joined:
+                joined.add(c)
+                todo.append(c)
+        return ({c for piece in pieces for c in piece} | {_GUARD}) - joined - {"▁"}
+
     @classmethod
     def of(cls, model: str) -> PieceCounter:
         """One per Python worker."""
@@ -53,24 +79,26 @@ class PieceCounter:
             cls.loaded[model] = cls(model)
         return cls.loaded[model]
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens of the text behind the space that the model adds; a meta space in a text is a space to the model."""
+        return self.pattern.findall(" " + text.replace("▁", " ")) if text else []
+
     def count(self, pre_tokens: list[str]) -> list[int]:
         """Encoding puts a meta space in front, so the pre-token's first space is left to it; a lone space is one piece."""
-        return [len(x) or 1 for x in self.sp.encode([p[1:] for p in pre_tokens], num_threads=1)]
-
-
-def pre_tokens(text: str) -> list[str]:
-    """Pre-tokens of the text behind the space that the model adds; a meta space in a text is a space to the model."""
-    return _PRE.findall(" " + text.replace("▁", " ")) if text else []
+        guard = self.guard
+        encoded = self.sp.encode([p[1:] if p[0] == " " else _GUARD + p for p in pre_tokens], num_threads=1)
+        return [(len(x) or 1) if p[0] == " " else len(x) - guard for p, x in zip(pre_tokens, encoded, strict=True)]
 
 
-def frequent_pre_tokens(docs: DataFrame, text_col: str, entries: int = FREQUENT) -> list[str]:
+def frequent_pre_tokens(docs: DataFrame, model: str, text_col: str, entries: int = FREQUENT) -> list[str]:
     """The most frequent pre-tokens of all documents, ties by text; bounded in number and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        split = PieceCounter.of(model).pre_tokens
         for b in batches:
             for t in b.column(0):
-                seen.update(pre_tokens(t.as_py()))
+                seen.update(split(t.as_py()))
             if len(seen) > 20 * PROPOSED:  # keeps the task's memory bounded
                 seen = Counter(dict(heapq.nlargest(10 * PROPOSED, seen.items(), key=itemgetter(1))))
         top = [(p, n) for p, n in heapq.nlargest(PROPOSED, seen.items(), key=itemgetter(1)) if n > 1 and len(p) <= FREQUENT_CHARS]
@@ -87,7 +115,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     src = plain(docs, id_col, text_col).toDF("doc_id", "text")
-    top = frequent_pre_tokens(src, "text", entries)
+    top = frequent_pre_tokens(src, model, "text", entries)
     known = spark.sparkContext.broadcast(dict(zip(top, PieceCounter.of(model).count(top), strict=True)))
     keyed = src.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
@@ -95,14 +123,14 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document a row with what the frequent pre-tokens add up to, and one per rare pre-token. The first has a pre-token that no text has, its own key, to spread the rows."""
-        counts = known.value
+        counts, split = known.value, PieceCounter.of(model).pre_tokens
         for b in batches:
             ids, texts, hashes = b.column("doc_id"), b.column("text"), b.column("h").to_pylist()
             at, pre, n, size, one = [], [], [], [], []
             for i, t in enumerate(texts):
                 text = t.as_py()
                 total = 0
-                for p, m in Counter(pre_tokens(text)).items():
+                for p, m in Counter(split(text)).items():
                     if (c := counts.get(p)) is None:
                         at.append(i), pre.append(p), n.append(m), size.append(0), one.append(0)
                     else:

@@ -1,0 +1,450 @@
+"""Training-data operators against brute force, on documents with nulls, repeats, ties and odd texts."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from lotlens.llm import class_lm, common, components, exact_dedup, kn_quality, mixing, nbest, queries, simhash_bk, substring_dedup, suffix_array, token_counts, toxicity
+from lotlens.llm.repeats import gram_hashes, segments
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, kept string, h int, seed string"
+
+
+def documents(seed: int = 0, n: int = 60) -> list[tuple]:
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(80)]
+    prose = lambda k: " ".join(rng.choices(vocab, k=k))
+    passage, rows = prose(60), []
+    for i in range(n):
+        text = prose(rng.randint(1, 150))
+        if i % 5 == 0:
+            text = f"{text}\n{passage} {prose(9)}."
+        if i % 7 == 0 and rows:
+            text = rows[rng.randrange(len(rows))][1]
+        if i % 11 == 0 and rows and rows[0][1]:
+            text = rows[0][1].replace(" ", "\n", 2) + " x"
+        rows.append((i, text, rng.choice(["en", "fr", None]), rng.choice(["a", "a", "a", "b", None]), "clash", 1, "s"))
+    odd = [None, "", " \t\n", "one", "One  one ONE", "ab " * 150, "x" * 400, "é" * 120 + "中文字 😀" * 12, "## $$ %% | <>", "a\x00b \x1c     c", "A" * 9000, "\r\n\r\n", "▁ ▁▁ x"]
+    rows += [(n + i, t, "en", "b", None, None, None) for i, t in enumerate(odd)]
+    rows += [rows[3], rows[3], (None, "no id " + passage, "en", "b", "k", 2, "s"), (None, "no id " + passage, "en", "b", "k", 2, "s"), (4, passage, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows() -> list[tuple]:
+    return documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(x: object) -> str:
+    return repr(x)
+
+
+def same(found, wanted: list[tuple]) -> None:
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(wanted, key=key)
+
+
+# Exact deduplication
+
+def norm(text: str | None) -> str:
+    return re.sub(r"[\x20\x09-\x0D]", "", text or "")
+
+
+@pytest.mark.parametrize(("block", "mod"), [(4096, None), (7, None), (5, 3)])
+def test_exact_duplicates(docs, rows, block, mod) -> None:
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r[1])].append((-len(r[1] or ""), r[0] is None, r[0] or 0, r[0]))
+    wanted = []
+    for text, members in groups.items():
+        members.sort(key=lambda m: m[:3])
+        wanted += [(m[3], members[0][3], len(members), i == 0, hashlib.sha256(text.encode()).hexdigest()) for i, m in enumerate(members)]
+    got = exact_dedup.exact_duplicates(docs, block_chars=block, hash_mod=mod).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    same(got, wanted)
+
+
+def test_dropping_exact_duplicates_keeps_one_row_of_each_text(docs, rows, none) -> None:
+    got = exact_dedup.drop_exact_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(norm(r["text"]) for r in got.collect()) == sorted({norm(r[1]) for r in rows})
+    assert exact_dedup.drop_exact_duplicates(none).count() == 0
+
+
+# SentencePiece
+
+def all_segmentations(lattice: nbest.Lattice, text: str) -> list[tuple[float, tuple[int, ...]]]:
+    out = []
+
+    def walk(at: int, score: float, ids: tuple[int, ...]) -> None:
+        if at == len(text):
+            out.append((score, ids))
+            return
+        alone = False
+        for j in range(at + 1, len(text) + 1):
+            found = lattice.pieces.get(text[at:j])
+            if found:
+                alone = alone or j == at + 1
+                walk(j, score + found[1], (*ids, found[0]))
+        if not alone:
+            spelt = text[at].encode()
+            walk(at + 1, score + lattice.byte_score * len(spelt), (*ids, *(lattice.byte_ids[b] for b in spelt)))
+
+    walk(0, 0.0, ())
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_nbest_is_the_best_of_all() -> None:
+    lattice, rng = nbest.Lattice.of(queries.piece_model()), random.Random(5)
+    for _ in range(150):
+        text = "".join(rng.choices("abther. ,\n(é中'1", k=rng.randint(1, 9)))
+        every = all_segmentations(lattice, (" " + text).replace(" ", "▁"))
+        got, alike = lattice.nbest(text, 5)
+        assert [s * nbest.UNIT for s, _ in got] == [s for s, _ in every[:5]]
+        assert len({tuple(ids.tolist()) for _, ids in got}) == len(got)
+        assert alike and all(lattice.decode(ids.tolist()) == text for _, ids in got)
+        for score, ids in got:
+            assert (score * nbest.UNIT, tuple(ids.tolist())) in every
+
+
+def test_encoding_round_trip(docs, rows, none) -> None:
+    model = queries.piece_model()
+    out = nbest.encode(docs, model, n=3)
+    best = out.select("doc_id", F.col("best")[0]["ids"].alias("ids"))
+    back = sorted(((r["doc_id"], r["text"]) for r in nbest.decode(best, model).collect()), key=key)
+    assert back == sorted(((r[0], (r[1] or "").replace("▁", " ")) for r in rows), key=key)
+    digests = nbest.encode(docs, model, n=3, digests=True)
+    assert digests.where("not decodes").count() == 0
+    assert nbest.encode(none, model).count() == 0
+    assert all(a["score"] >= b["score"] for r in out.collect() for a, b in zip(r["best"], r["best"][1:], strict=False))
+
+
+# Substrings
+
+def test_substring_duplicates(docs, rows, none) -> None:
+    w = substring_dedup.WINDOW
+    split = [[x for x in WORD.findall(r[1] or "")] for r in rows]
+    count = Counter(tuple(s[i : i + w]) for s in split for i in range(len(s) - w + 1))
+    wanted = []
+    for r, s in zip(rows, split, strict=True):
+        gone = [False] * len(s)
+        for i in range(len(s) - w + 1):
+            if count[tuple(s[i : i + w])] > 1:
+                gone[i : i + w] = [True] * w
+        left = " ".join(x for x, g in zip(s, gone, strict=True) if not g)
+        wanted.append((r[0], len(s), sum(gone), hashlib.sha256(left.encode()).hexdigest()))
+    for wide in (None, 2):
+        same(substring_dedup.substring_duplicates(docs, wide=wide), wanted)
+    assert substring_dedup.substring_duplicates(none).count() == 0
+    assert set(substring_dedup.substring_duplicates(docs, digests=False).columns) == {"doc_id", "n_words", "n_removed", "kept"}
+
+
+def test_byte_duplicates(docs, rows, none) -> None:
+    w = suffix_array.WINDOW
+    least: dict[bytes, float] = {}
+    data = [((math.inf if r[0] is None else r[0]), (r[1] or "").encode()) for r in rows]
+    for i, b in data:
+        for k in range(len(b) - w + 1):
+            least[b[k : k + w]] = min(least.get(b[k : k + w], math.inf), i)
+    wanted = []
+    for r, (i, b) in zip(rows, data, strict=True):
+        gone = [False] * len(b)
+        for k in range(len(b) - w + 1):
+            if least[b[k : k + w]] < i:
+                gone[k : k + w] = [True] * w
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        wanted.append((r[0], len(b), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    for wide in (None, 2):
+        same(suffix_array.byte_duplicates(docs, wide=wide), wanted)
+    assert suffix_array.byte_duplicates(none).count() == 0
+
+
+def test_suffix_array_of_random_and_periodic_texts() -> None:
+    rng = random.Random(3)
+    for _ in range(600):
+        s = rng.choices(range(rng.choice([1, 2, 3, 9])), k=rng.randint(0, 50))
+        s = s * 3 if rng.random() < 0.3 else s
+        assert suffix_array.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_automaton_counts_places() -> None:
+    rng = random.Random(4)
+    for _ in range(100):
+        texts = [(rng.choices(range(3), k=rng.randint(1, 14)), rng.randint(1, 3)) for _ in range(4)]
+        shard = substring_dedup.SuffixAutomaton()
+        for t, weight in texts:
+            shard.add(t, weight)
+        shard.close()
+        for t, _ in texts:
+            for w in (1, 2, 4):
+                want = [sum(weight * sum(u[j : j + w] == t[i : i + w] for j in range(len(u) - w + 1)) for u, weight in texts) for i in range(len(t) - w + 1)]
+                assert list(shard.stream(t, w)) == want
+
+
+def test_equal_windows_have_equal_seeds() -> None:
+    rng = np.random.default_rng(1)
+    s = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    two = np.concatenate([s[:150], s[37:97], s[200:]])
+    seeds = lambda x: {p + i: v for v, p, n in zip(*(a.tolist() for a in segments(x, 20, 6)), strict=True) for i in range(n)}
+    a, b = seeds(s), seeds(two)
+    assert len(a) == 381 and all(b[150 + i] == a[37 + i] for i in range(41))
+    assert len(gram_hashes(s[:5], 6)) == 0
+
+
+# Mixing
+
+def test_mixing_follows_the_distribution(spark, docs, rows, none) -> None:
+    by = {r["__source"]: r["__rate"] for r in mixing.mix(docs).select(F.col("source").alias("__source"), "__rate").distinct().collect()}
+    chars = Counter()
+    for r in rows:
+        chars[r[3]] += len(r[1] or "")
+    assert by == {s: pytest.approx(sum(chars.values()) / 3 / n) for s, n in chars.items()}
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect())
+    times = Counter((r[0], r[1]) for r in rows)
+    for r in rows:
+        u = int(hashlib.md5(f"mix-1|{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        rate, k, cum = by[r[3]], 0, 0.0
+        while cum + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) <= u:
+            cum += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            k += 1
+        assert got[(r[0], r[1])] == k * times[(r[0], r[1])]
+    assert mixing.mix(none).count() == 0
+    only = mixing.mix(docs, weights={"b": 1.0}, epochs=3.0)
+    assert {r["source"] for r in only.collect()} == {"b"}
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("source"), F.lit("t").alias("text"))
+    assert mixing.mix(many, epochs=900.0).count() == pytest.approx(3_600_000, rel=0.01)
+
+
+# Language model
+
+def test_scores(docs, rows, none) -> None:
+    toks = lambda t: [w.lower() for w in (t or "").encode().split()] + [b""]
+    train: Counter = Counter()
+    for r in rows:
+        if common.fold(r[0]) != 1:
+            train.update(toks(r[1]))
+    n, v = sum(train.values()), len(train)
+    got = class_lm.score_documents(docs).collect()
+    assert len(got) == len(rows)
+    wanted = sorted(((r[0], common.fold(r[0]) == 1, len(toks(r[1])), sum(w in train for w in toks(r[1])), n, round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks(r[1])), 6)) for r in rows), key=key)
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=key) == wanted
+    assert all(r["score"] < 0 for r in got)
+    assert class_lm.score_documents(none).count() == 0
+
+
+def test_rare_words_score_as_frequent_ones_do(docs, monkeypatch) -> None:
+    whole = sorted(((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in class_lm.score_documents(docs).collect()), key=key)
+    monkeypatch.setattr(class_lm, "FREQUENT", 5)
+    assert sorted(((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in class_lm.score_documents(docs).collect()), key=key) == whole
+
+
+def test_exchange_raises_the_likelihood() -> None:
+    rng = np.random.default_rng(2)
+    items, size = 40, 5
+    seq = np.concatenate([[0], *[[1 + 2 * rng.integers(0, 19), 2 + 2 * rng.integers(0, 19)] for _ in range(3000)]])
+    classes = np.concatenate(([0], 1 + np.arange(items - 1) // 2 % (size - 1)))
+
+    def counted(c):
+        left, right = np.zeros((items, size)), np.zeros((items, size))
+        np.add.at(left, (seq[1:], c[seq[:-1]]), 1)
+        np.add.at(right, (seq[:-1], c[seq[1:]]), 1)
+        return left, right
+
+    def likelihood(c):
+        pairs = np.zeros((size, size))
+        np.add.at(pairs, (c[seq[:-1]], c[seq[1:]]), 1)
+        f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+        return f(pairs) - f(pairs.sum(0)) - f(pairs.sum(1))
+
+    now = classes
+    for _ in range(3):
+        now = class_lm.exchange(now, *counted(now))
+    assert likelihood(now) > likelihood(classes) and now[0] == 0
+
+
+# Quality rules
+
+def test_rule_counts(docs, rows, none) -> None:
+    got = kn_quality.quality(docs)
+    wanted = []
+    for r in rows:
+        text = r[1] or ""
+        words = WORD.findall(text)
+        three = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if three[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        seen, again = set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                again += line in seen
+                seen.add(line)
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        wanted.append((r[0], len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered), failed))
+    same(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), wanted)
+    for r in got.collect():
+        assert r["kept"] == (not r["base_failed"] and r["logppl"] is not None and r["low"] <= r["logppl"] <= r["high"])
+    assert kn_quality.quality(none).count() == 0
+    assert kn_quality.keep_quality(docs).columns == docs.columns
+    assert kn_quality.keep_quality(docs).count() == got.where("kept").count()
+
+
+def test_kneser_ney_against_direct_counts(spark) -> None:
+    texts = [" ".join(r[1] for r in documents(s, 20) if r[1])[:4000] for s in (1, 2)]
+    model = kn_quality.fit(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), {"en": 0})
+    seqs = [[0] * 3 + [int(c) for c in kn_quality.BYTE_CLASS[np.frombuffer(t.encode(), np.uint8)]] for t in texts]
+    top = Counter(tuple(s[i : i + 4]) for s in seqs for i in range(len(s) - 3))
+    orders = {4: top}
+    for k in (3, 2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+
+    def discounts(c):
+        n = Counter(c.values())
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        out = []
+        for i in (1, 2, 3):
+            d = i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0
+            out.append(d if 0 < d < i else 0.5)
+        return out
+
+    cut = {k: discounts(c) for k, c in orders.items()}
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / kn_quality.CLASSES
+        near = {g: n for g, n in orders[k].items() if g[:-1] == gram[:-1]}
+        total = sum(near.values())
+        if not total:
+            return p(gram[1:])
+        d = lambda n: cut[k][min(n, 3) - 1]
+        own = near.get(gram, 0)
+        return (own - d(own) if own else 0) / total + sum(map(d, near.values())) / total * p(gram[1:])
+
+    table, rng = model.table(0), random.Random(1)
+    some = rng.sample(sorted(top), 40) + [tuple(rng.randrange(32) for _ in range(4)) for _ in range(40)]
+    for g in some:
+        code = (g[0] << 15) | (g[1] << 10) | (g[2] << 5) | g[3]
+        assert 10 ** table[code] == pytest.approx(p(g), rel=1e-4)
+    rows = 10 ** table.reshape(-1, kn_quality.CLASSES).astype(float)
+    assert rows.sum(axis=1) == pytest.approx(np.ones(len(rows)), abs=1e-3)
+
+
+# SimHash
+
+def fp(text: str | None) -> int:
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(len(w) - 2, 1))]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("shard", [1024, 3])
+def test_simhash_groups(docs, rows, none, shard) -> None:
+    prints = [fp(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[top(i)].append(r[0])
+    wanted = [(r[0], f"{prints[i]:016x}", min(least[top(i)], default=None)) for i, r in enumerate(rows)]
+    same(simhash_bk.simhash_groups(docs, max_shard=shard), wanted)
+    assert simhash_bk.simhash_groups(none).count() == 0
+
+
+def test_dropping_simhash_duplicates(docs, rows) -> None:
+    got = simhash_bk.drop_simhash_duplicates(docs)
+    groups = {r["component_id"] for r in simhash_bk.simhash_groups(docs).collect()}
+    assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=key) == sorted(groups, key=key)
+
+
+def test_bk_tree_finds_all_within() -> None:
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    fps = list({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(300)})
+    tree = simhash_bk.BKTree()
+    for x in fps:
+        tree.add(x)
+    for q in fps[:50]:
+        assert set(tree.within(q, 3)) == {x for x in fps if (x ^ q).bit_count() <= 3}
+
+
+def test_components_of_chains_and_stars(spark) -> None:
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (-5, 200), (200, -5)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(40)}, -5: -5, 200: -5}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# Toxicity
+
+def test_toxicity_is_learned(spark, none) -> None:
+    rng, vocab = random.Random(9), [f"w{i}" for i in range(300)]
+    data, labels = [], []
+    for i in range(900):
+        words = rng.choices(vocab, k=rng.randint(5, 80))
+        toxic = i % 4 == 0
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["nasty", "vile"]))
+        data.append((i, " ".join(words), rng.choice(["en", "de"]), "s"))
+        labels.append((i, int(toxic)))
+    data += [(1000, None, None, None), (1001, "", "en", None), (1000, "w1 " * 70_000 + "vile", "en", None), (None, "vile", "xx", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumn("toxic", F.lit(7))
+    marks = spark.createDataFrame([*labels, (1, None), (5000, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == len(data) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    truth = dict(labels)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    again = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs.withColumn("lang", F.lit("zz")), marks).collect()}
+    assert all(again[r["doc_id"]] == r["score"] for r in held)
+    assert toxicity.toxicity(none, marks).count() == 0
+    assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(data)
+
+
+# Token counts
+
+def test_token_counts(docs, rows, none) -> None:
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    wanted = [(r[0], len((r[1] or "").encode()), len(sp.encode(r[1] or "")), len(sp.encode(r[1] or "")) > 50) for r in rows]
+    for entries in (10, 100_000):
+        same(token_counts.token_counts(docs, queries.piece_model(), limit=50, entries=entries), wanted)
+    assert token_counts.token_counts(none, queries.piece_model()).count() == 0
+
+
+def test_pre_tokens_add_up_to_the_library(spark) -> None:
+    p, rng = token_counts.PieceCounter.of(queries.piece_model()), random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choices(" ab,.\n²é▁()'#\r\t中0\0<s>", k=rng.randint(0, 14)))
+        assert sum(p.count(p.pre_tokens(text))) == len(p.sp.encode(text)), text
