@@ -32,13 +32,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Windows of a segment at most; texts of a seed above which it is cut; bytes of a bundle.
-LONGEST, WIDE, BUNDLE = 64, 400, 64_000
+#: Windows of a segment at most; texts of a seed above which it is cut; bytes of a bundle; segments that a task gathers before it sends them on.
+LONGEST, WIDE, BUNDLE, SENT = 64, 400, 64_000, 100_000
 _NULL_ID = 2**63 - 1
 
 
@@ -149,10 +149,14 @@ def occurrences(rows: DataFrame, found: DataFrame, symbols: Symbols) -> DataFram
     """seed, cid (hash of the text), doc_id, r, start; and, where a batch has a text first, its content, n windows, weight (occurrences in the batch) and least (smallest doc_id of those)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(b: pa.RecordBatch) -> pa.RecordBatch:
+            at = pa.array(docs, pa.int64())
+            columns = [pa.array(seeds, pa.int64()), pa.array(cids, pa.int64()), b.column("doc_id").take(at), b.column("r").take(at), pa.array(starts, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64()), pa.array(least, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["seed", "cid", "doc_id", "r", "start", "content", "n", "weight", "least"])
+
+        first: dict[tuple[int, int], int] = {}
+        seeds, cids, starts, docs, contents, sizes, weights, least = gathered = [[] for _ in range(8)]
         for b in batches:
-            first: dict[tuple[int, int], int] = {}
-            seeds, cids, starts, docs, contents, sizes, weights = [], [], [], [], [], [], []
-            least: list[int] = []
             ids = b.column("doc_id").to_pylist()
             for i, (t, wanted) in enumerate(zip(b.column("text"), b.column("starts"), strict=True)):
                 hashes, text = symbols.split(t.as_py())
@@ -169,9 +173,10 @@ def occurrences(rows: DataFrame, found: DataFrame, symbols: Symbols) -> DataFram
                         contents.append(None), sizes.append(None), weights.append(None), least.append(None)
                         weights[at] += 1
                         least[at] = min(least[at], ids[i])
-            at = pa.array(docs, pa.int64())
-            columns = [pa.array(seeds, pa.int64()), pa.array(cids, pa.int64()), b.column("doc_id").take(at), b.column("r").take(at), pa.array(starts, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64()), pa.array(least, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["seed", "cid", "doc_id", "r", "start", "content", "n", "weight", "least"])
+                if len(seeds) > SENT or i + 1 == b.num_rows:
+                    yield sent(b)
+                    for x in (first, *gathered):
+                        x.clear()
 
     joined = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).join(found, "doc_id").select("doc_id", "r", "text", "starts")
     return joined.mapInArrow(run, "seed long, cid long, doc_id long, r long, start long, content binary, n int, weight long, least long")
@@ -191,11 +196,12 @@ class Bundle:
 
 #: The value of every window of a bundle, text by text.
 Judge = Callable[[Bundle], np.ndarray]
-_JUDGED = "seed long, cid long, a int, b int, value long"
+_JUDGED = "seed long, cid long, ranges array<struct<a:int,b:int,value:long>>"
 
 
-def _bundles(texts: DataFrame, judge: Judge) -> DataFrame:
-    """seed, cid, a, b, value: the windows from a to b - 1 of a text have that value. texts: seed, cid, content, n, weight, least; a text may have several rows."""
+def _bundles(texts: DataFrame, symbols: Symbols, judge: Judge) -> DataFrame:
+    """seed, cid, ranges (a, b, value): the windows from a to b - 1 of a text have that value. One row per text, without
+    the ranges that remove nothing anywhere. texts: seed, cid, content, n, weight, least; a text may have several rows."""
 
     def told(held: list[tuple]) -> pa.RecordBatch:
         merged: dict[tuple[int, int], list] = {}
@@ -213,8 +219,12 @@ def _bundles(texts: DataFrame, judge: Judge) -> DataFrame:
         a = np.flatnonzero(cut)
         owner = np.repeat(np.arange(len(n)), n)[a]
         size = np.diff(np.append(a, len(values)))
-        columns = [keys[owner, 0], keys[owner, 1], (a - begin[owner]).astype(np.int32), (a - begin[owner] + size).astype(np.int32), values[a]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["seed", "cid", "a", "b", "value"])
+        useful = values[a] > 1 if symbols.same_document else (bundle.weight[owner] > 1) | (values[a] < bundle.least[owner])
+        a, owner, size = a[useful], owner[useful], size[useful]
+        own, each = np.unique(owner, return_counts=True)
+        ranges = pa.StructArray.from_arrays([pa.array((a - begin[owner]).astype(np.int32)), pa.array((a - begin[owner] + size).astype(np.int32)), pa.array(values[a])], ["a", "b", "value"])
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), ranges)
+        return pa.RecordBatch.from_arrays([pa.array(keys[own, 0]), pa.array(keys[own, 1]), listed], ["seed", "cid", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -260,25 +270,36 @@ def _cut(texts: DataFrame, symbols: Symbols, step: int) -> DataFrame:
 
 
 def judged(texts: DataFrame, symbols: Symbols, judge: Judge, wide: int = WIDE, steps: tuple[int, ...] | None = None) -> DataFrame:
-    """seed, cid, a, b, value of every text. texts: stored seed, cid, content, n, weight, least, and key, the hash of the k-gram that is the seed."""
+    """seed, cid, ranges, one row per text at most. texts: stored seed, cid, content, n, weight, least, and key, the hash of the k-gram that is the seed."""
     steps = symbols.pieces if steps is None else steps
-    many = stored(texts.groupBy("seed").count().where(F.col("count") > wide).select("seed")) if steps else None
-    if many is None or many.isEmpty():
-        return _bundles(texts, judge)
-    pieces = stored(_cut(texts.join(many, "seed", "left_semi"), symbols, steps[0]))
-    once = stored(pieces.groupBy("wseed", "wcid").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.first("key").alias("key")).withColumnsRenamed({"wseed": "seed", "wcid": "cid"}))
+    columns = ["seed", "cid", "content", "n", "weight", "least", "key"]
+    often = stored(texts.groupBy("seed").count().where(F.col("count") > wide).select("seed")) if steps else None
+    if often is None or often.isEmpty():
+        return _bundles(texts, symbols, judge)
+    # The rows that tasks have sent for one text meet before anything is cut.
+    merged = stored(_summed(texts.join(often, "seed", "left_semi"), "seed", "cid").select(*columns))
+    many = stored(merged.groupBy("seed").count().where(F.col("count") > wide).select("seed"))
+    pieces = stored(_cut(merged.join(many, "seed", "left_semi"), symbols, steps[0]))
+    once = stored(_summed(pieces, "wseed", "wcid").withColumnsRenamed({"wseed": "seed", "wcid": "cid"}).select(*columns))
     values = stored(judged(once, symbols, judge, wide, steps[1:])).withColumnsRenamed({"seed": "wseed", "cid": "wcid"})
-    back = pieces.select("wseed", "wcid", "seed", "cid", "at").join(values, ["wseed", "wcid"]).select("seed", "cid", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"), "value")
-    return _bundles(texts.join(many, "seed", "left_anti"), judge).unionByName(back)
+    moved = F.transform("ranges", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["b"] + F.col("at")).alias("b"), x["value"].alias("value")))
+    back = pieces.select("wseed", "wcid", "seed", "cid", "at").join(values, ["wseed", "wcid"]).select("seed", "cid", moved.alias("ranges")).groupBy("seed", "cid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    few = texts.join(often, "seed", "left_anti").select(*columns).unionByName(merged.join(many, "seed", "left_anti").select(*columns))
+    return _bundles(few, symbols, judge).unionByName(back)
+
+
+def _summed(texts: DataFrame, *keys: str) -> DataFrame:
+    return texts.groupBy(*keys).agg(F.first("content").alias("content"), F.first("n").alias("n"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.first("key").alias("key"))
 
 
-def spans(rows: DataFrame, symbols: Symbols, judge: Judge, removes: str, wide: int = WIDE) -> DataFrame:
-    """doc_id, r, spans: ranges of windows (from, to) that ``removes``, SQL over value and doc_id, holds for. A null doc_id comes back as the largest long."""
+def spans(rows: DataFrame, symbols: Symbols, judge: Judge, removes: Callable[[Column], Column], wide: int = WIDE) -> DataFrame:
+    """doc_id, r, spans: ranges of windows (from * 2**32 + to) for whose value ``removes`` holds. A null doc_id comes back as the largest long."""
     occ = stored(occurrences(rows, stored(candidates(rows, symbols)), symbols))
     texts = occ.where("content is not null").select("seed", "cid", "content", "n", "weight", "least", F.col("seed").alias("key"))
     values = stored(judged(texts, symbols, judge, wide))
-    hit = occ.select("seed", "cid", "doc_id", "r", "start").join(values, ["seed", "cid"]).where(removes)
-    return stored(hit.groupBy("doc_id", "r").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans")))
+    hit = occ.select("seed", "cid", "doc_id", "r", "start").join(values, ["seed", "cid"])
+    own = F.transform(F.filter("ranges", lambda x: removes(x["value"])), lambda x: F.shiftleft(F.col("start") + x["a"], 32) + F.col("start") + x["b"])
+    return stored(hit.select("doc_id", "r", own.alias("own")).where(F.size("own") > 0).groupBy("doc_id", "r").agg(F.flatten(F.collect_set("own")).alias("spans")))
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -288,10 +309,7 @@ def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     return marked.join(found, ["__id", "r"], "left").select("doc_id", "text", "spans")
 
 
-def covered(size: int, ranges: list[dict], window: int) -> np.ndarray:
-    """Which of ``size`` symbols the windows of the ranges cover."""
-    edge = np.zeros(size + 1, np.int64)
-    for x in ranges:
-        edge[x["a"]] += 1
-        edge[x["b"] + window - 1] -= 1
+def covered(size: int, ranges: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``size`` symbols the windows of the ranges (from * 2**32 + to) cover."""
+    edge = np.bincount(ranges >> 32, minlength=size + 1) - np.bincount((ranges & 0xFFFFFFFF) + (window - 1), minlength=size + 1)
     return np.cumsum(edge[:-1]) > 0

@@ -123,16 +123,16 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null ids stay null; doc_id must be an integer. Empty tables give no rows; other columns are ignored.
     """
     rows = keyed(plain(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
-    found = spans(rows, SYMBOLS, judge, "value > 1", **({} if wide is None else {"wide": wide}))
+    found = spans(rows, SYMBOLS, judge, lambda value: value > 1, **({} if wide is None else {"wide": wide}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, kept = [], [], []
-            for t, r in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
+            for t, r in zip(b.column("text"), b.column("spans"), strict=True):
                 words = t.as_py().encode("utf-8", "surrogateescape").split()
                 n.append(len(words))
-                if r:
-                    gone = covered(len(words), r, WINDOW)
+                if r.is_valid:
+                    gone = covered(len(words), r.values.to_numpy(), WINDOW)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 removed.append(n[-1] - len(words))
                 joined = b" ".join(words)

@@ -175,16 +175,18 @@ def byte_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bytes; doc_id must be an integer. Empty tables give no rows; other columns are ignored.
     """
     rows = keyed(plain(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")))
-    found = spans(rows, SYMBOLS, judge, "value < doc_id", **({} if wide is None else {"wide": wide}))
+    found = spans(rows, SYMBOLS, judge, lambda value: value < F.col("doc_id"), **({} if wide is None else {"wide": wide}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
-            for t, r in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
+            for t, r in zip(b.column("text"), b.column("spans"), strict=True):
                 data = t.as_py().encode("utf-8", "surrogateescape")
-                gone = covered(len(data), r or [], WINDOW)
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if r else data
-                n_spans = int((np.diff(np.concatenate(([0], gone.view(np.int8)))) > 0).sum()) if r else 0
+                kept, n_spans = data, 0
+                if r.is_valid:
+                    gone = covered(len(data), r.values.to_numpy(), WINDOW)
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    n_spans = int((np.diff(np.concatenate(([0], gone.view(np.int8)))) > 0).sum())
                 for column, x in zip(out, (len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest() if digests else kept), strict=True):
                     column.append(x)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if digests else pa.binary())
