@@ -1,15 +1,12 @@
 """Quality rules: simple counts, and perplexity bands of a modified Kneser-Ney model.
 
-The model's symbols are 32 classes of bytes (letters, space, digits, marks, line
-ends, and the two kinds of bytes of other letters), its n-grams of order 4 span
-words. An n-gram's hash is its packed classes: 20 bits without collisions, so a
-language's model has 2**20 entries at most, whatever the corpus. Spark counts
-the n-grams of all documents; discounts and the interpolated probabilities come
-from those counts; the model is kept as sorted arrays of hash and logarithm.
-
-Each language has its own model and its own band of perplexities. Bands come
-from the histogram of all documents' log-perplexities: the median, less and
-plus ``BAND`` times the spread on that side. Documents outside are rejected.
+The model counts the characters of the whole corpus (``char_model``), one model
+per language. Each language has its own band of perplexities, from the histogram
+of all its documents' log-perplexities: the median, less and plus ``BAND`` times
+the distance to the quartile on that side. Documents outside are rejected.
+
+``fit`` and ``Model`` are a smaller model over 32 classes of bytes, which
+``quality`` doesn't use.
 """
 
 from __future__ import annotations
@@ -22,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import char_model
 from .common import WORD, plain, stored
 
 ORDER, CLASS_BITS = 4, 5
 CLASSES, CODES = 1 << CLASS_BITS, 1 << (CLASS_BITS * ORDER)
-#: Languages with a model of their own; all others, by name after these, share one.
+#: The slot of languages without a byte model of their own.
 LANGUAGES = 64
 #: Width of a band in spreads, least spread in log10, and width of a histogram's bins.
-BAND, LEAST_SPREAD, BIN = 8.0, 0.02, 0.005
+BAND, LEAST_SPREAD, BIN = 3.0, 0.005, 0.001
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = frozenset("#*$%&|<>")
 
@@ -81,12 +79,6 @@ def rule_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), _repeats(words)
 
 
-def languages(docs: DataFrame, lang_col: str = "lang") -> list[str | None]:
-    """Those with most rows, ties by name; a null language is one of its own."""
-    most = docs.groupBy(F.col(f"`{lang_col}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    return [r["lang"] for r in most.collect()]
-
-
 def ngram_counts(docs: DataFrame, slots: dict[str | None, int]) -> DataFrame:
     """docs: lang, text. Returns slot, code, n over every byte of every document; a task sends each n-gram once."""
 
@@ -179,53 +171,59 @@ def fit(docs: DataFrame, slots: dict[str | None, int]) -> Model:
     return Model(rows)
 
 
-def bands(perplexities: DataFrame, width: float = BAND) -> dict[int, tuple[float, float]]:
-    """slot -> least and greatest log-perplexity. perplexities: slot, logppl; null logppl doesn't count.
+def bands(perplexities: DataFrame, width: float = BAND) -> DataFrame:
+    """slot, low, high: a language's least and greatest log-perplexity. perplexities: slot, logppl; null logppl doesn't count.
 
     From the whole histogram, whose bins are bounded: the median, and as spread on either side the distance to the
-    10th and 90th percentile, LEAST_SPREAD at least.
+    quartile, LEAST_SPREAD at least.
     """
-    bins = perplexities.where("logppl is not null").groupBy("slot", F.floor(F.col("logppl") / BIN).cast("int").alias("bin")).count().toPandas()
-    out = {}
-    for slot, g in bins.sort_values("bin").groupby("slot"):
-        share = g["count"].cumsum() / g["count"].sum()
-        low, mid, high = (float(g["bin"].iloc[int((share < q).sum())]) * BIN for q in (0.1, 0.5, 0.9))
-        out[int(slot)] = (mid - width * max(mid - low, LEAST_SPREAD), mid + width * max(high - mid, LEAST_SPREAD) + BIN)
-    return out
+    bins = perplexities.where("logppl is not null").groupBy("slot", F.floor(F.col("logppl") / BIN).alias("bin")).count()
+    of = Window.partitionBy("slot")  # a row per bin
+    share = bins.select("slot", "bin", (F.sum("count").over(of.orderBy("bin")) / F.sum("count").over(of)).alias("share"))
+    q = share.groupBy("slot").agg(*[(F.min(F.when(F.col("share") >= x, F.col("bin"))) * BIN).alias(name) for x, name in ((0.25, "q1"), (0.5, "mid"), (0.75, "q3"))])
+    spread = lambda d: F.greatest(d, F.lit(LEAST_SPREAD))
+    return q.select("slot", (F.col("mid") - width * spread(F.col("mid") - F.col("q1"))).alias("low"), (F.col("mid") + width * spread(F.col("q3") - F.col("mid")) + BIN).alias("high"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = BAND) -> DataFrame:
     """Returns doc_id, __row (a hash of lang and text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, logppl,
     low, high, kept; one row per input row.
 
-    Null texts count as empty: no words, base_failed, logppl null. A null language is a language of its own, and
-    languages after the first LANGUAGES share a model and a band. Empty tables give no rows; other columns are ignored.
+    Null texts count as empty: no words, base_failed, logppl null. Every language, null too, has a model and a band
+    of its own. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     src = plain(docs, id_col, lang_col, text_col).toDF("doc_id", "lang", "text").select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    slots = {lang: i for i, lang in enumerate(languages(src))}
-    model = spark.sparkContext.broadcast(fit(src.select("lang", "text"), slots))
+    model = char_model.fit(src.select("lang", "text"))
+    shared = spark.sparkContext.broadcast((model.keys, model.values))
     id_type = src.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = shared.value
         for b in batches:
-            found, at, logppl = [], [], []
+            found, at, chars, logs, rare, counts = [], [], [], [], [], []
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                text, slot = t.as_py(), slots.get(lang, LANGUAGES)
+                text = t.as_py()
                 found.append(rule_counts(text))
-                at.append(slot)
-                logppl.append(-float(model.value.table(slot)[codes(text)].mean(dtype=np.float64)) if text else None)
-            counts = np.array(found, np.int64).reshape(-1, len(names))
-            columns = [b.column("doc_id"), b.column("__row"), pa.array(at, pa.int32()), pa.array(logppl, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(counts[:, i], pa.int64()) for i in range(len(names))], ["doc_id", "__row", "slot", "logppl", *names])
-
-    scored = stored(src.withColumn("__row", F.xxhash64("lang", "text")).mapInArrow(run, f"doc_id {id_type}, __row long, slot int, logppl double, {', '.join(f'{n} long' for n in names)}"))
-    found = bands(scored, width)
-    edges = F.create_map(*[x for s, (lo, hi) in found.items() for x in (F.lit(s), F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high")))]) if found else None
-    edge = (lambda name: F.element_at(edges, F.col("slot"))[name]) if found else (lambda name: F.lit(None).cast("double"))
+                at.append(char_model.slot(lang))
+                n, total, h, f = char_model.known(text, at[-1], keys, values)
+                for column, x in zip((chars, logs, rare, counts), (n, total, h, f), strict=True):
+                    column.append(x)
+            own = np.array(found, np.int64).reshape(-1, len(names))
+            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())) for x in (rare, counts)]
+            columns = [b.column("doc_id"), b.column("__row"), pa.array(at, pa.int64()), pa.array(chars, pa.int64()), pa.array(logs, pa.float64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(own[:, i], pa.int64()) for i in range(len(names))], ["doc_id", "__row", "slot", "chars", "logs", "rare", "counts", *names])
+
+    rows = src.withColumn("__row", F.xxhash64("lang", "text")).mapInArrow(run, f"doc_id {id_type}, __row long, slot long, chars long, logs double, rare array<long>, counts array<long>, {', '.join(f'{n} long' for n in names)}")
+    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()))
+    others = rows.select("__at", F.explode(F.arrays_zip("rare", "counts")).alias("r")).select("__at", F.col("r.rare").alias("h"), F.col("r.counts").alias("f"))
+    others = others.join(model.logs, "h").groupBy("__at").agg(F.sum(F.col("f") * F.col("logp")).alias("others"))
+    logppl = F.when(F.col("chars") > 0, F.round(-(F.col("logs") + F.coalesce("others", F.lit(0.0))) / F.col("chars"), 9))
+    scored = stored(rows.drop("rare", "counts").join(others, "__at", "left").select("doc_id", "__row", "slot", *names, logppl.alias("logppl")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > F.lit(round(100 * MAX_REPEATED)) * F.col("n_words"))
-    judged = scored.withColumns({"base_failed": failed, "low": edge("low"), "high": edge("high")})
+    judged = scored.join(F.broadcast(stored(bands(scored, width))), "slot", "left").withColumn("base_failed", failed)  # a row per language
     inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(False))
     return judged.select("doc_id", "__row", *names, "base_failed", "logppl", "low", "high", (~F.col("base_failed") & inside).alias("kept"))
 
