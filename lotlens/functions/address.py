@@ -62,7 +62,7 @@ def street_words(street: Column) -> Column:
     """The words of a street's canonical name: no trailing number, street type short, no particles."""
     text = F.regexp_replace(F.upper(unaccent(F.coalesce(street, F.lit("")))), r"[,;]?\s*\d+\s*[A-Z]?$", "")
     words = F.filter(F.split(squeeze(F.regexp_replace(text, r"[^A-Z0-9 ]", " ")), " "), lambda w: w != "")
-    typed = F.when(F.size(words) > 0, F.concat(_mapped(F.slice(words, 1, 1), STREET_TYPES), F.slice(words, 2, 10_000))).otherwise(words)
+    typed = F.when(F.size(words) > 0, F.concat(_mapped(F.slice(words, 1, 1), STREET_TYPES), F.slice(words, F.lit(2), F.size(words)))).otherwise(words)
     bare = F.filter(typed, lambda w: ~w.isin(PARTICLES))
     return F.when(F.size(bare) > 0, bare).otherwise(words)
 
@@ -72,7 +72,7 @@ def street_name(street: Column) -> Column:
 
 
 def _without_type(words: Column) -> Column:
-    return F.array_join(F.when(F.get(words, F.lit(0)).isin(SHORT_TYPES), F.slice(words, 2, 10_000)).otherwise(words), " ")
+    return F.array_join(F.when(F.get(words, F.lit(0)).isin(SHORT_TYPES), F.slice(words, F.lit(2), F.size(words))).otherwise(words), " ")
 
 
 def street_key(street: Column, tolerance: int = 0) -> Column:
