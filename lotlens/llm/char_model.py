@@ -1,7 +1,7 @@
 """Modified Kneser-Ney over the characters of a whole corpus, one model per language.
 
-An n-gram of ORDER characters is packed into two longs, three code points each,
-so counts, contexts and suffixes are exact. All n-grams of all documents are
+An n-gram of ORDER characters is packed into one long, 21 bits a code point, so
+counts, contexts and suffixes are exact. All n-grams of all documents are
 counted in Spark and stay tables, without a bound on entries or languages; a
 row per language is the only thing that joins broadcast.
 
@@ -23,14 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-ORDER, CHAR_BITS = 6, 21
+ORDER, CHAR_BITS = 3, 21
 #: Bound of the broadcast n-grams. Results don't depend on it.
 FREQUENT = 1_000_000
 #: Characters that are packed at a time.
 PIECE = 1_000_000
-_ONE, _TWO, _THREE = ((1 << CHAR_BITS * i) - 1 for i in (1, 2, 3))
-#: What an n-gram of the order keeps of the two longs.
-_KEPT = {6: (_THREE, _THREE), 5: (_TWO, _THREE), 4: (_ONE, _THREE), 3: (0, _THREE), 2: (0, _TWO), 1: (0, _ONE)}
 
 
 def slot(lang: str | None) -> int:
@@ -38,43 +35,44 @@ def slot(lang: str | None) -> int:
     return xxhash.xxh64_intdigest(b"" if lang is None else b"=" + lang.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def packed(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def packed(text: str) -> Iterator[np.ndarray]:
     """The n-gram that ends at each character, in pieces; spaces stand before the text."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     c = np.concatenate((np.full(ORDER - 1, 32, "<u4"), c)).astype(np.int64)
     for lo in range(0, len(c) - ORDER + 1, PIECE):
-        x = [c[lo + i : min(lo + PIECE, len(c) - ORDER + 1) + i] for i in range(ORDER)]
-        yield tuple(x[i] << 2 * CHAR_BITS | x[i + 1] << CHAR_BITS | x[i + 2] for i in (0, 3))
+        size = min(PIECE, len(c) - ORDER + 1 - lo)
+        out = c[lo : lo + size]
+        for i in range(1, ORDER):
+            out = out << CHAR_BITS | c[lo + i : lo + i + size]
+        yield out
 
 
-def hashes(at: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(at & (1 << 64) - 1)
-    for x in (np.uint64(0), b.astype(np.uint64)):
-        h = (h ^ h >> np.uint64(32) ^ x) * np.uint64(0xD6E8FEB86659FD93)
+def hashes(at: int, grams: np.ndarray) -> np.ndarray:
+    h = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(at & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return (h * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """docs: lang, text. Returns slot, a, b, h, n over every character of every document."""
+    """docs: lang, text. Returns slot, gram, h, n over every character of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         sizes: dict[int, int] = {}
 
         def sent(at: int) -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*held.pop(at), strict=True))
+            gram, n = np.unique(np.concatenate(held.pop(at)), return_counts=True)
             sizes.pop(at)
-            h, first, n = np.unique(hashes(at, a, b), return_index=True, return_counts=True)
-            columns = [np.full(len(h), at, np.int64), a[first], b[first], h, n]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["slot", "a", "b", "h", "n"])
+            columns = [np.full(len(gram), at, np.int64), gram, hashes(at, gram), n]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["slot", "gram", "h", "n"])
 
         for batch in batches:
             for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 at = slot(lang)
                 for piece in packed(t.as_py() or ""):
                     held.setdefault(at, []).append(piece)
-                    sizes[at] = sizes.get(at, 0) + len(piece[0])
+                    sizes[at] = sizes.get(at, 0) + len(piece)
                     if sizes[at] >= PIECE:
                         yield sent(at)
                     elif sum(sizes.values()) >= 2 * PIECE:  # many languages
@@ -82,7 +80,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for at in list(held):
             yield sent(at)
 
-    return docs.select("lang", "text").mapInArrow(run, "slot long, a long, b long, h long, n long").groupBy("slot", "a", "b", "h").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, "slot long, gram long, h long, n long").groupBy("slot", "gram", "h").agg(F.sum("n").alias("n"))
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -98,34 +96,35 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """slot, a, b, h, n, p: interpolated probability of each n-gram's last character after the others.
+    """slot, gram, h, n, p: interpolated probability of each n-gram's last character after the others.
 
-    counts: stored slot, a, b, h, n. Lower orders count in how many contexts an n-gram is found.
+    counts: stored slot, gram, h, n. Lower orders count in how many contexts an n-gram is found.
     """
+
+    def last(k: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << CHAR_BITS * k) - 1).cast("long"))
+
     by_order = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        low = [F.col(c).bitwiseAND(F.lit(m).cast("long")).alias(c) for c, m in zip("ab", _KEPT[k], strict=True)]
-        by_order[k] = stored(by_order[k + 1].select("slot", *low).groupBy("slot", "a", "b").agg(F.count("*").alias("n")))
+        by_order[k] = stored(by_order[k + 1].select("slot", last(k).alias("gram")).groupBy("slot", "gram").agg(F.count("*").alias("n")))
     lower = None
     for k in range(1, ORDER + 1):
         own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = by_order[k].join(F.broadcast(_discounts(by_order[k])), "slot").withColumns({"d": own, "before": F.shiftright("b", CHAR_BITS)}).drop("d1", "d2", "d3")
-        near = ["slot", "a", "before"]
-        sums = grams.groupBy(*near).agg(F.sum("n").alias("all_n"), F.sum("d").alias("all_d"))
-        grams = grams.join(F.broadcast(sums) if k == 1 else sums, near)  # order 1 has one context a language
+        grams = by_order[k].join(F.broadcast(_discounts(by_order[k])), "slot").withColumns({"d": own, "before": F.shiftright("gram", CHAR_BITS)}).drop("d1", "d2", "d3")
+        sums = grams.groupBy("slot", "before").agg(F.sum("n").alias("all_n"), F.sum("d").alias("all_d"))
+        grams = grams.join(F.broadcast(sums) if k == 1 else sums, ["slot", "before"])  # order 1 has one context a language
         kept, backoff = (F.col("n") - F.col("d")) / F.col("all_n"), F.col("all_d") / F.col("all_n")
         if k == 1:
             p = grams.withColumn("p", kept + backoff / F.col("symbols"))
         else:
-            low_a, low_b = (F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in zip("ab", _KEPT[k - 1], strict=True))
-            p = grams.withColumns({"low_a": low_a, "low_b": low_b}).join(lower, ["slot", "low_a", "low_b"]).withColumn("p", kept + backoff * F.col("lower"))
+            p = grams.withColumn("low", last(k - 1)).join(lower, ["slot", "low"]).withColumn("p", kept + backoff * F.col("lower"))
         p = stored(p.select(*by_order[k].columns, "p"))
-        lower = p.select("slot", F.col("a").alias("low_a"), F.col("b").alias("low_b"), F.col("p").alias("lower"))
+        lower = p.select("slot", F.col("gram").alias("low"), F.col("p").alias("lower"))
     return p
 
 
 class Model:
-    """logs: all n-grams as h, logp. keys, values: sorted hashes and logarithms of the most frequent ones."""
+    """logs: the n-grams that aren't in the arrays, as h, logp. keys, values: sorted hashes and logarithms of the most frequent ones."""
 
     def __init__(self, logs: DataFrame, keys: np.ndarray, values: np.ndarray) -> None:
         self.logs, self.keys, self.values = logs, keys, values
@@ -149,9 +148,10 @@ def fit(docs: DataFrame) -> Model:
 def known(text: str, at: int, keys: np.ndarray, values: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
     """Characters, the frequent n-grams' sum of logarithms, hashes and counts of all other n-grams."""
     n, total, rare, counts = 0, 0.0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in packed(text):
-        h, f = np.unique(hashes(at, a, b), return_counts=True)
-        n += len(a)
+    for grams in packed(text):
+        g, f = np.unique(grams, return_counts=True)
+        h = hashes(at, g)
+        n += len(grams)
         if len(keys):
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[place] == h

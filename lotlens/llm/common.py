@@ -54,6 +54,18 @@ def plain(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of the table has, in any case of letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(docs: DataFrame, text_col: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(docs[text_col].cast("string"), F.lit(""))

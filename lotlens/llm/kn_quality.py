@@ -4,9 +4,6 @@ The model counts the characters of the whole corpus (``char_model``), one model
 per language. Each language has its own band of perplexities, from the histogram
 of all its documents' log-perplexities: the median, less and plus ``BAND`` times
 the distance to the quartile on that side. Documents outside are rejected.
-
-``fit`` and ``Model`` are a smaller model over 32 classes of bytes, which
-``quality`` doesn't use.
 """
 
 from __future__ import annotations
@@ -20,42 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import char_model
-from .common import WORD, plain, stored
+from .common import WORD, free_names, plain, stored
 
-ORDER, CLASS_BITS = 4, 5
-CLASSES, CODES = 1 << CLASS_BITS, 1 << (CLASS_BITS * ORDER)
-#: The slot of languages without a byte model of their own.
-LANGUAGES = 64
 #: Width of a band in spreads, least spread in log10, and width of a histogram's bins.
-BAND, LEAST_SPREAD, BIN = 3.0, 0.005, 0.001
+BAND, LEAST_SPREAD, BIN = 4.0, 0.005, 0.001
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = frozenset("#*$%&|<>")
 
 
-def _classes() -> np.ndarray:
-    table = np.full(256, 29, np.uint32)  # other marks
-    table[list(range(ord("a"), ord("z") + 1))] = range(1, 27)
-    table[list(range(ord("A"), ord("Z") + 1))] = range(1, 27)
-    table[[ord(c) for c in " \t\x0b\x0c"]] = 0
-    table[[ord(c) for c in "\r\n"]] = 27
-    table[list(range(ord("0"), ord("9") + 1))] = 28
-    table[128:192], table[192:] = 30, 31
-    return table
-
-
-BYTE_CLASS = _classes()
-
-
-def codes(text: str) -> np.ndarray:
-    """The packed n-gram that ends at each byte; spaces stand before the text."""
-    c = BYTE_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    c = np.concatenate((np.zeros(ORDER - 1, np.uint32), c))
-    out = np.zeros(len(c) - ORDER + 1, np.uint32)
-    for i in range(ORDER):
-        out = (out << np.uint32(CLASS_BITS)) | c[i : i + len(out)]
-    return out
-
-
 def _repeats(words: list[str]) -> int:
     """Words in 3-word windows found twice or more in the text."""
     n = len(words) - 2
@@ -79,98 +48,6 @@ def rule_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), _repeats(words)
 
 
-def ngram_counts(docs: DataFrame, slots: dict[str | None, int]) -> DataFrame:
-    """docs: lang, text. Returns slot, code, n over every byte of every document; a task sends each n-gram once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for b in batches:
-            for lang, t in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                if text := t.as_py():
-                    slot = slots.get(lang, LANGUAGES)
-                    if slot not in seen:
-                        seen[slot] = np.zeros(CODES, np.int64)
-                    c = codes(text)
-                    if len(c) > CODES // 8:
-                        seen[slot] += np.bincount(c, minlength=CODES)
-                    else:
-                        np.add.at(seen[slot], c, 1)
-        for slot, n in seen.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), slot), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["slot", "code", "n"])
-
-    return docs.mapInArrow(run, "slot int, code int, n long").groupBy("slot", "code").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """slot, code, logp: log10 probability of the n-gram's last symbol after the others, for each counted n-gram,
-    and with symbol -1 in its place the weight that lower orders get after that context.
-
-    counts: slot, code, n of the highest order. Lower orders count in how many contexts an n-gram is found.
-    """
-    by_order = {ORDER: counts.select("slot", "code", "n")}
-    for k in range(ORDER - 1, 0, -1):
-        by_order[k] = by_order[k + 1].groupBy("slot", F.expr(f"code & {(1 << CLASS_BITS * k) - 1}").alias("code")).agg(F.count("*").cast("long").alias("n"))
-    out = None
-    for k in range(1, ORDER + 1):
-        grams = by_order[k].withColumn("context", F.expr(f"code >> {CLASS_BITS}"))
-        n = [F.coalesce(F.sum((F.col("n") == i).cast("double")), F.lit(0.0)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        cut = by_order[k].groupBy("slot").agg(*n)
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-
-        def discount(i: int, y=y):  # 0.5 where the counts of counts can't tell
-            d = i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}")
-            return F.when((F.col(f"n{i}") > 0) & (d > 0) & (d < i), d).otherwise(0.5)
-
-        cut = cut.select("slot", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-        own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        near = Window.partitionBy("slot", "context")  # CLASSES rows at most
-        grams = grams.join(F.broadcast(cut), "slot").withColumn("d", own)  # LANGUAGES + 1 rows at most
-        grams = grams.select("slot", "code", "context", ((F.col("n") - F.col("d")) / F.sum("n").over(near)).alias("kept"), (F.sum("d").over(near) / F.sum("n").over(near)).alias("backoff"))
-        if k == 1:
-            p = grams.withColumn("p", F.col("kept") + F.col("backoff") / CLASSES)
-        else:
-            lower = out.where(f"k = {k - 1}").select("slot", F.col("code").alias("low"), F.col("p").alias("lower"))
-            low = F.expr(f"code & {(1 << CLASS_BITS * (k - 1)) - 1}")
-            p = grams.withColumn("low", low).join(lower, ["slot", "low"]).withColumn("p", F.col("kept") + F.col("backoff") * F.col("lower"))
-        p = stored(p.select(F.lit(k).alias("k"), "slot", "code", "context", "p", "backoff"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-class Model:
-    """Per language sorted arrays of hash and value, laid out for lookup when a task first needs the language."""
-
-    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """rows: order, slot, sorted codes, probabilities, back-off weights of the contexts."""
-        self.arrays = {(k, slot): (code, p, backoff) for k, slot, code, p, backoff in rows}
-        self.ready: dict[int, np.ndarray] = {}
-
-    def table(self, slot: int) -> np.ndarray:
-        """log10 probability by packed n-gram; what the corpus lacks gets its probability from the lower orders."""
-        if slot not in self.ready:
-            p = np.full(1, 1.0 / CLASSES)
-            for k in range(1, ORDER + 1):
-                lower = np.tile(p, 1 << CLASS_BITS) if k > 1 else np.full(CLASSES, 1.0 / CLASSES)
-                backoff = np.ones(1 << CLASS_BITS * (k - 1))
-                code, own, weight = self.arrays.get((k, slot), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
-                backoff[code >> CLASS_BITS] = weight
-                p = np.repeat(backoff, CLASSES) * lower
-                p[code] = own
-            self.ready[slot] = np.log10(p).astype(np.float32)
-        return self.ready[slot]
-
-
-def fit(docs: DataFrame, slots: dict[str | None, int]) -> Model:
-    """docs: lang, text. (LANGUAGES + 1) * 2**20 entries at most come to the driver, counted first."""
-    grams = kneser_ney(stored(ngram_counts(docs, slots)))
-    rows = []
-    for k, slot in sorted((r["k"], r["slot"]) for r in grams.select("k", "slot").distinct().collect()):
-        t = grams.where((F.col("k") == k) & (F.col("slot") == slot)).select("code", "p", "backoff").toArrow().sort_by("code")
-        rows.append((k, slot, t["code"].to_numpy().astype(np.int64), t["p"].to_numpy(), t["backoff"].to_numpy()))
-    return Model(rows)
-
-
 def bands(perplexities: DataFrame, width: float = BAND) -> DataFrame:
     """slot, low, high: a language's least and greatest log-perplexity. perplexities: slot, logppl; null logppl doesn't count.
 
@@ -230,10 +107,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = BAND) -> DataFrame:
     """The input rows that ``quality`` keeps, with all their columns; repeated rows stay repeated."""
-    kept = quality(docs, id_col, text_col, lang_col, width).where("kept").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hash"))
-    row = F.xxhash64(F.col(f"`{lang_col}`").cast("string"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    keyed = docs.withColumn("__own", row)
-    return keyed.join(kept, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi").drop("__own")
+    own, theirs, row = free_names(docs, "own", "id", "row")
+    kept = quality(docs, id_col, text_col, lang_col, width).where("kept").select(F.col("doc_id").alias(theirs), F.col("__row").alias(row))
+    keyed = docs.withColumn(own, F.xxhash64(F.col(f"`{lang_col}`").cast("string"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return keyed.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(theirs)) & (F.col(own) == F.col(row)), "left_semi").drop(own)
 
 
 def perplexity(logppl: float) -> float:

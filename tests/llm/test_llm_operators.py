@@ -308,47 +308,6 @@ def test_rule_counts(docs, rows, none) -> None:
     assert kn_quality.keep_quality(docs).count() == got.where("kept").count()
 
 
-def test_kneser_ney_against_direct_counts(spark) -> None:
-    texts = [" ".join(r[1] for r in documents(s, 20) if r[1])[:4000] for s in (1, 2)]
-    model = kn_quality.fit(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), {"en": 0})
-    seqs = [[0] * 3 + [int(c) for c in kn_quality.BYTE_CLASS[np.frombuffer(t.encode(), np.uint8)]] for t in texts]
-    top = Counter(tuple(s[i : i + 4]) for s in seqs for i in range(len(s) - 3))
-    orders = {4: top}
-    for k in (3, 2, 1):
-        orders[k] = Counter(g[1:] for g in orders[k + 1])
-
-    def discounts(c):
-        n = Counter(c.values())
-        y = n[1] / max(n[1] + 2 * n[2], 1)
-        out = []
-        for i in (1, 2, 3):
-            d = i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0
-            out.append(d if 0 < d < i else 0.5)
-        return out
-
-    cut = {k: discounts(c) for k, c in orders.items()}
-
-    def p(gram):
-        k = len(gram)
-        if k == 0:
-            return 1 / kn_quality.CLASSES
-        near = {g: n for g, n in orders[k].items() if g[:-1] == gram[:-1]}
-        total = sum(near.values())
-        if not total:
-            return p(gram[1:])
-        d = lambda n: cut[k][min(n, 3) - 1]
-        own = near.get(gram, 0)
-        return (own - d(own) if own else 0) / total + sum(map(d, near.values())) / total * p(gram[1:])
-
-    table, rng = model.table(0), random.Random(1)
-    some = rng.sample(sorted(top), 40) + [tuple(rng.randrange(32) for _ in range(4)) for _ in range(40)]
-    for g in some:
-        code = (g[0] << 15) | (g[1] << 10) | (g[2] << 5) | g[3]
-        assert 10 ** table[code] == pytest.approx(p(g), rel=1e-4)
-    rows = 10 ** table.reshape(-1, kn_quality.CLASSES).astype(float)
-    assert rows.sum(axis=1) == pytest.approx(np.ones(len(rows)), abs=1e-3)
-
-
 # SimHash
 
 def fp(text: str | None) -> int:

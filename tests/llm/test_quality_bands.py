@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -11,14 +12,14 @@ from lotlens.llm import char_model, kn_quality
 from lotlens.llm.common import read
 
 
-def direct(texts: list[str]) -> dict[str, float]:
+def direct(texts: list[str], order: int = char_model.ORDER) -> dict[str, float]:
     """Interpolated probability of each n-gram's last character, by definition."""
-    padded = [" " * 5 + t for t in texts]
-    orders = {6: Counter(t[i : i + 6] for t in padded for i in range(len(t) - 5))}
-    for k in range(5, 0, -1):
+    padded = [" " * (order - 1) + t for t in texts]
+    orders = {order: Counter(t[i : i + order] for t in padded for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
         orders[k] = Counter(g[1:] for g in orders[k + 1])
     lower: dict[str, float] = {}
-    for k in range(1, 7):
+    for k in range(1, order + 1):
         n = Counter(orders[k].values())
         y, cut = n[1] / max(n[1] + 2 * n[2], 1), []
         for i in (1, 2, 3):
@@ -38,9 +39,27 @@ def test_character_model_against_direct_counts(spark) -> None:
     rows = [(lang, t) for lang, ts in texts.items() for t in ts]
     got = char_model.probabilities(char_model.stored(char_model.ngram_counts(spark.createDataFrame(rows, "lang string, text string")))).collect()
     for lang, ts in texts.items():
-        wanted = direct(ts)
-        found = {"".join(chr(x >> s & (1 << 21) - 1) for x in (r["a"], r["b"]) for s in (42, 21, 0)): r["p"] for r in got if r["slot"] == char_model.slot(lang)}
-        assert found == pytest.approx(wanted, rel=1e-9)
+        found = {"".join(chr(r["gram"] >> s & (1 << 21) - 1) for s in (42, 21, 0)): r["p"] for r in got if r["slot"] == char_model.slot(lang)}
+        assert found == pytest.approx(direct(ts), rel=1e-9)
+
+
+def test_verdict_against_direct_bands(spark, sf_dir) -> None:
+    docs = read(spark, sf_dir, "documents")
+    got = {r["doc_id"]: r for r in kn_quality.quality(docs).collect()}
+    by_lang = defaultdict(list)
+    for r in docs.collect():
+        by_lang[r["lang"]].append((r["doc_id"], r["text"] or ""))
+    for some in by_lang.values():
+        p = direct([t for _, t in some])
+        scores = {i: -sum(math.log10(p[padded[k : k + 3]]) for k in range(len(t))) / len(t) for i, t in some if t for padded in ["  " + t]}
+        bins = sorted(math.floor(round(x, 9) / kn_quality.BIN) for x in scores.values())
+        q1, mid, q3 = (bins[math.ceil(len(bins) * x) - 1] * kn_quality.BIN for x in (0.25, 0.5, 0.75))
+        low = mid - kn_quality.BAND * max(mid - q1, kn_quality.LEAST_SPREAD)
+        high = mid + kn_quality.BAND * max(q3 - mid, kn_quality.LEAST_SPREAD) + kn_quality.BIN
+        for i, x in scores.items():
+            assert got[i]["logppl"] == pytest.approx(x, abs=1e-8)
+            assert (got[i]["low"], got[i]["high"]) == pytest.approx((low, high), abs=1e-6)
+            assert got[i]["kept"] == (not got[i]["base_failed"] and low - 1e-7 <= x <= high + 1e-7)
 
 
 def test_rare_ngrams_score_as_frequent_ones_do(spark, sf_dir, monkeypatch) -> None:
