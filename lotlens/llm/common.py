@@ -33,17 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write to a new table in the shared folder and read it back: cuts the lineage, and survives lost executors.
 
-    What was shuffled for the table goes when it is written.
+    What was shuffled for the table goes when it is written. by: columns that part the table's files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lotlens-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,25 +3,24 @@
 A window of W symbols is routed by its seed: the least hash among its k-grams.
 Equal windows have equal seeds, so windows with different seeds need no
 comparison. Windows next to each other mostly share their seed; a run of them is
-a segment, about one for every (W - k) / 2 symbols.
-
-1. ``candidates``: one shuffle of segments by seed finds those whose seed stands
-   elsewhere too. Seeds that a batch of documents repeats are known already, so
-   only their first segment is routed by seed: a seed that a third of all
-   documents hold brings a few rows a batch to one place.
-2. ``occurrences``: the candidate segments again, now with their text. A batch
-   holds each different text once, with what its own occurrences add up to, so
-   copies meet before anything is shuffled or compared.
-3. ``judged``: texts go by seed, in bundles of bounded size, to a comparison of
-   the different ones. A seed with many texts is cut into pieces by where its
-   windows hold the seed; a piece is routed by the hash of the symbols that all
-   its windows share. Pieces that still meet in large groups are cut into single
-   windows, which only meet equals.
-4. ``spans``: the windows found, as ranges of each document's symbols.
-
-Hashes only bring windows together: that two texts are equal is told by two
-64-bit hashes, of seed and text; different ones are compared by the operator's
-own method.
+a segment, about one for every (W - k) / 2 symbols, and the symbols that its
+windows cover are its text.
+
+1. ``seeded``: every segment goes to its seed, with a hash of its text. Where a
+   batch of documents repeats a seed, only one row for each different text goes;
+   the others wait, dealt by their place, so that a seed that a third of all
+   documents hold brings a few rows a batch to one task.
+2. ``met``: a seed whose segments all have one text needs no comparison: whole
+   texts are equal there, which two 64-bit hashes tell, of seed and text. The
+   texts of all other repeated seeds are to be compared, each different one once.
+3. ``contents``: the text of one segment for each of these is cut from its document.
+4. ``judged``: texts go by seed, in bundles of bounded size, to the operator's own
+   comparison, which alone tells which windows of different texts are equal. A
+   seed with more than WIDE texts, which would outgrow a task, is cut into pieces
+   by where its windows hold the seed; a piece goes by the symbols that all its
+   windows share.
+5. ``spans``: what was found, joined to all segments of these texts, as ranges of
+   each document's symbols.
 """
 
 from __future__ import annotations
@@ -37,18 +36,23 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Windows of a segment at most; texts of a seed above which it is cut; bytes of a bundle; segments that a task gathers before it sends them on.
-LONGEST, WIDE, BUNDLE, SENT = 64, 400, 64_000, 100_000
+#: Texts of a seed above which it is cut; bytes of a bundle; segments that a task gathers before it sends them on; symbols that are hashed at a time.
+WIDE, BUNDLE, SENT, SLICE = 20_000, 128_000, 1_000_000, 1_000_000
 _NULL_ID = 2**63 - 1
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Kinds of rows: a segment, one that stands for several of its batch, one of those that wait; a text to compare, a seed's only text.
+_ONE, _SUMMARY, _WAITING, _TEXT, _ONLY, _GONE = range(6)
 
 
 @dataclass(frozen=True)
 class Symbols:
-    """window, k: in symbols. split: text -> (hash of each symbol, text of the symbols from a to b)."""
+    """window, k: in symbols. hashed: texts -> (hashes of all symbols, symbols of each text). cut: (text, from, to) -> those symbols' text, for each range."""
 
     window: int
     k: int
-    split: Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
+    hashed: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
     #: Whether a second place in the same document counts.
     same_document: bool
     #: How many places of the seed a piece of a large group takes, and a piece of a piece; the last is 1.
@@ -60,84 +64,197 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k symbols from each place on, by doubling."""
-    size = len(symbols) - k + 1
-    if size <= 0:
-        return symbols[:0]
-    power, span, done, out = symbols, 1, 0, None
-    while True:
-        if k & span:
-            part = power[done : done + size]
-            out = part if out is None else _mix(out * np.uint64(0xD6E8FEB86659FD93) + part)
-            done += span
-        if done == k:
-            return _mix(out)
-        power = _mix(power[:-span] * np.uint64(0xCA5A826395121157) + power[span:])
-        span *= 2
+class Grams:
+    """Hashes of any run of symbols: polynomials modulo 2**64, from prefix sums."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        size = len(symbols)
+        powers = np.full(size + 1, _BASE)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        self.sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(symbols * powers[:-1], out=self.sums[1:])
+        self.back = np.full(size + 1, _UNBASE)
+        self.back[0] = 1
+        np.cumprod(self.back, out=self.back)
+
+    def all(self, k: int) -> np.ndarray:
+        """Of the k symbols from each place on."""
+        size = len(self.sums) - k
+        return _mix((self.sums[k:] - self.sums[:size]) * self.back[:size]) if size > 0 else self.sums[:0]
 
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64) * _BASE)
 
-def segments(symbols: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """seed, start and number of windows of each segment."""
-    low, span, width = gram_hashes(symbols, k), 1, window - k + 1
+
+def segments(grams: Grams, sizes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """seed, text number, start in the text and number of windows of each segment. sizes: symbols of each text, which stand one behind another."""
+    low, span, width = grams.all(k), 1, window - k + 1
     if len(low) < width:
-        return low[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return low[:0], *np.zeros((3, 0), np.int64)
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    rest = width - span
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    if rest := width - span:
+        low = np.minimum(low[:-rest], low[rest:])
+    begin = np.cumsum(sizes) - sizes
+    long = np.flatnonzero(sizes >= window)
+    opens = np.concatenate(([True], low[1:] != low[:-1]))
+    opens[begin[long]] = True
+    ends = begin[long] + sizes[long] - window + 1  # behind the last window of each text
+    opens[ends[ends < len(opens)]] = True
+    start = np.flatnonzero(opens)
     n = np.diff(np.append(start, len(low)))
-    if n.max() > LONGEST:  # periodic text
-        pieces = -(-n // LONGEST)
+    owner = np.searchsorted(begin + sizes, start, side="right")  # the text that the place is in
+    inside = start + window <= (begin + sizes)[np.minimum(owner, len(sizes) - 1)]
+    inside &= owner < len(sizes)
+    start, n, owner = start[inside], n[inside], owner[inside]
+    if len(n) and n.max() > window:  # periodic text
+        pieces = -(-n // window)
         which = np.repeat(np.arange(len(n)), pieces)
-        offset = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
-        start, n = start[which] + offset, np.minimum(n[which] - offset, LONGEST)
-    return low[start], start, n
+        offset = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+        start, n, owner = start[which] + offset, np.minimum(n[which] - offset, window), owner[which]
+    return low[start], owner, start - begin[owner], n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, r (hash of both), text; null text as empty. Rows equal in both share r: their windows are the same places' twice."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("r"), "text")
+    """doc_id, text -> doc_id, r, text; null text as empty, a null id as the largest long. Rows that share an id are told apart by r, a hash of
+    their text, which is 0 where ids don't repeat. Rows equal in both share r: their windows are the same places' twice."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    again = stored(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("r"), "text")
+    return rows.join(again.withColumn("several", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).alias("r"), "text")
+
+
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded size together; a longer text stands alone."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SLICE:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    yield at, len(texts)
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def seeded(rows: DataFrame, symbols: Symbols) -> DataFrame:
+    """seed, salt, cid (hash of the text), doc_id, r, at (start, n windows, whether the document holds the seed twice, kind), weight: the segments. rows: ``keyed``."""
+    twice = symbols.same_document
+
+    def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        seed, cid, doc, r, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(seed, kind="stable")
+        new = np.concatenate(([True], seed[order][1:] != seed[order][:-1]))
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        if twice:
+            several = np.bincount(group) > 1
+        else:
+            several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+        some = order[several[group]]
+        some = some[np.lexsort((doc[some], cid[some], seed[some]))]
+        salt, weight = np.zeros(len(seed), np.int64), np.ones(len(seed), np.int64)
+        salt[some] = 1 + np.arange(len(some)) % 4096
+        at[some] |= _WAITING
+        if len(some):
+            lead = np.flatnonzero(np.concatenate(([True], (seed[some][1:] != seed[some][:-1]) | (cid[some][1:] != cid[some][:-1]))))
+            count = np.diff(np.append(lead, len(some)))
+            lead = some[lead]
+            seed, cid, doc, r = (np.concatenate((x, x[lead])) for x in (seed, cid, doc, r))
+            at = np.concatenate((at, at[lead] & ~3 | _SUMMARY))
+            salt, weight = np.concatenate((salt, np.zeros(len(lead), np.int64))), np.concatenate((weight, count))
+        columns = [seed.view(np.int64), salt, cid.view(np.int64), doc, r, at, weight]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["seed", "salt", "cid", "doc_id", "r", "at", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            texts, ids, own = _bytes(b.column("text")), b.column("doc_id").to_numpy(), b.column("r").to_numpy()
+            for lo, hi in _slices(texts):
+                hashes, sizes = symbols.hashed(texts[lo:hi])
+                grams = Grams(hashes)
+                seed, owner, start, n = segments(grams, sizes, symbols.window, symbols.k)
+                if not len(seed):
+                    continue
+                place = start + (np.cumsum(sizes) - sizes)[owner]
+                again = np.zeros(len(seed), np.int64)
+                if twice:  # windows of one segment may be equal where its seed stands twice
+                    every = np.sort(grams.all(symbols.k))
+                    again = np.isin(seed, every[1:][every[1:] == every[:-1]]).astype(np.int64)
+                held.append((seed, grams.of(place, place + n + symbols.window - 1), ids[lo:hi][owner], own[lo:hi][owner], start << 10 | n << 3 | again << 2))
+                size += len(seed)
+                if size > SENT:
+                    yield sent(held)
+                    held, size = [], 0
+        if held:
+            yield sent(held)
+
+    return rows.mapInArrow(run, "seed long, salt long, cid long, doc_id long, r long, at long, weight long")
+
+
+_MET = "kind int, seed long, cid long, doc_id long, r long, at long, weight long, least long"
 
 
-def candidates(rows: DataFrame, symbols: Symbols) -> DataFrame:
-    """doc_id, starts: of the segments whose seed stands elsewhere too; rows that share an id share their starts. rows: ``keyed``; doc_id is a long."""
+def met(found: DataFrame, symbols: Symbols) -> DataFrame:
+    """kind, seed, cid, doc_id, r, at, weight, least. Of repeated seeds: segments that go or wait, the texts to compare, and texts that are their seed's only one."""
+    twice = symbols.same_document
+
+    def told(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        seed, cid, doc, r, at, weight = rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        waits = at & 3 == _WAITING
+        out = [(_WAITING, np.flatnonzero(waits), doc)]
+        at_row = np.flatnonzero(~waits)
+        if len(at_row):
+            s, c, d = seed[at_row], cid[at_row], doc[at_row]
+            new = np.concatenate(([True], s[1:] != s[:-1]))
+            text = new | np.concatenate(([True], c[1:] != c[:-1]))
+            first, group, lead = np.flatnonzero(new), np.cumsum(new) - 1, np.flatnonzero(text)
+            least = np.minimum.reduceat(d, first)
+            any_of = lambda x: np.logical_or.reduceat(x, first)
+            summary, inner = any_of(at[at_row] & 3 == _SUMMARY), any_of(at[at_row] & 4 > 0)
+            if twice:
+                repeated = (np.add.reduceat(weight[at_row], first) > 1) | inner
+            else:
+                repeated = (least != np.maximum.reduceat(d, first)) | summary
+            several = repeated & ((np.bincount(group[lead]) > 1) | inner)
+            only = repeated & ~several
+            plain = at[at_row] & 3 == _ONE
+            out.append((_GONE, at_row[plain & only[group] & (twice | (d > least[group]))], doc))
+            out.append((_ONE, at_row[plain & several[group]], doc))
+            total, lowest = weight.copy(), doc.copy()
+            total[at_row[lead]] = np.add.reduceat(weight[at_row], lead)
+            lowest[at_row[lead]] = np.minimum.reduceat(d, lead)
+            rows[5] = total
+            out.append((_TEXT, at_row[lead[several[group[lead]]]], lowest))
+            out.append((_ONLY, at_row[lead[(only & summary)[group[lead]]]], lowest))
+        kind = np.concatenate([np.full(len(i), k, np.int32) for k, i, _ in out])
+        index = np.concatenate([i for _, i, _ in out])
+        columns = [pa.array(kind), *[pa.array(x[index], pa.int64()) for x in rows], pa.array(np.concatenate([x[i] for _, i, x in out]), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "seed", "cid", "doc_id", "r", "at", "weight", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            seeds, starts, sizes, twice = [], [], [], []
-            for t in b.column("text"):
-                hashes = symbols.split(t.as_py())[0]
-                seed, start, _ = segments(hashes, symbols.window, symbols.k)
-                seeds.append(seed), starts.append(start), sizes.append(len(seed))
-                if symbols.same_document:  # windows of one segment may be equal where its seed stands twice
-                    grams = np.sort(gram_hashes(hashes, symbols.k))
-                    twice.append(np.isin(seed, grams[1:][grams[1:] == grams[:-1]]))
-            if not sum(sizes):
+            if not b.num_rows:
                 continue
-            seed, start, doc = np.concatenate(seeds), np.concatenate(starts), np.repeat(np.arange(len(sizes)), sizes)
-            ids = b.column("doc_id").fill_null(_NULL_ID).to_numpy()[doc]
-            order = np.argsort(seed, kind="stable")
-            new = np.concatenate(([True], seed[order][1:] != seed[order][:-1]))
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            if symbols.same_document:
-                known = (np.bincount(group) > 1) | np.logical_or.reduceat(np.concatenate(twice)[order], first)
-            else:
-                known = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
-            known = known[group]
-            extra = known & ~new  # routed anywhere
-            key = np.where(extra, _mix(seed[order] + np.arange(len(order), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)), seed[order])
-            columns = [pa.array(key.view(np.int64), pa.int64()), pa.array(ids[order], pa.int64()), pa.array(start[order] * 2 + known, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "at"])
+            part = [b.column(c).to_numpy() for c in ("seed", "cid", "doc_id", "r", "at", "weight")]
+            cut = int(np.searchsorted(part[0], part[0][-1]))  # rows come sorted; the last seed may go on
+            if cut:
+                held.append(tuple(x[:cut] for x in part))
+                yield told(held)
+                held = []
+            elif held and held[-1][0][-1] != part[0][0]:
+                yield told(held)
+                held = []
+            held.append(tuple(x[cut:] for x in part))
+        if held:
+            yield told(held)
 
-    found = rows.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, at long")
-    elsewhere = "count(*) over (partition by key) > 1" if symbols.same_document else "min(doc_id) over (partition by key) <> max(doc_id) over (partition by key)"
-    told = found.selectExpr("doc_id", "at", f"{elsewhere} or max(at & 1) over (partition by key) = 1 as repeated").where("repeated or at % 2 = 1")
-    return told.groupBy("doc_id").agg(F.collect_set(F.shiftright("at", 1)).alias("starts"))
+    return found.repartition("seed", "salt").sortWithinPartitions("seed", "cid").mapInArrow(run, _MET)
 
 
 def _digest(content: bytes) -> int:
@@ -145,41 +262,26 @@ def _digest(content: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def occurrences(rows: DataFrame, found: DataFrame, symbols: Symbols) -> DataFrame:
-    """seed, cid (hash of the text), doc_id, r, start; and, where a batch has a text first, its content, n windows, weight (occurrences in the batch) and least (smallest doc_id of those)."""
+def contents(rows: DataFrame, texts: DataFrame, symbols: Symbols) -> DataFrame:
+    """seed, cid, content, n, weight, least of the texts of ``met``, cut from the document that each names."""
+    item = F.struct("seed", "cid", "at", "weight", "least")
+    wanted = texts.groupBy("doc_id", "r").agg(F.collect_list(item).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(b: pa.RecordBatch) -> pa.RecordBatch:
-            at = pa.array(docs, pa.int64())
-            columns = [pa.array(seeds, pa.int64()), pa.array(cids, pa.int64()), b.column("doc_id").take(at), b.column("r").take(at), pa.array(starts, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int64()), pa.array(least, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["seed", "cid", "doc_id", "r", "start", "content", "n", "weight", "least"])
-
-        first: dict[tuple[int, int], int] = {}
-        seeds, cids, starts, docs, contents, sizes, weights, least = gathered = [[] for _ in range(8)]
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for i, (t, wanted) in enumerate(zip(b.column("text"), b.column("starts"), strict=True)):
-                hashes, text = symbols.split(t.as_py())
-                seed, start, n = segments(hashes, symbols.window, symbols.k)
-                some = np.isin(start, wanted.values.to_numpy())
-                for s, a, m in zip(seed[some].view(np.int64).tolist(), start[some].tolist(), n[some].tolist(), strict=True):
-                    content = text(a, a + m + symbols.window - 1)
-                    cid = _digest(content)
-                    seeds.append(s), cids.append(cid), starts.append(a), docs.append(i)
-                    at = first.setdefault((s, cid), len(seeds) - 1)
-                    if at == len(seeds) - 1:
-                        contents.append(content), sizes.append(m), weights.append(1), least.append(ids[i])
-                    else:
-                        contents.append(None), sizes.append(None), weights.append(None), least.append(None)
-                        weights[at] += 1
-                        least[at] = min(least[at], ids[i])
-                if len(seeds) > SENT or i + 1 == b.num_rows:
-                    yield sent(b)
-                    for x in (first, *gathered):
-                        x.clear()
-
-    joined = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).join(found, "doc_id").select("doc_id", "r", "text", "starts")
-    return joined.mapInArrow(run, "seed long, cid long, doc_id long, r long, start long, content binary, n int, weight long, least long")
+            lists = b.column("wanted")
+            flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+            at = flat.field("at").to_numpy()
+            start, n = at >> 10, at >> 3 & 127
+            ranges = list(zip(start.tolist(), (start + n + symbols.window - 1).tolist(), strict=True))
+            parts, lo = [], 0
+            for text, hi in zip(_bytes(b.column("text")), ends.tolist(), strict=True):
+                parts += symbols.cut(text, ranges[lo:hi])
+                lo = hi
+            columns = [flat.field("seed"), flat.field("cid"), pa.array(parts, pa.binary()), pa.array(n.astype(np.int32)), flat.field("weight"), flat.field("least")]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "cid", "content", "n", "weight", "least"])
+
+    return rows.join(wanted, ["doc_id", "r"]).select("text", "wanted").mapInArrow(run, "seed long, cid long, content binary, n int, weight long, least long")
 
 
 @dataclass
@@ -187,6 +289,8 @@ class Bundle:
     """Different texts of some seeds: all texts of each."""
 
     seeds: np.ndarray
+    #: The hash of the k-gram that each text's windows hold.
+    keys: np.ndarray
     contents: list[bytes]
     #: Windows of each text.
     n: np.ndarray
@@ -201,36 +305,32 @@ _JUDGED = "seed long, cid long, ranges array<struct<a:int,b:int,value:long>>"
 
 def _bundles(texts: DataFrame, symbols: Symbols, judge: Judge) -> DataFrame:
     """seed, cid, ranges (a, b, value): the windows from a to b - 1 of a text have that value. One row per text, without
-    the ranges that remove nothing anywhere. texts: seed, cid, content, n, weight, least; a text may have several rows."""
+    the ranges that remove nothing anywhere. texts: seed, cid, content, n, weight, least, key; a text may have several equal rows."""
+    names = ("seed", "cid", "content", "n", "weight", "least", "key")
 
     def told(held: list[tuple]) -> pa.RecordBatch:
-        merged: dict[tuple[int, int], list] = {}
-        for seed, cid, content, n, weight, least in held:
-            one = merged.setdefault((seed, cid), [content, n, 0, least])
-            one[2] += weight
-            one[3] = min(one[3], least)
-        keys = np.array(list(merged), np.int64)
-        n = np.fromiter((x[1] for x in merged.values()), np.int64, len(merged))
-        bundle = Bundle(keys[:, 0], [x[0] for x in merged.values()], n, np.fromiter((x[2] for x in merged.values()), np.int64, len(merged)), np.fromiter((x[3] for x in merged.values()), np.int64, len(merged)))
-        values = judge(bundle)
+        merged = {(row[0], row[1]): row for row in held}
+        seed, cid, content, n, weight, least, key = zip(*merged.values(), strict=True)
+        seed, cid, n, weight, least, key = (np.array(x, np.int64) for x in (seed, cid, n, weight, least, key))
+        values = judge(Bundle(seed, key, list(content), n, weight, least))
         begin = np.cumsum(n) - n
         cut = np.concatenate(([True], values[1:] != values[:-1]))
         cut[begin] = True
         a = np.flatnonzero(cut)
         owner = np.repeat(np.arange(len(n)), n)[a]
         size = np.diff(np.append(a, len(values)))
-        useful = values[a] > 1 if symbols.same_document else (bundle.weight[owner] > 1) | (values[a] < bundle.least[owner])
+        useful = values[a] > 1 if symbols.same_document else (weight[owner] > 1) | (values[a] < least[owner])
         a, owner, size = a[useful], owner[useful], size[useful]
         own, each = np.unique(owner, return_counts=True)
         ranges = pa.StructArray.from_arrays([pa.array((a - begin[owner]).astype(np.int32)), pa.array((a - begin[owner] + size).astype(np.int32)), pa.array(values[a])], ["a", "b", "value"])
         listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), ranges)
-        return pa.RecordBatch.from_arrays([pa.array(keys[own, 0]), pa.array(keys[own, 1]), listed], ["seed", "cid", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array(seed[own]), pa.array(cid[own]), listed], ["seed", "cid", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("seed", "cid", "content", "n", "weight", "least")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 if size > BUNDLE and row[0] != held[-1][0]:
                     yield told(held)
                     held, size = [], 0
@@ -239,7 +339,13 @@ def _bundles(texts: DataFrame, symbols: Symbols, judge: Judge) -> DataFrame:
         if held:
             yield told(held)
 
-    return texts.select("seed", "cid", "content", "n", "weight", "least").repartition("seed").sortWithinPartitions("seed").mapInArrow(run, _JUDGED)
+    return texts.select(*names).repartition("seed").sortWithinPartitions("seed").mapInArrow(run, _JUDGED)
+
+
+def anchors(hashes: np.ndarray, k: int, key: int, n: int) -> np.ndarray:
+    """The first place of the key's k-gram in each of the n windows of a text."""
+    places = np.flatnonzero(Grams(hashes).all(k).view(np.int64) == key)
+    return places[np.searchsorted(places, np.arange(n))]
 
 
 def _cut(texts: DataFrame, symbols: Symbols, step: int) -> DataFrame:
@@ -251,15 +357,12 @@ def _cut(texts: DataFrame, symbols: Symbols, step: int) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in range(10)]
             for seed, cid, content, n, weight, least, key in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                hashes, text = symbols.split(content.decode("utf-8", "surrogateescape"))
-                places = np.flatnonzero(gram_hashes(hashes, k).view(np.int64) == key)
-                anchor = places[np.searchsorted(places, np.arange(n))]  # the seed's first place in each window
+                anchor = anchors(symbols.hashed([content])[0], k, key, n)
                 part = (anchor - np.arange(n)) // step
                 edges = np.concatenate(([0], np.flatnonzero((part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1])) + 1, [n])).tolist()
                 for lo, hi in zip(edges, edges[1:], strict=False):
                     p, q = int(anchor[lo]), int(part[lo])
-                    core = text(p - q * step, p - (q + 1) * step + 1 + w)
-                    piece = text(lo, hi - 1 + w)
+                    core, piece = symbols.cut(content, [(p - q * step, p - (q + 1) * step + 1 + w), (lo, hi - 1 + w)])
                     wseed = _digest(b"%d %d %d " % (key, step, q) + core)
                     for column, x in zip(out, (wseed, _digest(piece), piece, hi - lo, weight, least, seed, cid, lo, key), strict=True):
                         column.append(x)
@@ -273,40 +376,36 @@ def judged(texts: DataFrame, symbols: Symbols, judge: Judge, wide: int = WIDE, s
     """seed, cid, ranges, one row per text at most. texts: stored seed, cid, content, n, weight, least, and key, the hash of the k-gram that is the seed."""
     steps = symbols.pieces if steps is None else steps
     columns = ["seed", "cid", "content", "n", "weight", "least", "key"]
-    often = stored(texts.groupBy("seed").count().where(F.col("count") > wide).select("seed")) if steps else None
-    if often is None or often.isEmpty():
+    many = stored(texts.groupBy("seed").count().where(F.col("count") > wide).select("seed")) if steps else None
+    if many is None or many.isEmpty():
         return _bundles(texts, symbols, judge)
-    # The rows that tasks have sent for one text meet before anything is cut.
-    merged = stored(_summed(texts.join(often, "seed", "left_semi"), "seed", "cid").select(*columns))
-    many = stored(merged.groupBy("seed").count().where(F.col("count") > wide).select("seed"))
-    pieces = stored(_cut(merged.join(many, "seed", "left_semi"), symbols, steps[0]))
-    once = stored(_summed(pieces, "wseed", "wcid").withColumnsRenamed({"wseed": "seed", "wcid": "cid"}).select(*columns))
-    values = stored(judged(once, symbols, judge, wide, steps[1:])).withColumnsRenamed({"seed": "wseed", "cid": "wcid"})
+    pieces = stored(_cut(texts.join(many, "seed", "left_semi"), symbols, steps[0]))
+    once = pieces.groupBy("wseed", "wcid").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.first("key").alias("key"))
+    values = stored(judged(stored(once.withColumnsRenamed({"wseed": "seed", "wcid": "cid"}).select(*columns)), symbols, judge, wide, steps[1:])).withColumnsRenamed({"seed": "wseed", "cid": "wcid"})
     moved = F.transform("ranges", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["b"] + F.col("at")).alias("b"), x["value"].alias("value")))
     back = pieces.select("wseed", "wcid", "seed", "cid", "at").join(values, ["wseed", "wcid"]).select("seed", "cid", moved.alias("ranges")).groupBy("seed", "cid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    few = texts.join(often, "seed", "left_anti").select(*columns).unionByName(merged.join(many, "seed", "left_anti").select(*columns))
-    return _bundles(few, symbols, judge).unionByName(back)
-
-
-def _summed(texts: DataFrame, *keys: str) -> DataFrame:
-    return texts.groupBy(*keys).agg(F.first("content").alias("content"), F.first("n").alias("n"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.first("key").alias("key"))
+    return _bundles(texts.join(many, "seed", "left_anti").select(*columns), symbols, judge).unionByName(back)
 
 
 def spans(rows: DataFrame, symbols: Symbols, judge: Judge, removes: Callable[[Column], Column], wide: int = WIDE) -> DataFrame:
-    """doc_id, r, spans: ranges of windows (from * 2**32 + to) for whose value ``removes`` holds. A null doc_id comes back as the largest long."""
-    occ = stored(occurrences(rows, stored(candidates(rows, symbols)), symbols))
-    texts = occ.where("content is not null").select("seed", "cid", "content", "n", "weight", "least", F.col("seed").alias("key"))
-    values = stored(judged(texts, symbols, judge, wide))
-    hit = occ.select("seed", "cid", "doc_id", "r", "start").join(values, ["seed", "cid"])
+    """doc_id, r, spans: ranges of windows (from * 2**32 + to) for whose value ``removes`` holds. rows: ``keyed``."""
+    found = stored(met(seeded(rows, symbols), symbols), "kind")
+    of = lambda *kinds: found.where(F.col("kind").isin(*kinds))
+    texts = stored(contents(rows, of(_TEXT), symbols).withColumn("key", F.col("seed")))
+    start, n = F.shiftright("at", 10), F.shiftright("at", 3).bitwiseAND(F.lit(127))
+    value = F.lit(2).cast("long") if symbols.same_document else F.col("least")
+    only = of(_ONLY).select("seed", "cid", F.array(F.struct(F.lit(0).alias("a"), n.cast("int").alias("b"), value.alias("value"))).alias("ranges"))
+    values = stored(judged(texts, symbols, judge, wide).unionByName(only))
+    hit = of(_ONE, _WAITING).select("seed", "cid", "doc_id", "r", start.alias("start")).join(values, ["seed", "cid"])
     own = F.transform(F.filter("ranges", lambda x: removes(x["value"])), lambda x: F.shiftleft(F.col("start") + x["a"], 32) + F.col("start") + x["b"])
-    return stored(hit.select("doc_id", "r", own.alias("own")).where(F.size("own") > 0).groupBy("doc_id", "r").agg(F.flatten(F.collect_set("own")).alias("spans")))
+    compared = hit.select("doc_id", "r", own.alias("own")).where(F.size("own") > 0)
+    gone = of(_GONE).select("doc_id", "r", F.array(F.shiftleft(start, 32) + start + n).alias("own"))
+    return stored(compared.unionByName(gone).groupBy("doc_id", "r").agg(F.flatten(F.collect_list("own")).alias("spans")))
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows and their spans; null where a row has none."""
-    marked = rows.withColumn("__id", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    found = found.withColumnsRenamed({"doc_id": "__id"})
-    return marked.join(found, ["__id", "r"], "left").select("doc_id", "text", "spans")
+    """rows and their spans; null where a row has none. The largest long is a null id again."""
+    return rows.join(found, ["doc_id", "r"], "left").select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", "spans")
 
 
 def covered(size: int, ranges: np.ndarray, window: int) -> np.ndarray:

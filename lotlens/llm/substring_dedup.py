@@ -11,7 +11,8 @@ shard holds, and the state of its last W words tells how often they occur.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,16 @@ from .repeats import Bundle, Symbols, covered, keyed, spans, with_spans
 WINDOW, GRAM = 35, 8
 
 
-def split_words(text: str) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
-    words = text.encode("utf-8", "surrogateescape").split()
-    digest, known = xxhash.xxh3_64_intdigest, {}
-    hashes = np.fromiter((known[w] if w in known else known.setdefault(w, digest(w)) for w in words), np.uint64, len(words))
-    return hashes, lambda a, b: b" ".join(words[a:b])
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    split = [t.split() for t in texts]
+    digest = {w: xxhash.xxh3_64_intdigest(w) for w in set(chain.from_iterable(split))}
+    sizes = np.array([len(x) for x in split], np.int64)
+    return np.fromiter(map(digest.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum())), sizes
+
+
+def _cut(text: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
+    words = text.split()
+    return [b" ".join(words[a:b]) for a, b in ranges]
 
 
 class SuffixAutomaton:
@@ -112,7 +118,7 @@ def judge(bundle: Bundle) -> np.ndarray:
     return np.minimum(counts, 2)
 
 
-SYMBOLS = Symbols(WINDOW, GRAM, split_words, same_document=True, pieces=(7, 1))
+SYMBOLS = Symbols(WINDOW, GRAM, hashed_words, _cut, same_document=True, pieces=(7, 1))
 
 
 def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None, digests: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ places the suffixes whose Lyndon prefix ends where it begins.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain
-from .repeats import Bundle, Symbols, covered, gram_hashes, keyed, spans, with_spans
+from .repeats import Bundle, Grams, Symbols, covered, keyed, spans, with_spans
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 _rng = np.random.default_rng(50)
 BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def split_bytes(text: str) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
-    data = text.encode("utf-8", "surrogateescape")
-    return BYTE_HASH[np.frombuffer(data, np.uint8)], lambda a, b: data[a:b]
+def hashed_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return BYTE_HASH[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -103,68 +102,82 @@ def suffix_array(s: list[int]) -> list[int]:
     return out[1:]
 
 
+def _order(right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the records' right contexts, and of their left ones, from one suffix array over words of 8 bytes.
+
+    right, left: a row of words per record. In the text each context stands behind a mark, which is less than all words.
+    """
+    words, names = np.unique(np.concatenate((right, left)), return_inverse=True)
+    names = names.reshape(2 * len(right), -1) + 1
+    width = names.shape[1] + 1
+    text = np.concatenate((names, np.zeros((len(names), 1), names.dtype)), axis=1).reshape(-1)
+    array = np.array(suffix_array(text.tolist()), np.int64)
+    record = array[array % width == 0] // width
+    return record[record < len(right)], record[record >= len(right)] - len(right)
+
+
+def _common(order: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """How many bytes each context in the order shares with the one before it; -1 for the first."""
+    ordered = contexts[order]
+    differ = ordered[1:] != ordered[:-1]
+    return np.concatenate(([-1], np.where(differ.any(axis=1), differ.argmax(axis=1), contexts.shape[1])))
+
+
 def judge(bundle: Bundle) -> np.ndarray:
     """Per window the smallest doc_id that holds it.
 
-    A seed with one text needs no order: it is its copies that share it. Of the others, windows whose hash no
-    second text of the bundle has are that text's alone; the stretches that remain, each different one once, are
-    put into one text with marks between them, whose suffixes are sorted. Suffixes that begin with the same
-    window stand next to each other.
+    A record is a place of the seed in a text, with up to WINDOW - GRAM bytes to its right, and as many to its left, read
+    backward. A window holds d bytes of the right context and WINDOW - GRAM - d of the left one. In the suffix array
+    contexts that share d bytes stand next to each other, so windows are equal if no neighbour with fewer common bytes
+    parts them, on both sides.
     """
+    reach, words = WINDOW - GRAM, -(-(WINDOW - GRAM) // 8)
+    size = 8 * words
+    data = np.frombuffer(b"".join(bundle.contents), np.uint8)
+    lengths = bundle.n + WINDOW - 1
+    begin = np.cumsum(lengths) - lengths
+    flat = np.cumsum(bundle.n) - bundle.n
+    # Places of each text's seed, in all texts at once: no gram crosses a border.
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    hit = np.flatnonzero(Grams(BYTE_HASH[data]).all(GRAM).view(np.int64) == bundle.keys[owner[: len(data) - GRAM + 1]])
+    of = owner[hit]
+    place = hit - begin[of]
+    inside = place + GRAM <= lengths[of]
+    of, place = of[inside], place[inside]
+    # A window belongs to the first place of the seed in it.
+    before = np.where(np.concatenate(([True], of[1:] != of[:-1])), -1, np.concatenate(([-1], place[:-1])))
+    lo, hi = np.maximum(before + 1, place - reach), np.minimum(place, bundle.n[of] - 1)
+    span = np.arange(size)
+    to_right = place[:, None] + GRAM + span
+    to_left = place[:, None] - 1 - span
+    right = np.where((to_right < lengths[of][:, None]) & (span < reach), data[np.minimum(begin[of][:, None] + to_right, len(data) - 1)], 0).astype(np.uint8)
+    left = np.where((to_left >= 0) & (span < reach), data[np.maximum(begin[of][:, None] + to_left, 0)], 0).astype(np.uint8)
+    by_right, by_left = _order(right.view(">u8").astype(np.uint64), left.view(">u8").astype(np.uint64))
+    common_right, common_left = _common(by_right, right), _common(by_left, left)
+    _, seed = np.unique(bundle.seeds, return_inverse=True)
     values = np.repeat(bundle.least, bundle.n)
-    _, group, size = np.unique(bundle.seeds, return_inverse=True, return_counts=True)
-    texts = np.flatnonzero(size[group] > 1)
-    if not len(texts):
-        return values
-    n, begin = bundle.n[texts], (np.cumsum(bundle.n) - bundle.n)[texts]
-    joined = b"".join([bundle.contents[i] for i in texts.tolist()])
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # place of each window in its text
-    at = inside + np.repeat(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1), n)
-    hashes = gram_hashes(BYTE_HASH[np.frombuffer(joined, np.uint8)], WINDOW)[at]
-    _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    shared = count[which] > 1
-    opens = shared & np.concatenate(([True], ~shared[:-1] | (inside[1:] == 0)))
-    closes = shared & np.concatenate((~shared[1:] | (inside[1:] == 0), [True]))
-    firsts, lasts = np.flatnonzero(opens), np.flatnonzero(closes)
-    if not len(firsts):
-        return values
-    flat = inside + np.repeat(begin, n)  # place of each window among all
-    stretches: dict[bytes, list[tuple[int, int]]] = {}  # text -> where its windows stand
-    for a, b, lo, hi in zip(at[firsts].tolist(), at[lasts].tolist(), flat[firsts].tolist(), flat[lasts].tolist(), strict=True):
-        stretches.setdefault(joined[a : b + WINDOW], []).append((lo, hi + 1))
-    least = [min(int(values[lo]) for lo, _ in places) for places in stretches.values()]
-    order = [c + 1 for text in stretches for c in (*text, -1)]
-    lengths = np.array([len(text) + 1 for text in stretches])
-    owner = np.repeat(np.arange(len(lengths)), lengths).tolist()
-    offset = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).tolist()
-    room = np.repeat(lengths - WINDOW, lengths).tolist()  # windows of the stretch
-    data = b"\0".join(stretches) + b"\0"
-    found = [[low] * (size - WINDOW) for low, size in zip(least, lengths.tolist(), strict=True)]
-    run: list[int] = []
-    before: bytes | None = b""
-
-    def close() -> None:
-        if len(run) > 1:
-            low = min(least[owner[x]] for x in run)
-            for x in run:
-                found[owner[x]][offset[x]] = low
-
-    for x in suffix_array(order):
-        if offset[x] >= room[x]:
+    rank = np.empty((2, len(of)), np.int64)
+    for d in range(reach + 1):
+        at = place - (reach - d)
+        some = np.flatnonzero((at >= lo) & (at <= hi))
+        if not len(some):
             continue
-        window = data[x : x + WINDOW]
-        if window != before:
-            close()
-            run, before = [], window
-        run.append(x)
-    close()
-    for own, places in zip(found, stretches.values(), strict=True):
-        for lo, hi in places:
-            values[lo:hi] = own
+        rank[0, by_right] = np.cumsum(common_right < d)
+        rank[1, by_left] = np.cumsum(common_left < reach - d)
+        r, x, s = rank[0, some], rank[1, some], seed[of[some]]
+        order = np.lexsort((s, x, r))
+        r, x, s = r[order], x[order], s[order]
+        first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1]))))
+        low = np.minimum.reduceat(bundle.least[of[some[order]]], first)
+        values[(flat[of] + at)[some[order]]] = np.repeat(low, np.diff(np.append(first, len(order))))
     return values
 
 
-SYMBOLS = Symbols(WINDOW, GRAM, split_bytes, same_document=False)
+def _cut(data: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
+    return [data[a:b] for a, b in ranges]
+
+
+SYMBOLS = Symbols(WINDOW, GRAM, hashed_bytes, _cut, same_document=False)
 
 
 def byte_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None, digests: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lotlens.llm import class_lm, common, components, exact_dedup, kn_quality, mixing, nbest, queries, simhash_bk, substring_dedup, suffix_array, token_counts, toxicity
-from lotlens.llm.repeats import gram_hashes, segments
+from lotlens.llm.repeats import Grams, segments
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, h int, seed string"
@@ -206,10 +206,13 @@ def test_equal_windows_have_equal_seeds() -> None:
     rng = np.random.default_rng(1)
     s = rng.integers(0, 2**63, 400, dtype=np.uint64)
     two = np.concatenate([s[:150], s[37:97], s[200:]])
-    seeds = lambda x: {p + i: v for v, p, n in zip(*(a.tolist() for a in segments(x, 20, 6)), strict=True) for i in range(n)}
-    a, b = seeds(s), seeds(two)
-    assert len(a) == 381 and all(b[150 + i] == a[37 + i] for i in range(41))
-    assert len(gram_hashes(s[:5], 6)) == 0
+    both = np.concatenate([s, s[:3], two, s[:0], s[:20]])
+    seeds: dict = defaultdict(dict)
+    for v, t, p, n in zip(*(x.tolist() for x in segments(Grams(both), np.array([400, 3, len(two), 0, 20]), 20, 6)), strict=True):
+        seeds[t] |= {p + i: v for i in range(n)}
+    assert {t: sorted(x) for t, x in seeds.items()} == {0: list(range(381)), 2: list(range(len(two) - 19)), 4: [0]}
+    assert all(seeds[2][150 + i] == seeds[0][37 + i] for i in range(41)) and seeds[4][0] == seeds[0][0]
+    assert len(segments(Grams(s[:5]), np.array([5]), 6, 6)[0]) == 0
 
 
 # Mixing
