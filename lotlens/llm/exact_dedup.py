@@ -1,10 +1,10 @@
 """Exact deduplication by deterministic block naming, in DataFrame operations only.
 
-Texts are cut into blocks of fixed size. The distinct blocks are sorted, and
-their places in that order are their integer names. Adjacent names of a
-document are paired, the distinct pairs are sorted and named in the same way,
-and so on until each document has one name; ``(levels, name)`` is equal for two
-documents if and only if their blocks are.
+Texts are cut into blocks of fixed size. The distinct blocks are sorted by hash
+and text, and named by integers that increase along that order. Adjacent names
+of a document are paired, the distinct pairs are sorted and named in the same
+way, and so on until each document has one name; ``(levels, name)`` is equal for
+two documents if and only if their blocks are.
 
 Only the naming of level 0 moves text: distinct blocks, combined before the
 shuffle. Documents find the name of a block by its 64-bit hash; hashes that
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, plain, stored
+from .common import SPACE, free_names, plain, stored
 
 BLOCK_CHARS = 4096
 _NONE = -(2**63)
@@ -31,16 +31,9 @@ def normalised(text: Column) -> Column:
 
 
 def _sorted_names(distinct: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
-    """Name each distinct key by its place in a partitioned sort."""
+    """Name each distinct key: names increase (with sign -1, decrease below zero) along the order of all keys, which are dealt out by ranges."""
     place = F.monotonically_increasing_id()
-    return distinct.sortWithinPartitions(*keys).select(*keys, (place if sign > 0 else -1 - place).alias("name"))
-
-
-def _block_names(rows: DataFrame, named_from: DataFrame) -> DataFrame:
-    """rows: doc_id, sha, n, pos, hb; named_from: hb, block. Returns doc_id, sha, n, pos, name."""
-    names = _sorted_names(named_from.select("hb", "block").distinct(), ["hb", "block"])
-    by_hash = stored(names.groupBy("hb").agg(F.min("name").alias("name"), F.count("*").alias("same")))
-    return by_hash, rows.join(by_hash.where("same = 1").drop("same"), "hb").select("doc_id", "sha", "n", "pos", "name")
+    return distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, (place if sign > 0 else -1 - place).alias("name"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, hash_mod: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +58,10 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(cut.select("doc_id", "sha", "n_chars", F.transform("blocks", hashed).alias("hashes")))
     blocks = cut.select(F.explode("blocks").alias("block")).select(hashed(F.col("block")).alias("hb"), "block")
     parts = rows.select("doc_id", "sha", F.size("hashes").cast("long").alias("n"), F.posexplode("hashes").alias("pos", "hb"))
-    by_hash, named = _block_names(parts, blocks)
+    by_hash = stored(blocks.distinct().groupBy("hb").agg(F.count("*").alias("same")))
     clash = by_hash.where("same > 1").select("hb")
+    # Of blocks whose hash no other block has, the hash alone gives the place.
+    named = parts.join(stored(_sorted_names(by_hash.where("same = 1").select("hb"), ["hb"])), "hb").select("doc_id", "sha", "n", "pos", "name")
     if not clash.isEmpty():
         exact = stored(_sorted_names(blocks.join(clash, "hb", "left_semi").distinct(), ["hb", "block"], -1))
         again = cut.select("doc_id", "sha", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("pos", "block")).withColumn("hb", hashed(F.col("block")))
@@ -113,8 +108,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns. Rows equal in doc_id, normalised text and length count as one row, of which any one stays."""
-    found = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), F.col("n_chars").alias("__n"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__key_sha": F.unhex(F.sha2(normalised(text), 256)), "__key_n": F.length(text).cast("long")})
-    kept = keyed.join(found, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key_sha") == F.col("__sha")) & (F.col("__key_n") == F.col("__n")), "left_semi")
-    return kept.dropDuplicates([id_col, "__key_sha", "__key_n"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    theirs, sha, n, own_sha, own_n = free_names(docs, "id", "sha", "n", "own_sha", "own_n")
+    found = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(theirs), F.unhex("text_sha256").alias(sha), F.col("n_chars").alias(n))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = docs.withColumns({own_sha: F.unhex(F.sha2(normalised(text), 256)), own_n: F.length(text).cast("long")})
+    kept = keyed.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(theirs)) & (F.col(own_sha) == F.col(sha)) & (F.col(own_n) == F.col(n)), "left_semi")
+    return kept.dropDuplicates([id_col, own_sha, own_n]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,7 +33,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__copies").alias("n_copies"), F.col("__order").alias("shuffle_key"), F.round("__rate", 6).alias("rate"), F.sha2(text, 256).alias("text_sha256"))
+    return mixed.select("doc_id", "source", F.col("__copy").cast("int").alias("copy"), F.col("__copies").cast("int").alias("n_copies"), F.col("__order").alias("shuffle_key"), F.round("__rate", 6).alias("rate"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

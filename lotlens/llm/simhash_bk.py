@@ -178,22 +178,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_fp = stored(placed.join(least, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.join(by_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
-
-
-def drop_simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The input rows, with all their columns, whose doc_id is the smallest of its group; of rows that repeat that doc_id any one.
-    Rows with a null id stay only where their whole group has null ids, and then one of them."""
-    groups = simhash_groups(docs, id_col, text_col, radius)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
-    named = docs.join(keep.where("__id is not null").select("__id").distinct(), F.col(f"`{id_col}`") == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    unnamed = docs.where(F.col(f"`{id_col}`").isNull())
-    lone = keep.where("__id is null").select("__fp")
-    if not lone.isEmpty():
-        hashed = _with_fp(unnamed, text_col)
-        named = named.unionByName(hashed.join(lone, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
-    return named
-
-
-def _with_fp(docs: DataFrame, text_col: str) -> DataFrame:
-    prints = F.pandas_udf(lambda s: s.map(lambda t: f"{fingerprint(t):016x}"), "string")
-    return docs.withColumn("__fp", prints(text_of(docs, text_col)))

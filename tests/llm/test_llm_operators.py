@@ -344,12 +344,6 @@ def test_simhash_groups(docs, rows, none, shard) -> None:
     assert simhash_bk.simhash_groups(none).count() == 0
 
 
-def test_dropping_simhash_duplicates(docs, rows) -> None:
-    got = simhash_bk.drop_simhash_duplicates(docs)
-    groups = {r["component_id"] for r in simhash_bk.simhash_groups(docs).collect()}
-    assert got.columns == docs.columns and sorted((r["doc_id"] for r in got.collect()), key=key) == sorted(groups, key=key)
-
-
 def test_bk_tree_finds_all_within() -> None:
     rng = random.Random(7)
     base = rng.getrandbits(64)
