@@ -43,6 +43,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Kinds of rows: a segment, one that stands for several of its batch, one of those that wait; a text to compare, a seed's only text.
 _ONE, _SUMMARY, _WAITING, _TEXT, _ONLY, _GONE = range(6)
+#: Where the weight stands in ``at``.
+_WEIGHT = 41
 
 
 @dataclass(frozen=True)
@@ -143,7 +145,11 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def seeded(rows: DataFrame, symbols: Symbols) -> DataFrame:
-    """seed, salt, cid (hash of the text), doc_id, r, at (start, n windows, whether the document holds the seed twice, kind), weight: the segments. rows: ``keyed``."""
+    """seed, cid (hash of the text), doc_id, r, at: the segments. rows: ``keyed``.
+
+    at holds, from the highest bit: how many segments of its batch a row stands for, start, n windows (7 bits), whether
+    the document holds the seed twice (1), and kind (2).
+    """
     twice = symbols.same_document
 
     def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -157,8 +163,6 @@ def seeded(rows: DataFrame, symbols: Symbols) -> DataFrame:
             several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
         some = order[several[group]]
         some = some[np.lexsort((doc[some], cid[some], seed[some]))]
-        salt, weight = np.zeros(len(seed), np.int64), np.ones(len(seed), np.int64)
-        salt[some] = 1 + np.arange(len(some)) % 4096
         at[some] |= _WAITING
         if len(some):
             lead = np.flatnonzero(np.concatenate(([True], (seed[some][1:] != seed[some][:-1]) | (cid[some][1:] != cid[some][:-1]))))
@@ -166,9 +170,9 @@ def seeded(rows: DataFrame, symbols: Symbols) -> DataFrame:
             lead = some[lead]
             seed, cid, doc, r = (np.concatenate((x, x[lead])) for x in (seed, cid, doc, r))
             at = np.concatenate((at, at[lead] & ~3 | _SUMMARY))
-            salt, weight = np.concatenate((salt, np.zeros(len(lead), np.int64))), np.concatenate((weight, count))
-        columns = [seed.view(np.int64), salt, cid.view(np.int64), doc, r, at, weight]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["seed", "salt", "cid", "doc_id", "r", "at", "weight"])
+            at[-len(lead) :] += count - 1 << _WEIGHT
+        columns = [seed.view(np.int64), cid.view(np.int64), doc, r, at]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["seed", "cid", "doc_id", "r", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -185,7 +189,7 @@ def seeded(rows: DataFrame, symbols: Symbols) -> DataFrame:
                 if twice:  # windows of one segment may be equal where its seed stands twice
                     every = np.sort(grams.all(symbols.k))
                     again = np.isin(seed, every[1:][every[1:] == every[:-1]]).astype(np.int64)
-                held.append((seed, grams.of(place, place + n + symbols.window - 1), ids[lo:hi][owner], own[lo:hi][owner], start << 10 | n << 3 | again << 2))
+                held.append((seed, grams.of(place, place + n + symbols.window - 1), ids[lo:hi][owner], own[lo:hi][owner], 1 << _WEIGHT | start << 10 | n << 3 | again << 2))
                 size += len(seed)
                 if size > SENT:
                     yield sent(held)
@@ -193,7 +197,7 @@ def seeded(rows: DataFrame, symbols: Symbols) -> DataFrame:
         if held:
             yield sent(held)
 
-    return rows.mapInArrow(run, "seed long, salt long, cid long, doc_id long, r long, at long, weight long")
+    return rows.mapInArrow(run, "seed long, cid long, doc_id long, r long, at long")
 
 
 _MET = "kind int, seed long, cid long, doc_id long, r long, at long, weight long, least long"
@@ -204,7 +208,11 @@ def met(found: DataFrame, symbols: Symbols) -> DataFrame:
     twice = symbols.same_document
 
     def told(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        seed, cid, doc, r, at, weight = rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((rows[1], rows[0]))
+        seed, cid, doc, r, at = (x[order] for x in rows)
+        weight, at = at >> _WEIGHT, at & (1 << _WEIGHT) - 1
+        rows = [seed, cid, doc, r, at, weight]
         waits = at & 3 == _WAITING
         out = [(_WAITING, np.flatnonzero(waits), doc)]
         at_row = np.flatnonzero(~waits)
@@ -241,7 +249,7 @@ def met(found: DataFrame, symbols: Symbols) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            part = [b.column(c).to_numpy() for c in ("seed", "cid", "doc_id", "r", "at", "weight")]
+            part = [b.column(c).to_numpy() for c in ("seed", "cid", "doc_id", "r", "at")]
             cut = int(np.searchsorted(part[0], part[0][-1]))  # rows come sorted; the last seed may go on
             if cut:
                 held.append(tuple(x[:cut] for x in part))
@@ -254,7 +262,8 @@ def met(found: DataFrame, symbols: Symbols) -> DataFrame:
         if held:
             yield told(held)
 
-    return found.repartition("seed", "salt").sortWithinPartitions("seed", "cid").mapInArrow(run, _MET)
+    dealt = F.when(F.col("at").bitwiseAND(F.lit(3)) == _WAITING, F.xxhash64("doc_id", "at")).otherwise(F.col("seed"))
+    return found.repartition(dealt).sortWithinPartitions("seed").mapInArrow(run, _MET)
 
 
 def _digest(content: bytes) -> int:

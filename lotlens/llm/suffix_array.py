@@ -36,69 +36,80 @@ def suffix_array(s: list[int]) -> list[int]:
     """The starts of all suffixes of s, smallest suffix first."""
     size = len(s)
     # Groups are numbers; above and below link them by rank. Group 0 holds the end of the text, below all symbols.
-    members: list[list[int]] = [[size]]
-    below, above = [-1], [-1]
-    first: dict[int, int] = {}
-    for c in sorted(set(s)):
-        first[c] = len(members)
-        below.append(len(members) - 1)
-        above[-1] = len(members)
-        above.append(-1)
-        members.append([])
+    first = {c: g + 1 for g, c in enumerate(sorted(set(s)))}
+    count = len(first) + 1
+    below, above = list(range(-1, count - 1)), [*range(1, count), -1]
     group = [first[c] for c in s]
+    members: list[list[int]] = [[] for _ in range(count)]
+    members[0].append(size)
     for i, g in enumerate(group):
         members[g].append(i)
-    length = [1] * size
-    previous = [-1] * size
-    ready = [False] * len(members)
-    at = len(members) - 1
+    live = [len(m) for m in members]
+    length, previous, ready = [1] * size, [-1] * size, [False] * count
+
+    def raised(some: list[int], g: int) -> None:
+        """A new group right above g for some of its members."""
+        new, up = len(members), above[g]
+        members.append(some)
+        live.append(len(some))
+        ready.append(False)
+        below.append(g)
+        above.append(up)
+        above[g] = below[up] = new
+        live[g] -= len(some)
+        for p in some:
+            group[p] = new
+
+    at = count - 1
     while at > 0:
-        inside = [i for i in members[at] if group[i] == at]
-        inside.sort()
-        members[at] = inside
-        ready[at] = True
-        pointed: dict[int, int] = {}
-        for i in inside:
-            p = i - 1
-            while p >= 0 and ready[group[p]]:
-                p = previous[p]
-            previous[i] = p
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
+        if live[at]:
+            inside = members[at]
+            if live[at] != len(inside):
+                inside = [i for i in inside if group[i] == at]
+            inside.sort()
+            ready[at] = True
+            pointed: dict[int, int] = {}
+            for i in inside:
+                p = i - 1
+                while p >= 0 and ready[group[p]]:
+                    p = previous[p]
+                previous[i] = p
+                if p >= 0:
+                    pointed[p] = pointed.get(p, 0) + 1
             grown = length[inside[0]]
-            moved: dict[int, dict[int, list[int]]] = {}
-            for p, times in pointed.items():
-                moved.setdefault(times, {}).setdefault(group[p], []).append(p)
-            for times in sorted(moved, reverse=True):
-                for g, some in moved[times].items():
-                    new, up = len(members), above[g]
-                    members.append(some)
-                    ready.append(False)
-                    below.append(g)
-                    above.append(up)
-                    above[g] = new
-                    below[up] = new
-                    for p in some:
-                        group[p] = new
-                        length[p] += grown * times
+            if len(pointed) == 1:
+                for p, times in pointed.items():
+                    length[p] += grown * times
+                    if live[group[p]] > 1:  # alone it stays: there is nothing to move past
+                        raised([p], group[p])
+            elif pointed:
+                moved: dict[tuple[int, int], list[int]] = {}
+                for p, times in pointed.items():
+                    length[p] += grown * times
+                    moved.setdefault((-times, group[p]), []).append(p)
+                for (_, g), some in sorted(moved.items()):
+                    if len(some) < live[g]:
+                        raised(some, g)
         at = below[at]
     place, free = 0, [0] * len(members)
     at = 0
     while at >= 0:
         free[at] = place
-        place += sum(group[i] == at for i in members[at]) if at else 1
+        place += live[at]
         at = above[at]
-    ends: list[list[int]] = [[] for _ in range(size + 1)]
-    for i in range(size):
-        ends[i + length[i]].append(i)
-    out = [0] * (size + 1)
-    out[0] = size
+    # last, before: the suffixes whose prefix ends at a place, as a chain.
+    last, before = [-1] * (size + 1), [-1] * size
+    for i, n in enumerate(length):
+        before[i] = last[i + n]
+        last[i + n] = i
+    out = [size] * (size + 1)
     for k in range(size + 1):
-        for i in ends[out[k]]:
+        i = last[out[k]]
+        while i >= 0:
             g = group[i]
             out[free[g]] = i
             free[g] += 1
+            i = before[i]
     return out[1:]
 
 
