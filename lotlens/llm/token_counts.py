@@ -8,8 +8,10 @@ border of a pre-token, and a document's count is the sum of its pre-tokens'
 counts; ``PieceCounter`` refuses a model for which that is untrue.
 
 The most frequent pre-tokens, found over all documents, go to every task with
-their counts: a table bounded in entries and in length. All others are joined
-by shuffle: each of them is counted once, where its occurrences meet.
+their counts: a table bounded in entries, and in size, as a long pre-token has a
+digest of 128 bits in it. All others meet their documents' frequencies by
+shuffle, where each distinct one is counted once; none of them is frequent
+enough to crowd a task.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import plain, stored
 
-#: Bounds of the broadcast table, in entries and code points of one entry, and of what a task proposes for it.
-FREQUENT, FREQUENT_CHARS, PROPOSED = 400_000, 32, 120_000
+#: Bounds of the broadcast table, in entries, and of what a task proposes for it. Pre-tokens of more code points than SHORT have a digest in their place.
+FREQUENT, PROPOSED, SHORT = 400_000, 120_000, 32
 #: Stands in front of a pre-token without a meta space, to keep that which encoding adds away from it.
 _GUARD = "\n"
 
@@ -90,8 +93,13 @@ class PieceCounter:
         return [(len(x) or 1) if p[0] == " " else len(x) - guard for p, x in zip(pre_tokens, encoded, strict=True)]
 
 
-def frequent_pre_tokens(docs: DataFrame, model: str, text_col: str, entries: int = FREQUENT) -> list[str]:
-    """The most frequent pre-tokens of all documents, ties by text; bounded in number and length."""
+def entry(pre_token: str) -> str:
+    """What stands for a pre-token in the broadcast table; a digest begins with a character that no pre-token has there."""
+    return pre_token if len(pre_token) <= SHORT else f"\0\0{xxhash.xxh3_128_hexdigest(pre_token.encode('utf-8', 'surrogatepass'))}"
+
+
+def frequent_pre_tokens(docs: DataFrame, model: str, text_col: str, entries: int = FREQUENT) -> dict[str, int]:
+    """``entry`` and number of pieces of the most frequent pre-tokens of all documents, ``entries`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -101,11 +109,23 @@ def frequent_pre_tokens(docs: DataFrame, model: str, text_col: str, entries: int
                 seen.update(split(t.as_py()))
             if len(seen) > 20 * PROPOSED:  # keeps the task's memory bounded
                 seen = Counter(dict(heapq.nlargest(10 * PROPOSED, seen.items(), key=itemgetter(1))))
-        top = [(p, n) for p, n in heapq.nlargest(PROPOSED, seen.items(), key=itemgetter(1)) if n > 1 and len(p) <= FREQUENT_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["pre", "n"])
-
-    proposed = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text <> ''").mapInArrow(run, "pre string, n long")
-    return [r["pre"] for r in proposed.groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(entries).select("pre").toLocalIterator()]
+        top = [(p, n) for p, n in heapq.nlargest(PROPOSED, seen.items(), key=itemgetter(1)) if n > 1]
+        long = [p for p, _ in top if len(p) > SHORT]
+        pieces = dict(zip(long, PieceCounter.of(model).count(long), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([entry(p) for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array([pieces.get(p) for p, _ in top], pa.int64())], ["pre", "n", "pieces"])
+
+    proposed = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text <> ''").mapInArrow(run, "pre string, n long, pieces long")
+    merged = stored(proposed.groupBy("pre").agg(F.sum("n").alias("n"), F.first("pieces").alias("pieces")).withColumn("bin", F.floor(F.log2("n") * 64).cast("int")))
+    least, total = None, 0
+    for r in merged.groupBy("bin").count().orderBy(F.desc("bin")).collect():  # 4096 rows at most
+        total += r["count"]
+        if total > entries:
+            break
+        least = r["bin"]
+    top = merged.where(F.lit(False) if least is None else F.col("bin") >= least).select("pre", "pieces").toArrow()
+    pre, pieces = top["pre"].to_pylist(), top["pieces"].to_pylist()
+    short = [p for p, c in zip(pre, pieces, strict=True) if c is None]
+    return dict(zip(short, PieceCounter.of(model).count(short), strict=True)) | {p: c for p, c in zip(pre, pieces, strict=True) if c is not None}
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, entries: int = FREQUENT) -> DataFrame:
@@ -115,8 +135,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     src = plain(docs, id_col, text_col).toDF("doc_id", "text")
-    top = frequent_pre_tokens(src, model, "text", entries)
-    known = spark.sparkContext.broadcast(dict(zip(top, PieceCounter.of(model).count(top), strict=True)))
+    known = spark.sparkContext.broadcast(frequent_pre_tokens(src, model, "text", entries))
     keyed = src.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     row = f"doc_id {id_type}, h long, pre string, n long, n_bytes long, docs int"
@@ -131,7 +150,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 text = t.as_py()
                 total = 0
                 for p, m in Counter(split(text)).items():
-                    if (c := counts.get(p)) is None:
+                    if (c := counts.get(p if len(p) <= SHORT else entry(p))) is None:
                         at.append(i), pre.append(p), n.append(m), size.append(0), one.append(0)
                     else:
                         total += c * m
@@ -140,12 +159,17 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([ids.take(take), b.column("h").take(take), pa.array(pre, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int32())], ["doc_id", "h", "pre", "n", "n_bytes", "docs"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by pre-token: each distinct one is counted once a batch at most."""
+        """Rows arrive sorted by pre-token, all of one in one task: each distinct one is counted once."""
         pieces = PieceCounter.of(model)
+        last, last_pieces = None, 0
         for b in batches:
             pre, one, n = b.column("pre").to_pylist(), b.column("docs").to_pylist(), b.column("n").to_pylist()
             runs = [(p, len(list(g))) for p, g in groupby(p for p, o in zip(pre, one, strict=True) if not o)]
-            each = iter([c for c, (_, m) in zip(pieces.count([p for p, _ in runs]), runs, strict=True) for _ in range(m)])
+            begun = bool(runs) and runs[0][0] == last  # counted at the end of the batch before
+            counts = ([last_pieces] if begun else []) + pieces.count([p for p, _ in runs[begun:]])
+            if runs:
+                last, last_pieces = runs[-1][0], counts[-1]
+            each = iter([c for c, (_, m) in zip(counts, runs, strict=True) for _ in range(m)])
             tokens = [m if o else m * next(each) for m, o in zip(n, one, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(tokens, pa.int64()), b.column("n_bytes"), b.column("docs")], ["doc_id", "h", "tokens", "n_bytes", "docs"])
 
