@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accents of Latin-1 and the letters they stand for.
-ACCENTED = "ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝáàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _folded() -> tuple[str, str]:
+    """Characters that stand for one ASCII character by compatibility decomposition and those, and marks that go."""
+    pairs, marks = [], []
+    for c in map(chr, [*range(0xA0, 0x2200), *range(0xFF01, 0xFF5F)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif len(plain) == 1 and plain.isascii():
+            pairs.append((c, plain))
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _folded()
 
 # Spellings of street types and their short form.
 STREET_TYPES = {
@@ -58,37 +71,43 @@ def _mapped(words: Column, table: dict[str, str]) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(entries, w), w))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that it uses more than once: the value is computed once a row, not once a use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def street_words(street: Column) -> Column:
     """The words of a street's canonical name: no trailing number, street type short, no particles."""
     text = F.regexp_replace(F.upper(unaccent(F.coalesce(street, F.lit("")))), r"[,;]?\s*\d+\s*[A-Z]?$", "")
-    words = F.filter(F.split(squeeze(F.regexp_replace(text, r"[^A-Z0-9 ]", " ")), " "), lambda w: w != "")
-    typed = F.when(F.size(words) > 0, F.concat(_mapped(F.slice(words, 1, 1), STREET_TYPES), F.slice(words, F.lit(2), F.size(words)))).otherwise(words)
-    bare = F.filter(typed, lambda w: ~w.isin(PARTICLES))
-    return F.when(F.size(bare) > 0, bare).otherwise(words)
+    split = F.filter(F.split(squeeze(F.regexp_replace(text, r"[^A-Z0-9 ]", " ")), " "), lambda w: w != "")
 
+    def bare(words: Column) -> Column:
+        typed = F.when(F.size(words) > 0, F.concat(_mapped(F.slice(words, 1, 1), STREET_TYPES), F.slice(words, F.lit(2), F.size(words)))).otherwise(words)
+        return bound(F.filter(typed, lambda w: ~w.isin(PARTICLES)), lambda b: F.when(F.size(b) > 0, b).otherwise(words))
 
-def street_name(street: Column) -> Column:
-    return F.array_join(street_words(street), " ")
+    return bound(split, bare)
 
 
-def _without_type(words: Column) -> Column:
-    return F.array_join(F.when(F.get(words, F.lit(0)).isin(SHORT_TYPES), F.slice(words, F.lit(2), F.size(words))).otherwise(words), " ")
+def street_name(street: Column) -> Column:
+    return F.array_join(street_words(street), " ")
 
 
 def street_key(street: Column, tolerance: int = 0) -> Column:
     """The name without its type. tolerance 1 spells out the cadastre's abbreviations, 2 the tax register's too."""
     table = [{}, CADASTRE_WORDS, CADASTRE_WORDS | FISCAL_WORDS][tolerance]
     words = street_words(street)
-    return _without_type(_mapped(words, table) if table else words)
+    untyped = lambda w: F.when(F.get(w, F.lit(0)).isin(SHORT_TYPES), F.slice(w, F.lit(2), F.size(w))).otherwise(w)
+    return F.array_join(bound(_mapped(words, table) if table else words, untyped), " ")
 
 
 def search_term(street: Column) -> Column:
     """The longest word of three letters or more that isn't a title, the first of equal ones; else the longest."""
-    words = F.filter(F.split(street_key(street, 1), " "), lambda w: F.length(w) >= 3)
-    own = F.filter(words, lambda w: ~w.isin(TITLES))
-    choice = F.when(F.size(own) > 0, own).otherwise(words)
-    longest = F.array_max(F.transform(choice, F.length))
-    return F.coalesce(F.get(F.filter(choice, lambda w: F.length(w) == longest), F.lit(0)), F.lit(""))
+
+    def chosen(words: Column) -> Column:
+        own = F.filter(words, lambda w: ~w.isin(TITLES))
+        return bound(F.when(F.size(own) > 0, own).otherwise(words), lambda c: F.get(F.filter(c, lambda w: F.length(w) == F.array_max(F.transform(c, F.length))), F.lit(0)))
+
+    return F.coalesce(bound(F.filter(F.split(street_key(street, 1), " "), lambda w: F.length(w) >= 3), chosen), F.lit(""))
 
 
 def postal_code(raw: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .address import search_text
+from .address import bound, search_text
 from .numbers import brazilian_number
 
 # Words for and against a yard.
@@ -94,6 +94,21 @@ def area_agrees(found: Column, wanted: Column) -> Column:
     return (a == "") | (b == "") | (a == b) | subset | ((F.size(wa) == F.size(wb)) & alike)
 
 
+def target_area(found: Column, targets: Column) -> Column:
+    """The first of the targets that agrees with the found name; null if none does."""
+    return F.get(F.filter(targets, lambda t: area_agrees(found, t)), F.lit(0))
+
+
+def price_passes(price: Column, low: float | None = None, high: float | None = None) -> Column:
+    """A missing price passes, for the user to look at; a bound that isn't set doesn't count."""
+    inside = F.lit(True)
+    if low:
+        inside = inside & (price >= low)
+    if high:
+        inside = inside & (price <= high)
+    return price.isNull() | inside
+
+
 def fallback_title(title: Column, city: str = "s[ãa]o paulo") -> Column:
     """A page whose title lacks the city is the national fallback; without a title there is no telling."""
     return (F.coalesce(title, F.lit("")) != "") & ~F.coalesce(title, F.lit("")).rlike(f"(?i){city}")
@@ -104,12 +119,33 @@ def canonical_url(url: Column) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
-    """The last part of the address as a title: no extension, no trailing number, hyphens as spaces."""
-    slug = F.regexp_extract(canonical_url(url), r"/([^/]+?)(?:\.html)?/?$", 1)
-    words = F.trim(F.regexp_replace(F.regexp_replace(slug, r"-\d{6,}$", ""), r"[-_]+", " "))
+    """The last part of the address's path as a title: no extension, no trailing number, hyphens as spaces; empty without a path."""
+    slug = F.regexp_extract(canonical_url(url), r"^[a-z]+://[^/]+/(?:.*/)?([^/]+?)(?:\.html)?/?$", 1)
+    words = F.trim(F.regexp_replace(F.regexp_replace(slug, r"(?:-a?)?-\d{6,}$", ""), r"[-_]+", " "))
     return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 10_000)))
 
 
+def sized_photo(url: Column, size: str = "1200x900") -> Column:
+    """The photo's address with the wanted size in front of the file's name."""
+    bare = F.substring_index(url, "?", 1)
+    has = bare.rlike(r"/\d+x\d+/[^/]+$")
+    return F.when(has, F.regexp_replace(bare, r"/\d+x\d+/([^/]+)$", f"/{size}/$1")).otherwise(F.regexp_replace(bare, r"^(.*/)?([^/]*)$", f"$1{size}/$2"))
+
+
+def large_photo(url: Column) -> Column:
+    """A thumbnail's address as that of the large image."""
+    bare = F.regexp_replace(F.substring_index(url, "?", 1), r"/thumbs\d+x\d+/", "/images/")
+    return F.regexp_replace(bare, r"\.[^.]*$", ".jpg")
+
+
+def filled_photo(template: Column, width: int = 1200, height: int = 900) -> Column:
+    """A photo template with its places filled; null as empty."""
+    out = F.coalesce(template, F.lit(""))
+    for place, value in {"{description}": "image", "{action}": "fit-in", "{width}": str(width), "{height}": str(height)}.items():
+        out = F.replace(out, F.lit(place), F.lit(value))
+    return out
+
+
 def usable_photo(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^https?://") & ~url.rlike(r"(?i)(\.svg(\?|$)|icon|logo|sprite)"), F.lit(False))
 
@@ -133,13 +169,48 @@ def upkeep_grade(answer: Column) -> Column:
 
 
 def json_object(answer: Column) -> Column:
-    """The object in a fence, else from the first brace to the last; null if it isn't JSON."""
-    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    bare = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    return F.try_parse_json(F.nullif(F.when(fenced != "", fenced).otherwise(bare), F.lit("")))
+    """What stands in a fence, else the whole answer, as VARIANT; if that isn't JSON, its first object with balanced braces; null if there is none."""
+
+    def balanced(text: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+        def step(acc: Column, c: Column) -> Column:
+            depth = acc["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+            at = acc["at"] + 1
+            return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] == 0) & (c == "}") & (depth == 0), at).otherwise(acc["end"]).alias("end"))
+
+        tail = F.when(F.contains(text, F.lit("{")), F.substr(text, F.locate("{", text)))
+        return bound(tail, lambda t: F.substr(t, F.lit(1), F.aggregate(F.split(t, ""), start, step, lambda acc: acc["end"])))
+
+    def parsed(text: Column) -> Column:
+        return F.coalesce(F.try_parse_json(F.nullif(text, F.lit(""))), F.try_parse_json(F.nullif(balanced(text), F.lit(""))))
+
+    fenced = F.trim(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    return parsed(F.when(F.contains(answer, F.lit("```")) & (fenced != ""), fenced).otherwise(F.trim(answer)))
 
 
 def seen_number(answer: Column) -> Column:
     """A house number of one to five digits and a letter; anything else is null."""
     text = F.upper(F.trim(answer))
     return F.when(text.rlike(r"^[1-9]\d{0,4}[A-Z]?$"), text)
+
+
+# Places.
+
+def map_place(street: Column, area: Column, code: Column, city: str = "São Paulo, SP") -> Column:
+    """struct(text, address, exact, area_only) for a map: what to look for, and whether it points to a house; null without street and area."""
+    road = F.regexp_replace(F.trim(F.coalesce(street, F.lit(""))), r"[\s,]+$", "")
+    named = F.trim(F.coalesce(area, F.lit("")))
+
+    def place(r: Column) -> Column:
+        parts = F.array(F.when(r != "", r).otherwise(named), F.when(r != "", named).otherwise(""), F.lit(city), F.coalesce(code, F.lit("")))
+        text = F.array_join(F.filter(parts, lambda p: p != ""), ", ")
+        return F.when((r != "") | (named != ""), F.struct(text.alias("text"), r.alias("address"), r.rlike(r"\d").alias("exact"), (r == "").alias("area_only")))
+
+    return bound(road, place)
+
+
+def context_of(data: Column, precision: Column, schema: str) -> Column:
+    """A stored JSON context as a struct of the schema, with its precision."""
+    parsed = F.from_json(data, schema)
+    return F.when(data.isNotNull(), F.struct(parsed.alias("context"), precision.alias("precision")))

@@ -8,6 +8,8 @@ that has any. All steps of all listings are one set of joins and windows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,18 @@ def cascade(listings: DataFrame, sales: DataFrame, tie: list[str], tolerance: fl
     those from the year of the newest, less ``years``, on; all if the newest has no date.
     """
     ads = listings.select("url", F.col("street").alias("ad_street"), F.col("cep").alias("ad_cep"), F.col("area").alias("listing_area"), "price").where("listing_area > 0")
-    alike = F.col("area").between(F.col("listing_area") * (1 - tolerance), F.col("listing_area") * (1 + tolerance))
-    on_street = sales.join(ads, (F.col("street") == F.col("ad_street")) & alike).withColumn("levels", F.when(F.col("cep") == F.col("ad_cep"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
-    in_code = sales.join(ads, (F.col("cep") == F.col("ad_cep")) & alike).withColumn("levels", F.array(F.lit(3)))
+    # Areas fall into logarithmic bands as wide as the tolerance: a listing is in two at most, so that the keys of the joins
+    # part the sales of a busy street or postal code by size.
+    low, high = F.col("listing_area") * (1 - tolerance), F.col("listing_area") * (1 + tolerance)
+    band = lambda x: F.floor(F.log(x) / math.log((1 + tolerance) / (1 - tolerance)))
+    ads = ads.withColumn("ad_band", F.explode(F.sequence(band(low), band(high))))
+    sized = sales.where("area > 0").withColumn("__band", band(F.col("area").cast("double")))
+    alike = (F.col("__band") == F.col("ad_band")) & F.col("area").between(low, high)
+    on_street = sized.join(ads, (F.col("street") == F.col("ad_street")) & alike).withColumn("levels", F.when(F.col("cep") == F.col("ad_cep"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
+    in_code = sized.join(ads, (F.col("cep") == F.col("ad_cep")) & alike).withColumn("levels", F.array(F.lit(3)))
     found = on_street.unionByName(in_code)
     steps = F.when(F.col("financed"), F.concat("levels", F.transform("levels", lambda x: x + 3))).otherwise(F.transform("levels", lambda x: x + 3))
-    rows = found.withColumn("step", F.explode(steps)).drop("levels", "ad_street", "ad_cep")
+    rows = found.withColumn("step", F.explode(steps)).drop("levels", "ad_street", "ad_cep", "ad_band", "__band")
     step = Window.partitionBy("url", "step")
     newest = step.orderBy(F.col("sold").desc_nulls_last(), *[F.col(c).desc() for c in tie])
     recent = rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)

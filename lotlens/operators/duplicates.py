@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +13,40 @@ from ..storage import materialized
 RADIUS = 10
 
 
-def hash_bands(h: Column, radius: int) -> Column:
-    """Bands of the 64 bits, one more than the radius: hashes within it are equal in a band at least."""
-    n = radius + 1
+def bands_of(radius: int) -> tuple[int, int]:
+    """Bands of the 64 bits, and in how many bits two hashes within the radius may differ in the band where they differ least."""
+    bands = max(2, -(-(radius + 1) // 3))
+    return bands, radius // bands
+
+
+def _banded(h: Column, radius: int, probes: bool) -> Column:
+    """struct(band, bits) of each band; with ``probes`` also of all bits that differ in few enough places."""
+    n, away = bands_of(radius)
     edges = [round(64 * i / n) for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+
+    def band(i: int) -> Column:
+        lo, hi = edges[i], edges[i + 1]
+        own = F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        masks = [sum(1 << b for b in some) for k in range(away + 1 if probes else 1) for some in combinations(range(hi - lo), k)]
+        return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(F.lit(i).alias("band"), own.bitwiseXOR(m).alias("bits")))
+
+    return F.concat(*map(band, range(n)))
 
 
 def alike(hashes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a < b, distance: pairs of ids within the radius, each once. hashes: id, hash.
 
-    An equi-join by band, so no all-pairs product. Equal hashes would meet as many times as they have pairs; they
-    are joined once, as one hash, and then expanded to chains, each id with the smallest of its hash.
+    The 64 bits are cut into few wide bands; two hashes within the radius differ in a few bits of one band at most. One
+    side is listed under its bands and the other under all values so near to its own, so the equi-join meets a small
+    share of all pairs. Equal hashes would meet as many times as they have pairs; they are joined once, as one hash,
+    and then expanded to chains, each id with the smallest of its hash.
     """
     own = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    banded = own.select("id", "hash", F.explode(hash_bands(F.col("hash"), radius)).alias("b")).select("id", "hash", "b.band", "b.bits")
-    x, y = banded.alias("x"), banded.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.hash")))
+    listed = lambda probes: own.select("id", "hash", F.explode(_banded(F.col("hash"), radius, probes)).alias("b")).select("id", "hash", "b.band", "b.bits")
+    x, y = listed(True).alias("x"), listed(False).alias("y")
     far = F.bit_count(F.col("x.hash").bitwiseXOR(F.col("y.hash")))
-    found = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), far.alias("distance")).where(F.col("distance") <= radius).distinct()
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.hash") < F.col("y.hash")) & (far <= radius))
+    found = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), far.alias("distance")).distinct()
     same = hashes.join(own.select("hash", F.col("id").alias("least")), "hash").where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(0).cast("int").alias("distance"))
     return found.unionByName(same.distinct())
 

@@ -49,13 +49,18 @@ class Filters:
             args.get("floor", []), flag("yard"), flag("trees"), flag("below_market"), flag("new"), flag("all"),
         )
 
-    def predicates(self, known_areas: list[str] | None = None) -> list[Column]:
-        """known_areas: the names in the table; asked names are resolved to them by key."""
+    def resolved(self, listings: DataFrame) -> list[str]:
+        """The table's area names that have the key of an asked name: a name a neighbourhood, so a bounded list."""
+        keys = F.array(*[search_text(F.lit(a)) for a in self.areas])
+        names = listings.select("area_name").distinct().where(F.array_contains(keys, search_text(F.col("area_name"))))
+        return sorted(r["area_name"] for r in names.collect())
+
+    def predicates(self, areas: list[str] = ()) -> list[Column]:
+        """areas: what the asked names are ``resolved`` to. Plain comparisons, which scans take over."""
         c = F.col
         out = [c("removed_at").isNull()]
         if self.areas:
-            keys = F.array(*[search_text(F.lit(a)) for a in self.areas])
-            out.append(F.array_contains(keys, search_text(c("area_name"))))
+            out.append(c("area_name").isin(list(areas)) if areas else F.lit(False))
         if self.price_max is not None:
             out.append(c("price") <= self.price_max)
         if self.land_min is not None:
@@ -79,7 +84,7 @@ class Filters:
         return out
 
     def apply(self, listings: DataFrame) -> DataFrame:
-        return reduce(lambda df, p: df.where(p), self.predicates(), listings)
+        return reduce(lambda df, p: df.where(p), self.predicates(self.resolved(listings) if self.areas else []), listings)
 
 
 def with_comparisons(listings: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -95,8 +100,6 @@ def newly_seen(first_seen: DataFrame, today: Column, days: int = NEW_DAYS) -> Da
     return first_seen.crossJoin(F.broadcast(start)).select("url", "first_seen", F.coalesce(new, F.lit(False)).alias("is_new"))  # one row
 
 
-
-
 def order(by: str = "fit") -> list[Column]:
     """The columns to sort by; every order ends with the order of arrival, so it is total."""
     cheap = F.coalesce(F.nullif(F.col("price"), F.lit(0.0)), F.lit(9e12))
@@ -120,6 +123,12 @@ def page(listings: DataFrame, by: str = "fit", number: int = 1, size: int = PAGE
     return listings.orderBy(*order(by)).offset((number - 1) * size).limit(size)
 
 
+def counted_page(listings: DataFrame, by: str = "fit", number: int = 1, size: int = PAGE) -> tuple[DataFrame, int]:
+    """The page and the number of all rows; a page beyond the last is the last one."""
+    total = listings.count()
+    return page(listings, by, number, size, total), total
+
+
 def coverage(listings: DataFrame, filters: Filters) -> DataFrame:
     """Rows, and rows with a vision analysis, under the filters without those that need one."""
     plain = Filters(**{**filters.__dict__, "floors": [], "trees": False})

@@ -66,19 +66,22 @@ def geocoded(listings: DataFrame, lots: DataFrame, spread: float = HOMONYM_SPREA
     whose lots lie further apart than ``spread`` degrees is several streets of one name: null.
     """
     by_number = lots.groupBy("street", "number").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    joined = listings.join(by_number.withColumnRenamed("number", "lot_number").select("street", "lot_number", F.struct(F.col("lot_number").alias("number"), "lat", "lon").alias("p")), "street", "left")
-    side = F.col("lot_number") % 2 == F.col("number") % 2
-    of_street = joined.groupBy("url", "street", "number").agg(
-        F.max(F.when(F.col("lot_number") == F.col("number"), F.col("p"))).alias("same"),
-        F.max(F.when(side & (F.col("lot_number") < F.col("number")), F.col("p"))).alias("lower"),
-        F.min(F.when(side & (F.col("lot_number") > F.col("number")), F.col("p"))).alias("upper"),
-        F.array_sort(F.collect_list("p")).alias("lots"),
-        (F.greatest(F.max("p.lat") - F.min("p.lat"), F.max("p.lon") - F.min("p.lon"))).alias("spread"),
-    )  # a street's numbers: bounded
+    # One row a street, with its numbers in order: bounded by the numbers of a street.
+    streets = by_number.groupBy("street").agg(
+        F.array_sort(F.collect_list(F.struct("number", "lat", "lon"))).alias("lots"), F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("spread")
+    )
+    number = F.col("number")
+    side = lambda p: p["number"] % 2 == number % 2
+    of_street = listings.select("url", "street", "number").join(streets, "street", "left").select(
+        "url", "number", "lots", "spread",
+        F.get(F.filter("lots", lambda p: p["number"] == number), F.lit(0)).alias("same"),
+        F.try_element_at(F.filter("lots", lambda p: side(p) & (p["number"] < number)), F.lit(-1)).alias("lower"),
+        F.get(F.filter("lots", lambda p: side(p) & (p["number"] > number)), F.lit(0)).alias("upper"),
+    )
     share = F.try_divide(F.col("number") - F.col("lower.number"), F.col("upper.number") - F.col("lower.number"))
     between = lambda c: F.col(f"lower.{c}") + share * (F.col(f"upper.{c}") - F.col(f"lower.{c}"))
     middle = F.get(F.col("lots"), F.floor(F.size("lots") / 2).cast("int"))
     has = lambda c: F.col(c).isNotNull()
-    precision = F.when((F.size("lots") == 0) | (F.col("spread") > spread), None).when(has("same"), "lote").when(has("lower") | has("upper"), "proximo").otherwise("rua")
+    precision = F.when(F.col("lots").isNull() | (F.col("spread") > spread), None).when(has("same"), "lote").when(has("lower") | has("upper"), "proximo").otherwise("rua")
     pick = lambda c: F.when(precision.isNull(), None).when(has("same"), F.col(f"same.{c}")).when(has("lower") & has("upper"), between(c)).when(has("lower"), F.col(f"lower.{c}")).when(has("upper"), F.col(f"upper.{c}")).otherwise(middle[c])
     return of_street.select("url", precision.alias("precision"), pick("lat").alias("lat"), pick("lon").alias("lon"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.address import postal_code
+
 # Months that an index may be carried on, and how pure a street's postal code must be.
 MONTHS_BACK, LEAST_SALES, LEAST_SHARE = 24, 3, 0.60
+# Fixed value: how a lot's price by area falls with its size.
+ELASTICITY = -0.662
 
 
 def floor_quantile(values: Column, q: float) -> Column:
@@ -19,12 +26,39 @@ def upper_median(values: Column) -> Column:
     return floor_quantile(values, 0.5)
 
 
+def _bin(value: Column) -> Column:
+    """A number that rises with the value: 256 bins for each doubling."""
+    size = lambda x: F.floor(F.log2(x) * 256) + 400_000
+    x = value.cast("double")
+    return F.when(x > 0, size(x)).when(x < 0, -size(-x)).otherwise(0).cast("long")
+
+
+def placed_values(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, n and, under each name, the value at a place (from 0, of n) of each group's sorted values. Nulls don't count.
+
+    No group is sorted in one task: the values are counted in bins, and only the values of the bin that holds a place,
+    each different one once, are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__value"), _bin(F.col(value)).alias("__bin"))
+    counts = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__k"))
+    group = Window.partitionBy(*keys)  # rows of a group here are bins
+    sums = counts.withColumns({"__upto": F.sum("__k").over(group.orderBy("__bin")), "n": F.sum("__k").over(group)})
+    wanted = sums.select(*keys, "__bin", "__upto", "__k", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()])).alias("__w"))
+    inside = wanted.where((F.col("__w.place") < F.col("__upto")) & (F.col("__w.place") >= F.col("__upto") - F.col("__k")))
+    inside = inside.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__bin").alias("__of_bin"), "n", F.col("__w.name").alias("__name"), (F.col("__w.place") - F.col("__upto") + F.col("__k")).alias("__rest"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], F.col("__bin") == F.col("__of_bin"))
+    values = rows.join(inside, same).groupBy(*keys, "n", "__name", "__rest", "__value").agg(F.count("*").alias("__k"))
+    upto = F.sum("__k").over(Window.partitionBy(*keys, "__name").orderBy("__value"))
+    return values.withColumn("__upto", upto).where(F.col("__rest") < F.col("__upto")).groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__name") == name, F.col("__value"))).alias(name) for name in places])
+
+
 def ranked_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """keys, n and floor-rank quantiles of groups of any size: rows are ranked by a window, which spills, and never gathered into one array."""
-    near = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"__place": F.row_number().over(near.orderBy(value)) - 1, "__n": F.count("*").over(near)})
-    wanted = [F.max(F.when(F.col("__place") == F.least(F.floor(F.col("__n") * F.lit(q)), F.col("__n") - 1), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *wanted)
+    """keys, n and floor-rank quantiles of groups of any size."""
+
+    def at(q: float) -> Callable[[Column], Column]:
+        return lambda n: F.least(F.floor(n * F.lit(q)), n - 1)
+
+    return placed_values(df, keys, value, {name: at(q) for name, q in quantiles.items()})
 
 
 def region_levels(df: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
@@ -35,20 +69,74 @@ def region_levels(df: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
 
 def region_prices(df: DataFrame, levels: list[tuple[str, Column]], value: str, least: dict[str, int]) -> DataFrame:
     """level, region, n, median, p25, p75 where a level's region has enough rows."""
-    expanded = region_levels(df, levels)
-    middle = expanded.groupBy("level", "region").agg(F.median(value).alias("median"))
-    edges = ranked_quantiles(expanded, ["level", "region"], value, {"p25": 0.25, "p75": 0.75})
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p25": lambda n: F.least(F.floor(n * 0.25), n - 1), "p75": lambda n: F.least(F.floor(n * 0.75), n - 1)}
+    found = placed_values(region_levels(df, levels), ["level", "region"], value, places)
     needed = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("level"))
-    return edges.join(middle, ["level", "region"]).where(F.col("n") >= needed)
+    return found.where(F.col("n") >= needed).select("level", "region", "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "p25", "p75")
 
 
-def finest_region(df: DataFrame, prices: DataFrame, levels: list[tuple[str, Column]], key: str) -> DataFrame:
-    """Each row's price at the first of its levels that has one; null where none has. prices are grouped rows, so Spark broadcasts them where they are small."""
+def finest(df: DataFrame, prices: DataFrame, levels: list[tuple[str, Column]], key: str, columns: list[str]) -> DataFrame:
+    """Each row with ``found``, a struct of level, region and the columns of prices at the first of its levels that has them; null where none has.
+
+    prices are grouped rows, so Spark broadcasts them where they are small.
+    """
     order = {name: i for i, (name, _) in enumerate(levels)}
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("level"))
-    found = region_levels(df.select(key, *df.columns[1:] if df.columns[0] == key else [c for c in df.columns if c != key]), levels).join(prices, ["level", "region"])
-    best = found.groupBy(key).agg(F.min_by(F.struct("level", "median"), rank).alias("best"))
-    return df.join(best, key, "left").select(*df.columns, F.col("best.level").alias("level"), F.col("best.median").alias("unit_price"))
+    own = region_levels(df, levels).select(key, "level", "region").join(prices, ["level", "region"])
+    best = own.groupBy(key).agg(F.min_by(F.struct("level", "region", *columns), rank).alias("found"))
+    return df.join(best, key, "left").select(*df.columns, "found")
+
+
+def finest_region(df: DataFrame, prices: DataFrame, levels: list[tuple[str, Column]], key: str) -> DataFrame:
+    """Each row's price at the first of its levels that has one; null where none has."""
+    return finest(df, prices, levels, key, ["median"]).select(*df.columns, F.col("found.level").alias("level"), F.col("found.median").alias("unit_price"))
+
+
+def is_land(complement: Column) -> Column:
+    """A record without a complement is a lot, not a unit of a larger building."""
+    return F.trim(F.coalesce(complement, F.lit(""))) == ""
+
+
+def house_values(houses: DataFrame, land: DataFrame, building: DataFrame, levels: list[tuple[str, Column]], key: str, slope: float = ELASTICITY) -> DataFrame:
+    """Houses with land_region, building_region, land_price, land_value, building_value, value, land_share; null where a price is missing.
+
+    houses: key, land, built, and what the levels are made of. land: level, region, median, ref (the region's median lot).
+    building: level, region, median. A lot's price by area falls with its size: it is the region's, times (land / ref) ** slope.
+    """
+    found = finest(houses, land, levels, key, ["median", "ref"]).withColumnRenamed("found", "__land")
+    both = finest(found, building, levels, key, ["median"]).withColumnRenamed("found", "__building")
+    sized = (F.col("__land.ref") > 0) & (F.col("land") > 0)
+    price = F.when(sized, F.col("__land.median") * F.pow(F.col("land") / F.col("__land.ref"), F.lit(slope))).otherwise(F.col("__land.median"))
+    known = F.col("__land").isNotNull() & F.col("__building").isNotNull()
+    valued = both.select(*houses.columns, F.when(known, F.col("__land.level")).alias("land_level"), F.when(known, F.col("__building.level")).alias("building_level"), F.when(known, price).alias("land_price"), F.when(known, F.col("__building.median")).alias("building_price"))
+    valued = valued.withColumns({"land_value": F.col("land") * F.col("land_price"), "building_value": F.col("built") * F.col("building_price")}).withColumn("value", F.col("land_value") + F.col("building_value"))
+    return valued.withColumn("land_share", F.coalesce(F.try_divide(100 * F.col("land_value"), F.col("value")), F.when(F.col("value").isNotNull(), 0.0)))
+
+
+def effective_codes(listings: DataFrame, streets: DataFrame, least: int = LEAST_SALES) -> DataFrame:
+    """Listings with code and origin: their own postal code ('anuncio'), else the street's, of five digits and zeros ('rua'), else empty.
+
+    listings: street, raw_code. streets: street, code5, n; a street counts from ``least`` sales on.
+    """
+    known = streets.where((F.col("n") >= least) & (F.col("code5") != "")).select("street", "code5")
+    own = postal_code(F.col("raw_code"))
+    joined = listings.join(known, "street", "left")
+    code = F.when(own != "", own).when(F.col("code5").isNotNull(), F.rpad("code5", 8, "0")).otherwise("")
+    return joined.select(*listings.columns, code.alias("code"), F.when(own != "", "anuncio").when(F.col("code5").isNotNull(), "rua").otherwise("").alias("origin"))
+
+
+def lots_of_code(listings: DataFrame, lots: DataFrame) -> DataFrame:
+    """url, number, code: the lots of a listing's street that share its postal code in eight digits, else in five, else all.
+
+    listings: url, street, raw_code. lots: street, number, code (null where the register has none).
+    """
+    digits = F.regexp_replace(F.coalesce("raw_code", F.lit("")), r"\D", "")
+    pairs = listings.select("url", "street", digits.alias("__own")).join(lots, "street")
+    some = (F.length("__own") >= 5) & F.col("code").isNotNull() & (F.col("code") != "")
+    alike = lambda k: some & (F.substring("code", 1, k) == F.substring("__own", 1, k))
+    matched = pairs.withColumn("__alike", F.when(alike(8), 8).when(alike(5), 5).otherwise(0))
+    best = matched.groupBy("url").agg(F.max("__alike").alias("__best"))
+    return matched.join(best, "url").where("__alike = __best").select("url", "number", "code")
 
 
 def year_series(df: DataFrame, year: str, value: str, least: int) -> DataFrame:
@@ -66,7 +154,7 @@ def dominant(df: DataFrame, key: str, part: str, weight: str, least: int = LEAST
     return out.where((F.col("total") >= least) & (F.col("share") >= share))
 
 
-def elasticity(df: DataFrame, area: str, unit: str, seed: float = -0.662, least: int = 300) -> DataFrame:
+def elasticity(df: DataFrame, area: str, unit: str, seed: float = ELASTICITY, least: int = 300) -> DataFrame:
     """slope, intercept, r2, n of ln(unit) on ln(area); below ``least`` rows the seed, with the mean as intercept."""
     logs = df.where((F.col(area) > 0) & (F.col(unit) > 0)).select(F.log(area).alias("x"), F.log(unit).alias("y"))
     fit = logs.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("k"), F.regr_r2("y", "x").alias("r2"), F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))

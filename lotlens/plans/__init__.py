@@ -1,7 +1,7 @@
 """Queries over the driver's tables, each with SQL of the same meaning."""
 
-from . import market, more, regions
+from . import market, more, regions, serving, truths
 from .registry import ORACLE_SQL as SQL
 from .registry import QUERIES
 
-__all__ = ["QUERIES", "SQL", "market", "more", "regions"]
+__all__ = ["QUERIES", "SQL", "market", "more", "regions", "serving", "truths"]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparables as c
 from ..operators import listing as ls
+from ..operators import serving as sv
 from ..sources import views as v
+from ..storage import materialized, shared_folder
 from .registry import query
 
 
@@ -15,12 +20,36 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.cascade(v.listings(spark, sf_dir), c.usable(v.sales(spark, sf_dir), least_area=1.0), v.TIE)
 
 
+#: The folders of published marts, by application and folder of tables.
+_MARTS: dict[tuple[str, str], str] = {}
+
+
+def publish(spark: SparkSession, sf_dir: str) -> str:
+    """Compute comparisons and scored listings, and write them for all pages and reports to read."""
+    folder = f"{shared_folder(spark)}/mart-{uuid.uuid4().hex}"
+    found = materialized(c.summary(comparables(spark, sf_dir)))
+    sv.publish({"comparisons": found, "listings": ls.with_comparisons(v.listings(spark, sf_dir), found)}, folder)
+    _MARTS[spark.sparkContext.applicationId, sf_dir] = folder
+    return folder
+
+
+def served(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A published table; published first where this application hasn't, or its files are gone."""
+    folder = _MARTS.get((spark.sparkContext.applicationId, sf_dir))
+    if folder is not None:
+        try:
+            return sv.published(spark, folder, name)[0]
+        except AnalysisException:
+            pass
+    return sv.published(spark, publish(spark, sf_dir), name)[0]
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.summary(comparables(spark, sf_dir))
+    return served(spark, sf_dir, "comparisons")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ls.with_comparisons(v.listings(spark, sf_dir), summaries(spark, sf_dir))
+    return served(spark, sf_dir, "listings")
 
 
 @query("quality_sales", f"WITH {v.SALE}, {v.USABLE} SELECT street, cep, area, value, number, sold::VARCHAR AS sold, financed, orderkey, round(value / area, 4) AS unit FROM usable")
@@ -42,7 +71,7 @@ def comps_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def comps_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {"unit_median": 4, "estimate": 6, "unit_mean": 4, "unit_low": 4, "unit_high": 4, "ratio": 6}
-    return summaries(spark, sf_dir).withColumns({k: F.round(k, n) for k, n in places.items()})
+    return c.summary(comparables(spark, sf_dir)).withColumns({k: F.round(k, n) for k, n in places.items()})
 
 
 @query("comps_detail", f"{v.COMPARED} SELECT url, step, street, number, sold::VARCHAR AS sold, area, value, financed, orderkey, round(value / area, 4) AS unit FROM comp")
@@ -197,14 +226,14 @@ def group_guard_principal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("group_consensus_inherit", """WITH m AS (SELECT o_custkey // 3 AS grp, o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE (o_custkey % 3)::VARCHAR END AS cep, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE (o_custkey // 6)::VARCHAR END AS street,
-   CASE WHEN o_orderkey % 6 = 0 THEN (o_custkey % 2)::VARCHAR ELSE '' END AS number FROM orders WHERE o_orderkey % 3 = 0),
+   CASE WHEN o_orderkey % 6 = 0 THEN (o_custkey % 2)::VARCHAR ELSE '' END AS number FROM orders),
 n AS (SELECT grp, count(DISTINCT nullif(cep, '')) AS nc, count(DISTINCT nullif(street, '')) AS ns, count(DISTINCT nullif(number, '')) AS nn, max(nullif(cep, '')) AS cep, max(nullif(street, '')) AS street, max(nullif(number, '')) AS number FROM m GROUP BY grp)
 SELECT grp, CASE WHEN nc = 1 THEN cep END AS cep, CASE WHEN ns = 1 AND nn <= 1 THEN street END AS street, CASE WHEN ns = 1 AND nn = 1 THEN number END AS number,
   CASE WHEN nc = 1 THEN 'cep' WHEN ns = 1 AND nn <= 1 THEN 'rua' WHEN nc > 1 THEN 'ceps divergentes' WHEN ns > 1 THEN 'ruas divergentes' WHEN nn > 1 THEN 'numeros divergentes' ELSE 'sem endereco' END AS reason FROM n""")
 def group_consensus_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.duplicates import consensus
 
-    o = v.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = v.table(spark, sf_dir, "orders")
     members = o.selectExpr("o_custkey div 3 as `group`", "o_orderkey as id", "if(o_orderkey % 4 = 0, '', cast(o_custkey % 3 as string)) as cep", "if(o_orderkey % 5 = 0, '', cast(o_custkey div 6 as string)) as street", "if(o_orderkey % 6 = 0, cast(o_custkey % 2 as string), '') as number")
     return consensus(members).withColumnRenamed("group", "grp")
 

@@ -16,6 +16,7 @@ from ..operators import duplicates as du
 from ..operators import listing as ls
 from ..operators import spatial as sp
 from ..operators import upserts as up
+from ..operators import valuation as val
 from ..sources import pages as pg
 from ..sources import views as v
 from ..streaming import crawl as cr
@@ -152,25 +153,40 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Texts.
 
-_LINE = "l AS (SELECT doc_id, split_part(text, chr(10), 1) || ', ' || (doc_id % 400) AS line FROM documents)"
-_UP = "trim(regexp_replace(regexp_replace(regexp_replace(upper(translate(replace(line, 'ß', 'SS'), 'ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝáàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy')), '[,;]?\\s*[0-9]+\\s*[A-Z]?$', ''), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+def _case(table: dict[str, str]) -> str:
+    return "CASE x " + " ".join(f"WHEN '{k}' THEN '{w}'" for k, w in table.items()) + " ELSE x END"
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring_index("text", "\n", 1), F.lit(", "), (F.col("doc_id") % 400).cast("string")).alias("line"))
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("street_keys", f"""WITH {_LINE}, w AS (SELECT doc_id, line, list_filter(string_split({_UP}, ' '), lambda x: x <> '') AS words FROM l),
-b AS (SELECT doc_id, line, words, list_filter(words, lambda x: x NOT IN ('DE', 'DA', 'DO', 'DAS', 'DOS', 'E')) AS bare FROM w), c AS (SELECT doc_id, line, words, CASE WHEN len(bare) > 0 THEN bare ELSE words END AS k FROM b)
-SELECT doc_id, md5(array_to_string(k, ' ')) AS name, md5(array_to_string(list_transform(CASE WHEN len(k) > 0 AND k[1] IN ('R', 'AV', 'AL', 'PC', 'TRV', 'EST', 'ROD', 'VL', 'LGO', 'VD') THEN k[2:] ELSE k END, lambda x: CASE x WHEN 'DES' THEN 'DESEMBARGADOR' WHEN 'CON' THEN 'CONEGO' WHEN 'MIN' THEN 'MINISTRO' WHEN 'TEN' THEN 'TENENTE' WHEN 'EN' THEN 'EN' ELSE x END), ' ')) AS key,
-  CASE WHEN regexp_extract(trim(line), ',?\\s+([0-9]{{1,5}})\\s*([A-Za-z])?\\s*$', 1) IN ('', '0') THEN '' ELSE regexp_extract(trim(line), ',?\\s+([0-9]{{1,5}})\\s*([A-Za-z])?\\s*$', 1) END AS number FROM c
-WHERE NOT coalesce(list_has_any(words, ['GAL','COMEN','COMEND','PROF','PROFA','MAL','BRIG','CEL','CAP','SEN','DEP','PRES','ENG','ARQ','PE','STA','STO']), false)""")
+_ACCENTS = ("ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝáàâãäåçéèêëíìîïñóòôõöúùûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
+_UP = f"trim(regexp_replace(regexp_replace(regexp_replace(upper(translate(replace(coalesce(line, ''), 'ß', 'SS'), '{_ACCENTS[0]}', '{_ACCENTS[1]}')), '[,;]?\\s*[0-9]+\\s*[A-Z]?$', ''), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NUMBER = ",?\\s+([0-9]{1,5})\\s*([A-Za-z])?\\s*$"
+#: Of a table ``l`` with a column ``line``: k, the words of the street's name; u, those behind its type.
+_KEYED = f"""w AS (SELECT *, list_filter(string_split({_UP}, ' '), lambda x: x <> '') AS words FROM l),
+t AS (SELECT *, CASE WHEN len(words) > 0 THEN list_concat(list_transform(words[1:1], lambda x: {_case(ad.STREET_TYPES)}), words[2:]) ELSE words END AS typed FROM w),
+b AS (SELECT *, list_filter(typed, lambda x: x NOT IN ('DE', 'DA', 'DO', 'DAS', 'DOS', 'E')) AS bare FROM t), c AS (SELECT *, CASE WHEN len(bare) > 0 THEN bare ELSE words END AS k FROM b)"""
+
+
+def _key_sql(table: dict[str, str]) -> str:
+    words = f"list_transform(k, lambda x: {_case(table)})" if table else "k"
+    return f"array_to_string(CASE WHEN len(k) > 0 AND {words}[1] IN ({_list(ad.SHORT_TYPES)[1:-1]}) THEN {words}[2:] ELSE {words} END, ' ')"
+
+
+_HOUSE = f"CASE WHEN regexp_extract(trim(coalesce(line, '')), '{_NUMBER}', 1) IN ('', '0') THEN '' ELSE regexp_extract(trim(coalesce(line, '')), '{_NUMBER}', 1) || upper(regexp_extract(trim(coalesce(line, '')), '{_NUMBER}', 2)) END"
+
+
+@query("street_keys", f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), l AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) || ', ' || (doc_id % 400) AS line FROM s), {_KEYED}
+SELECT doc_id, place::BIGINT AS place, md5(array_to_string(k, ' ')) AS name, md5({_key_sql(ad.CADASTRE_WORDS)}) AS key, {_HOUSE} AS number FROM c""")
 def street_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).withColumn("words", F.split(ad.squeeze(F.regexp_replace(F.regexp_replace(F.upper(ad.unaccent(F.col("line"))), r"[,;]?\s*\d+\s*[A-Z]?$", ""), r"[^A-Z0-9 ]", " ")), " "))
-    rare = F.array(*[F.lit(x) for x in ("GAL", "COMEN", "COMEND", "PROF", "PROFA", "MAL", "BRIG", "CEL", "CAP", "SEN", "DEP", "PRES", "ENG", "ARQ", "PE", "STA", "STO")])
-    out = rows.where(~F.arrays_overlap("words", rare))
-    line = F.col("line")
-    return out.select("doc_id", F.md5(ad.street_name(line).cast("binary")).alias("name"), F.md5(ad.street_key(line, 1).cast("binary")).alias("key"), ad.house_number(line).alias("number"))
+    """Every line of every document as an address."""
+    parts = v.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "part"))
+    line = F.concat("part", F.lit(", "), (F.col("doc_id") % 400).cast("string"))
+    rows = parts.select("doc_id", (F.col("at") + 1).cast("long").alias("place"), line.alias("line"))
+    md5 = lambda x: F.md5(x.cast("binary"))
+    return rows.select("doc_id", "place", md5(ad.street_name(F.col("line"))).alias("name"), md5(ad.street_key(F.col("line"), 1)).alias("key"), ad.house_number(F.col("line")).alias("number"))
 
 
 _WANTED, _UNWANTED = ["tion", "garden", "mente", "und"], ["the of", "clown"]
@@ -294,11 +310,13 @@ def geocode_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Merges and counters.
 
-@query("upsert_coalesce", """WITH n AS (SELECT o_custkey AS k, max(o_orderpriority) AS priority, max(o_totalprice) AS best FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
-SELECT c_custkey AS custkey, CASE WHEN custkey % 2 = 0 THEN coalesce(nullif(priority, ''), c_mktsegment) ELSE c_mktsegment END AS segment, CASE WHEN length(coalesce(CASE WHEN custkey % 2 = 0 THEN priority END, '')) > length(c_mktsegment) THEN priority ELSE c_mktsegment END AS label FROM customer LEFT JOIN n ON c_custkey = k""")
+@query("upsert_coalesce", """WITH n AS (SELECT o_custkey AS k, nullif(max(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE '' END), '') AS priority FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS custkey, coalesce(priority, c_mktsegment) AS segment, CASE WHEN length(coalesce(priority, '')) > length(c_mktsegment) THEN priority ELSE c_mktsegment END AS label FROM customer LEFT JOIN n ON c_custkey = k""")
 def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders update their customer; those whose status isn't P bring a blank, which takes nothing."""
     old = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_mktsegment").alias("label"))
-    new = v.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("custkey")).agg(F.max("o_orderpriority").alias("segment")).where("custkey % 2 = 0").withColumn("label", F.col("segment"))
+    said = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise("")
+    new = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.max(said).alias("segment")).withColumn("label", F.col("segment"))
     return up.coalesced(old, new, "custkey", ["segment"], longest=["label"])
 
 
@@ -308,9 +326,9 @@ def upsert_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.last_write(o.where("id % 5 <> 0"), o.where("id % 5 = 0"), "k", [F.col("id").desc()])
 
 
-@query("insert_ignore", "WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0) SELECT k, 'old' AS origin FROM o UNION ALL SELECT DISTINCT user_id, 'new' FROM events WHERE user_id NOT IN (SELECT k FROM o)")
+@query("insert_ignore", "WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT k, 'old' AS origin FROM o UNION ALL SELECT DISTINCT user_id, 'new' FROM events WHERE user_id NOT IN (SELECT k FROM o)")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = v.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k")).distinct().withColumn("origin", F.lit("old"))
+    old = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("origin", F.lit("old"))
     new = v.table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.lit("new").alias("origin"))
     return up.insert_ignored(old, new, "k")
 
@@ -363,19 +381,11 @@ def numeric_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bbox_percentile", f"""WITH {_POINTS} SELECT round(list_sort(list(lon))[least(floor(0.01 * count(*))::INT, count(*) - 1) + 1] - 0.03, 6) AS minx, round(list_sort(list(lat))[least(floor(0.01 * count(*))::INT, count(*) - 1) + 1] - 0.03, 6) AS miny,
   round(list_sort(list(lon))[least(floor(0.99 * count(*))::INT, count(*) - 1) + 1] + 0.03, 6) AS maxx, round(list_sort(list(lat))[least(floor(0.99 * count(*))::INT, count(*) - 1) + 1] + 0.03, 6) AS maxy FROM pt""")
 def bbox_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The box of the middle 98 percent of points, and a margin. Ranks come from counts by rounded coordinate, so no task sorts all points."""
+    """The box of the middle 98 percent of points, and a margin."""
     pt = points(spark, sf_dir)
-    n = pt.count()
-
-    def at(c: str, q: float) -> Column:
-        from pyspark.sql import Window
-
-        counts = pt.groupBy(F.round(c, 7).alias("x")).agg(F.count("*").alias("k"))
-        ranked = counts.withColumn("upto", F.sum("k").over(Window.orderBy("x")))
-        return ranked.where(F.col("upto") > min(int(q * n), n - 1)).agg(F.min("x")).first()[0]
-
-    box = {"minx": at("lon", 0.01) - 0.03, "miny": at("lat", 0.01) - 0.03, "maxx": at("lon", 0.99) + 0.03, "maxy": at("lat", 0.99) + 0.03}
-    return spark.createDataFrame([tuple(round(x, 6) for x in box.values())], ", ".join(f"{k} double" for k in box))
+    lon, lat = (val.ranked_quantiles(pt, [], c, {f"min{a}": 0.01, f"max{a}": 0.99}).drop("n") for c, a in (("lon", "x"), ("lat", "y")))
+    wide = {"minx": -0.03, "miny": -0.03, "maxx": 0.03, "maxy": 0.03}
+    return lon.crossJoin(F.broadcast(lat)).select(*[F.round(F.col(c) + x, 6).alias(c) for c, x in wide.items()])  # one row each
 
 
 @query("region_filter_words", "SELECT n_name, n_name ILIKE '%_1%' AS hit FROM nation")

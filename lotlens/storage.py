@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder beside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return found or os.path.join(os.path.dirname(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))), "lotlens-scratch")
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Write to a new table below ``spark.checkpoint.dir`` and read it back; cuts lineage and survives lost executors."""
+    """Write to a new table below the shared folder and read it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # tests: a folder beside the warehouse
-        top = os.path.join(os.path.dirname(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))), "lotlens-scratch")
-    path = f"{top}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
