@@ -16,7 +16,11 @@ Scores are kept as whole numbers of 2**-20, so sums are exact and segmentations
 of equal score tie exactly.
 
 Models of type unigram are used with their own scores. A BPE model has ranks
-for scores; they are read as Zipf's law: log p = -log(rank + 1) - log(H).
+for scores; they are read as Zipf's law: log p = -log(rank + 1) - log(H). As no
+scores of single pieces give the segmentation that its merges make, an arc that
+the merges don't take costs LEAVE for each of its characters, more than any
+change of pieces gains. So the best segmentation is the one that the library
+gives, and the next are those that leave it for the fewest characters.
 Characters without a piece are spelt in byte pieces, each below the least score.
 """
 
@@ -39,9 +43,9 @@ from .token_counts import PieceCounter
 
 BYTE_PENALTY, UNIT = 10.0, 1 << 20
 #: Entries of a generation of the cache, and the longest pre-token that it takes.
-CACHE, CACHE_CHARS = 450_000, 64
+CACHE, CACHE_CHARS = 600_000, 64
 
-Path = tuple[int, tuple[int, ...]]
+Path = tuple[float, tuple[int, ...]]
 _FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
@@ -54,23 +58,32 @@ class Lattice:
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
-        self.split = PieceCounter.of(model).pre_tokens
+        self.counter = PieceCounter.of(model)
+        self.split = self.counter.pre_tokens
         proto.ParseFromString(PieceCounter.of(model).sp.serialized_model_proto())
         normal = [(i, p.piece, p.score) for i, p in enumerate(proto.pieces) if p.type == 1]
         if proto.trainer_spec.model_type == 2:
             harmonic = sum(1 / (r + 1) for r in range(len(normal)))
             normal = [(i, piece, -math.log(r + 1) - math.log(harmonic)) for r, (i, piece, _) in enumerate(normal)]
-        normal = [(i, piece, round(score * UNIT)) for i, piece, score in normal]
+        normal = [(i, piece, float(round(score * UNIT))) for i, piece, score in normal]
         #: piece -> (id, score); None for what only begins pieces.
-        self.pieces: dict[str, tuple[int, int] | None] = {piece[:k]: None for _, piece, _ in normal for k in range(1, len(piece))}
+        self.pieces: dict[str, tuple[int, float] | None] = {piece[:k]: None for _, piece, _ in normal for k in range(1, len(piece))}
         self.pieces |= {piece: (i, score) for i, piece, score in normal}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.byte_score = min(s for _, _, s in normal) - round(BYTE_PENALTY * UNIT)
+        self.lengths = [len(p.piece) if p.type == 1 else 0 for p in proto.pieces]
+        #: What a character off the merges' path costs: a character has four bytes at most.
+        self.leave = 1 - 4 * self.byte_score if proto.trainer_spec.model_type == 2 else 0.0
+        #: Scores of arcs off the path by piece (minus infinity for what only begins pieces), and on it by id.
+        self.off_path = {piece: -math.inf if found is None else found[1] - self.leave * len(piece) for piece, found in self.pieces.items()}
+        self.on_path = [0.0] * len(proto.pieces)
+        for i, _, score in normal:
+            self.on_path[i] = score
         self.text_of = [p.piece.replace("▁", " ").encode() if p.type == 1 else b"" for p in proto.pieces]
         for b, i in self.byte_ids.items():
             self.text_of[i] = bytes([b])
-        self.young: dict[str, tuple[int, float, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[int, float, tuple[int, ...]]] = {}
+        self.young: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        self.old: dict[str, tuple[float, float, tuple[int, ...]]] = {}
         self.several: dict[tuple[str, int], list[Path]] = {}
 
     @classmethod
@@ -80,36 +93,47 @@ class Lattice:
             cls.loaded[model] = cls(model)
         return cls.loaded[model]
 
-    def arcs(self, text: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
-        """Forward Viterbi scores, and the arcs (start, score, ids) that end at each place."""
-        size, known = len(text), self.pieces
+    def path(self, pre: str, ids: list[int]) -> list[int]:
+        """Where the library's piece at each place of a pre-token ends; 0 where none begins."""
+        ends, at, k = [0] * len(pre), 0, 0
+        while at < len(pre):
+            size = self.lengths[ids[k]]
+            k += 1 if size else len(pre[at].encode("utf-8", "surrogatepass"))
+            ends[at] = at + (size or 1)
+            at = ends[at]
+        return ends
+
+    def arcs(self, text: str, path: list[int]) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
+        """Forward Viterbi scores, and the arcs (start, score, ids) that end at each place. path: the library's; empty if leaving it costs nothing."""
+        size, known, leave = len(text), self.pieces, self.leave
         best, into = [-math.inf] * (size + 1), [[] for _ in range(size + 1)]
         best[0] = 0
         for i in range(size):
-            at, alone = best[i], False
+            at, alone, end = best[i], False, path[i] if path else 0
             for j in range(i + 1, size + 1):
                 found = known.get(text[i:j], 0)
                 if found == 0:
                     break
                 if found is not None:
                     alone = alone or j == i + 1
-                    into[j].append((i, found[1], found[:1]))
-                    if at + found[1] > best[j]:
-                        best[j] = at + found[1]
+                    score = found[1] if j == end else found[1] - leave * (j - i)
+                    into[j].append((i, score, found[:1]))
+                    if at + score > best[j]:
+                        best[j] = at + score
             if not alone:
                 spelt = tuple(self.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                score = self.byte_score * len(spelt)
+                score = self.byte_score * len(spelt) - (0 if end == i + 1 else leave)
                 into[i + 1].append((i, score, spelt))
                 best[i + 1] = max(best[i + 1], at + score)
         return best, into
 
-    def search(self, text: str, n: int) -> list[Path]:
+    def search(self, text: str, n: int, path: list[int]) -> list[Path]:
         """The n best segmentations of a text with meta spaces, best first: backward A-star.
 
         Of equal hypotheses the latest goes first, so that a text of equal characters, whose segmentations mostly tie,
         is followed to its start instead of everywhere at once.
         """
-        best, into = self.arcs(text)
+        best, into = self.arcs(text, path)
         agenda = [(-best[-1], 0, len(text), 0, ())]
         found: list[Path] = []
         tick = 0
@@ -127,61 +151,70 @@ class Lattice:
                 heapq.heappush(agenda, (-(best[start] + s + score), tick, start, s + score, (ids, tail)))
         return found
 
-    def best(self, text: str) -> tuple[int, float, tuple[int, ...]]:
-        """Score and ids of the best segmentation of a text with meta spaces, and what the second best loses (infinite if there is none)."""
-        size, known, none = len(text), self.pieces, -math.inf
-        first, second = [none] * (size + 1), [none] * (size + 1)
-        first[0] = 0
-        back: list = [None] * (size + 1)
+    def beside(self, text: str, ids: list[int]) -> tuple[float, float, tuple[int, ...]]:
+        """Score and ids of the library's segmentation, which is the best, and what the second best loses (infinite if there is none).
+
+        left holds at each place the best score of those that have left the library's path before it.
+        """
+        size, known, on, none = len(text), self.off_path, self.on_path, -math.inf
+        left = [none] * (size + 1)
+        score, end, k = 0.0, 0, 0
         for i in range(size):
-            a, b, alone = first[i], second[i], False
+            char = text[i]
+            alone = known.get(char, none)
+            if i == end:  # a place of the path: here it can be left
+                piece = self.lengths[ids[k]]
+                end = i + (piece or 1)
+                if piece:
+                    own = on[ids[k]]
+                    k += 1
+                else:
+                    spelt = len(char.encode("utf-8", "surrogatepass"))
+                    own = self.byte_score * spelt
+                    k += spelt
+                at, to = score, end
+                score += own
+                if left[i] + own > left[end]:
+                    left[end] = left[i] + own
+            else:
+                at, to = left[i], 0
+                if at == none:
+                    continue
+            if alone == none:
+                if to != i + 1:
+                    other = at + self.byte_score * len(char.encode("utf-8", "surrogatepass")) - self.leave
+                    if other > left[i + 1]:
+                        left[i + 1] = other
             for j in range(i + 1, size + 1):
-                found = known.get(text[i:j], 0)
-                if found == 0:
+                found = known.get(text[i:j])
+                if found is None:
                     break
-                if found is not None:
-                    piece, score = found
-                    if j == i + 1:
-                        alone = True
-                    at = a + score
-                    if at > first[j]:
-                        second[j] = first[j] if first[j] > b + score else b + score
-                        first[j], back[j] = at, (i, piece)
-                    elif at > second[j]:
-                        second[j] = at
-            if not alone:
-                spelt = text[i].encode("utf-8", "surrogatepass")
-                at = a + self.byte_score * len(spelt)
-                if at > first[i + 1]:
-                    second[i + 1] = max(first[i + 1], b + self.byte_score * len(spelt))
-                    first[i + 1], back[i + 1] = at, (i, spelt)
-                elif at > second[i + 1]:
-                    second[i + 1] = at
-        ids: list[int] = []
-        at = size
-        while at:
-            at, piece = back[at]
-            if isinstance(piece, bytes):
-                ids.extend(self.byte_ids[x] for x in reversed(piece))
+                if j != to and at + found > left[j]:
+                    left[j] = at + found
+        return score, score - left[size], tuple(ids)
+
+    def _looked_up(self, pre_tokens: list[str]) -> None:
+        """Brings the pre-tokens into the young generation, whatever their length; ``nbest`` removes the long ones."""
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        new = []
+        for pre in pre_tokens:
+            if (found := self.old.get(pre)) is None:
+                new.append(pre)
             else:
-                ids.append(piece)
-        ids.reverse()
-        return first[size], first[size] - second[size], tuple(ids)
-
-    def _missed(self, pre: str) -> tuple[int, float, tuple[int, ...]]:
-        found = self.young.get(pre) or self.old.get(pre)
-        if found is None:
-            found = self.best(pre.replace(" ", "▁"))
-        if len(pre) <= CACHE_CHARS:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[pre] = found
-        return found
+                self.young[pre] = found
+        for pre, ids in zip(new, self.counter.encode(new) if self.leave else new, strict=True):
+            text = pre.replace(" ", "▁")
+            if self.leave:
+                self.young[pre] = self.beside(text, ids)
+            else:
+                found = self.search(text, 2, [])
+                self.young[pre] = (found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, found[0][1])
 
     def _several(self, pre: str, n: int) -> list[Path]:
         found = self.several.get((pre, n))
         if found is None:
-            found = self.search(pre.replace(" ", "▁"), n)
+            found = self.search(pre.replace(" ", "▁"), n, self.path(pre, self.counter.encode([pre])[0]) if self.leave else [])
             if len(pre) <= CACHE_CHARS:
                 if len(self.several) >= CACHE // 4:
                     self.several.clear()
@@ -196,7 +229,12 @@ class Lattice:
         pre = self.split(text)
         each = list(map(self.young.get, pre))
         if None in each:
-            each = [e or self._missed(p) for p, e in zip(pre, each, strict=True)]
+            missing = list(dict.fromkeys(p for p, e in zip(pre, each, strict=True) if e is None))
+            self._looked_up(missing)
+            each = [e or self.young[p] for p, e in zip(pre, each, strict=True)]
+            for p in missing:
+                if len(p) > CACHE_CHARS:
+                    del self.young[p]
         total = sum(map(_FIRST, each))
         parts = list(map(_THIRD, each))
         ids = np.fromiter(chain.from_iterable(parts), np.int32)

@@ -86,11 +86,14 @@ class PieceCounter:
         """Pre-tokens of the text behind the space that the model adds; a meta space in a text is a space to the model."""
         return self.pattern.findall(" " + text.replace("▁", " ")) if text else []
 
-    def count(self, pre_tokens: list[str]) -> list[int]:
+    def encode(self, pre_tokens: list[str]) -> list[list[int]]:
         """Encoding puts a meta space in front, so the pre-token's first space is left to it; a lone space is one piece."""
-        guard = self.guard
+        guard, space = self.guard, [self.sp.piece_to_id("▁")]
         encoded = self.sp.encode([p[1:] if p[0] == " " else _GUARD + p for p in pre_tokens], num_threads=1)
-        return [(len(x) or 1) if p[0] == " " else len(x) - guard for p, x in zip(pre_tokens, encoded, strict=True)]
+        return [(x or space) if p[0] == " " else x[guard:] for p, x in zip(pre_tokens, encoded, strict=True)]
+
+    def count(self, pre_tokens: list[str]) -> list[int]:
+        return list(map(len, self.encode(pre_tokens)))
 
 
 def entry(pre_token: str) -> str:

@@ -93,7 +93,16 @@ def test_dropping_exact_duplicates_keeps_one_row_of_each_text(docs, rows, none)
 
 # SentencePiece
 
-def all_segmentations(lattice: nbest.Lattice, text: str) -> list[tuple[float, tuple[int, ...]]]:
+def all_segmentations(lattice: nbest.Lattice, text: str, library: list[int]) -> list[tuple[float, tuple[int, ...]]]:
+    """Every segmentation; characters in pieces that the library doesn't put there cost."""
+    taken, at = set(), 0
+    spelt = []
+    for i in library:
+        size = lattice.lengths[i]
+        spelt = [] if size else [*spelt, i]
+        if size or len(spelt) == len(text[at].encode()):
+            taken.add((at, at + (size or 1)))
+            at, spelt = at + (size or 1), []
     out = []
 
     def walk(at: int, score: float, ids: tuple[int, ...]) -> None:
@@ -105,10 +114,10 @@ def all_segmentations(lattice: nbest.Lattice, text: str) -> list[tuple[float, tu
             found = lattice.pieces.get(text[at:j])
             if found:
                 alone = alone or j == at + 1
-                walk(j, score + found[1], (*ids, found[0]))
+                walk(j, score + found[1] - (0 if (at, j) in taken else lattice.leave * (j - at)), (*ids, found[0]))
         if not alone:
             spelt = text[at].encode()
-            walk(at + 1, score + lattice.byte_score * len(spelt), (*ids, *(lattice.byte_ids[b] for b in spelt)))
+            walk(at + 1, score + lattice.byte_score * len(spelt) - (0 if (at, at + 1) in taken else lattice.leave), (*ids, *(lattice.byte_ids[b] for b in spelt)))
 
     walk(0, 0.0, ())
     return sorted(out, key=lambda x: -x[0])
@@ -116,10 +125,12 @@ def all_segmentations(lattice: nbest.Lattice, text: str) -> list[tuple[float, tu
 
 def test_nbest_is_the_best_of_all() -> None:
     lattice, rng = nbest.Lattice.of(queries.piece_model()), random.Random(5)
+    sp = lattice.counter.sp
     for _ in range(150):
         text = "".join(rng.choices("abther. ,\n(é中'1", k=rng.randint(1, 9)))
-        every = all_segmentations(lattice, (" " + text).replace(" ", "▁"))
+        every = all_segmentations(lattice, (" " + text).replace(" ", "▁"), sp.encode(text))
         got, alike = lattice.nbest(text, 5)
+        assert got[0][1].tolist() == sp.encode(text)
         assert [s * nbest.UNIT for s, _ in got] == [s for s, _ in every[:5]]
         assert len({tuple(ids.tolist()) for _, ids in got}) == len(got)
         assert alike and all(lattice.decode(ids.tolist()) == text for _, ids in got)
@@ -127,6 +138,16 @@ def test_nbest_is_the_best_of_all() -> None:
             assert (score * nbest.UNIT, tuple(ids.tolist())) in every
 
 
+def test_the_best_segmentation_is_the_librarys(spark, sf_dir, docs, rows) -> None:
+    model = queries.piece_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    for table in (docs, common.read(spark, sf_dir, "documents")):
+        texts = [r["text"] or "" for r in table.collect()]
+        found = nbest.encode(table, model, n=2).select(F.get("best", F.lit(0))["ids"].alias("ids"), F.get("best", F.lit(1))["ids"].alias("second")).collect()
+        assert sorted(r["ids"] for r in found) == sorted(sp.encode(texts))
+        assert all(r["ids"] != r["second"] for r in found)
+
+
 def test_encoding_round_trip(docs, rows, none) -> None:
     model = queries.piece_model()
     out = nbest.encode(docs, model, n=3)
