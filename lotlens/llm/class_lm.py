@@ -1,19 +1,24 @@
 """Language-model scoring by a class-based n-gram model.
 
-Exchange clustering assigns words to classes; log p(w_i) is the sum of a class
-transition, log p(c_i | c_{i-2}, c_{i-1}), and a word emission, log p(w_i | c_i).
-
-The vocabulary is counted over all training documents and stays a table: it
-grows with the corpus. Clustering works on items, whose number is bounded: the
-ITEM_WORDS most frequent words, and SUFFIXES groups of all other words by their
-last characters. An iteration counts in Spark how often each item stands before
-and after each class (at most items * classes numbers a side), and then moves
-each item to the class that raises the likelihood of the class bigrams most.
-Every document is kept as the sequence of its items, two bytes a token, so that
-texts are split twice only.
-
-Emissions of the FREQUENT most frequent words go to every task; all other words
-find their counts by a join with the vocabulary, once per document.
+Exchange clustering assigns every word of the training documents to a class;
+log p(w_i) is the sum of a class transition, log p(c_i | c_{i-2}, c_{i-1}), and
+a word emission, log p(w_i | c_i).
+
+The vocabulary stays a table: it grows with the corpus. Clustering has two steps.
+The first works on items, whose number is bounded: the ITEM_WORDS most frequent
+words, and SUFFIXES groups of all other words by their last characters. A round
+counts in Spark how often each item stands before and after each class, and then
+moves each item to the class that raises the likelihood of the class bigrams
+most; counts of its neighbours are those at the round's beginning, so a round
+after which the likelihood isn't higher is undone. The second step takes every
+other word out of its group and moves it, by the classes around its own
+occurrences, in the same way.
+
+Documents are kept as sequences of items, two bytes a token, with the other
+words beside them, so that texts are split twice only; then as sequences of
+classes. Classes and counts of the FREQUENT most frequent words go to every task,
+where a long word has a digest in its place; all other words find theirs by a
+join, once per document.
 """
 
 from __future__ import annotations
@@ -21,25 +26,26 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, plain, stored
 
-CLASSES, ITERATIONS = 64, 3
+CLASSES, ROUNDS = 64, 3
 ITEM_WORDS, SUFFIXES = 8191, 2048
-ITEMS = 1 + ITEM_WORDS + SUFFIXES
-#: Bounds of the broadcast vocabulary: entries, and bytes of an entry.
-FREQUENT, FREQUENT_BYTES = 200_000, 40
+#: Bound of the broadcast vocabulary, and the bytes above which a word has a digest there.
+FREQUENT, SHORT = 200_000, 40
 #: Distinct words a task gathers before it sends them on.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Strength of the lower order in a transition's probability.
 PRIOR = 20.0
 END = b""
+#: Stands in a sequence of classes for a word whose class isn't known yet.
+_OPEN = 255
 
 
 def tokens(text: str) -> list[bytes]:
@@ -49,8 +55,13 @@ def tokens(text: str) -> list[bytes]:
     return out
 
 
-def suffix_item(word: bytes) -> int:
-    return 1 + ITEM_WORDS + zlib.crc32(word[-3:]) % SUFFIXES
+def suffix_item(word: bytes, item_words: int = ITEM_WORDS) -> int:
+    return 1 + item_words + zlib.crc32(word[-3:]) % SUFFIXES
+
+
+def entry(word: bytes) -> bytes:
+    """What stands for a word in the broadcast vocabulary; no word holds a space."""
+    return word if len(word) <= SHORT else b" " + xxhash.xxh3_128_digest(word)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -72,19 +83,50 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(vocab: DataFrame, bound: int) -> list[tuple[bytes, int]]:
+    """``entry`` and n of the most frequent words, the end not among them: ``bound`` at most, whole bins of n; the most frequent first."""
+    words = vocab.where(F.length("word") > 0).withColumn("bin", F.floor(F.log2("n") * 64).cast("int"))
+    least, total = None, 0
+    for r in words.groupBy("bin").count().orderBy(F.desc("bin")).collect():  # 4096 rows at most
+        total += r["count"]
+        if total > bound:
+            break
+        least = r["bin"]
+    if least is None:
+        return []
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(entry, b.column("word").to_pylist()), pa.binary()), b.column("n")], ["word", "n"])
+
+    top = words.where(F.col("bin") >= least).select("word", "n").mapInArrow(named, "word binary, n long").toArrow()
+    return sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """What the class bigrams add to the log-likelihood."""
+    return float(_f(pairs).sum() - _f(pairs.sum(axis=0)).sum() - _f(pairs.sum(axis=1)).sum())
+
+
+def class_pairs(classes: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """How often a class (column) stands behind a class (row)."""
+    pairs = np.zeros((left.shape[1], left.shape[1]))
+    np.add.at(pairs.T, classes, left)
+    return pairs
+
+
 def exchange(classes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One round of exchange clustering: each item in turn goes to the class that gives the greatest likelihood.
 
     left, right: items by classes, how often a class stands before, after an item. Item 0, the end, keeps class 0.
     """
-
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
     size = left.shape[1]
     classes, weight = classes.copy(), left.sum(axis=1)
-    pairs = np.zeros((size, size))  # from, to
-    np.add.at(pairs.T, classes, left)
+    pairs = class_pairs(classes, left)
     mass = np.bincount(classes, weight, size)
     members = np.bincount(classes, minlength=size)
     for item in np.argsort(-weight, kind="stable"):
@@ -97,7 +139,7 @@ def exchange(classes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
         mass[own] -= n
         np.maximum(pairs, 0, out=pairs)
         some_l, some_r = np.flatnonzero(l), np.flatnonzero(r)
-        gain = (f(pairs[some_l] + l[some_l, None]) - f(pairs[some_l])).sum(axis=0) + (f(pairs[:, some_r] + r[some_r]) - f(pairs[:, some_r])).sum(axis=1) - 2 * (f(mass + n) - f(mass))
+        gain = (_f(pairs[some_l] + l[some_l, None]) - _f(pairs[some_l])).sum(axis=0) + (_f(pairs[:, some_r] + r[some_r]) - _f(pairs[:, some_r])).sum(axis=1) - 2 * (_f(mass + n) - _f(mass))
         gain[0] = -np.inf
         to = int(gain.argmax()) if gain.max() > gain[own] + 1e-9 else own
         pairs[:, to] += l
@@ -109,155 +151,289 @@ def exchange(classes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return classes
 
 
-@dataclass
-class ClassModel:
-    """classes: of each item. transitions: log10 p(c | a, b). spread: log10 of an emission's denominator, by class."""
+def _cells(rows: DataFrame, column: str, counts, size: int) -> np.ndarray:
+    """Sums over all rows of what ``counts`` makes of a batch: an array of bounded size."""
 
-    classes: np.ndarray
-    transitions: np.ndarray
-    spread: np.ndarray
-    total: int
-    distinct: int
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size, np.int64)
+        for b in batches:
+            values = [x.as_buffer() for x in b.column(column)]
+            for lo in range(0, len(values), 512):  # bounded pieces
+                counts(out, values[lo : lo + 512])
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.int64())], ["cell", "n"])
 
-    def sequence(self, items: np.ndarray) -> float:
-        """What transitions and the emissions' denominators add to the text's log10 probability."""
-        c = np.concatenate(([0, 0], self.classes[items]))
-        return float((self.transitions[c[:-2], c[1:-1], c[2:]] - self.spread[c[2:]]).sum())
+    cells = rows.select(column).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(size)
+    found[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return found
 
 
 def _item_counts(rows: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shared = rows.sparkSession.sparkContext.broadcast(classes)
+    shared, size = rows.sparkSession.sparkContext.broadcast(classes), len(classes) * CLASSES
+
+    def counts(out: np.ndarray, values: list) -> None:
+        seq = np.concatenate([[0], *[np.frombuffer(x, "<u2").astype(np.int64) for x in values]])  # the end stands before every text
+        c = shared.value[seq]
+        out[:size] += np.bincount(seq[1:] * CLASSES + c[:-1], minlength=size)
+        out[size:] += np.bincount(seq[:-1] * CLASSES + c[1:], minlength=size)
+
+    found = _cells(rows, "items", counts, 2 * size)
+    return found[:size].reshape(-1, CLASSES), found[size:].reshape(-1, CLASSES)
+
+
+def clustered(rows: DataFrame, item_words: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of the items, the class pairs, and the likelihoods that rose. rows: items of the training documents."""
+    classes = np.concatenate(([0], 1 + np.arange(item_words + SUFFIXES) % (CLASSES - 1)))
+    best, rising = None, []
+    for k in range(ROUNDS + 1):
+        left, right = _item_counts(rows, classes)
+        pairs = class_pairs(classes, left)
+        now = likelihood(pairs)
+        if rising and now <= rising[-1]:
+            break
+        best, rising = (classes, pairs), [*rising, now]
+        if k < ROUNDS:
+            classes = exchange(classes, left, right)
+    return *best, rising
+
+
+def best_classes(owner: np.ndarray, cell: np.ndarray, count: np.ndarray, size: int, pairs: np.ndarray) -> np.ndarray:
+    """The class of each of ``size`` words that raises the likelihood most. owner, cell, count: how often the word has a class before it (cell) or after it (CLASSES + cell)."""
+    mass = pairs.sum(axis=0)
+    behind, before = _f(pairs), _f(pairs.T)
+    n = np.bincount(owner[cell < CLASSES], count[cell < CLASSES], size)
+    gain = -2 * (_f(mass[None] + n[:, None]) - _f(mass)[None])
+    for lo in range(0, len(owner), 100_000):
+        o, c, k = (x[lo : lo + 100_000] for x in (owner, cell, count))
+        side, c = c >= CLASSES, c % CLASSES
+        table = np.where(side[:, None], pairs.T[c], pairs[c])
+        np.add.at(gain, o, _f(table + k[:, None]) - np.where(side[:, None], before[c], behind[c]))
+    gain[:, 0] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def word_classes(rows: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """word, n, class of all words that aren't items. rows: items and words of the training documents."""
+    shared = rows.sparkSession.sparkContext.broadcast((classes.astype(np.uint8), pairs))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value[0]
+        seen: dict[bytes, list[bytes]] = {}
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([b"".join(x) for x in seen.values()], pa.binary())], ["word", "around"])
+            seen.clear()
+            return out
+
+        size = 0
+        for b in batches:
+            for items, words in zip(b.column("items"), b.column("words"), strict=True):
+                c = np.concatenate(([0], of[np.frombuffer(items.as_buffer(), "<u2")], [0])).astype(np.uint8)
+                around = np.stack((c[:-2], c[2:] + np.uint8(CLASSES)), axis=1)  # before and after each token
+                for w in words.as_py() or ():
+                    seen.setdefault(w["word"], []).append(around[np.frombuffer(w["at"], "<u4")].tobytes())
+                    size += 1
+                if size > FLUSH:
+                    yield sent()
+                    size = 0
+        yield sent()
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by word. A word's cells are counted as they come."""
+        word, counts = None, np.zeros(2 * CLASSES, np.int64)
+        names: list[bytes] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def closed() -> None:
+            if word is not None:
+                cell = np.flatnonzero(counts)
+                names.append(word)
+                found.append((cell, counts[cell]))
+
+        def told() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(names)), [len(c) for c, _ in found])
+            cell, count = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            n = np.bincount(owner[cell < CLASSES], count[cell < CLASSES], len(names)).astype(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(best_classes(owner, cell, count, len(names), shared.value[1]), pa.int32())], ["word", "n", "class"])
+            names.clear(), found.clear()
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        both = np.zeros((2, ITEMS * CLASSES), np.int64)
         for b in batches:
-            seqs = [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in b.column("items")]
-            for lo in range(0, len(seqs), 512):  # bounded pieces
-                seq = np.concatenate([[0], *seqs[lo : lo + 512]])  # the end stands before every text
-                c = of[seq]
-                both[0] += np.bincount(seq[1:] * CLASSES + c[:-1], minlength=ITEMS * CLASSES)
-                both[1] += np.bincount(seq[:-1] * CLASSES + c[1:], minlength=ITEMS * CLASSES)
-        at = np.flatnonzero(both.reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both.reshape(-1)[at], pa.int64())], ["cell", "n"])
+            for w, around in zip(b.column("word").to_pylist(), b.column("around").to_pylist(), strict=True):
+                if w != word:
+                    closed()
+                    word, counts = w, np.zeros(2 * CLASSES, np.int64)
+                counts += np.bincount(np.frombuffer(around, np.uint8), minlength=2 * CLASSES)
+            if len(names) >= 5000:
+                yield told()
+        closed()
+        yield told()
+
+    sent = rows.select("items", "words").mapInArrow(contexts, "word binary, around binary")
+    return sent.repartition("word").sortWithinPartitions("word").mapInArrow(assigned, "word binary, n long, class int")
+
+
+class ClassModel:
+    """transitions: log10 p(c | a, b). spread: log10 of an emission's denominator, by class."""
+
+    def __init__(self, trigrams: np.ndarray, members: np.ndarray) -> None:
+        """trigrams: counts by class. members: different words of each class."""
+        mass = trigrams.sum(axis=(0, 1))
+        one = (mass + 0.5) / (mass.sum() + 0.5 * CLASSES)
+        two = trigrams.sum(axis=0)
+        two = (two + PRIOR * one) / (two.sum(axis=1, keepdims=True) + PRIOR)
+        three = (trigrams + PRIOR * two[None]) / (trigrams.sum(axis=2, keepdims=True) + PRIOR)
+        self.transitions = np.log10(three)
+        self.spread = np.log10(mass + 0.5 * (members + 1))
+
+    def sequence(self, classes: np.ndarray) -> float:
+        """What transitions and the emissions' denominators add to the text's log10 probability."""
+        c = np.concatenate(([0, 0], classes))
+        return float((self.transitions[c[:-2], c[1:-1], c[2:]] - self.spread[c[2:]]).sum())
+
+
+def trigram_counts(rows: DataFrame) -> np.ndarray:
+    """rows: classes of the training documents."""
 
-    cells = rows.select("items").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * ITEMS * CLASSES)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return out[: ITEMS * CLASSES].reshape(ITEMS, CLASSES), out[ITEMS * CLASSES :].reshape(ITEMS, CLASSES)
+    def counts(out: np.ndarray, values: list) -> None:
+        for x in values:
+            c = np.concatenate(([0, 0], np.frombuffer(x, np.uint8).astype(np.int64)))
+            np.add.at(out, (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], 1)
 
+    return _cells(rows, "classes", counts, CLASSES**3).reshape(CLASSES, CLASSES, CLASSES)
 
-def _trigrams(rows: DataFrame, classes: np.ndarray) -> np.ndarray:
-    shared = rows.sparkSession.sparkContext.broadcast(classes)
+
+def encoded(src: DataFrame, items: dict[bytes, int], item_words: int) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, items (in order, two bytes each), words: those that aren't items, each with its places. src: doc_id, text."""
+    shared = src.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES**3, np.int64)
+        known = shared.value
         for b in batches:
-            for x in b.column("items"):
-                c = np.concatenate(([0, 0], shared.value[np.frombuffer(x.as_py(), "<u2")]))
-                np.add.at(counts, (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["cell", "n"])
+            out: list[list] = [[] for _ in range(4)]
+            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                toks = tokens(t.as_py())
+                other: dict[bytes, list[int]] = {}
+                seq = []
+                for i, w in enumerate(toks):
+                    if (at := known.get(w)) is None:
+                        other.setdefault(w, []).append(i)
+                        at = 0
+                    seq.append(at)
+                seq = np.array(seq, "<u2")
+                for w, at in other.items():
+                    seq[at] = suffix_item(w, item_words)
+                words = [{"word": w, "at": np.array(at, "<u4").tobytes()} for w, at in other.items()]
+                for column, x in zip(out, (fold(doc_id) == 1, len(toks), seq.tobytes(), words), strict=True):
+                    column.append(x)
+            types = (pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["doc_id", "held_out", "n_tokens", "items", "words"])
+
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, items binary, words array<struct<word:binary,at:binary>>").withColumn("row", F.monotonically_increasing_id())
+
 
-    cells = rows.select("items").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES**3)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return out.reshape(CLASSES, CLASSES, CLASSES)
+def classified(rows: DataFrame, classes: np.ndarray, logs: np.ndarray, frequent: dict[bytes, tuple[float, int]], table: DataFrame, end_known: bool) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, logs (of the counts and a half), classes (a byte a token). rows: stored ``encoded``; logs: of the items; table: word, n, class."""
+    shared, last = rows.sparkSession.sparkContext.broadcast((classes.astype(np.uint8), logs, frequent)), len(logs) - 1
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, item_logs, table = shared.value
+        for b in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for items, words in zip(b.column("items"), b.column("words"), strict=True):
+                seq = np.frombuffer(items.as_buffer(), "<u2")
+                own = seq <= last
+                total, n_known = float(item_logs[seq[own]].sum()), int(own.sum()) - (not end_known)
+                found, rare = of[seq], []
+                for w in words.as_py() or ():
+                    at = np.frombuffer(w["at"], "<u4")
+                    if (e := table.get(entry(w["word"]))) is None:
+                        rare.append({"word": w["word"], "at": w["at"], "f": len(at), "own": int(found[at[0]])})
+                        found[at] = _OPEN
+                    else:
+                        total += len(at) * e[0]
+                        n_known += len(at)
+                        found[at] = e[1]
+                for column, x in zip(out, (n_known, total, found.tobytes(), rare), strict=True):
+                    column.append(x)
+            types = (pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary()), ("f", pa.int32()), ("own", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "doc_id", "held_out", "n_tokens")], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "classes", "rare"])
 
-def fit(rows: DataFrame, vocab: DataFrame, items: dict[bytes, int], total: int, distinct: int) -> ClassModel:
-    """rows: items of the training documents. vocab: word, n."""
+    part = stored(rows.mapInArrow(resolved, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, classes binary, rare array<struct<word:binary,at:binary,f:int,own:int>>"))
+    met = part.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(table, "word", "left")
+    filled = met.groupBy("row").agg(
+        F.collect_list(F.struct("at", F.coalesce("class", "own").alias("class"))).alias("fills"), F.sum(F.col("f") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("f"))).alias("known")
+    )
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [items.get(w) or suffix_item(w) for w in b.column("word").to_pylist() if w != END]
-            n = np.bincount(np.array(at, np.int64), minlength=ITEMS)
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["item", "words"])
-
-    words = np.zeros(ITEMS)
-    words[0] = 1
-    for r in vocab.select("word").mapInArrow(sized, "item int, words long").groupBy("item").agg(F.sum("words").alias("words")).collect():  # ITEMS rows at most
-        words[r["item"]] = r["words"]
-    classes = np.concatenate(([0], 1 + np.arange(ITEMS - 1) % (CLASSES - 1)))
-    for _ in range(ITERATIONS):
-        classes = exchange(classes, *_item_counts(rows, classes))
-    tri = _trigrams(rows, classes)
-    mass = tri.sum(axis=(0, 1))
-    one = (mass + 0.5) / (mass.sum() + 0.5 * CLASSES)
-    two = tri.sum(axis=0)
-    two = (two + PRIOR * one) / (two.sum(axis=1, keepdims=True) + PRIOR)
-    three = (tri + PRIOR * two[None]) / (tri.sum(axis=2, keepdims=True) + PRIOR)
-    spread = np.log10(mass + 0.5 * (np.bincount(classes, words, CLASSES) + 1))
-    return ClassModel(classes, np.log10(three), spread, total, distinct)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            out = []
+            for c, fills in zip(b.column("classes"), b.column("fills"), strict=True):
+                found = np.frombuffer(c.as_buffer(), np.uint8)
+                if fills.is_valid:
+                    found = found.copy()
+                    for x in fills.as_py():
+                        found[np.frombuffer(x["at"], "<u4")] = x["class"]
+                out.append(found.tobytes())
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(out, pa.binary())], [*names, "classes"])
+
+    joined = part.drop("rare").join(filled, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"), "classes", "fills")
+    return joined.mapInArrow(whole, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, classes binary")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_words: int = ITEM_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     The model learns from rows whose crc32(doc_id as text) mod 5 is not 1; a null id hashes as empty text. Null
-    texts count as empty: one token, the end. Where there is no training row every word is unknown, and classes
-    are equally likely. Empty tables give no rows; other columns are ignored.
+    texts count as empty: one token, the end. A word that no training row has gets the class of its last characters.
+    Where there is no training row every word is unknown, and classes are equally likely. Empty tables give no rows;
+    other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     src = plain(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     vocab = stored(vocabulary(src.where(~held)))
-    sums = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = sums["total"], sums["distinct"]
-    top = vocab.where(F.length("word").between(1, FREQUENT_BYTES)).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    ranked = [(bytes(r["word"]), r["n"]) for r in top.toLocalIterator()]
-    items = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(ranked[:ITEM_WORDS])}
-    ends = vocab.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = {w: (float(np.log10(n + 0.5)), items.get(w) or suffix_item(w)) for w, n in ranked} | {END: (float(np.log10(ends + 0.5)), 0)}
-    known = sc.broadcast((table, 1 if ends else 0))
-    id_type = src.schema["doc_id"].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("f", pa.int32())]))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Items in order; the frequent words' share of the sums; the other words with their frequencies."""
-        table, end_known = known.value
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                toks = tokens(t.as_py())
-                at, total_log, n_known = {}, 0.0, 0
-                rare = []
-                for w, f in Counter(toks).items():
-                    if (e := table.get(w)) is None:
-                        at[w] = suffix_item(w)
-                        rare.append({"word": w, "f": f})
-                    else:
-                        at[w] = e[1]
-                        total_log += f * e[0]
-                        n_known += f if w else end_known
-                seq = np.fromiter(map(at.__getitem__, toks), "<u2", len(toks)).tobytes()
-                for column, x in zip(out, (fold(doc_id) == 1, len(toks), n_known, total_log, seq, rare), strict=True):
-                    column.append(x)
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), rare_type)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["doc_id", "h", "held_out", "n_tokens", "n_known", "logs", "items", "rare"])
-
-    rows = stored(src.withColumn("h", F.xxhash64("text")).mapInArrow(encode, f"doc_id {id_type}, h long, held_out boolean, n_tokens long, n_known long, logs double, items binary, rare array<struct<word:binary,f:int>>"))
-    model = sc.broadcast(fit(rows.where("not held_out"), vocab, items, total, distinct))
-
-    # Rows equal in doc_id and text have equal sums, so the sums of all are divided by their number; the row that
-    # counts them has a word that no text holds, its own key, so that these rows spread over all tasks.
-    marker = F.struct(F.concat(F.lit(" "), F.col("h").cast("string")).cast("binary").alias("word"), F.lit(None).cast("int").alias("f"))
-    rare = rows.select("doc_id", "h", F.explode(F.concat("rare", F.array(marker))).alias("r")).select("doc_id", "h", "r.word", "r.f")
-    counted = rare.join(vocab, "word", "left").groupBy("doc_id", "h").agg(
-        F.sum((F.col("f") * F.log10(F.coalesce("n", F.lit(0)) + 0.5))).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("f"))).alias("known"), F.count(F.when(F.col("f").isNull(), 1)).alias("same")
-    )
+    sums = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
+    total, distinct, ends = sums["total"], sums["distinct"], sums["ends"]
+    top = most_frequent(vocab, max(FREQUENT, item_words))
+    own = [(w, n) for w, n in top if not w.startswith(b" ")][:item_words]
+    items = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(own)}
+    rows = stored(encoded(src, items, item_words))
+    training = rows.where("not held_out")
+    classes, pairs, _ = clustered(training, item_words)
+    table = stored(word_classes(training, classes, pairs))
+    logs = np.log10(np.concatenate(([ends], [n for _, n in own], np.zeros(item_words - len(own)))) + 0.5)
+    frequent = frequent_classes(table, {w: n for w, n in top[:FREQUENT] if w not in items})
+    scored = stored(classified(rows, classes, logs, frequent, table, ends > 0))
+    members = np.bincount(classes[list(items.values())], minlength=CLASSES).astype(float) - (0 if ends else np.eye(CLASSES)[0])
+    for r in table.groupBy("class").count().collect():  # a row a class
+        members[r["class"]] += r["count"]
+    model = sc.broadcast(ClassModel(trigram_counts(scored.where("not held_out")), members))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq = [model.value.sequence(np.frombuffer(x.as_py(), "<u2")) for x in b.column("items")]
-            names = ["doc_id", "h", "held_out", "n_tokens", "n_known", "logs"]
+            seq = [model.value.sequence(np.frombuffer(x.as_buffer(), np.uint8)) for x in b.column("classes")]
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(seq, pa.float64())], [*names, "seq"])
 
-    scored = rows.drop("rare").mapInArrow(sequences, f"doc_id {id_type}, h long, held_out boolean, n_tokens long, n_known long, logs double, seq double")
-    a, b = scored.alias("a"), counted.alias("b")
-    joined = a.join(b, (F.col("a.h") == F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
-    logs = F.col("a.logs") + F.coalesce(F.col("b.logs"), F.lit(0.0)) / F.col("same")
-    n_known = F.col("n_known") + F.expr("coalesce(known, 0) div same")
-    base = logs - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))
-    return joined.select("a.doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (logs + F.col("seq")).alias("score"))
+    out = scored.mapInArrow(sequences, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, seq double")
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logs") + F.col("seq")).alias("score"))
+
+
+def frequent_classes(table: DataFrame, wanted: dict[bytes, int]) -> dict[bytes, tuple[float, int]]:
+    """``entry`` -> (log10 of count and a half, class) of the wanted words, a bounded number."""
+    if not wanted:
+        return {}
+    least = min(wanted.values())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(entry, b.column("word").to_pylist()), pa.binary()), b.column("n"), b.column("class")], ["word", "n", "class"])
+
+    found = table.where(F.col("n") >= least).mapInArrow(named, "word binary, n long, class int").toArrow()
+    return {w: (float(np.log10(n + 0.5)), c) for w, n, c in zip(found["word"].to_pylist(), found["n"].to_pylist(), found["class"].to_pylist(), strict=True) if w in wanted}

@@ -278,9 +278,72 @@ def test_scores(docs, rows, none) -> None:
 
 
 def test_rare_words_score_as_frequent_ones_do(docs, monkeypatch) -> None:
-    whole = sorted(((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in class_lm.score_documents(docs).collect()), key=key)
+    found = lambda: sorted(((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in class_lm.score_documents(docs).collect()), key=key)
+    whole = found()
     monkeypatch.setattr(class_lm, "FREQUENT", 5)
-    assert sorted(((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in class_lm.score_documents(docs).collect()), key=key) == whole
+    assert found() == whole
+
+
+def test_scores_and_probabilities_by_definition(spark, docs, rows, monkeypatch) -> None:
+    """Few items, so that most words get their class by the second step."""
+    tables: dict = {}
+    for name in ("clustered", "word_classes"):
+        real = getattr(class_lm, name)
+        monkeypatch.setattr(class_lm, name, lambda *x, real=real, name=name: tables.setdefault(name, real(*x)))
+    got = class_lm.score_documents(docs, item_words=20).collect()
+    toks = lambda t: [w.lower() for w in (t or "").encode().split()] + [b""]
+    train = [toks(r[1]) for r in rows if common.fold(r[0]) != 1]
+    n = Counter(w for t in train for w in t)
+    top = [w for w, _ in sorted(((w, k) for w, k in n.items() if w and len(w) <= class_lm.SHORT), key=lambda x: (-x[1], x[0]))[:20]]
+    classes, pairs, rising = tables["clustered"]
+    assert len(rising) > 1 and all(a < b for a, b in zip(rising, rising[1:], strict=False))
+    of = {b"": 0} | {w: int(classes[i + 1]) for i, w in enumerate(top)}
+    second = {r["word"]: (r["n"], r["class"]) for r in tables["word_classes"].collect()}
+    assert {bytes(w): k for w, (k, _) in second.items()} == {w: k for w, k in n.items() if w and w not in of}
+    first = lambda w: of[w] if w in of else int(classes[class_lm.suffix_item(w, 20)])
+    f = lambda x: x * math.log(max(x, 1.0))
+    for w in sorted(second)[:25]:
+        before, after = Counter(), Counter()
+        for t in train:
+            c = [0, *[first(x) for x in t], 0]
+            for i, x in enumerate(t):
+                if x == w:
+                    before[c[i]] += 1
+                    after[c[i + 2]] += 1
+        gain = lambda c: sum(f(pairs[a, c] + k) - f(pairs[a, c]) for a, k in before.items()) + sum(f(pairs[c, b] + k) - f(pairs[c, b]) for b, k in after.items()) - 2 * (f(pairs[:, c].sum() + n[w]) - f(pairs[:, c].sum()))
+        assert gain(second[w][1]) == pytest.approx(max(gain(c) for c in range(1, class_lm.CLASSES)), abs=1e-6)
+    of |= {bytes(w): c for w, (_, c) in second.items()}
+    final = lambda w: of[w] if w in of else int(classes[class_lm.suffix_item(w, 20)])
+    size, tri = class_lm.CLASSES, Counter()
+    for t in train:
+        c = [0, 0, *map(final, t)]
+        tri.update(zip(c, c[1:], c[2:], strict=False))
+    two, one, context, pair_context = Counter(), Counter(), Counter(), Counter()
+    for (a, b, c), k in tri.items():
+        two[b, c] += k
+        one[c] += k
+        context[a, b] += k
+        pair_context[b] += k
+    total, members = sum(one.values()), Counter(of[w] for w in n)
+
+    def p(a, b, c):
+        low = (one[c] + 0.5) / (total + 0.5 * size)
+        middle = (two[b, c] + class_lm.PRIOR * low) / (pair_context[b] + class_lm.PRIOR)
+        return (tri[a, b, c] + class_lm.PRIOR * middle) / (context[a, b] + class_lm.PRIOR)
+
+    emission = lambda w, c: (n[w] + 0.5) / (one[c] + 0.5 * (members[c] + 1))
+    for a, b in [(0, 0), (0, 5), (3, 7), *list(context)[:10]]:
+        assert sum(p(a, b, c) for c in range(size)) == pytest.approx(1)
+    for c in set(of.values()):
+        assert sum(emission(w, c) for w in n if of[w] == c) + 0.5 / (one[c] + 0.5 * (members[c] + 1)) == pytest.approx(1)
+    wanted = []
+    for r in rows:
+        t = toks(r[1])
+        c = [0, 0, *map(final, t)]
+        wanted.append((r[0], round(sum(math.log10(p(*c[i : i + 3])) + math.log10(emission(w, c[i + 2])) for i, w in enumerate(t)), 5)))
+    found = sorted(((r["doc_id"], r["score"]) for r in got), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    wanted.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert [i for i, _ in found] == [i for i, _ in wanted] and [x for _, x in found] == pytest.approx([x for _, x in wanted], abs=1e-4)
 
 
 def test_exchange_raises_the_likelihood() -> None:
@@ -295,16 +358,11 @@ def test_exchange_raises_the_likelihood() -> None:
         np.add.at(right, (seq[:-1], c[seq[1:]]), 1)
         return left, right
 
-    def likelihood(c):
-        pairs = np.zeros((size, size))
-        np.add.at(pairs, (c[seq[:-1]], c[seq[1:]]), 1)
-        f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
-        return f(pairs) - f(pairs.sum(0)) - f(pairs.sum(1))
-
+    measure = lambda c: class_lm.likelihood(class_lm.class_pairs(c, counted(c)[0]))
     now = classes
     for _ in range(3):
         now = class_lm.exchange(now, *counted(now))
-    assert likelihood(now) > likelihood(classes) and now[0] == 0
+    assert measure(now) > measure(classes) and now[0] == 0
 
 
 # Quality rules
