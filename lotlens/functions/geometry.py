@@ -44,7 +44,7 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
 
 def in_polygon(lat: Column, lon: Column, rings: Column) -> Column:
     """In the first ring, and in none of the others, its holes."""
-    return in_ring(lat, lon, rings[0]) & ~F.exists(F.slice(rings, 2, 10_000), lambda r: in_ring(lat, lon, r))
+    return in_ring(lat, lon, rings[0]) & ~F.exists(F.slice(rings, F.lit(2), F.size(rings)), lambda r: in_ring(lat, lon, r))
 
 
 def contour_distance(lat: Column, lon: Column, rings: Column) -> Column:

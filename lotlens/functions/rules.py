@@ -122,7 +122,7 @@ def title_from_url(url: Column) -> Column:
     """The last part of the address's path as a title: no extension, no trailing number, hyphens as spaces; empty without a path."""
     slug = F.regexp_extract(canonical_url(url), r"^[a-z]+://[^/]+/(?:.*/)?([^/]+?)(?:\.html)?/?$", 1)
     words = F.trim(F.regexp_replace(F.regexp_replace(slug, r"(?:-a?)?-\d{6,}$", ""), r"[-_]+", " "))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 10_000)))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substr(words, F.lit(2))))
 
 
 def sized_photo(url: Column, size: str = "1200x900") -> Column:

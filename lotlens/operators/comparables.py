@@ -90,3 +90,9 @@ def todo(listings: DataFrame, done: DataFrame, change: float = 1.0) -> DataFrame
     """Listings without a comparison, or whose price moved by ``change`` or more since."""
     same = (F.col("a.url") == F.col("d.url")) & (F.abs(F.coalesce(F.col("a.price"), F.lit(0.0)) - F.coalesce(F.col("d.price"), F.lit(0.0))) < change)
     return listings.alias("a").join(done.alias("d"), same, "left_anti")
+
+
+def unique_matches(listings: DataFrame, sales: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Listings at whose place, told by the keys, exactly one sale is known: all their columns, value and ratio of the price to it."""
+    single = sales.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(value).alias("__value")).where("__n = 1").drop("__n")
+    return listings.join(single, keys).select(*listings.columns, F.col("__value").alias("value"), F.try_divide("price", "__value").alias("ratio"))

@@ -133,3 +133,9 @@ def coverage(listings: DataFrame, filters: Filters) -> DataFrame:
     """Rows, and rows with a vision analysis, under the filters without those that need one."""
     plain = Filters(**{**filters.__dict__, "floors": [], "trees": False})
     return plain.apply(listings).agg(F.count("*").alias("total"), F.count("upkeep").alias("analysed"))
+
+
+def accepted_pages(rows: DataFrame, page: str, inside: Column, share: float = 0.5) -> DataFrame:
+    """page, n, share, accepted: a page counts if enough of its listings are inside of what it was asked for."""
+    found = F.avg(inside.cast("int"))
+    return rows.groupBy(page).agg(F.count("*").alias("n"), found.alias("share"), (found >= share).alias("accepted"))

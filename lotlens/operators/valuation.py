@@ -113,6 +113,29 @@ def house_values(houses: DataFrame, land: DataFrame, building: DataFrame, levels
     return valued.withColumn("land_share", F.coalesce(F.try_divide(100 * F.col("land_value"), F.col("value")), F.when(F.col("value").isNotNull(), 0.0)))
 
 
+def plausible_residual(value: Column, land: Column, land_price: Column, ref: Column, built: Column, slope: float = ELASTICITY, least: float = 40.0) -> Column:
+    """What a square metre of building cost beyond land in a sale; null where it isn't plausible."""
+    residual = F.try_divide(value - land * land_price * F.pow(land / ref, F.lit(slope)), built)
+    return F.when(residual > least, residual)
+
+
+def building_prices(sales: DataFrame, land: DataFrame, region: str, least: int = 8) -> DataFrame:
+    """region, n, residual (median), p25 of what buildings cost beyond land. sales: region, value, area, built. land: region, price, ref."""
+    priced = sales.join(land, region).withColumn("residual", plausible_residual(F.col("value"), F.col("area"), F.col("price"), F.col("ref"), F.col("built")))
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p25": lambda n: F.least(F.floor(n * 0.25), n - 1)}
+    return placed_values(priced, [region], "residual", places).where(F.col("n") >= least).select(region, "n", ((F.col("low") + F.col("high")) / 2).alias("residual"), "p25")
+
+
+def validation(rows: DataFrame, estimate: str, actual: str) -> DataFrame:
+    """One row: n, median and quartiles of estimate / actual, the shares within 20 and 30 percent, and the median error."""
+    ratio = F.try_divide(F.col(estimate), F.col(actual))
+    near = lambda x: F.avg((F.abs(F.col("r") - 1) <= x).cast("int"))
+    return rows.select(ratio.alias("r")).where("r is not null").agg(
+        F.count("*").alias("n"), F.median("r").alias("median"), F.percentile("r", F.lit(0.25)).alias("q1"), F.percentile("r", F.lit(0.75)).alias("q3"),
+        near(0.2).alias("within20"), near(0.3).alias("within30"), F.median(F.abs(F.col("r") - 1)).alias("median_error"),
+    )
+
+
 def effective_codes(listings: DataFrame, streets: DataFrame, least: int = LEAST_SALES) -> DataFrame:
     """Listings with code and origin: their own postal code ('anuncio'), else the street's, of five digits and zeros ('rua'), else empty.
 

@@ -86,8 +86,25 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_acceptance", "SELECT source AS page, count(*) AS n, round(avg((lang = 'en')::INT), 6) AS share, avg((lang = 'en')::INT) >= 0.5 AS accepted FROM documents GROUP BY source")
 def page_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = F.avg((F.col("lang") == "en").cast("int"))
-    return v.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("page")).agg(F.count("*").alias("n"), F.round(share, 6).alias("share"), (share >= 0.5).alias("accepted"))
+    out = ls.accepted_pages(v.table(spark, sf_dir, "documents"), "source", F.col("lang") == "en")
+    return out.withColumnRenamed("source", "page").withColumn("share", F.round("share", 6))
+
+
+@query("listing_cards", f"""WITH {v.AD} SELECT 'https://x.org/p/' || url || '.html' AS url, round(price)::DOUBLE AS price, area AS built, rooms, (url % 4)::INT AS baths, CASE WHEN url % 3 > 0 THEN (url % 5)::INT END AS parking, CASE WHEN url % 2 = 0 THEN 'Rua & ' || street ELSE '' END AS street, area_name || ', Sao Tome' AS place, 'Nice house ' || url AS description, url % 3 AS photos FROM ad""")
+def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of two cards for each pair of listings."""
+    k = F.col("url")
+    part = lambda qa, text: F.concat(F.lit(f'<div class="c" data-qa="{qa}"><b>'), text, F.lit("</b> </div>"))
+    price = F.concat(F.lit("R$ "), F.translate(F.format_number(F.round("price", 0), 0), ",", "."))
+    features = F.concat(F.regexp_replace(F.format_string("%.1f", "area"), r"\.", ","), F.lit(" m² tot.</b> <span>"), F.col("rooms"), F.lit(" quartos</span> <span>"), k % 4, F.lit(" ban.</span>"), F.when(k % 3 > 0, F.concat(F.lit(" <b>"), k % 5, F.lit(" vagas"))).otherwise("<b>"))
+    street = F.when(k % 2 == 0, F.concat(F.lit('<h4 class="postingLocations-module__location-address">Rua &amp; '), "street", F.lit("</h4>"))).otherwise("")
+    photos = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < k % 3, F.concat(F.lit('<img src="https://i.org/'), k, F.lit("_"), i, F.lit('.jpg">'))).otherwise('<img src="https://i.org/logo.svg">')), "")
+    card = F.concat(
+        F.lit('<div data-to-posting="/p/'), k, F.lit('.html?n_pos=3">'), photos, part("POSTING_CARD_PRICE", price), part("POSTING_CARD_FEATURES", features), street,
+        F.lit('<h4 class="postingLocations-module__location-text">'), "area_name", F.lit(", Sao Tome</h4>"), part("POSTING_CARD_DESCRIPTION", F.concat(F.lit("Nice   house "), k)), F.lit("</div>"),
+    )
+    pages = v.listings(spark, sf_dir).groupBy(F.expr("url div 2").alias("page")).agg(F.concat(F.lit("<html><nav>R$ 1</nav>"), F.array_join(F.sort_array(F.collect_list(card)), ""), F.lit("</html>")).alias("html"))
+    return pg.listing_cards(pages, "html", "https://x.org").select("url", "price", "built", "rooms", "baths", "parking", "street", "place", "description", F.size("photos").cast("long").alias("photos"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,9 +376,9 @@ def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(o, F.col("k") == o["o_custkey"], "left_semi")
 
 
-@query("not_exists", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("not_exists", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = v.table(spark, sf_dir, "orders")
+    o = v.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     return v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).join(o, F.col("k") == o["o_custkey"], "left_anti")
 
 

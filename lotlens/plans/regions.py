@@ -75,11 +75,9 @@ SELECT zone::BIGINT AS zone, count(*) AS n, round(median(residual), 4) AS residu
 def residual_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What buildings cost beyond land: sales of small areas give a region's land price, larger ones the rest."""
     u = units(spark, sf_dir).withColumn("zone", F.col("street") % 50)
-    land = u.where("area >= 5 and area < 30").groupBy("zone").agg(F.median("unit").alias("price"), F.median("area").alias("ref"), F.count("*").alias("k")).where("k >= 12")
-    r = u.where("area >= 30 and y >= 1996").join(land, "zone").withColumn("residual", (F.col("value") - F.col("area") * F.col("price") * F.pow(F.col("area") / F.col("ref"), F.lit(-0.662))) / F.col("area")).where("residual > 40")
-    middle = r.groupBy("zone").agg(F.median("residual").alias("residual"))
-    low = val.ranked_quantiles(r.withColumn("residual", F.round("residual", 4)), ["zone"], "residual", {"p25": 0.25})
-    return low.join(middle, "zone").where("n >= 8").select("zone", "n", F.round("residual", 4).alias("residual"), "p25")
+    land = u.where("area >= 5 and area < 30").groupBy("zone").agg(F.median("unit").alias("price"), F.median("area").alias("ref"), F.count("*").alias("k")).where("k >= 12").drop("k")
+    sold = u.where("area >= 30 and y >= 1996").withColumn("built", F.col("area"))
+    return val.building_prices(sold, land, "zone").select("zone", "n", F.round("residual", 4).alias("residual"), F.round("p25", 4).alias("p25"))
 
 
 @query("model_validation", f"""{_UNITS}, fit AS (SELECT street % 50 AS zone, median(unit) AS price FROM u WHERE y < 2000 GROUP BY zone), t AS (SELECT price / unit AS r FROM u JOIN fit ON street % 50 = zone WHERE y >= 2000)
@@ -88,12 +86,8 @@ def model_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit before a year, tested from it on."""
     u = units(spark, sf_dir).withColumn("zone", F.col("street") % 50)
     fit = u.where("y < 2000").groupBy("zone").agg(F.median("unit").alias("price"))
-    t = u.where("y >= 2000").join(fit, "zone").select((F.col("price") / F.col("unit")).alias("r"))
-    near = lambda x: F.round(F.avg((F.abs(F.col("r") - 1) <= x).cast("int")), 6)
-    return t.agg(
-        F.count("*").alias("n"), F.round(F.median("r"), 6).alias("median"), F.round(F.percentile("r", F.lit(0.25)), 6).alias("q1"), F.round(F.percentile("r", F.lit(0.75)), 6).alias("q3"),
-        near(0.2).alias("within20"), near(0.3).alias("within30"), F.round(F.median(F.abs(F.col("r") - 1)), 6).alias("median_error"),
-    )
+    found = val.validation(u.where("y >= 2000").join(fit, "zone"), "price", "unit")
+    return found.select("n", *[F.round(c, 6).alias(c) for c in found.columns if c != "n"])
 
 
 @query("ratio_region", f"""WITH {PRICED}, r AS (SELECT (custkey // 4)::VARCHAR AS region, price / (1000 + 10 * (id % 1000)) AS ratio FROM priced WHERE price / (1000 + 10 * (id % 1000)) > 0.05 AND price / (1000 + 10 * (id % 1000)) < 20)
@@ -280,11 +274,12 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(r))  # one row
 
 
-@query("unique_match", "WITH u AS (SELECT o_custkey, count(*) AS k, max(o_totalprice) AS price FROM orders GROUP BY o_custkey HAVING count(*) = 1) SELECT c_custkey AS custkey, price, round(price / nullif(c_acctbal, 0), 4) AS ratio FROM u JOIN customer ON o_custkey = c_custkey")
+@query("unique_match", f"WITH {v.AD}, {v.SALE}, one AS (SELECT street, number, max(value) AS value FROM sale GROUP BY street, number HAVING count(*) = 1) SELECT url, value, round(price / value, 6) AS ratio FROM ad JOIN one ON ad.street = one.street AND ad.number = one.number")
 def unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = v.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("k"), F.max("o_totalprice").alias("price")).where("k = 1")
-    c = v.table(spark, sf_dir, "customer")
-    return one.join(c, one["o_custkey"] == c["c_custkey"]).select(F.col("c_custkey").alias("custkey"), "price", F.round(F.try_divide("price", "c_acctbal"), 4).alias("ratio"))
+    """Listings at whose street and number one sale alone is known."""
+    from ..operators.comparables import unique_matches
+
+    return unique_matches(v.listings(spark, sf_dir).select("url", "street", "number", "price"), v.sales(spark, sf_dir), ["street", "number"]).select("url", "value", F.round("ratio", 6).alias("ratio"))
 
 
 @query("weighted_fit", None)

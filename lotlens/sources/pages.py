@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import canonical_url
+from ..functions.numbers import brazilian_number
+from ..functions.rules import canonical_url, usable_photo
 
 _SKIP = {"script", "style", "nav", "template"}
 
@@ -79,6 +80,40 @@ def parsed_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("__page", udf(F.col(html))).drop(html).select("*", "__page.*").drop("__page")
 
 
+# How a portal marks the cards of a page of listings, and their parts.
+CARD_MARK, CARD_PART = 'data-to-posting="', r'data-qa="POSTING_CARD_{part}"[^>]*>(.*?)</div>'
+CARD_PLACE = r'class="postingLocations-module__location-{part}"[^>]*>(.*?)</h\d>'
+_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def visible_text(html: Column) -> Column:
+    """What a piece of HTML shows: no tags, common entities as characters, one space for each run of spaces."""
+    out = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
+    for entity, character in _ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(character))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def listing_cards(pages: DataFrame, html: str = "html", site: str = "") -> DataFrame:
+    """Page columns, url, price, built, rooms, baths, parking, street, place, description, photos: the cards of pages of listings.
+
+    Cards without an address go; what a card doesn't say is null, a text that it lacks empty. Photos are those that are no
+    marks of the site, each once, in order.
+    """
+    keys = [c for c in pages.columns if c != html]
+    cards = pages.select(*keys, F.posexplode(F.split(F.col(html), CARD_MARK)).alias("__at", "__card")).where("__at > 0")
+    href = F.regexp_extract("__card", r'^([^"]*)"', 1)
+    part = lambda pattern, name: visible_text(F.regexp_extract("__card", "(?s)" + pattern.replace("{part}", name), 1))
+    features = part(CARD_PART, "FEATURES")
+    number = lambda pattern: brazilian_number(F.nullif(F.regexp_extract(features, f"(?i){pattern}", 1), F.lit("")))
+    images = F.regexp_extract_all("__card", F.lit(r'<img[^>]*?src="([^"]+)"'), F.lit(1))
+    return cards.where(href != "").select(
+        *keys, canonical_url(F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(site), href))).alias("url"), brazilian_number(F.nullif(part(CARD_PART, "PRICE"), F.lit(""))).alias("price"),
+        number(r"(\d+(?:[.,]\d+)*)\s*m[²2]").alias("built"), number(r"(\d+)\s*quart").cast("int").alias("rooms"), number(r"(\d+)\s*ban").cast("int").alias("baths"), number(r"(\d+)\s*vaga").cast("int").alias("parking"),
+        part(CARD_PLACE, "address").alias("street"), part(CARD_PLACE, "text").alias("place"), part(CARD_PART, "DESCRIPTION").alias("description"), F.array_distinct(F.filter(images, usable_photo)).alias("photos"),
+    )
+
+
 def page_kind(html: Column, detail: str, listing: str) -> Column:
     """Routes a stored page by what it holds."""
     return F.when(F.contains(html, F.lit(detail)), "detail").when(F.contains(html, F.lit(listing)), "listing").otherwise("other")
