@@ -76,12 +76,12 @@ def number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBERS, _DATES = ["1,5", " 2 ", "x", "", None, "-3,25", "10.5"], ["2024-02-29", "29/02/2024", "2023-02-29", "x", "31/12/1999 10:00", None, "2020-01-05T10:00"]
 
 
-@query("lenient_values", f"""WITH r AS (SELECT c_custkey AS k, {_picked(_NUMBERS, 'c_custkey')} AS n, {_picked(_DATES, 'c_custkey')} AS d, (c_custkey * 7919 % 90000)::DOUBLE AS m FROM customer)
+@query("lenient_values", f"""WITH r AS (SELECT c_custkey AS k, {_picked(_NUMBERS, 'c_custkey')} AS n, {_picked(_DATES, 'c_custkey')} AS d, (c_custkey * 7919 % 90000) + 0.3::DOUBLE AS m FROM customer)
 SELECT k, coalesce(try_cast(replace(trim(n), ',', '.') AS DOUBLE), 0.0) AS number, strftime(coalesce(try_strptime(left(d, 10), '%Y-%m-%d'), try_strptime(left(d, 10), '%d/%m/%Y')), '%Y%m%d') AS day, 'R$ ' || replace(format('{{:,}}', (m * 100)::BIGINT), ',', '.') AS money,
   CASE WHEN m < 1000 THEN m::BIGINT || ' m' ELSE replace(format('{{:.1f}}', round(m / 1000, 1)), '.', ',') || ' km' END AS far, greatest(ceil(m / 80), 1)::INT AS minutes FROM r""")
 def lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    m = (k * 7919 % 90_000).cast("double")
+    m = k * 7919 % 90_000 + F.lit(0.3)
     return _customers(spark, sf_dir).select("k", nu.lenient_number(_pick(_NUMBERS, k)).alias("number"), nu.any_date(_pick(_DATES, k)).alias("day"), nu.money(m * 100).alias("money"), nu.distance_text(m).alias("far"), nu.walking_minutes(m).alias("minutes"))
 
 
