@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.address import ACCENTED, PLAIN
 from ..functions.numbers import brazilian_number
 
-_TABLE = str.maketrans(ACCENTED, PLAIN)
+_TABLE = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 
 
 def header_key(name: str) -> str:
