@@ -1,9 +1,10 @@
 """Quality rules: simple counts, and perplexity bands of a modified Kneser-Ney model.
 
-The model counts the characters of the whole corpus (``char_model``), one model
-per language. Each language has its own band of perplexities, from the histogram
-of all its documents' log-perplexities: the median, less and plus ``BAND`` times
-the distance to the quartile on that side. Documents outside are rejected.
+One model counts the characters of the whole corpus (``char_model``), so that a
+document that changes its language isn't improbable for that alone. Each language
+has its own band of perplexities, from the histogram of all its documents'
+log-perplexities: the median, less and plus ``BAND`` times the distance to the
+quartile on that side. Documents outside are rejected.
 """
 
 from __future__ import annotations
@@ -66,12 +67,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Returns doc_id, __row (a hash of lang and text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, logppl,
     low, high, kept; one row per input row.
 
-    Null texts count as empty: no words, base_failed, logppl null. Every language, null too, has a model and a band
-    of its own. Empty tables give no rows; other columns are ignored.
+    Null texts count as empty: no words, base_failed, logppl null. Every language, null too, has a band of its own. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     src = plain(docs, id_col, lang_col, text_col).toDF("doc_id", "lang", "text").select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model = char_model.fit(src.select("lang", "text"))
+    model = char_model.fit(src.select(F.lit(None).cast("string").alias("lang"), "text"))
+    whole = char_model.slot(None)
     shared = spark.sparkContext.broadcast((model.keys, model.values))
     id_type = src.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -84,7 +85,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 text = t.as_py()
                 found.append(rule_counts(text))
                 at.append(char_model.slot(lang))
-                n, total, h, f = char_model.known(text, at[-1], keys, values)
+                n, total, h, f = char_model.known(text, whole, keys, values)
                 for column, x in zip((chars, logs, rare, counts), (n, total, h, f), strict=True):
                     column.append(x)
             own = np.array(found, np.int64).reshape(-1, len(names))

@@ -49,8 +49,8 @@ def test_verdict_against_direct_bands(spark, sf_dir) -> None:
     by_lang = defaultdict(list)
     for r in docs.collect():
         by_lang[r["lang"]].append((r["doc_id"], r["text"] or ""))
+    p = direct([t for some in by_lang.values() for _, t in some])
     for some in by_lang.values():
-        p = direct([t for _, t in some])
         scores = {i: -sum(math.log10(p[padded[k : k + 3]]) for k in range(len(t))) / len(t) for i, t in some if t for padded in ["  " + t]}
         bins = sorted(math.floor(round(x, 9) / kn_quality.BIN) for x in scores.values())
         q1, mid, q3 = (bins[math.ceil(len(bins) * x) - 1] * kn_quality.BIN for x in (0.25, 0.5, 0.75))
