@@ -43,7 +43,7 @@ from .token_counts import PieceCounter
 
 BYTE_PENALTY, UNIT = 10.0, 1 << 20
 #: Entries of a generation of the cache, and the longest pre-token that it takes.
-CACHE, CACHE_CHARS = 600_000, 64
+CACHE, CACHE_CHARS = 850_000, 64
 
 Path = tuple[float, tuple[int, ...]]
 _FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
