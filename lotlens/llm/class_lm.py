@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -198,79 +199,108 @@ def clustered(rows: DataFrame, item_words: int) -> tuple[np.ndarray, np.ndarray,
     return *best, rising
 
 
-def best_classes(owner: np.ndarray, cell: np.ndarray, count: np.ndarray, size: int, pairs: np.ndarray) -> np.ndarray:
-    """The class of each of ``size`` words that raises the likelihood most. owner, cell, count: how often the word has a class before it (cell) or after it (CLASSES + cell)."""
-    mass = pairs.sum(axis=0)
-    behind, before = _f(pairs), _f(pairs.T)
-    n = np.bincount(owner[cell < CLASSES], count[cell < CLASSES], size)
-    gain = -2 * (_f(mass[None] + n[:, None]) - _f(mass)[None])
-    for lo in range(0, len(owner), 100_000):
-        o, c, k = (x[lo : lo + 100_000] for x in (owner, cell, count))
-        side, c = c >= CLASSES, c % CLASSES
-        table = np.where(side[:, None], pairs.T[c], pairs[c])
-        np.add.at(gain, o, _f(table + k[:, None]) - np.where(side[:, None], before[c], behind[c]))
-    gain[:, 0] = -np.inf
-    return gain.argmax(axis=1)
+def best_classes(counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most. counts: words by cells, how often a word has a class before it (cell) or after it (CLASSES + cell)."""
+    table, mass = np.concatenate((pairs, pairs.T)), _f(pairs.sum(axis=0))
+    base = _f(table)
+    once = _f(table + 1) - base
+    out = np.zeros(len(counts), np.int64)
+    for lo in range(0, len(counts), 1000):
+        part = counts[lo : lo + 1000]
+        owner, cell = np.nonzero(part)
+        k = part[owner, cell]
+        more = k > 1
+        gain = once[cell]
+        gain[more] = _f(table[cell[more]] + k[more, None]) - base[cell[more]]
+        n = part[:, :CLASSES].sum(axis=1)
+        total = np.add.reduceat(gain, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), axis=0) - 2 * (_f(pairs.sum(axis=0)[None] + n[:, None]) - mass[None])
+        total[:, 0] = -np.inf
+        out[lo : lo + 1000] = total.argmax(axis=1)
+    return out
+
+
+class _Batch:
+    """A batch's items and words as flat arrays."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        items, lists = b.column("items"), b.column("words")
+        self.size = b.num_rows
+        texts = items.to_pylist()
+        self.seq = np.frombuffer(b"".join(texts), "<u2")
+        self.length = np.fromiter(map(len, texts), np.int64, self.size) // 2
+        self.start = np.cumsum(self.length) - self.length
+        self.doc = np.repeat(np.arange(self.size), self.length)
+        values = lists.flatten()
+        self.word, self.at = values.field("word"), values.field("at")
+        self.doc_of_word = np.repeat(np.arange(self.size), lists.value_lengths().to_numpy())
+        self.times = self.at.value_lengths().to_numpy().astype(np.int64)
+        #: Places of all words' tokens among all tokens, word by word.
+        self.place = self.at.flatten().to_numpy() + np.repeat(self.start[self.doc_of_word], self.times)
+        coded = self.word.dictionary_encode()
+        self.words, self.code = coded.dictionary, coded.indices.to_numpy()
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Bounded parts of batches, whose flat arrays are large."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def _listed(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+
+def _binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def word_classes(rows: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
     """word, n, class of all words that aren't items. rows: items and words of the training documents."""
     shared = rows.sparkSession.sparkContext.broadcast((classes.astype(np.uint8), pairs))
+    cells = 2 * CLASSES
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value[0]
-        seen: dict[bytes, list[bytes]] = {}
-
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([b"".join(x) for x in seen.values()], pa.binary())], ["word", "around"])
-            seen.clear()
-            return out
-
-        size = 0
-        for b in batches:
-            for items, words in zip(b.column("items"), b.column("words"), strict=True):
-                c = np.concatenate(([0], of[np.frombuffer(items.as_buffer(), "<u2")], [0])).astype(np.uint8)
-                around = np.stack((c[:-2], c[2:] + np.uint8(CLASSES)), axis=1)  # before and after each token
-                for w in words.as_py() or ():
-                    seen.setdefault(w["word"], []).append(around[np.frombuffer(w["at"], "<u4")].tobytes())
-                    size += 1
-                if size > FLUSH:
-                    yield sent()
-                    size = 0
-        yield sent()
+        for b in _parts(batches):
+            x = _Batch(b)
+            if not len(x.code):
+                continue
+            flat = np.zeros(len(x.seq) + x.size + 1, np.int64)  # the end stands before every text, and behind the last
+            flat[np.arange(len(x.seq)) + x.doc + 1] = of[x.seq]
+            at = x.place + x.doc[x.place] + 1
+            code = np.repeat(x.code.astype(np.int64), x.times) * cells
+            key, n = np.unique(np.concatenate((code + flat[at - 1], code + CLASSES + flat[at + 1])), return_counts=True)
+            sizes = np.bincount(key // cells, minlength=len(x.words))
+            yield pa.RecordBatch.from_arrays([x.words, _listed(sizes, pa.array(key % cells, pa.int32())), _listed(sizes, pa.array(n, pa.int32()))], ["word", "cell", "n"])
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by word. A word's cells are counted as they come."""
-        word, counts = None, np.zeros(2 * CLASSES, np.int64)
-        names: list[bytes] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def closed() -> None:
-            if word is not None:
-                cell = np.flatnonzero(counts)
-                names.append(word)
-                found.append((cell, counts[cell]))
-
-        def told() -> pa.RecordBatch:
-            owner = np.repeat(np.arange(len(names)), [len(c) for c, _ in found])
-            cell, count = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            n = np.bincount(owner[cell < CLASSES], count[cell < CLASSES], len(names)).astype(np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(best_classes(owner, cell, count, len(names), shared.value[1]), pa.int32())], ["word", "n", "class"])
-            names.clear(), found.clear()
-            return out
+        """Rows arrive sorted by word; the last word of a batch may go on in the next."""
+        last, held = None, np.zeros(cells, np.int64)
+
+        def told(names: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+            n = counts[:, :CLASSES].sum(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(best_classes(counts, shared.value[1]), pa.int32())], ["word", "n", "class"])
 
         for b in batches:
-            for w, around in zip(b.column("word").to_pylist(), b.column("around").to_pylist(), strict=True):
-                if w != word:
-                    closed()
-                    word, counts = w, np.zeros(2 * CLASSES, np.int64)
-                counts += np.bincount(np.frombuffer(around, np.uint8), minlength=2 * CLASSES)
-            if len(names) >= 5000:
-                yield told()
-        closed()
-        yield told()
-
-    sent = rows.select("items", "words").mapInArrow(contexts, "word binary, around binary")
+            words = b.column("word").to_pylist()
+            if not words:
+                continue
+            new = np.fromiter((w != before for w, before in zip(words, [last, *words[:-1]], strict=True)), bool, len(words))
+            index = np.cumsum(new)  # 0 is the word that goes on
+            names = [last, *[w for w, own in zip(words, new.tolist(), strict=True) if own]]
+            owner = np.repeat(index, b.column("cell").value_lengths().to_numpy())
+            counts = np.bincount(owner * cells + b.column("cell").flatten().to_numpy(), b.column("n").flatten().to_numpy(), len(names) * cells).reshape(-1, cells).astype(np.int64)
+            counts[0] += held
+            first = 0 if last is not None else 1
+            if len(names) - 1 > first:
+                yield told(names[first:-1], counts[first:-1])
+            last, held = names[-1], counts[-1]
+        if last is not None:
+            yield told([last], held[None])
+
+    sent = rows.select("items", "words").mapInArrow(contexts, "word binary, cell array<int>, n array<int>")
     return sent.repartition("word").sortWithinPartitions("word").mapInArrow(assigned, "word binary, n long, class int")
 
 
@@ -310,28 +340,30 @@ def encoded(src: DataFrame, items: dict[bytes, int], item_words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for b in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                toks = tokens(t.as_py())
-                other: dict[bytes, list[int]] = {}
-                seq = []
-                for i, w in enumerate(toks):
-                    if (at := known.get(w)) is None:
-                        other.setdefault(w, []).append(i)
-                        at = 0
-                    seq.append(at)
-                seq = np.array(seq, "<u2")
-                for w, at in other.items():
-                    seq[at] = suffix_item(w, item_words)
-                words = [{"word": w, "at": np.array(at, "<u4").tobytes()} for w, at in other.items()]
-                for column, x in zip(out, (fold(doc_id) == 1, len(toks), seq.tobytes(), words), strict=True):
-                    column.append(x)
-            types = (pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["doc_id", "held_out", "n_tokens", "items", "words"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):  # rows of places are large
+                b = whole.slice(lo, 256)
+                held, length, seqs, words, sizes, times, at = [], [], [], [], [], [], []
+                for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                    toks = tokens(t.as_py())
+                    seq = np.fromiter(map(known.get, toks, repeat(-1)), np.int64, len(toks))
+                    other: dict[bytes, list[int]] = {}
+                    for i in np.flatnonzero(seq < 0).tolist():
+                        other.setdefault(toks[i], []).append(i)
+                    for w, places in other.items():
+                        seq[places] = suffix_item(w, item_words)
+                        times.append(len(places))
+                        at += places
+                    words += other
+                    sizes.append(len(other))
+                    held.append(fold(doc_id) == 1)
+                    length.append(len(toks))
+                    seqs.append(seq.astype("<u2").tobytes())
+                listed = _listed(np.array(sizes), pa.StructArray.from_arrays([pa.array(words, pa.binary()), _listed(np.array(times, np.int64), pa.array(at, pa.int32()))], ["word", "at"]))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held, pa.bool_()), pa.array(length, pa.int64()), pa.array(seqs, pa.binary()), listed], ["doc_id", "held_out", "n_tokens", "items", "words"])
 
     id_type = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, items binary, words array<struct<word:binary,at:binary>>").withColumn("row", F.monotonically_increasing_id())
+    return src.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, items binary, words array<struct<word:binary,at:array<int>>>").withColumn("row", F.monotonically_increasing_id())
 
 
 def classified(rows: DataFrame, classes: np.ndarray, logs: np.ndarray, frequent: dict[bytes, tuple[float, int]], table: DataFrame, end_known: bool) -> DataFrame:
@@ -341,28 +373,27 @@ def classified(rows: DataFrame, classes: np.ndarray, logs: np.ndarray, frequent:
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, item_logs, table = shared.value
-        for b in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for items, words in zip(b.column("items"), b.column("words"), strict=True):
-                seq = np.frombuffer(items.as_buffer(), "<u2")
-                own = seq <= last
-                total, n_known = float(item_logs[seq[own]].sum()), int(own.sum()) - (not end_known)
-                found, rare = of[seq], []
-                for w in words.as_py() or ():
-                    at = np.frombuffer(w["at"], "<u4")
-                    if (e := table.get(entry(w["word"]))) is None:
-                        rare.append({"word": w["word"], "at": w["at"], "f": len(at), "own": int(found[at[0]])})
-                        found[at] = _OPEN
-                    else:
-                        total += len(at) * e[0]
-                        n_known += len(at)
-                        found[at] = e[1]
-                for column, x in zip(out, (n_known, total, found.tobytes(), rare), strict=True):
-                    column.append(x)
-            types = (pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary()), ("f", pa.int32()), ("own", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "doc_id", "held_out", "n_tokens")], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "classes", "rare"])
-
-    part = stored(rows.mapInArrow(resolved, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, classes binary, rare array<struct<word:binary,at:binary,f:int,own:int>>"))
+        for b in _parts(batches):
+            x = _Batch(b)
+            own = x.seq <= last
+            n_known = np.bincount(x.doc, own, x.size).astype(np.int64) - (not end_known)
+            total = np.bincount(x.doc[own], item_logs[x.seq[own]], x.size)
+            found = of[x.seq]
+            entries = [table.get(entry(w)) for w in x.words.to_pylist()]
+            of_word = np.array([_OPEN if e is None else e[1] for e in entries], np.uint8)[x.code]
+            log = np.array([0.0 if e is None else e[0] for e in entries])[x.code]
+            named = of_word != _OPEN
+            n_known += np.bincount(x.doc_of_word[named], x.times[named], x.size).astype(np.int64)
+            total += np.bincount(x.doc_of_word[named], x.times[named] * log[named], x.size)
+            group = found[x.place[np.cumsum(x.times) - x.times]]  # the class of the word's group
+            found[x.place] = np.repeat(of_word, x.times)
+            open_words = np.flatnonzero(~named)
+            take = pa.array(open_words, pa.int64())
+            rare = pa.StructArray.from_arrays([x.word.take(take), x.at.take(take), pa.array(x.times[open_words], pa.int32()), pa.array(group[open_words], pa.int32())], ["word", "at", "f", "own"])
+            columns = [pa.array(n_known), pa.array(total), _binaries(x.length, found), _listed(np.bincount(x.doc_of_word[open_words], minlength=x.size), rare)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("row", "doc_id", "held_out", "n_tokens")], *columns], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "classes", "rare"])
+
+    part = stored(rows.mapInArrow(resolved, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, classes binary, rare array<struct<word:binary,at:array<int>,f:int,own:int>>"))
     met = part.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(table, "word", "left")
     filled = met.groupBy("row").agg(
         F.collect_list(F.struct("at", F.coalesce("class", "own").alias("class"))).alias("fills"), F.sum(F.col("f") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("f"))).alias("known")
@@ -370,16 +401,17 @@ def classified(rows: DataFrame, classes: np.ndarray, logs: np.ndarray, frequent:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for c, fills in zip(b.column("classes"), b.column("fills"), strict=True):
-                found = np.frombuffer(c.as_buffer(), np.uint8)
-                if fills.is_valid:
-                    found = found.copy()
-                    for x in fills.as_py():
-                        found[np.frombuffer(x["at"], "<u4")] = x["class"]
-                out.append(found.tobytes())
+            data = b.column("classes").to_pylist()
+            length = np.fromiter(map(len, data), np.int64, len(data))
+            found = np.frombuffer(b"".join(data), np.uint8).copy()
+            fills = b.column("fills")
+            values = fills.flatten()
+            at = values.field("at")
+            start = np.repeat(np.cumsum(length) - length, fills.value_lengths().fill_null(0).to_numpy())
+            times = at.value_lengths().to_numpy()
+            found[at.flatten().to_numpy() + np.repeat(start, times)] = np.repeat(values.field("class").to_numpy(), times)
             names = ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(out, pa.binary())], [*names, "classes"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], _binaries(length, found)], [*names, "classes"])
 
     joined = part.drop("rare").join(filled, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"), "classes", "fills")
     return joined.mapInArrow(whole, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, classes binary")
