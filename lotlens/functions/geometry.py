@@ -47,10 +47,6 @@ def in_polygon(lat: Column, lon: Column, rings: Column) -> Column:
     return in_ring(lat, lon, rings[0]) & ~F.exists(F.slice(rings, F.lit(2), F.size(rings)), lambda r: in_ring(lat, lon, r))
 
 
-def contour_distance(lat: Column, lon: Column, rings: Column) -> Column:
-    return F.array_min(F.transform(rings, lambda r: line_distance(lat, lon, r)))
-
-
 def centroid(ring: Column) -> Column:
     """struct(lon, lat), weighted by area; the mean of its points where the ring has no area."""
 

@@ -48,16 +48,6 @@ def count_within(points: DataFrame, features: DataFrame, radius: float, size: fl
     return points.select("point_id").join(counts, "point_id", "left").select("point_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, radius: float, size: float = CELL) -> DataFrame:
-    """point_id, feature_id, metres of the nearest line within the radius. lines: feature_id, points ([lon, lat])."""
-    dy, dx = radius / g.LAT_METRES, radius / (g.LON_METRES * 0.5)  # up to 60 degrees of latitude
-    boxed = lines.withColumn("box", g.bounds(F.col("points")))
-    listed = boxed.select("feature_id", "points", F.explode(_cells(F.col("box.minx") - dx, F.col("box.miny") - dy, F.col("box.maxx") + dx, F.col("box.maxy") + dy, size)).alias("c")).select("feature_id", "points", "c.cx", "c.cy")
-    placed = points.withColumns({"cx": g.cell(F.col("lon"), size), "cy": g.cell(F.col("lat"), size)})
-    found = placed.join(listed, ["cx", "cy"]).withColumn("metres", g.line_distance(F.col("lat"), F.col("lon"), F.col("points"))).where(F.col("metres") <= radius)
-    return found.groupBy("point_id").agg(F.min(F.struct("metres", "feature_id")).alias("best")).select("point_id", "best.feature_id", "best.metres")
-
-
 def geocoded(listings: DataFrame, lots: DataFrame, spread: float = HOMONYM_SPREAD) -> DataFrame:
     """url, precision, lat, lon. listings: url, street, number (int or null). lots: street, number, lat, lon.
 

@@ -300,17 +300,6 @@ def spatial_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.count_within(points(spark, sf_dir), features(spark, sf_dir), 900.0)
 
 
-@query("spatial_context", f"""WITH {_POINTS}, n AS (SELECT p.point_id, f.feature_id % 3 AS layer, {_METRES} AS metres FROM pt p, ft f)
-SELECT p.point_id, (SELECT round(min(metres), 4) FROM n WHERE n.point_id = p.point_id AND layer = 0 AND metres <= 2000) AS station, (SELECT count(*) FROM n WHERE n.point_id = p.point_id AND layer = 1 AND metres <= 1500) AS parks, EXISTS (SELECT 1 FROM n WHERE n.point_id = p.point_id AND layer = 2 AND metres <= 300) AS flooding FROM pt p""")
-def spatial_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several layers around a point, each with its radius, as one row."""
-    pt, ft = points(spark, sf_dir), features(spark, sf_dir)
-    station = sp.nearest(pt, ft.where("feature_id % 3 = 0"), 2000.0).select("point_id", F.round("metres", 4).alias("station"))
-    parks = sp.count_within(pt, ft.where("feature_id % 3 = 1"), 1500.0).withColumnRenamed("n", "parks")
-    flood = sp.nearest(pt, ft.where("feature_id % 3 = 2"), 300.0).select("point_id", F.lit(True).alias("flooding"))
-    return pt.select("point_id").join(station, "point_id", "left").join(parks, "point_id", "left").join(flood, "point_id", "left").select("point_id", "station", "parks", F.coalesce("flooding", F.lit(False)).alias("flooding"))
-
-
 @query("geocode_interpolate", f"""WITH {v.AD}, lots AS (SELECT l_partkey AS street, l_linenumber * 2 + l_suppkey % 2 AS number, avg(-23.6 + (l_linenumber * 2 + l_suppkey % 2) * 0.0005 + (l_partkey % 3) * 0.004 * (l_suppkey % 2)) AS lat, avg(-46.7 + (l_partkey % 50) * 0.001) AS lon FROM lineitem GROUP BY ALL),
 a AS (SELECT url, street, CASE WHEN url % 6 = 0 THEN NULL ELSE number + 2 END AS number FROM ad),
 j AS (SELECT url, a.number, arg_max(l.lat, l.number) FILTER (l.number = a.number) AS slat, arg_max(l.lon, l.number) FILTER (l.number = a.number) AS slon,

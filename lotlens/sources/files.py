@@ -47,12 +47,5 @@ def index_series(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("index", "series")).select("index", F.explode("series").alias("month", "value"))
 
 
-def layers(spark: SparkSession, path: str, layer: str, kind: str) -> DataFrame:
-    """GeoJSON features: layer, kind, props, rings of the outer polygon, box."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>").alias("j"))
-    f = raw.select(F.explode("j.features").alias("f"))
-    return f.select(F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), F.col("f.properties").alias("props"), F.col("f.geometry.coordinates").alias("rings"))
-
-
 def money_column(text: Column) -> Column:
     return brazilian_number(text)

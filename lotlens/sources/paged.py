@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Fetchers by name: (area, page, size) -> JSON text. Executors import them from here.
-FETCHERS: dict[str, Callable[[str, int, int], str]] = {}
+from .fetching import fetched, fetcher
 
 
 class PageRange(InputPartition):
@@ -20,18 +18,17 @@ class PageRange(InputPartition):
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.fetch = options.get("fetcher", "file")
+        self.options, self.fetch = dict(options), options.get("fetcher", "")
+        fetcher(self.fetch)  # an unknown one fails here, not as pages without items
         self.area, self.size = options.get("area", ""), int(options.get("size", "36"))
         self.pages, self.per = int(options.get("pages", "1")), int(options.get("pagesPerPartition", "1"))
-        self.path = options.get("path", "")
 
     def partitions(self) -> list[PageRange]:
         return [PageRange(a, min(a + self.per, self.pages + 1)) for a in range(1, self.pages + 1, self.per)]
 
     def read(self, part: PageRange) -> Iterator[tuple]:
         for page in range(part.first, part.last):
-            text = FETCHERS[self.fetch](self.area, page, self.size) if self.fetch in FETCHERS else json.dumps({"page": page, "items": []})
-            yield (self.area, page, text)
+            yield (self.area, page, fetched(self.fetch, self.options | {"layer": self.area, "area": self.area, "start": str((page - 1) * self.size), "page": str(page), "count": str(self.size)}))
 
 
 class PagedSource(DataSource):
@@ -47,6 +44,7 @@ class PagedSource(DataSource):
 
 
 def paged(spark: SparkSession, **options: str) -> DataFrame:
+    """area, page, body of pages 1 to ``pages``. fetcher: an import path; area, size, pagesPerPartition, and what the fetcher asks for."""
     spark.dataSource.register(PagedSource)
     return spark.read.format("paged_json").options(**options).load()
 

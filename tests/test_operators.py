@@ -150,11 +150,17 @@ def test_headers_in_any_spelling(spark) -> None:
     assert (got["number"], got["missing"]) == ("1", None)
 
 
-def test_pages_and_paged_source(spark) -> None:
+def test_pages_and_paged_source(spark, tmp_path) -> None:
     got = pages.parse_page("<title>A &amp; B</title><nav>x</nav><h1> H </h1><p>short</p><p>a <b>longer</b> one</p><a href='/x'>l</a><img src=i.jpg>")
     assert (got["title"], got["heading"], got["description"], got["links"], got["images"]) == ("A & B", "H", "a longer one", ["/x"], ["i.jpg"])
     assert pages.parse_page(None)["title"] == ""
     assert pages.embedded_array('var p = [{"a": "]"}, 2]; x', "p =") == '[{"a": "]"}, 2]'
     bodies = spark.createDataFrame([("a", 1, json.dumps({"items": [{"url": "u", "price": 1.0, "unit_types": ["HOME"], "photos": ["p", "p"]}, {"url": "f", "unit_types": ["APARTMENT"]}]})), ("a", 2, "no json")], "area string, page int, body string")
     assert [(r["url"], r["photos"]) for r in paged.api_listings(bodies).collect()] == [("u", ["p"])]
-    assert paged.paged(spark, pages="5", pagesPerPartition="2", area="x").count() == 5
+    with pytest.raises(Exception, match="package.module:function"):
+        paged.paged(spark, pages="5", area="x").count()
+    for start in range(0, 180, 36):
+        (tmp_path / f"layer=x/start={start}").mkdir(parents=True)
+        (tmp_path / f"layer=x/start={start}/part-0.txt").write_text(f"page {start}")
+    found = paged.paged(spark, fetcher="lotlens.sources.fetching:saved_answer", folder=f"file://{tmp_path}", pages="5", pagesPerPartition="2", area="x")
+    assert sorted(r["body"] for r in found.collect()) == sorted(f"page {s}" for s in range(0, 180, 36))
