@@ -4,9 +4,11 @@ Spark deals out the texts; within a partition the distinct matches of the
 pattern that a worker hasn't met become rows of (word, position, width, token),
 one a byte. The recursive query joins neighbours with the table of merges and
 contracts each word's pair of least rank, the leftmost first, until no word has
-a pair left. A step contracts all of a word's pairs of that rank where no other
-order is possible: where whatever can be made of the merged token ranks behind
-it (``calm``). A word that is a token as a whole is taken as it is.
+a pair left. A step also contracts what that order must come to anyway: all
+pairs of that rank, where whatever can be made of the merged token ranks behind
+it (``calm``), and calm pairs whose halves nothing that ranks before them can
+take (``sure``), given the bytes beside them: these are the same in any order.
+A word that is a token as a whole is taken as it is.
 
 Decoding joins the rows (text, position, token) with the vocabulary and
 aggregates their bytes in order.
@@ -27,22 +29,22 @@ from .common import plain
 #: Matches that are looked up together, bytes of new words that a query takes and steps that it goes, entries and bytes of a worker's table of words, and tokens that a query decodes.
 CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 400_000, 1 << 19, 16, 300_000, 64 << 20, 500_000
 
-#: The rows of each word after its last step; ``done`` if no pair is left.
+#: The rows of each word after its last step; ``done`` if no pair is left. behind, ahead: the bytes beside a token, -1 at a word's ends.
 _CONTRACT = f"""
-WITH RECURSIVE t(word, step, pos, width, tok) AS (
-  SELECT word, 0, pos, width, tok FROM start
+WITH RECURSIVE t(word, step, pos, width, tok, behind, ahead) AS (
+  SELECT word, 0, pos, width, tok, behind, ahead FROM start
   UNION ALL
-  (WITH pairs AS (SELECT a.word, a.pos, b.pos AS gone, a.width AS first, a.width + b.width AS width, m.id, m.l = m.r AS twin, calm
-      FROM t a JOIN t b ON a.pos + a.width = b.pos AND a.word = b.word JOIN merges m ON m.l = a.tok AND m.r = b.tok WHERE a.step < {STEPS}),
-   low AS (SELECT word, min(id) AS id, min_by(pos, id::BIGINT << 32 | pos) AS leftmost FROM pairs GROUP BY word),
-   found AS MATERIALIZED (SELECT p.* FROM pairs p JOIN low USING (word, id) WHERE calm OR pos = leftmost),
-   run AS (SELECT *, pos - first * row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM found WHERE twin),
-   hit AS MATERIALIZED (SELECT word, pos, gone, width, id FROM found WHERE NOT twin
-      UNION ALL SELECT word, pos, gone, width, id FROM (SELECT *, min(pos) OVER (PARTITION BY word, run) AS head FROM run) WHERE (pos - head) // first % 2 = 0)
-   SELECT t.word, t.step + 1, t.pos, coalesce(h.width, t.width), coalesce(h.id, t.tok)
-   FROM t SEMI JOIN low ON t.word = low.word LEFT JOIN hit h ON t.pos = h.pos WHERE NOT EXISTS (SELECT 1 FROM hit g WHERE t.pos = g.gone))
-)
-SELECT word, pos, width, tok, last < {STEPS} AS done FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM t) WHERE step = last"""
+  (WITH beside AS (SELECT *, lead(tok) OVER w AS tok2, lead(width) OVER w AS width2, lead(ahead) OVER w AS ahead2 FROM t WHERE step < {STEPS} WINDOW w AS (ORDER BY pos)),
+   pairs AS MATERIALIZED (SELECT t.*, m.id, calm, m.l = m.r AS twin, calm AND m.id < coalesce(x.id, 2147483647) AND m.id < coalesce(y.id, 2147483647) AS sure
+      FROM beside t LEFT JOIN merges m ON ahead >= 0 AND m.l = t.tok AND m.r = t.tok2 LEFT JOIN leftward x ON x.tok = t.tok AND x.beside = t.behind LEFT JOIN rightward y ON y.tok = t.tok2 AND y.beside = t.ahead2),
+   low AS (SELECT word, min(id::BIGINT << 32 | pos) AS low FROM pairs WHERE id IS NOT NULL GROUP BY word),
+   found AS MATERIALIZED (SELECT p.*, coalesce(sure OR id = low >> 32 AND (calm OR pos = low & 4294967295), false) AS hit FROM pairs p JOIN low USING (word)),
+   run AS (SELECT word, id, pos, width, pos - width * row_number() OVER (PARTITION BY word, id ORDER BY pos) AS run FROM found WHERE hit AND twin),
+   skip AS (SELECT pos FROM (SELECT *, min(pos) OVER (PARTITION BY word, id, run) AS head FROM run) WHERE (pos - head) // width % 2 = 1),
+   chosen AS (SELECT f.* EXCLUDE (hit), hit AND s.pos IS NULL AS hit, lag(hit AND s.pos IS NULL, 1, false) OVER (ORDER BY f.pos) AS gone FROM found f LEFT JOIN skip s ON s.pos = f.pos)
+   SELECT word, step + 1, pos, CASE WHEN hit THEN width + width2 ELSE width END, CASE WHEN hit THEN id ELSE tok END, behind, CASE WHEN hit THEN ahead2 ELSE ahead END FROM chosen WHERE NOT gone)
+), l AS (SELECT word, max(step) AS step FROM t GROUP BY word)
+SELECT word, pos, width, tok, behind, ahead, step < {STEPS} AS done FROM t JOIN l USING (word, step) ORDER BY pos"""
 
 #: All pairs of tokens that together are a token; calm: no pair with the merged token ranks before it.
 _MERGES = """
@@ -51,6 +53,12 @@ WITH m AS (SELECT x.id AS l, y.id AS r, t.id FROM (SELECT id, hex, unnest(range(
 later AS (SELECT part, min(id) AS id FROM (SELECT l AS part, id FROM m UNION ALL SELECT r, id FROM m) GROUP BY part)
 SELECT l, r, m.id, m.id < coalesce(later.id, 2147483647) AS calm FROM m LEFT JOIN later ON later.part = m.id"""
 
+#: The least rank that takes a token from its left (right), where that side ends (begins) with a byte.
+_BESIDE = {
+    "leftward": "SELECT r AS tok, ('0x' || right(hex, 2))::INT AS beside, min(m.id) AS id FROM merges m JOIN vocabulary v ON v.id = l GROUP BY ALL",
+    "rightward": "SELECT l AS tok, ('0x' || left(hex, 2))::INT AS beside, min(m.id) AS id FROM merges m JOIN vocabulary v ON v.id = r GROUP BY ALL",
+}
+
 _DECODE = "SELECT part, string_agg(hex, '' ORDER BY pos) AS hex FROM token JOIN vocabulary ON vocabulary.id = token.id GROUP BY part ORDER BY part"
 
 
@@ -72,6 +80,8 @@ class Coder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
         self.db.execute(f"CREATE TABLE merges AS {_MERGES}")
+        for side, query in _BESIDE.items():
+            self.db.execute(f"CREATE TABLE {side} AS {query}")
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -83,19 +93,26 @@ class Coder:
                 cls.loaded[ranks, pattern] = cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
         return cls.loaded[ranks, pattern]
 
-    def contracted(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words of a byte at least: a recursive query goes STEPS steps, the next takes up the words that aren't done."""
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        state = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words]), "pos": np.arange(len(raw), dtype=np.int32), "width": np.ones(len(raw), np.int32), "tok": self.byte[raw]})
-        out: list[list[int]] = [[]] * len(words)
+    def contracted(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of a byte at least: a recursive query goes STEPS steps, the next takes up the words that aren't done."""
+        raw, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        behind, ahead = np.empty(len(raw), np.int32), np.empty(len(raw), np.int32)
+        behind[1:], ahead[:-1] = raw[:-1], raw[1:]
+        behind[ends - sizes], ahead[ends - 1] = -1, -1
+        state = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": np.arange(len(raw), dtype=np.int32), "width": np.ones(len(raw), np.int32), "tok": self.byte[raw], "behind": behind, "ahead": ahead})
+        out = [b""] * len(words)
         while state.num_rows:
             self.db.register("start", state)
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE state AS {_CONTRACT}")
+            after = self.db.sql(_CONTRACT).to_arrow_table()
             self.db.unregister("start")
-            found = self.db.sql("SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE done GROUP BY word").to_arrow_table()
-            for word, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True):
-                out[word] = ids
-            state = self.db.sql("SELECT word, pos, width, tok FROM state WHERE NOT done").to_arrow_table()
+            word, done = after["word"].to_numpy(), after["done"].to_numpy()
+            ids = after["tok"].to_numpy()[done].astype("<u4").tobytes()
+            found, first = np.unique(word[done], return_index=True)  # in order, as positions are
+            bounds = np.append(first, len(ids) // 4)
+            for w, a, b in zip(found.tolist(), (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True):
+                out[w] = ids[a:b]
+            state = after.filter(pa.array(~done)).drop_columns(["done"])
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -106,7 +123,7 @@ class Coder:
 
         def run() -> None:
             for word, ids in zip(todo, self.contracted([w.encode() for w in todo]), strict=True):
-                self._keep(word, np.array(ids, "<u4").tobytes())
+                self._keep(word, ids)
 
         for word in words:
             raw = word.encode()
