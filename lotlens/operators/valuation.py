@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.address import postal_code
+from ..storage import materialized
 
 # Months that an index may be carried on, and how pure a street's postal code must be.
 MONTHS_BACK, LEAST_SALES, LEAST_SHARE = 24, 3, 0.60
 # Fixed value: how a lot's price by area falls with its size.
 ELASTICITY = -0.662
+#: Bins that a group's values are cut into at once, and rows that a task ranks for a group.
+BINS, SMALL = 1024, 10_000
 
 
 def floor_quantile(values: Column, q: float) -> Column:
@@ -26,32 +29,55 @@ def upper_median(values: Column) -> Column:
     return floor_quantile(values, 0.5)
 
 
-def _bin(value: Column) -> Column:
-    """A number that rises with the value: 256 bins for each doubling."""
-    size = lambda x: F.floor(F.log2(x) * 256) + 400_000
-    x = value.cast("double")
-    return F.when(x > 0, size(x)).when(x < 0, -size(-x)).otherwise(0).cast("long")
-
-
 def placed_values(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """keys, n and, under each name, the value at a place (from 0, of n) of each group's sorted values. Nulls don't count.
+    """keys, n and, under each name, the value at a place (from 0, of n) of each group's sorted values. Nulls and NaN don't count.
 
-    No group is sorted in one task: the values are counted in bins, and only the values of the bin that holds a place,
-    each different one once, are ranked.
+    No group is sorted in one task, whatever its size and the range of its values: between a group's least and largest value
+    lie BINS bins, whose rows are counted; the bin that holds the place is cut into bins in the same way, between its own
+    least and largest value, until few rows or one value are left of it, and only these are ranked.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__value"), _bin(F.col(value)).alias("__bin"))
-    counts = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__k"))
-    group = Window.partitionBy(*keys)  # rows of a group here are bins
-    sums = counts.withColumns({"__upto": F.sum("__k").over(group.orderBy("__bin")), "n": F.sum("__k").over(group)})
-    wanted = sums.select(*keys, "__bin", "__upto", "__k", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()])).alias("__w"))
-    inside = wanted.where((F.col("__w.place") < F.col("__upto")) & (F.col("__w.place") >= F.col("__upto") - F.col("__k")))
-    inside = inside.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__bin").alias("__of_bin"), "n", F.col("__w.name").alias("__name"), (F.col("__w.place") - F.col("__upto") + F.col("__k")).alias("__rest"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], F.col("__bin") == F.col("__of_bin"))
-    values = rows.join(inside, same).groupBy(*keys, "n", "__name", "__rest", "__value").agg(F.count("*").alias("__k"))
-    upto = F.sum("__k").over(Window.partitionBy(*keys, "__name").orderBy("__value"))
+    x = F.col("__x")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).alias("__value"), F.greatest(F.least(F.col(value).cast("double"), F.lit(1.7e308)), F.lit(-1.7e308)).alias("__x"))
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    names = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()])
+    state = groups.select(*keys, "n", F.col("n").alias("__in"), "__lo", "__hi", F.explode(names).alias("__w")).select(*keys, "n", "__in", "__lo", "__hi", F.col("__w.name").alias("__name"), F.col("__w.place").alias("__rest"))
+    state = materialized(state.where("__rest >= 0 and __rest < n"))
+
+    def inside(of: DataFrame) -> DataFrame:
+        """The rows between the bounds of their group's places."""
+        bounds = of.select(*[F.col(k).alias(f"__of_{k}") for k in keys], "n", "__lo", "__hi", "__name", "__rest", "__in")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], x.between(F.col("__lo"), F.col("__hi")))
+        if not keys:  # a row for each place
+            return rows.join(F.broadcast(bounds), same)
+        return rows.join(bounds, same)
+
+    wide = (F.col("__in") > SMALL) & (F.col("__lo") < F.col("__hi"))
+    while not state.where(wide).isEmpty():
+        share = (x / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
+        bins = inside(state.where(wide)).withColumn("__bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
+        counts = bins.groupBy(*keys, "n", "__name", "__rest", "__bin").agg(F.count("*").alias("__in"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        counts = counts.withColumn("__upto", F.sum("__in").over(Window.partitionBy(*keys, "__name").orderBy("__bin")))  # BINS rows a place
+        chosen = counts.where((F.col("__rest") < F.col("__upto")) & (F.col("__rest") >= F.col("__upto") - F.col("__in"))).withColumn("__rest", F.col("__rest") - F.col("__upto") + F.col("__in"))
+        state = materialized(state.where(~wide).unionByName(chosen.select(*state.columns)))
+    values = inside(state).groupBy(*keys, "n", "__name", "__rest", "__value").agg(F.count("*").alias("__k"))
+    upto = F.sum("__k").over(Window.partitionBy(*keys, "__name").orderBy("__value"))  # SMALL rows a place, or one
     return values.withColumn("__upto", upto).where(F.col("__rest") < F.col("__upto")).groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__name") == name, F.col("__value"))).alias(name) for name in places])
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """keys, n and quantiles between the two nearest values, as ``percentile`` gives them, of groups of any size."""
+    places: dict[str, Callable[[Column], Column]] = {}
+    for name, q in quantiles.items():
+        places |= {f"{name}__0": lambda n, q=q: F.floor((n - 1) * F.lit(q)), f"{name}__1": lambda n, q=q: F.ceil((n - 1) * F.lit(q))}
+    found = placed_values(df, keys, value, places)
+
+    def between(name: str, q: float) -> Column:
+        low, high, at = F.col(f"{name}__0").cast("double"), F.col(f"{name}__1").cast("double"), (F.col("n") - 1) * F.lit(q)
+        return F.when(low == high, low).otherwise(low * (F.ceil(at) - at) + high * (at - F.floor(at))).alias(name)
+
+    return found.select(*keys, "n", *[between(name, q) for name, q in quantiles.items()])
+
+
 def ranked_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """keys, n and floor-rank quantiles of groups of any size."""
 
@@ -128,12 +154,37 @@ def building_prices(sales: DataFrame, land: DataFrame, region: str, least: int =
 
 def validation(rows: DataFrame, estimate: str, actual: str) -> DataFrame:
     """One row: n, median and quartiles of estimate / actual, the shares within 20 and 30 percent, and the median error."""
-    ratio = F.try_divide(F.col(estimate), F.col(actual))
-    near = lambda x: F.avg((F.abs(F.col("r") - 1) <= x).cast("int"))
-    return rows.select(ratio.alias("r")).where("r is not null").agg(
-        F.count("*").alias("n"), F.median("r").alias("median"), F.percentile("r", F.lit(0.25)).alias("q1"), F.percentile("r", F.lit(0.75)).alias("q3"),
-        near(0.2).alias("within20"), near(0.3).alias("within30"), F.median(F.abs(F.col("r") - 1)).alias("median_error"),
-    )
+    r = F.col("r")
+    ratios = materialized(rows.select(F.try_divide(F.col(estimate), F.col(actual)).alias("r")).where("r is not null").withColumn("error", F.abs(r - 1)))
+    near = ratios.agg(*[F.avg((F.col("error") <= x).cast("int")).alias(name) for name, x in (("within20", 0.2), ("within30", 0.3))])
+    quartiles, error = percentiles(ratios, [], "r", {"median": 0.5, "q1": 0.25, "q3": 0.75}), percentiles(ratios, [], "error", {"median_error": 0.5}).drop("n")
+    return quartiles.crossJoin(F.broadcast(near)).crossJoin(F.broadcast(error))  # one row each
+
+
+def dispersion(df: DataFrame, region: str, year: str, value: str, least: int = 2) -> DataFrame:
+    """n regions with at least ``least`` years, and the median over them of how far a year's median lies from the region's, relative to it."""
+    by_year = materialized(percentiles(df, [region, year], value, {"m": 0.5}).drop("n"))
+    # A region has a row for each year: its medians are of bounded groups.
+    whole = by_year.groupBy(region).agg(F.median("m").alias("mm"), F.count("*").alias("years")).where(F.col("years") >= least)
+    spread = by_year.join(whole, region).groupBy(region, "mm").agg((F.median(F.abs(F.col("m") - F.col("mm"))) / F.col("mm")).alias("spread"))
+    return percentiles(spread, [], "spread", {"spread": 0.5}).select("n", "spread")
+
+
+def index_errors(pairs: DataFrame, levels: DataFrame, day: str, unit: str) -> DataFrame:
+    """One row: n pairs, and of the logarithm of the carried over the real price, without an index and with one, the median error, the median (bias) and the mean error.
+
+    pairs: structs a and b with ``day`` and ``unit``. levels: month ('yyyyMM'), level; pairs of months without one don't count.
+    """
+    month = lambda side: F.date_format(f"{side}.{day}", "yyyyMM")
+    level = lambda n: levels.select(F.col("month").alias(f"month{n}"), F.col("level").alias(f"level{n}"))
+    moved = F.log(F.col(f"b.{unit}") / F.col(f"a.{unit}"))
+    rows = pairs.select(moved.alias("moved"), month("a").alias("month0"), month("b").alias("month1")).join(level(0), "month0").join(level(1), "month1")
+    none, index = -F.col("moved"), F.log(F.col("level1") / F.col("level0")) - F.col("moved")
+    kinds = {"none_error": F.abs(none), "none_bias": none, "index_error": F.abs(index), "index_bias": index}
+    errors = materialized(rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("x")) for k, x in kinds.items()])).alias("e")).select("e.*"))
+    by_kind = percentiles(errors, ["kind"], "x", {"median": 0.5}).join(errors.groupBy("kind").agg(F.avg("x").alias("mean")), "kind")
+    of = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
+    return by_kind.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[of(k, "median").alias(k) for k in kinds], of("none_error", "mean").alias("none_mean"), of("index_error", "mean").alias("index_mean"))
 
 
 def effective_codes(listings: DataFrame, streets: DataFrame, least: int = LEAST_SALES) -> DataFrame:
@@ -164,7 +215,7 @@ def lots_of_code(listings: DataFrame, lots: DataFrame) -> DataFrame:
 
 def year_series(df: DataFrame, year: str, value: str, least: int) -> DataFrame:
     """year, n, median, and index against the first year with enough rows."""
-    by_year = df.groupBy(year).agg(F.count("*").alias("n"), F.median(value).alias("median")).where(F.col("n") >= least)
+    by_year = materialized(percentiles(df, [year], value, {"median": 0.5}).where(F.col("n") >= least))
     base = by_year.agg(F.min_by("median", year).alias("base"))
     return by_year.crossJoin(F.broadcast(base)).select(year, "n", "median", F.try_divide("median", "base").alias("index"))  # one row
 
@@ -254,15 +305,3 @@ def similar_houses(listings: DataFrame, houses: DataFrame, tolerance: float = 0.
     alike = (F.col("h.street") == F.col("a.street")) & F.col("h.area").between(F.col("a.area") * (1 - tolerance), F.col("a.area") * (1 + tolerance))
     found = listings.alias("a").join(houses.alias("h"), alike)
     return found.groupBy(F.col("a.url").alias("url")).agg(F.count("*").alias("n"), F.median("h.land_value").alias("land_value"), F.median("h.building_value").alias("building_value")).where(F.col("n") >= least)
-
-
-def matched_pairs(sales: DataFrame, key: str, day: str, area: str, months: int = 24, ratio: float = 1.3, most: int = 150, tie: list[str] | None = None) -> DataFrame:
-    """Pairs of sales of one key at least ``months`` apart and of like area, ``most`` a key, by the hash of their ids."""
-    a, b = sales.alias("a"), sales.alias("b")
-    far = F.months_between(F.col(f"b.{day}"), F.col(f"a.{day}")) >= months
-    near = F.abs(F.log(F.col(f"b.{area}") / F.col(f"a.{area}"))) <= F.log(F.lit(ratio))
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & far & near)
-    ids = tie or ["sale_id"]
-    order = F.md5(F.concat_ws("-", *[F.col(f"{s}.{c}").cast("string") for s in "ab" for c in ids]).cast("binary"))
-    ranked = pairs.withColumn("__place", F.row_number().over(Window.partitionBy(F.col(f"a.{key}")).orderBy(order)))
-    return ranked.where(F.col("__place") <= most)

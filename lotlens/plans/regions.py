@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as s
+from ..operators import pairs as pr
 from ..operators import valuation as val
 from ..sources import views as v
 from .registry import query
@@ -75,7 +76,9 @@ SELECT zone::BIGINT AS zone, count(*) AS n, round(median(residual), 4) AS residu
 def residual_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What buildings cost beyond land: sales of small areas give a region's land price, larger ones the rest."""
     u = units(spark, sf_dir).withColumn("zone", F.col("street") % 50)
-    land = u.where("area >= 5 and area < 30").groupBy("zone").agg(F.median("unit").alias("price"), F.median("area").alias("ref"), F.count("*").alias("k")).where("k >= 12").drop("k")
+    small = u.where("area >= 5 and area < 30")
+    price, ref = (val.percentiles(small, ["zone"], of, {name: 0.5}).where("n >= 12").drop("n") for of, name in (("unit", "price"), ("area", "ref")))
+    land = price.join(ref, "zone")
     sold = u.where("area >= 30 and y >= 1996").withColumn("built", F.col("area"))
     return val.building_prices(sold, land, "zone").select("zone", "n", F.round("residual", 4).alias("residual"), F.round("p25", 4).alias("p25"))
 
@@ -85,7 +88,7 @@ SELECT count(*) AS n, round(median(r), 6) AS median, round(quantile_cont(r, 0.25
 def model_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit before a year, tested from it on."""
     u = units(spark, sf_dir).withColumn("zone", F.col("street") % 50)
-    fit = u.where("y < 2000").groupBy("zone").agg(F.median("unit").alias("price"))
+    fit = val.percentiles(u.where("y < 2000"), ["zone"], "unit", {"price": 0.5}).drop("n")
     found = val.validation(u.where("y >= 2000").join(fit, "zone"), "price", "unit")
     return found.select("n", *[F.round(c, 6).alias(c) for c in found.columns if c != "n"])
 
@@ -129,20 +132,23 @@ def index_asof_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.index_factor(months, "month", holes, "199001", "200412").withColumn("factor", F.round("factor", 6))
 
 
-@query("index_backtest", f"""{_UNITS}, p AS (SELECT a.street, ln(b.unit / a.unit) AS moved, ln(b.area / a.area) AS size, md5(concat_ws('-', a.orderkey, a.number, a.suppkey, a.area, a.value, b.orderkey, b.number, b.suppkey, b.area, b.value)) AS h
-  FROM u a JOIN u b ON a.street = b.street AND date_diff('day', a.sold, b.sold) >= 731 AND abs(ln(b.area / a.area)) <= ln(1.3)),
-k AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY h) AS place FROM p)
-SELECT count(*) AS n, round(median(abs(moved)), 6) AS median_error, round(avg(moved), 6) AS bias, round(avg((abs(moved) < abs(size))::INT), 6) AS wins FROM k WHERE place <= 150""")
+@query("index_backtest", f"""{_UNITS}, {CHAIN}, lvl AS (SELECT month, level FROM chain),
+e AS (SELECT *, year(sold) * 12 + month(sold) AS mon, floor(ln(area) / ln(1.3))::BIGINT AS band FROM u WHERE area > 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY street, mon, band ORDER BY orderkey, number, suppkey, area, value) - 1 AS place, count(*) OVER (PARTITION BY street, mon, band) AS k FROM e),
+g AS (SELECT street, mon, band, any_value(k) AS k FROM c GROUP BY ALL),
+w AS (SELECT a.street, a.mon AS m0, a.band AS b0, b.mon AS m1, b.band AS b1, b.k AS k1, sum(a.k * b.k) OVER (PARTITION BY a.street ORDER BY a.mon, a.band, b.mon, b.band) - a.k * b.k AS start, sum(a.k * b.k) OVER (PARTITION BY a.street) AS total
+  FROM g a JOIN g b ON a.street = b.street AND abs(a.band - b.band) <= 1 AND b.mon - a.mon >= 24),
+p AS (SELECT a.street, ln(b.unit / a.unit) AS moved, ln(b.area / a.area) AS size, strftime(a.sold, '%Y%m') AS ma, strftime(b.sold, '%Y%m') AS mb, ((start + a.place * k1 + b.place)::HUGEINT * 2305843009213693951 % total) AS turn
+  FROM w JOIN c a ON a.street = w.street AND a.mon = m0 AND a.band = b0 JOIN c b ON b.street = w.street AND b.mon = m1 AND b.band = b1 WHERE abs(ln(b.area / a.area)) <= ln(1.3)),
+k AS (SELECT *, row_number() OVER (PARTITION BY street ORDER BY turn) AS place FROM p),
+x AS (SELECT moved, ln(lb.level / la.level) - moved AS indexed FROM k JOIN lvl la ON la.month = ma JOIN lvl lb ON lb.month = mb WHERE place <= 150)
+SELECT count(*) AS n, round(median(abs(moved)), 6) AS none_error, round(median(-moved), 6) AS none_bias, round(avg(abs(moved)), 6) AS none_mean, round(median(abs(indexed)), 6) AS index_error, round(median(indexed), 6) AS index_bias, round(avg(abs(indexed)), 6) AS index_mean FROM x""")
 def index_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = units(spark, sf_dir).select("street", "sold", "area", "unit", "orderkey", "number", "suppkey", F.col("area").cast("string").alias("a_text"), "value")
-    a, b = u.alias("a"), u.alias("b")
-    near = (F.datediff("b.sold", "a.sold") >= 731) & (F.abs(F.log(F.col("b.area") / F.col("a.area"))) <= F.log(F.lit(1.3)))
-    pairs = a.join(b, (F.col("a.street") == F.col("b.street")) & near)
-    from pyspark.sql import Window
-
-    h = F.md5(F.concat_ws("-", *[F.col(f"{x}.{c}").cast("string") for x in "ab" for c in ("orderkey", "number", "suppkey", "area", "value")]).cast("binary"))
-    k = pairs.select(F.col("a.street").alias("street"), F.log(F.col("b.unit") / F.col("a.unit")).alias("moved"), F.log(F.col("b.area") / F.col("a.area")).alias("size"), h.alias("h")).withColumn("place", F.row_number().over(Window.partitionBy("street").orderBy("h"))).where("place <= 150")
-    return k.agg(F.count("*").alias("n"), F.round(F.median(F.abs("moved")), 6).alias("median_error"), F.round(F.avg("moved"), 6).alias("bias"), F.round(F.avg((F.abs("moved") < F.abs("size")).cast("int")), 6).alias("wins"))
+    """How far an index carries a sale's unit price to that of a later sale of the street, against no index: pairs of months, 150 a street at most."""
+    u = units(spark, sf_dir).select("street", "sold", "area", "unit", "orderkey", "number", "suppkey", "value")
+    pairs = pr.drawn_pairs(u, "street", "sold", "area", ["orderkey", "number", "suppkey", "area", "value"])
+    levels = val.chained_index(monthly(spark, sf_dir), "month", "pct").select("month", "level")
+    return val.index_errors(pairs, levels, "sold", "unit").select("n", *[F.round(c, 6).alias(c) for c in ("none_error", "none_bias", "none_mean", "index_error", "index_bias", "index_mean")])
 
 
 LOT = """lot AS (SELECT l_partkey AS street, l_partkey // 20 AS block, l_linenumber AS number, l_orderkey * 10 + l_linenumber AS lot_id, CASE WHEN l_tax > 0.07 THEN NULL ELSE l_quantity END AS built, CASE WHEN l_discount > 0.09 THEN NULL ELSE l_quantity * (1 + l_suppkey % 3) END AS land, l_returnflag <> 'N' AS is_house FROM lineitem)"""
@@ -253,10 +259,8 @@ def assessed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("intra_dispersion", f"""{_UNITS}, a AS (SELECT street % 200 AS zone, y, median(unit) AS m FROM u GROUP BY ALL), b AS (SELECT zone, median(m) AS mm, count(*) AS years FROM a GROUP BY zone HAVING count(*) >= 2), c AS (SELECT a.zone, median(abs(a.m - b.mm)) / any_value(b.mm) AS spread FROM a JOIN b USING (zone) GROUP BY a.zone)
 SELECT count(*) AS n, round(median(spread), 6) AS spread FROM c""")
 def intra_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = units(spark, sf_dir).groupBy((F.col("street") % 200).alias("zone"), "y").agg(F.median("unit").alias("m"))
-    b = a.groupBy("zone").agg(F.median("m").alias("mm"), F.count("*").alias("years")).where("years >= 2")
-    c = a.join(b, "zone").groupBy("zone", "mm").agg((F.median(F.abs(F.col("m") - F.col("mm"))) / F.col("mm")).alias("spread"))
-    return c.agg(F.count("*").alias("n"), F.round(F.median("spread"), 6).alias("spread"))
+    found = val.dispersion(units(spark, sf_dir).select((F.col("street") % 200).alias("zone"), "y", "unit"), "zone", "y", "unit")
+    return found.select("n", F.round("spread", 6).alias("spread"))
 
 
 @query("weighted_mean", f"{_UNITS} SELECT y::INT AS year, financed, count(*) AS n, round(sum(value) / nullif(sum(area), 0), 4) AS unit FROM u GROUP BY ALL")
@@ -270,8 +274,9 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = summaries(spark, sf_dir).select("url", "ratio").join(v.listings(spark, sf_dir).select("url", "upkeep"), "url").where("upkeep is not null")
     r = rows.agg(F.round(F.corr("upkeep", "ratio"), 6).alias("r"))
-    by = rows.groupBy("upkeep").agg(F.count("*").alias("n"), F.round(F.median("ratio"), 6).alias("median_ratio"), F.round(100.0 * F.avg((F.col("ratio") < 1).cast("int")), 4).alias("pct_below"))
-    return by.crossJoin(F.broadcast(r))  # one row
+    by = rows.groupBy("upkeep").agg(F.count("*").alias("n"), F.round(100.0 * F.avg((F.col("ratio") < 1).cast("int")), 4).alias("pct_below"))
+    medians = val.percentiles(rows, ["upkeep"], "ratio", {"median_ratio": 0.5}).select("upkeep", F.round("median_ratio", 6).alias("median_ratio"))
+    return by.join(medians, "upkeep", "left").crossJoin(F.broadcast(r))  # one row
 
 
 @query("unique_match", f"WITH {v.AD}, {v.SALE}, one AS (SELECT street, number, max(value) AS value FROM sale GROUP BY street, number HAVING count(*) = 1) SELECT url, value, round(price / value, 6) AS ratio FROM ad JOIN one ON ad.street = one.street AND ad.number = one.number")
