@@ -10,8 +10,8 @@ it (``calm``), and calm pairs whose halves nothing that ranks before them can
 take (``sure``), given the bytes beside them: these are the same in any order.
 A word that is a token as a whole is taken as it is.
 
-Decoding joins the rows (text, position, token) with the vocabulary and
-aggregates their bytes in order.
+Decoding joins the rows (position, token) of many texts with the vocabulary and
+aggregates their bytes in order; the tokens' widths tell where a text ends.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import plain
 
-#: Matches that are looked up together, bytes of new words that a query takes and steps that it goes, entries and bytes of a worker's table of words, and tokens that a query decodes.
-CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 400_000, 1 << 19, 16, 300_000, 64 << 20, 500_000
+#: Matches that are looked up together, characters of new words that a query takes and steps that it goes, entries and bytes of a worker's table of words, and tokens that a query decodes.
+CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 300_000, 3 << 17, 16, 300_000, 64 << 20, 400_000
 
 #: The rows of each word after its last step; ``done`` if no pair is left. behind, ahead: the bytes beside a token, -1 at a word's ends.
 _CONTRACT = f"""
@@ -38,10 +38,10 @@ WITH RECURSIVE t(word, step, pos, width, tok, behind, ahead) AS (
    pairs AS MATERIALIZED (SELECT t.*, m.id, calm, m.l = m.r AS twin, calm AND m.id < coalesce(x.id, 2147483647) AND m.id < coalesce(y.id, 2147483647) AS sure
       FROM beside t LEFT JOIN merges m ON ahead >= 0 AND m.l = t.tok AND m.r = t.tok2 LEFT JOIN leftward x ON x.tok = t.tok AND x.beside = t.behind LEFT JOIN rightward y ON y.tok = t.tok2 AND y.beside = t.ahead2),
    low AS (SELECT word, min(id::BIGINT << 32 | pos) AS low FROM pairs WHERE id IS NOT NULL GROUP BY word),
-   found AS MATERIALIZED (SELECT p.*, coalesce(sure OR id = low >> 32 AND (calm OR pos = low & 4294967295), false) AS hit FROM pairs p JOIN low USING (word)),
-   run AS (SELECT word, id, pos, width, pos - width * row_number() OVER (PARTITION BY word, id ORDER BY pos) AS run FROM found WHERE hit AND twin),
-   skip AS (SELECT pos FROM (SELECT *, min(pos) OVER (PARTITION BY word, id, run) AS head FROM run) WHERE (pos - head) // width % 2 = 1),
-   chosen AS (SELECT f.* EXCLUDE (hit), hit AND s.pos IS NULL AS hit, lag(hit AND s.pos IS NULL, 1, false) OVER (ORDER BY f.pos) AS gone FROM found f LEFT JOIN skip s ON s.pos = f.pos)
+   found AS (SELECT p.*, coalesce(sure OR id = low >> 32 AND (calm OR pos = low & 4294967295), false) AS fits FROM pairs p JOIN low USING (word)),
+   runs AS (SELECT *, max(CASE WHEN NOT fits OR NOT twin THEN pos + width WHEN behind < 0 THEN pos END) OVER (ORDER BY pos) AS run FROM found),
+   hits AS (SELECT *, fits AND (NOT twin OR (pos - run) // width % 2 = 0) AS hit FROM runs),
+   chosen AS (SELECT *, lag(hit, 1, false) OVER (ORDER BY pos) AS gone FROM hits)
    SELECT word, step + 1, pos, CASE WHEN hit THEN width + width2 ELSE width END, CASE WHEN hit THEN id ELSE tok END, behind, CASE WHEN hit THEN ahead2 ELSE ahead END FROM chosen WHERE NOT gone)
 ), l AS (SELECT word, max(step) AS step FROM t GROUP BY word)
 SELECT word, pos, width, tok, behind, ahead, step < {STEPS} AS done FROM t JOIN l USING (word, step) ORDER BY pos"""
@@ -59,7 +59,7 @@ _BESIDE = {
     "rightward": "SELECT l AS tok, ('0x' || left(hex, 2))::INT AS beside, min(m.id) AS id FROM merges m JOIN vocabulary v ON v.id = r GROUP BY ALL",
 }
 
-_DECODE = "SELECT part, string_agg(hex, '' ORDER BY pos) AS hex FROM token JOIN vocabulary ON vocabulary.id = token.id GROUP BY part ORDER BY part"
+_DECODE = "SELECT string_agg(hex, '' ORDER BY pos) AS hex FROM token JOIN vocabulary ON vocabulary.id = token.id"
 
 
 class Coder:
@@ -82,6 +82,8 @@ class Coder:
         self.db.execute(f"CREATE TABLE merges AS {_MERGES}")
         for side, query in _BESIDE.items():
             self.db.execute(f"CREATE TABLE {side} AS {query}")
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.widths[list(ranks.values())] = [len(b) for b in ranks]
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -121,26 +123,20 @@ class Coder:
             self.known, self.held = {}, 0
         todo, size = [], 0
 
-        def run() -> None:
-            for word, ids in zip(todo, self.contracted([w.encode() for w in todo]), strict=True):
-                self._keep(word, ids)
+        def keep(words: list[str], ids: list[bytes]) -> None:
+            self.known.update(zip(words, ids, strict=True))
+            self.held += sum(map(len, words)) + sum(map(len, ids))
 
-        for word in words:
-            raw = word.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self._keep(word, whole.to_bytes(4, "little"))
-                continue
+        whole = [(w, i) for w in words if (i := self.ranks.get(w.encode())) is not None]
+        keep([w for w, _ in whole], [i.to_bytes(4, "little") for _, i in whole])
+        for word in words - self.known.keys():
             todo.append(word)
-            size += len(raw)
+            size += len(word)
             if size > BYTES:
-                run()
+                keep(todo, self.contracted([w.encode() for w in todo]))
                 todo, size = [], 0
         if todo:
-            run()
-
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += len(word) + len(ids)
+            keep(todo, self.contracted([w.encode() for w in todo]))
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
         """The ids of each text, little-endian and of 32 bits each; CHUNK matches are held at once, of one text or of many."""
@@ -149,10 +145,10 @@ class Coder:
 
         def flush() -> Iterator[bytes]:
             nonlocal n, parts, waiting
-            self_known = self.known
-            if new := {w for _, words in waiting for w in words if w not in self_known}:
-                if len(self_known) + len(new) > KNOWN or self.held > KNOWN_BYTES:
-                    new = {w for _, words in waiting for w in words}
+            met = set().union(*(words for _, words in waiting))
+            if new := met - self.known.keys():
+                if len(self.known) + len(new) > KNOWN or self.held > KNOWN_BYTES:
+                    new = met
                 self.learn(new)
             look = self.known.__getitem__
             for ends, words in waiting:
@@ -187,22 +183,22 @@ class Coder:
         def flush() -> Iterator[bytes]:
             nonlocal n, parts, waiting
             ids = np.concatenate([x for _, x in waiting]) if waiting else np.empty(0, np.uint32)
-            found: dict[int, str] = {}
+            found = [b""] * len(waiting)
             if len(ids):
                 sizes = [len(x) for _, x in waiting]
-                token = pa.table({"part": np.repeat(np.arange(len(waiting), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)})
+                if (lost := ids[(ids >= len(self.widths)) | (self.widths[np.minimum(ids, len(self.widths) - 1)] == 0)]).size:
+                    raise ValueError(f"the vocabulary has no token {lost[0]}")
+                token = pa.table({"pos": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)})
                 self.db.register("token", token)
                 try:
-                    lost = self.db.sql("SELECT id FROM token ANTI JOIN vocabulary ON vocabulary.id = token.id LIMIT 1").fetchall()
-                    if lost:
-                        raise ValueError(f"the vocabulary has no token {lost[0][0]}")
-                    out = self.db.sql(_DECODE).to_arrow_table()
+                    whole = bytes.fromhex(self.db.sql(_DECODE).fetchall()[0][0])
                 finally:
                     self.db.unregister("token")
-                found = dict(zip(out["part"].to_pylist(), out["hex"].to_pylist(), strict=True))
-            for i, (ends, _) in enumerate(waiting):
-                parts.append(bytes.fromhex(found.get(i, "")))
-                if ends:
+                bounds = np.concatenate([[0], np.cumsum(self.widths[ids])])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                found = [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            for (last, _), piece in zip(waiting, found, strict=True):
+                parts.append(piece)
+                if last:
                     yield b"".join(parts)
                     parts = []
             waiting, n = [], 0
