@@ -52,6 +52,10 @@ def unaccent(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
+def unaccented(text: str) -> str:
+    return text.translate(str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :]))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -37,9 +37,9 @@ def walking_minutes(metres: Column, metres_a_minute: float = 80.0) -> Column:
 
 
 def folder_slug(url: Column) -> Column:
-    """The end of the address without marks, and the beginning of its MD5."""
-    tail = F.element_at(F.split(F.regexp_replace(F.substring_index(url, "?", 1), r"/+$", ""), "/"), -1)
-    return F.concat(F.substring(F.regexp_replace(tail, r"[^A-Za-z0-9]+", "-"), 1, 60), F.lit("-"), F.substring(F.md5(url.cast("binary")), 1, 8))
+    """The last 60 characters of the address, marks as ``_``, and the beginning of its MD5."""
+    bare = F.regexp_replace(url, r"[^a-zA-Z0-9]+", "_")
+    return F.concat(F.substr(bare, F.greatest(F.length(bare) - 59, F.lit(1))), F.lit("_"), F.substring(F.md5(url.cast("binary")), 1, 8))
 
 
 def even_sample(items: Column, k: int) -> Column:

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .address import bound, search_text
+from .address import bound, search_text, squeeze, unaccent, unaccented
 from .numbers import brazilian_number
 
+# Accepted cities, and words in addresses of drawings.
+CITIES = ("sao paulo",)
+NO_PHOTO = ["right-arrow", "left-arrow", "arrow", "logo", "placeholder", "sprite"]
 # Words for and against a yard.
 YARD_WORDS = ["quintal", "chão de terra", "chao de terra", "terra batida", "terreno amplo", "fundo amplo", "amplo quintal", "área externa", "area externa", "jardim"]
 NO_YARD_WORDS = ["sem quintal", "quintal cimentado", "quintal todo cimentado"]
@@ -72,17 +75,21 @@ def accepts_financing(
     its own words or by those of the sentence before it. Then the words that are certain anywhere.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    sentences = F.filter(F.transform(F.split(low, r"[.;\n!?]"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(low, r"[.;\n!?]"), lambda s: F.trim(s)), lambda s: s != "")
     before = F.concat(F.array(F.lit("")), sentences)
     said = F.exists(F.zip_with(sentences, before, lambda s, b: s.isNotNull() & F.contains(s, F.lit(stem)) & ~holds(s, advertising) & (holds(s, accepting) | holds(b, accepting))), lambda x: F.coalesce(x, F.lit(False)))
     out = F.when(holds(low, refusing), False).when(F.contains(low, F.lit(stem)) & (said | holds(low, certain)), True)
     return out if pill is None else F.when(pill, True).otherwise(out)
 
 
-def in_city(place: Column, city: str = "São Paulo") -> Column:
-    """The part behind the last comma is the city; an empty place passes."""
-    key = search_text(F.coalesce(place, F.lit("")))
-    return (key == "") | F.contains(search_text(F.substring_index(place, ",", -1)), search_text(F.lit(city)))
+def _unmarked(text: Column) -> Column:
+    return F.lower(unaccent(text))
+
+
+def in_city(place: Column, cities: tuple[str, ...] = CITIES) -> Column:
+    """The part behind the last comma is an accepted city, or begins with its name; an empty place passes."""
+    city = _unmarked(F.trim(F.substring_index(F.coalesce(place, F.lit("")), ",", -1)))
+    return (city == "") | reduce(lambda a, b: a | b, [city.startswith(unaccented(c).lower()) for c in cities])
 
 
 def area_agrees(found: Column, wanted: Column) -> Column:
@@ -111,7 +118,7 @@ def price_passes(price: Column, low: float | None = None, high: float | None = N
 
 def fallback_title(title: Column, city: str = "s[ãa]o paulo") -> Column:
     """A page whose title lacks the city is the national fallback; without a title there is no telling."""
-    return (F.coalesce(title, F.lit("")) != "") & ~F.coalesce(title, F.lit("")).rlike(f"(?i){city}")
+    return (F.coalesce(title, F.lit("")) != "") & ~F.coalesce(title, F.lit("")).rlike(f"(?iu){city}")
 
 
 def canonical_url(url: Column) -> Column:
@@ -119,9 +126,10 @@ def canonical_url(url: Column) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
-    """The last part of the address's path as a title: no extension, no trailing number, hyphens as spaces; empty without a path."""
-    slug = F.regexp_extract(canonical_url(url), r"^[a-z]+://[^/]+/(?:.*/)?([^/]+?)(?:\.html)?/?$", 1)
-    words = F.trim(F.regexp_replace(F.regexp_replace(slug, r"(?:-a?)?-\d{6,}$", ""), r"[-_]+", " "))
+    """The name of a listing's page as a title: no trailing number, hyphens as spaces; empty for other addresses."""
+    slug = F.regexp_extract(F.coalesce(url, F.lit("")), r"/propriedades/([^/?#]+)\.html", 1)
+    bare = F.regexp_replace(F.regexp_replace(slug, r"-a?-\d{6,}$", ""), r"-\d{6,}$", "")
+    words = F.trim(F.regexp_replace(bare, r"[-_]+", " "))
     return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substr(words, F.lit(2))))
 
 
@@ -147,20 +155,33 @@ def filled_photo(template: Column, width: int = 1200, height: int = 900) -> Colu
 
 
 def usable_photo(url: Column) -> Column:
-    return F.coalesce(url.rlike(r"^https?://") & ~url.rlike(r"(?i)(\.svg(\?|$)|icon|logo|sprite)"), F.lit(False))
+    """An address of a photo, and not of the site's own drawings."""
+    return F.coalesce(url.startswith("http") & ~F.lower(url).endswith(".svg") & ~url.rlike(f"(?i)({'|'.join(NO_PHOTO)})"), F.lit(False))
+
+
+def address_order(address: Column, city: str = "", cities: tuple[str, ...] = CITIES) -> Column:
+    """'City, area' becomes 'area, city' where the first part begins with a city's name. Other addresses get the city behind them, if it is given and they
+    have no two parts; an empty address is the city."""
+    local = squeeze(F.coalesce(address, F.lit("")))
 
+    def ordered(text: Column) -> Column:
+        parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+        first = _unmarked(F.get(parts, F.lit(0)))
+        known = reduce(lambda a, b: a | b, [first.startswith(unaccented(c).lower()) for c in cities])
+        turned = F.concat(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ", "), F.lit(", "), F.get(parts, F.lit(0)))
+        out = F.when((F.size(parts) >= 2) & known, turned)
+        if city:
+            out = out.when(~F.contains(text, F.lit(", ")), F.concat(text, F.lit(f", {city}")))
+        return F.when(text == "", city).otherwise(out.otherwise(text))
 
-def address_order(address: Column, city: str = "São Paulo") -> Column:
-    """'City, area' becomes 'area, city', only where the first part is the city."""
-    first, rest = F.trim(F.substring_index(address, ",", 1)), F.trim(F.regexp_replace(address, r"^[^,]*,\s*", ""))
-    return F.when(F.contains(address, F.lit(",")) & (search_text(first) == search_text(F.lit(city))), F.concat(rest, F.lit(", "), first)).otherwise(address)
+    return bound(local, ordered)
 
 
 # Decoding of the vision model's answer.
 
 def tri_state(answer: Column) -> Column:
-    key = search_text(F.coalesce(answer, F.lit("")))
-    return F.when(key.isin("sim", "true", "1"), True).when(key.isin("nao", "false", "0"), False)
+    key = F.lower(F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", ""))
+    return F.when(key.isin("sim", "s", "true", "yes", "1"), True).when(key.isin("nao", "não", "n", "false", "no", "0"), False)
 
 
 def upkeep_grade(answer: Column) -> Column:
@@ -190,9 +211,23 @@ def json_object(answer: Column) -> Column:
 
 
 def seen_number(answer: Column) -> Column:
-    """A house number of one to five digits and a letter; anything else is null."""
-    text = F.upper(F.trim(answer))
-    return F.when(text.rlike(r"^[1-9]\d{0,4}[A-Z]?$"), text)
+    """A house number of one to five digits, not all zero, and perhaps a letter, without leading zeros; empty for anything else."""
+    text = F.upper(F.replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", ""), F.lit(" "), F.lit("")))
+    return F.when(text.rlike(r"^(?=\d{1,5}[A-Z]?$)0*[1-9]"), F.regexp_replace(text, "^0+", "")).otherwise("")
+
+
+def number_certainty(number: Column, certainty: Column) -> Column:
+    """alta, media or baixa for a number that was read, baixa if nothing else is said; empty without a number."""
+    said = F.translate(F.lower(F.regexp_replace(F.coalesce(certainty, F.lit("")), r"^\s+|\s+$", "")), "é", "e")
+    return F.when(seen_number(number) == "", "").when(said.isin("alta", "media", "baixa"), said).otherwise("baixa")
+
+
+def answer_list(answer: Column) -> Column:
+    """The names in an answer, a VARIANT: a list's, or a text's between commas; in lower case, without empty ones."""
+    listed, text = F.try_variant_get(answer, "$", "array<string>"), F.try_variant_get(answer, "$", "string")
+    names = F.when(F.schema_of_variant(answer).startswith("ARRAY"), listed).when(F.schema_of_variant(answer) == "STRING", F.split(text, ","))
+    trimmed = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")))
+    return F.filter(trimmed, lambda x: x != "")
 
 
 # Places.

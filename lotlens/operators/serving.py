@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fixed value: listings that a page's lookups are made for at most.
-PAGE_KEYS = 900
-
-
 # Stored tables.
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """The table's new content; readers see the old or the new one."""
+    """The table's new content. The old files go first: readers that must see one of both read from a folder of its own for each version, as ``publish`` gets one."""
     df.write.mode("overwrite").parquet(path)
 
 
@@ -71,8 +67,8 @@ def stored_already(asked: DataFrame, stored: DataFrame, url: str = "url") -> Dat
 
 
 def of_page(page: DataFrame, *details: DataFrame, key: str = "url") -> list[DataFrame]:
-    """The rows of each detail table for the listings of one page, whose number is bounded: the keys are broadcast, and filter the scans."""
-    keys = F.broadcast(page.select(key).distinct().limit(PAGE_KEYS))
+    """The rows of each detail table for the listings of one page: a semi-join, which Spark broadcasts where the keys are as few as a page's are."""
+    keys = page.select(key).distinct()
     return [d.join(keys, key, "left_semi") for d in details]
 
 

@@ -17,8 +17,11 @@ def insert_ignored(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates([key]).join(old, key, "left_anti").select(*old.columns))
 
 
-def coalesced(old: DataFrame, new: DataFrame, key: str, filled: list[str], longest: list[str] = (), larger: list[str] = ()) -> DataFrame:
-    """Old rows with details: ``filled`` columns take a new value that isn't blank, ``longest`` the longer text, ``larger`` the longer array."""
+def coalesced(old: DataFrame, new: DataFrame, key: str, filled: list[str], longest: list[str] = (), larger: list[str] = (), newest: list[Column] = ()) -> DataFrame:
+    """Old rows with details: ``filled`` columns take a new value that isn't blank, ``longest`` the longer text, ``larger`` the longer array. Of several new rows of
+    a key the first by ``newest`` counts, of which any one without an order."""
+    first = Window.partitionBy(key).orderBy(*(newest or [F.lit(1)]))
+    new = new.withColumn("__first", F.row_number().over(first)).where("__first = 1")
     n = new.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in [*filled, *longest, *larger]])
     out = {}
     for c in filled:

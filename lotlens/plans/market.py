@@ -12,7 +12,7 @@ from ..operators import comparables as c
 from ..operators import listing as ls
 from ..operators import serving as sv
 from ..sources import views as v
-from ..storage import materialized, shared_folder
+from ..storage import file_state, materialized, shared_folder
 from .registry import query
 
 
@@ -20,8 +20,9 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.cascade(v.listings(spark, sf_dir), c.usable(v.sales(spark, sf_dir), least_area=1.0), v.TIE)
 
 
-#: The folders of published marts, by application and folder of tables.
-_MARTS: dict[tuple[str, str], str] = {}
+#: The folders of published marts, by application, folder of tables and state of their files.
+_MARTS: dict[tuple[str, str, str], str] = {}
+_SOURCES = ("part", "lineitem")
 
 
 def publish(spark: SparkSession, sf_dir: str) -> str:
@@ -29,19 +30,20 @@ def publish(spark: SparkSession, sf_dir: str) -> str:
     folder = f"{shared_folder(spark)}/mart-{uuid.uuid4().hex}"
     found = materialized(c.summary(comparables(spark, sf_dir)))
     sv.publish({"comparisons": found, "listings": ls.with_comparisons(v.listings(spark, sf_dir), found)}, folder)
-    _MARTS[spark.sparkContext.applicationId, sf_dir] = folder
     return folder
 
 
 def served(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A published table; published first where this application hasn't, or its files are gone."""
-    folder = _MARTS.get((spark.sparkContext.applicationId, sf_dir))
+    """A published table: published first where that wasn't done for these very files of the tables, or the mart's own are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, *[f"{sf_dir}/{t}.parquet" for t in _SOURCES]))
+    folder = _MARTS.get(key)
     if folder is not None:
         try:
             return sv.published(spark, folder, name)[0]
         except AnalysisException:
             pass
-    return sv.published(spark, publish(spark, sf_dir), name)[0]
+    _MARTS[key] = publish(spark, sf_dir)
+    return sv.published(spark, _MARTS[key], name)[0]
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,18 +123,18 @@ def reuse_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sv.best_members(ads, F.expr(_DONE), F.expr(_TODO))
 
 
-_MEMBERS = "m AS (SELECT url // 10 AS grp, url, floor(price)::BIGINT AS price, area_name, street, 'lot ' || url AS title FROM ad WHERE url % 10 < 3)"
+_MEMBERS = "m AS (SELECT url // 10 AS grp, url, floor(price)::BIGINT AS price, area_name, street, 'lot ' || url AS title FROM ad)"
 _NUMBERED = f"WITH {v.AD}, {_MEMBERS}, g AS (SELECT grp, count(*) AS k, row_number() OVER (ORDER BY count(*) DESC, min(area_name), grp) AS number FROM m GROUP BY grp), n AS (SELECT m.*, k, number FROM m JOIN g USING (grp))"
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.listings(spark, sf_dir).where("url % 10 < 3").select(F.expr("url div 10").alias("group"), "url", F.floor("price").alias("price"), "area_name", "street", F.concat(F.lit("lot "), "url").alias("title"))
+    return v.listings(spark, sf_dir).select(F.expr("url div 10").alias("group"), "url", F.floor("price").alias("price"), "area_name", "street", F.concat(F.lit("lot "), "url").alias("title"))
 
 
 @query("groups_csv", f"{_NUMBERED} SELECT number::VARCHAR AS number, url::VARCHAR AS url FROM n WHERE k > 1")
 def groups_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups written as CSV and read back."""
-    path = f"{shared_folder(spark)}/groups-{abs(hash(sf_dir))}"
+    path = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex}"
     sv.write_groups(_members(spark, sf_dir), path)
     return sv.read_groups(spark, path)
 
@@ -183,11 +185,11 @@ def house_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RAW_CODE = "CASE url % 4 WHEN 0 THEN lpad((1000000 + cep * 37)::VARCHAR, 8, '0') WHEN 1 THEN (1000000 + cep * 37)::VARCHAR WHEN 2 THEN '123' ELSE NULL END"
 
 
-@query("postal_code_recovery", f"""WITH {v.AD}, st AS (SELECT l_partkey AS street, lpad((1000 + l_partkey * 3)::VARCHAR, 5, '0') AS code5, count(*) AS n FROM lineitem WHERE l_linenumber < 3 GROUP BY l_partkey),
+@query("postal_code_recovery", f"""WITH {v.AD}, st AS (SELECT l_partkey AS street, lpad((1000 + l_partkey * 3)::VARCHAR, 5, '0') AS code5, count(*) AS n FROM lineitem GROUP BY l_partkey),
 r AS (SELECT url, street, {_RAW_CODE} AS raw FROM ad), c AS (SELECT *, regexp_replace(coalesce(raw, ''), '\\D', '', 'g') AS d FROM r), o AS (SELECT *, CASE WHEN length(d) = 8 THEN d WHEN length(d) = 7 THEN '0' || d ELSE '' END AS own FROM c)
 SELECT url, CASE WHEN own <> '' THEN own WHEN n >= 3 THEN rpad(code5, 8, '0') ELSE '' END AS code, CASE WHEN own <> '' THEN 'anuncio' WHEN n >= 3 THEN 'rua' ELSE '' END AS origin FROM o LEFT JOIN st USING (street)""")
 def postal_code_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streets = v.table(spark, sf_dir, "lineitem").where("l_linenumber < 3").groupBy(F.col("l_partkey").alias("street")).agg(F.count("*").alias("n")).withColumn("code5", F.lpad((1000 + F.col("street") * 3).cast("string"), 5, "0"))
+    streets = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("street")).agg(F.count("*").alias("n")).withColumn("code5", F.lpad((1000 + F.col("street") * 3).cast("string"), 5, "0"))
     ads = v.listings(spark, sf_dir).withColumn("raw_code", F.expr(_RAW_CODE.replace("::VARCHAR", "").replace("(1000000 + cep * 37)", "string(1000000 + cep * 37)")))
     return val.effective_codes(ads, streets).select("url", "code", "origin")
 

@@ -85,57 +85,104 @@ def lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("k", nu.lenient_number(_pick(_NUMBERS, k)).alias("number"), nu.any_date(_pick(_DATES, k)).alias("day"), nu.money(m * 100).alias("money"), nu.distance_text(m).alias("far"), nu.walking_minutes(m).alias("minutes"))
 
 
-_BUILT = ["casa com 120 m² de construção", "construída em 85,5m2", "Construção 1.250 m²", "terreno 300 m²", "", None, "área construida: 90 m²", "70 m2 de área construida e construção de 99 m²"]
-_STATED = [120.0, 85.5, 1250.0, None, None, None, 90.0, 70.0]
-
-
-@query("built_areas", f"SELECT c_custkey AS k, ([{', '.join('NULL' if x is None else str(x) for x in _STATED)}]::DOUBLE[])[(c_custkey % 8 + 1)::INT] AS built FROM customer")
+@query("built_areas", r"""WITH d AS (SELECT doc_id, n_chars % 400 + 20 AS m, left(text, 60) AS said, doc_id % 7 AS form FROM documents),
+t AS (SELECT *, CASE WHEN form % 2 = 0 THEN m || ',5' ELSE m::VARCHAR END AS n FROM d),
+s AS (SELECT doc_id, form, m, n, CASE form WHEN 0 THEN 'casa com ' || n || ' m² de construção' WHEN 1 THEN n || 'm2 de área construída' WHEN 2 THEN 'construída em ' || n || 'm2, nova' WHEN 3 THEN 'Construção: 1.' || lpad((m % 1000)::VARCHAR, 3, '0') || ' m²' WHEN 4 THEN 'terreno ' || n || ' m²' WHEN 5 THEN n || ' m2 de construção e construção de 99 m²' END AS line FROM t)
+SELECT doc_id, CASE WHEN form IN (4, 6) OR line IS NULL THEN NULL WHEN form = 3 THEN 1000 + m % 1000 ELSE replace(n, ',', '.')::DOUBLE END::DOUBLE AS built FROM s""")
 def built_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).select("k", ru.built_area(_pick(_BUILT, F.col("k"))).alias("built"))
+    """Built areas that a sentence of each document's own number states; a lot's area is none."""
+    m, form = F.col("n_chars") % 400 + 20, F.col("doc_id") % 7
+    n = F.when(form % 2 == 0, F.concat(m.cast("string"), F.lit(",5"))).otherwise(m.cast("string"))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    line = F.when(form == 0, said("casa com ", n, " m² de construção")).when(form == 1, said(n, "m2 de área construída")).when(form == 2, said("construída em ", n, "m2, nova")).when(form == 3, said("Construção: 1.", F.lpad((m % 1000).cast("string"), 3, "0"), " m²"))
+    line = line.when(form == 4, said("terreno ", n, " m²")).when(form == 5, said(n, " m2 de construção e construção de 99 m²"))
+    return v.table(spark, sf_dir, "documents").select("doc_id", ru.built_area(line).alias("built"))
 
 
-# Addresses of pages and photos; answers are given as values.
+# Addresses of pages and photos.
 
-_URLS = ["https://x.org/propriedades/casa-3-quartos-a-venda-3000246816.html?n=1", "https://x.org/a/sobrado_no-centro-1234567.html#p", "https://x.org/v/loja-12/", "https://x.org/", "no address"]
-_TITLES = ["Casa 3 quartos a venda", "Sobrado no centro", "Loja 12", "", ""]
-_SLUGS = ["casa-3-quartos-a-venda-3000246816-html", "sobrado-no-centro-1234567-html-p", "loja-12", "x-org", "no-address"]
-_PHOTOS = ["https://i.org/a/360x266/1.jpg?x=1", "https://i.org/a/1.jpg", "https://i.org/thumbs700x500/p/1.webp?v=2", "//i.org/logo.svg", "https://i.org/icon.png", None]
-_SIZED = ["https://i.org/a/1200x900/1.jpg", "https://i.org/a/1200x900/1.jpg", "https://i.org/thumbs700x500/p/1200x900/1.webp", "//i.org/1200x900/logo.svg", "https://i.org/1200x900/icon.png", None]
-_LARGE = ["https://i.org/a/360x266/1.jpg", "https://i.org/a/1.jpg", "https://i.org/images/p/1.jpg", "//i.org/logo.jpg", "https://i.org/icon.jpg", None]
+_PAGE_SQL = r"""WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-z0-9]+', '-', 'g'), '-') AS words FROM pages),
+a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://x.org/propriedades/' || words || '-' || (1000000 + page_id) || '.html?n=1' WHEN 2 THEN 'https://x.org/propriedades/' || words || '-a-' || (1000000 + page_id) || '.html#p' ELSE 'https://x.org/propriedades/' || replace(words, '-', '_') || '.html' END AS url,
+  CASE page_id % 7 WHEN 0 THEN 'https://i.org/a/360x266/' || page_id || '.jpg?x=1' WHEN 1 THEN 'https://i.org/' || words || '.jpg' WHEN 2 THEN 'https://i.org/thumbs700x500/p/' || page_id || '.webp?v=2' WHEN 3 THEN '//i.org/' || page_id || '.jpg' WHEN 4 THEN 'https://i.org/Left-Arrow-' || page_id || '.png' WHEN 5 THEN 'https://i.org/' || page_id || '.SVG' END AS photo FROM p),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '/propriedades/([^/?#]+)\.html', 1), '-a?-\d{6,}$', ''), '-\d{6,}$', ''), '[-_]+', ' ', 'g')) AS title, split_part(photo, '?', 1) AS bare FROM a)"""
 
 
-@query("url_rules", f"SELECT c_custkey AS k, {_picked(_TITLES, 'c_custkey')} AS title, {_picked(_SLUGS, 'c_custkey')} || '-' || left(md5({_picked(_URLS, 'c_custkey')}), 8) AS slug, {_picked(_SIZED, 'c_custkey')} AS sized, {_picked(_LARGE, 'c_custkey')} AS large, c_custkey % 6 < 3 AS usable, 'https://r.org/image.jpg?action=fit-in&dimension=1200x900' AS filled FROM customer")
+@query("url_rules", rf"""{_PAGE_SQL} SELECT page_id, upper(left(title, 1)) || lower(substr(title, 2)) AS title, right(regexp_replace(url, '[^a-zA-Z0-9]+', '_', 'g'), 60) || '_' || left(md5(url), 8) AS slug,
+  CASE WHEN regexp_matches(bare, '/\d+x\d+/[^/]+$') THEN regexp_replace(bare, '/\d+x\d+/([^/]+)$', '/1200x900/\1') ELSE regexp_replace(bare, '^(.*/)?([^/]*)$', '\g1200x900/\2') END AS sized,
+  regexp_replace(regexp_replace(bare, '/thumbs\d+x\d+/', '/images/', 'g'), '\.[^.]*$', '.jpg') AS large, coalesce(starts_with(photo, 'http') AND NOT ends_with(lower(photo), '.svg') AND NOT regexp_matches(photo, '(?i)(arrow|logo|placeholder|sprite)'), false) AS usable,
+  'https://r.org/image.jpg?action=fit-in&dimension=1200x900&p=' || page_id AS filled FROM t""".replace(r"\g1200x900", r"\11200x900"))
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    url, photo = _pick(_URLS, k), _pick(_PHOTOS, k)
-    template = F.lit("https://r.org/{description}.jpg?action={action}&dimension={width}x{height}")
-    return _customers(spark, sf_dir).select("k", ru.title_from_url(url).alias("title"), nu.folder_slug(url).alias("slug"), ru.sized_photo(photo).alias("sized"), ru.large_photo(photo).alias("large"), ru.usable_photo(photo).alias("usable"), ru.filled_photo(template).alias("filled"))
-
-
-_PLACES = ["Vila Sônia, São Paulo", "Centro, Osasco", "", "Pinheiros, SAO PAULO - SP", "São Paulo", None]
-_TARGETS = ["Vila Sonia", "Alto de Pinheiros", "Jardim Bonfiglioli"]
-_FOUND = ["VILA SÔNIA", "Pinheiros", "Jd Bonfiglioli", "Moema", "Jardim Bonfiglioli 2", "Vila Sonia do Sul"]
-
-
-@query("place_rules", f"""SELECT c_custkey AS k, ([true, false, true, true, true, true])[(c_custkey % 6 + 1)::INT] AS inside, {_picked(['VILA SONIA', 'PINHEIROS', 'JD BONFIGLIOLI', 'MOEMA', 'JARDIM BONFIGLIOLI 2', 'VILA SONIA DO SUL'], 'c_custkey')} AS key,
-  {_picked(['Vila Sonia', 'Alto de Pinheiros', None, None, 'Jardim Bonfiglioli', 'Vila Sonia'], 'c_custkey')} AS target, {_picked(['Moema, São Paulo', 'Centro, Osasco', 'none'], 'c_custkey')} AS place, ([false, true, false])[(c_custkey % 3 + 1)::INT] AS fallback FROM customer""")
+    """Titles, folders and photos of addresses that are made of the pages' titles and numbers."""
+    k, form = F.col("page_id").cast("string"), F.col("page_id") % 4
+    words = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"[^A-Za-z0-9]+", "-"), F.lit("-"))
+    number = (F.col("page_id") + 1_000_000).cast("string")
+    listing = lambda name, end: F.concat(F.lit("https://x.org/propriedades/"), name, *end)
+    url = F.when(form == 0, F.col("url")).when(form == 1, listing(words, [F.lit("-"), number, F.lit(".html?n=1")])).when(form == 2, listing(words, [F.lit("-a-"), number, F.lit(".html#p")])).otherwise(listing(F.replace(words, F.lit("-"), F.lit("_")), [F.lit(".html")]))
+    shape = F.col("page_id") % 7
+    at = lambda before, name, after: F.concat(F.lit(before), name, F.lit(after))
+    photo = F.when(shape == 0, at("https://i.org/a/360x266/", k, ".jpg?x=1")).when(shape == 1, at("https://i.org/", words, ".jpg")).when(shape == 2, at("https://i.org/thumbs700x500/p/", k, ".webp?v=2")).when(shape == 3, at("//i.org/", k, ".jpg"))
+    photo = photo.when(shape == 4, at("https://i.org/Left-Arrow-", k, ".png")).when(shape == 5, at("https://i.org/", k, ".SVG"))
+    rows = v.table(spark, sf_dir, "pages").select("page_id", url.alias("url"), photo.alias("photo"))
+    template = F.concat(F.lit("https://r.org/{description}.jpg?action={action}&dimension={width}x{height}&p="), k)
+    return rows.select("page_id", ru.title_from_url(F.col("url")).alias("title"), nu.folder_slug(F.col("url")).alias("slug"), ru.sized_photo(F.col("photo")).alias("sized"), ru.large_photo(F.col("photo")).alias("large"), ru.usable_photo(F.col("photo")).alias("usable"), ru.filled_photo(template).alias("filled"))
+
+
+_CITY_FORMS = ["São Paulo", "SAO PAULO - SP", "Osasco", "Grande São Paulo", "são paulo/sp", ""]
+_FORMS_SQL = "[" + ", ".join(f"'{c}'" for c in _CITY_FORMS) + "]"
+_KEY = lambda x: f"trim(regexp_replace(regexp_replace(replace(lower(strip_accents({x})), '-', ' '), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("place_rules", rf"""WITH w AS (SELECT doc_id, n_chars, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: NOT contains(x, ',')) AS ws FROM documents),
+n AS (SELECT doc_id, coalesce(ws[1], '') AS a, coalesce(ws[2], '') AS b, {_FORMS_SQL}[doc_id % 6 + 1] AS city FROM w),
+p AS (SELECT *, a || ' ' || b AS found, [b || '-' || a || ' sul', left(a, 3) || ' ' || left(b, 4), 'Vila Sônia'] AS targets, CASE WHEN doc_id % 5 = 0 THEN city WHEN city = '' THEN a || ' ' || b ELSE a || ' ' || b || ',  ' || city END AS place, CASE doc_id % 3 WHEN 0 THEN city || ', ' || a || ', ' || b WHEN 1 THEN a || ',' || b ELSE b END AS local FROM n),
+q AS (SELECT *, trim(CASE WHEN contains(place, ',') THEN list_last(string_split(place, ',')) ELSE place END) AS c, trim(regexp_replace(local, '\s+', ' ', 'g')) AS l, list_transform(targets, lambda t: {_KEY('t')}) AS tk, {_KEY('found')} AS fk FROM p),
+r AS (SELECT *, list_filter(list_transform(string_split(l, ','), lambda x: trim(x)), lambda x: x <> '') AS parts, list_sort(list_distinct(string_split(fk, ' '))) AS wf, list_transform(tk, lambda t: list_sort(list_distinct(string_split(t, ' ')))) AS wt FROM q)
+SELECT doc_id, strip_accents(lower(c)) = '' OR starts_with(strip_accents(lower(c)), 'sao paulo') AS inside, trim(regexp_replace(regexp_replace(upper(replace(strip_accents(found), 'ß', 'SS')), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS key,
+  targets[list_position(list_transform([1, 2, 3], lambda i: fk = '' OR tk[i] = '' OR fk = tk[i] OR len(list_intersect(wf, wt[i])) IN (len(wf), len(wt[i])) OR len(wf) = len(wt[i]) AND len(list_filter(range(1, len(wf) + 1), lambda k: starts_with(wf[k], wt[i][k]) OR starts_with(wt[i][k], wf[k]))) = len(wf)), true)] AS target,
+  CASE WHEN l = '' THEN 'São Paulo' WHEN len(parts) >= 2 AND starts_with(strip_accents(lower(parts[1])), 'sao paulo') THEN array_to_string(parts[2:], ', ') || ', ' || parts[1] WHEN NOT contains(l, ', ') THEN l || ', São Paulo' ELSE l END AS ordered,
+  CASE WHEN doc_id % 4 = 0 THEN false ELSE NOT regexp_matches(found || ' em ' || city, '(?i)s[ãa]o paulo') END AS fallback FROM r""")
 def place_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    found, targets = _pick(_FOUND, k), F.array(*[F.lit(t) for t in _TARGETS])
-    order = ru.address_order(_pick(["São Paulo, Moema", "Centro, Osasco", "none"], k))
-    place = F.regexp_replace(order, "Sao", "São")
-    return _customers(spark, sf_dir).select("k", ru.in_city(_pick(_PLACES, k)).alias("inside"), ad.area_key(found).alias("key"), ru.target_area(found, targets).alias("target"), place.alias("place"), ru.fallback_title(_pick(["Casas em São Paulo", "Casas no Brasil", ""], k)).alias("fallback"))
-
-
-_ANSWERS = ['{"a": 1}', 'said:\n```json\n{"a": 2}\n```', 'text {"a": 3, "b": {"c": 1}} and {"a": 9}', "none", None, 'x {"a": {"b": 1}', '```\n{"a": 6}\n``` {"a": 7}']
-_VALUES = ["1", "2", "3", None, None, None, "6"]
-
-
-@query("vision_answers", f"""SELECT c_custkey AS k, try_cast({_picked(_VALUES, 'c_custkey')} AS INT) AS a, ([true, false, NULL, true])[(c_custkey % 4 + 1)::INT] AS tri, ([5, 0, 2, NULL, 4]::INT[])[(c_custkey % 5 + 1)::INT] AS grade, {_picked(['12', '7A', None, None, None], 'c_custkey')} AS number FROM customer""")
+    """Places made of each document's first words and a city in several spellings."""
+    ws = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda x: ~F.contains(x, F.lit(",")))
+    word = lambda i: F.coalesce(F.get(F.col("ws"), F.lit(i)), F.lit(""))
+    rows = v.table(spark, sf_dir, "documents").select("doc_id", ws.alias("ws")).select("doc_id", word(0).alias("a"), word(1).alias("b"), _pick(_CITY_FORMS, F.col("doc_id")).alias("city"))
+    a, b, city, k = F.col("a"), F.col("b"), F.col("city"), F.col("doc_id")
+    found = F.concat(a, F.lit(" "), b)
+    targets = F.array(F.concat(b, F.lit("-"), a, F.lit(" sul")), F.concat(F.substring(a, 1, 3), F.lit(" "), F.substring(b, 1, 4)), F.lit("Vila Sônia"))
+    place = F.when(k % 5 == 0, city).when(city == "", found).otherwise(F.concat(found, F.lit(",  "), city))
+    local = F.when(k % 3 == 0, F.concat(city, F.lit(", "), a, F.lit(", "), b)).when(k % 3 == 1, F.concat(a, F.lit(","), b)).otherwise(b)
+    title = F.when(k % 4 > 0, F.concat(found, F.lit(" em "), city))
+    return rows.select("doc_id", ru.in_city(place).alias("inside"), ad.area_key(found).alias("key"), ru.target_area(found, targets).alias("target"), ru.address_order(local, "São Paulo").alias("ordered"), ru.fallback_title(title).alias("fallback"))
+
+
+_TRIS, _SURE = ["sim", " S", "NÃO", "n", "talvez", "yes", "no", ""], ["Alta", "média", "", "?"]
+_DOOR = ["", "0", "00", " ", "nº ", "12345"]
+
+
+@query("vision_answers", rf"""WITH d AS (SELECT doc_id, {_picked(_DOOR, 'doc_id')} || (n_chars % 400) || CASE doc_id % 4 WHEN 0 THEN 'b' WHEN 1 THEN ' c' ELSE '' END AS door, {_picked(_TRIS, 'doc_id')} AS yard, {_picked(_SURE, 'doc_id')} AS sure, (n_chars % 17) / 2.0 - 1 AS grade, lang, source FROM documents),
+j AS (SELECT *, '{{"yard": "' || yard || '", "grade": ' || grade || ', "door": "' || door || '", "more": {{"sure": "' || sure || '"}}, "seen": ' || CASE doc_id % 3 WHEN 0 THEN '["' || upper(lang) || ' ", "", "x"]' WHEN 1 THEN '" ' || lang || ',, ' || source || '"' ELSE 'null' END || '}}' AS body FROM d),
+a AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN body WHEN 1 THEN E'said:\n```json\n' || body || E'\n``` {{"yard": "sim"}}' WHEN 2 THEN 'here: ' || body || ' and {{"yard": "x"}}' WHEN 3 THEN 'none {{ at all' END AS answer FROM j),
+o AS (SELECT doc_id, regexp_extract(CASE WHEN contains(answer, '```') THEN regexp_extract(answer, '(?s)```(?:json)?\s*(.*?)```', 1) ELSE answer END, '(?s)\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}') AS o FROM a),
+x AS (SELECT doc_id, CASE WHEN o <> '' THEN o::JSON END AS o FROM o),
+y AS (SELECT doc_id, lower(trim(o->>'$.yard')) AS yard, round_even((o->>'$.grade')::DOUBLE, 0) AS grade, upper(replace(trim(o->>'$.door'), ' ', '')) AS door, replace(lower(trim(o->>'$.more.sure')), 'é', 'e') AS sure,
+  CASE json_type(o->'$.seen') WHEN 'ARRAY' THEN (o->'$.seen')::VARCHAR[] WHEN 'VARCHAR' THEN string_split(o->>'$.seen', ',') ELSE [] END AS seen FROM x),
+z AS (SELECT *, CASE WHEN regexp_matches(door, '^\d{{1,5}}[A-Z]?$') AND regexp_matches(door, '^0*[1-9]') THEN regexp_replace(door, '^0+', '') ELSE '' END AS number FROM y)
+SELECT doc_id, CASE WHEN yard IN ('sim', 's', 'true', 'yes', '1') THEN true WHEN yard IN ('nao', 'não', 'n', 'false', 'no', '0') THEN false END AS tri, CASE WHEN grade IS NOT NULL THEN greatest(0, least(5, grade)) END::INT AS grade, number,
+  CASE WHEN number = '' THEN '' WHEN sure IN ('alta', 'media', 'baixa') THEN sure ELSE 'baixa' END AS certainty, array_to_string(list_filter(list_transform(seen, lambda s: lower(trim(s))), lambda s: s <> ''), '|') AS seen FROM z""")
 def vision_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    a = F.try_variant_get(ru.json_object(_pick(_ANSWERS, k)), "$.a", "int")
-    return _customers(spark, sf_dir).select("k", a.alias("a"), ru.tri_state(_pick(["sim", "NÃO", "talvez", "true"], k)).alias("tri"), ru.upkeep_grade(_pick(["7", "-1", "2.5", "bom", "4"], k)).alias("grade"), ru.seen_number(_pick(["12", " 7a ", "0", "123456", None], k)).alias("number"))
+    """Answers in JSON with each document's numbers: bare, in a fence, with text around them, or none."""
+    k = F.col("doc_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    door = text(_pick(_DOOR, k), (F.col("n_chars") % 400).cast("string"), F.when(k % 4 == 0, "b").when(k % 4 == 1, " c").otherwise(""))
+    seen = F.when(k % 3 == 0, text('["', F.upper("lang"), ' ", "", "x"]')).when(k % 3 == 1, text('" ', F.col("lang"), ",, ", F.col("source"), '"')).otherwise("null")
+    body = text('{"yard": "', _pick(_TRIS, k), '", "grade": ', ((F.col("n_chars") % 17) / 2.0 - 1).cast("string"), ', "door": "', door, '", "more": {"sure": "', _pick(_SURE, k), '"}, "seen": ', seen, "}")
+    rows = v.table(spark, sf_dir, "documents").select(k, body.alias("body"))
+    answer = F.when(k % 5 == 0, F.col("body")).when(k % 5 == 1, text("said:\n```json\n", F.col("body"), '\n``` {"yard": "sim"}')).when(k % 5 == 2, text("here: ", F.col("body"), ' and {"yard": "x"}')).when(k % 5 == 3, "none { at all")
+    at = lambda path: F.try_variant_get("o", path, "string")
+    return rows.select("doc_id", ru.json_object(answer).alias("o")).select(
+        "doc_id", ru.tri_state(at("$.yard")).alias("tri"), ru.upkeep_grade(at("$.grade")).alias("grade"), ru.seen_number(at("$.door")).alias("number"), ru.number_certainty(at("$.door"), at("$.more.sure")).alias("certainty"),
+        F.array_join(ru.answer_list(F.try_variant_get("o", "$.seen", "variant")), "|").alias("seen"),
+    )
 
 
 # Lines, as arithmetic on a plane.

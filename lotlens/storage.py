@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -20,3 +21,18 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_state(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files of the paths, wherever they are stored: another one as soon as a table is written anew."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    digest = hashlib.md5()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf).listFiles(at, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        digest.update("\n".join([path, *sorted(found)]).encode())
+    return digest.hexdigest()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,17 +91,32 @@ def test_places(spark) -> None:
     agree = lambda x, y: value(spark, r.area_agrees(F.lit(x), F.lit(y)))
     assert agree("Parque São Domingos", "parque-sao-domingo") and agree("Vila Mangalot", "Mangalot") and not agree("Jardim Gonzaga", "Vila Jaguara")
     assert value(spark, r.in_city(F.lit("Pirituba, São Paulo"))) and not value(spark, r.in_city(F.lit("Centro, Campinas")))
-    assert value(spark, r.address_order(F.lit("São Paulo, Pirituba"))) == "Pirituba, São Paulo"
+    assert [value(spark, r.in_city(F.lit(x))) for x in ("Sé, SAO PAULO - SP", "Sé, São Paulo/SP", "Grande São Paulo", "", "Osasco")] == [True, True, False, True, False]
+    order = lambda x, *city: value(spark, r.address_order(F.lit(x), *city))
+    assert [order(x) for x in ("São Paulo, Pirituba", "SÃO PAULO - SP,  Vila A, Bloco B", "Centro, Osasco", "Zona Norte", "", "São Paulo,")] == ["Pirituba, São Paulo", "Vila A, Bloco B, SÃO PAULO - SP", "Centro, Osasco", "Zona Norte", "", "São Paulo,"]
+    assert [order(x, "São Paulo") for x in ("Zona Norte", "", "Centro, Osasco", "a,b")] == ["Zona Norte, São Paulo", "São Paulo", "Centro, Osasco", "a,b, São Paulo"]
     assert value(spark, r.canonical_url(F.lit("http://x/a?b=1#c"))) == "http://x/a"
 
 
 def test_vision_answers(spark) -> None:
-    assert [value(spark, r.tri_state(F.lit(x))) for x in ("sim", "Não", "incerto")] == [True, False, None]
+    assert [value(spark, r.tri_state(F.lit(x))) for x in ("sim", "Não", "incerto", " S ", "yes", "n", "no", "sim!", "")] == [True, False, None, True, True, False, False, None, None]
+    assert [value(spark, r.number_certainty(F.lit(n), F.lit(c))) for n, c in (("7", "Alta"), ("7", " média "), ("7", None), ("7", "?"), ("x", "alta"))] == ["alta", "media", "baixa", "baixa", ""]
+    assert [value(spark, r.answer_list(F.parse_json(F.lit(x)))) for x in ('["Mofo ", "", "Umidade"]', '"trinca, MOFO,,"', "3", '{"a": 1}', "null")] == [["mofo", "umidade"], ["trinca", "mofo"], [], [], []]
     assert [value(spark, r.upkeep_grade(F.lit(x))) for x in ("7", "-1", "3.6", "x")] == [5, 0, 4, None]
-    assert [value(spark, r.seen_number(F.lit(x))) for x in ("335", "12a", "0", "nenhum", "12345678")] == ["335", "12A", None, None, None]
+    assert [value(spark, r.seen_number(F.lit(x))) for x in ("335", "12a", "0", "nenhum", "12345678", "007", "12 A", " 5b ", "000", "1AB")] == ["335", "12A", "", "", "", "7", "12A", "5B", "", ""]
     assert value(spark, r.json_object(F.lit('x ```json {"a": 1} ```')).cast("string")) == '{"a":1}'
 
 
+def test_addresses_of_pages_and_photos(spark) -> None:
+    title = lambda x: value(spark, r.title_from_url(F.lit(x)))
+    assert title("https://x.org/propriedades/casa-3-quartos-a-venda-122-m-3000246816.html?n=1") == "Casa 3 quartos a venda 122 m" and title("https://x.org/v/loja-12/") == ""
+    assert title("https://x.org/propriedades/SOBRADO_no-centro-a-1234567.html#p") == "Sobrado no centro"
+    assert [value(spark, r.usable_photo(F.lit(x))) for x in ("http://i.org/silicone.jpg", "https://i.org/placeholder.png", "https://i.org/right-arrow.png", "https://i.org/a.SVG", "//i.org/a.jpg", "https://i.org/LOGO.jpg")] == [True, False, False, False, False, False]
+    url = "https://www.example.org/propriedades/casa-com-quintal-e-edicula-na-vila-3000246816.html"
+    assert value(spark, n.folder_slug(F.lit(url))) == re.sub(r"[^a-zA-Z0-9]+", "_", url)[-60:] + "_" + hashlib.md5(url.encode()).hexdigest()[:8]
+    assert value(spark, n.folder_slug(F.lit("a b"))) == "a_b_" + hashlib.md5(b"a b").hexdigest()[:8]
+
+
 def test_geometry(spark) -> None:
     ring = lambda *p: F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in p])
     square, hole = ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)), ring((4, 4), (6, 4), (6, 6), (4, 6), (4, 4))

@@ -12,8 +12,9 @@ from lotlens.functions import rules as ru
 from lotlens.operators import duplicates as du
 from lotlens.operators import listing as ls
 from lotlens.operators import serving as sv
+from lotlens.operators import upserts as up
 from lotlens.operators import valuation as val
-from lotlens.plans import market
+from lotlens.plans import QUERIES, market
 from lotlens.sources import registers as rg
 
 
@@ -21,12 +22,38 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def test_pages_follow_the_tables(spark, tmp_path, sf_dir) -> None:
+    """Half of the listings go between two calls, then come back in other files."""
+    for name in ("part", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    half = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 2 = 0")
+    before = {r["url"] for r in QUERIES["filter_below_market"](spark, str(tmp_path)).collect()}
+    half.write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    after = {r["url"] for r in QUERIES["filter_below_market"](spark, str(tmp_path)).collect()}
+    assert after and after == {u for u in before if u % 2 == 0}
+    spark.read.parquet(f"{sf_dir}/part.parquet").repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    assert {r["url"] for r in QUERIES["filter_below_market"](spark, str(tmp_path)).collect()} == before
+
+
+def test_a_page_of_any_length_has_its_details(spark) -> None:
+    keys = spark.range(2500).withColumnRenamed("id", "url")
+    (found,) = sv.of_page(keys, spark.range(5000).selectExpr("id as url", "id as detail"))
+    assert found.count() == 2500
+
+
+def test_the_newest_of_several_details_counts(spark) -> None:
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "url long, name string, text string")
+    new = spark.createDataFrame([(1, "older", "long text", 1), (1, "newer", "xy", 2), (1, "", "", 0)], "url long, name string, text string, at long")
+    found = up.coalesced(old, new, "url", ["name"], longest=["text"], newest=[F.col("at").desc()])
+    assert sorted(map(tuple, found.collect())) == [(1, "newer", "xy"), (2, "b", "y")]
+
+
 def test_marts_are_replaced_and_read_again(spark, tmp_path, sf_dir) -> None:
     sv.publish({"a": spark.range(3), "b": spark.range(1)}, f"file://{tmp_path}/m")
     sv.replace_table(spark.range(5), f"file://{tmp_path}/m/a")
     assert [df.count() for df in sv.published(spark, f"file://{tmp_path}/m", "a", "b")] == [5, 1]
     n = market.served(spark, sf_dir, "listings").count()
-    market._MARTS[spark.sparkContext.applicationId, sf_dir] = f"file://{tmp_path}/gone"
+    market._MARTS |= {key: f"file://{tmp_path}/gone" for key in market._MARTS}
     assert market.served(spark, sf_dir, "listings").count() == n
 
 
