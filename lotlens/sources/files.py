@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import ACCENTED, PLAIN
-from ..functions.numbers import brazilian_number
 
 _TABLE = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 
@@ -26,20 +25,6 @@ def by_header(df: DataFrame, wanted: dict[str, str], prefix: int = 26) -> DataFr
     return df.select(*out)
 
 
-def register_csv(spark: SparkSession, path: str, wanted: dict[str, str], sep: str = ";", encoding: str = "UTF-8", keep: Column | None = None) -> DataFrame:
-    rows = by_header(spark.read.csv(path, sep=sep, header=True, encoding=encoding), wanted)
-    return rows if keep is None else rows.where(keep)
-
-
-def yearly(frames: dict[int, DataFrame]) -> DataFrame:
-    """Files of several years with their year; columns that a year lacks are null."""
-    out = None
-    for year, df in sorted(frames.items()):
-        one = df.withColumn("file_year", F.lit(year))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
-
-
 def index_series(spark: SparkSession, path: str) -> DataFrame:
     """{index: {yyyyMM: value}} as index, month, value."""
     raw = spark.read.text(path, wholetext=True)
@@ -47,5 +32,7 @@ def index_series(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.explode("m").alias("index", "series")).select("index", F.explode("series").alias("month", "value"))
 
 
-def money_column(text: Column) -> Column:
-    return brazilian_number(text)
+def with_fallback(series: DataFrame, index: str, other: str) -> DataFrame:
+    """month, value, origin of an index; where it has no values at all, those of the other one."""
+    own, rest = (series.where(F.col("index") == name).select("month", "value", F.lit(name).alias("origin")) for name in (index, other))
+    return own.unionByName(rest.join(own.select(F.lit(True).alias("__there")).limit(1), F.lit(True), "left_anti"))
