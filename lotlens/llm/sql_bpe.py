@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import plain
 
-#: Matches that are looked up together, characters of new words that a query takes and steps that it goes, entries and bytes of a worker's table of words, and tokens that a query decodes.
-CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 300_000, 3 << 17, 16, 300_000, 64 << 20, 400_000
+#: Matches that are looked up together, characters of new words that a query takes and steps that it goes, entries and bytes of each half of a worker's table of words, and tokens that a query decodes.
+CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 400_000, 1 << 19, 16, 200_000, 24 << 20, 400_000
 
 #: The rows of each word after its last step; ``done`` if no pair is left. behind, ahead: the bytes beside a token, -1 at a word's ends.
 _CONTRACT = f"""
@@ -84,7 +84,10 @@ class Coder:
             self.db.execute(f"CREATE TABLE {side} AS {query}")
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.widths[list(ranks.values())] = [len(b) for b in ranks]
+        #: Words that are tokens as they are; the words met of late, and those before them, of which the ones met again move up.
+        self.tokens = {t: i.to_bytes(4, "little") for b, i in ranks.items() if (t := b.decode(errors="replace")).encode() == b}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -117,26 +120,26 @@ class Coder:
             state = after.filter(pa.array(~done)).drop_columns(["done"])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the ids of new words to the table, which is emptied first where it would outgrow its bounds."""
-        if len(self.known) + len(words) > KNOWN or self.held > KNOWN_BYTES:
-            self.known, self.held = {}, 0
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values()))
+
+    def learn(self, met: set[str]) -> None:
+        """Sees that the table has all these words. Where its newer half would outgrow its bounds, it becomes the older one, and what was that goes."""
+        new = met - self.known.keys()
+        if len(self.known) + len(new) > KNOWN or self.held > KNOWN_BYTES:
+            self.known, self.older, self.held, new = {}, self.known, 0, met
+        self._keep({w: self.older[w] for w in new & self.older.keys()})
+        self._keep({w: self.tokens[w] for w in (new - self.known.keys()) & self.tokens.keys()})
         todo, size = [], 0
-
-        def keep(words: list[str], ids: list[bytes]) -> None:
-            self.known.update(zip(words, ids, strict=True))
-            self.held += sum(map(len, words)) + sum(map(len, ids))
-
-        whole = [(w, i) for w in words if (i := self.ranks.get(w.encode())) is not None]
-        keep([w for w, _ in whole], [i.to_bytes(4, "little") for _, i in whole])
-        for word in words - self.known.keys():
+        for word in new - self.known.keys():
             todo.append(word)
             size += len(word)
             if size > BYTES:
-                keep(todo, self.contracted([w.encode() for w in todo]))
+                self._keep(dict(zip(todo, self.contracted([w.encode() for w in todo]), strict=True)))
                 todo, size = [], 0
         if todo:
-            keep(todo, self.contracted([w.encode() for w in todo]))
+            self._keep(dict(zip(todo, self.contracted([w.encode() for w in todo]), strict=True)))
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
         """The ids of each text, little-endian and of 32 bits each; CHUNK matches are held at once, of one text or of many."""
@@ -145,11 +148,7 @@ class Coder:
 
         def flush() -> Iterator[bytes]:
             nonlocal n, parts, waiting
-            met = set().union(*(words for _, words in waiting))
-            if new := met - self.known.keys():
-                if len(self.known) + len(new) > KNOWN or self.held > KNOWN_BYTES:
-                    new = met
-                self.learn(new)
+            self.learn(set().union(*(words for _, words in waiting)))
             look = self.known.__getitem__
             for ends, words in waiting:
                 parts.append(b"".join(map(look, words)))
