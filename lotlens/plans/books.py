@@ -1,4 +1,4 @@
-"""Workbooks and archives: line items written as workbooks of sales, customers as a zipped register of units, and read back."""
+"""Files and pages read back: line items as workbooks of sales, customers as a zipped register of units, pages as those of listings."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import pages as pg
 from ..sources import views as v
 from ..sources import workbooks as wb
 from ..storage import shared_folder
@@ -120,3 +121,29 @@ def tax_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = wb.register_units(spark, f"{folder}/zips")
     wb.store_register(units, f"{folder}/kept")
     return wb.current_register(spark, f"{folder}/kept").select("sql", "ano", "numero", "cep", "venal_terreno", "venal_construcao")
+
+
+# Listings' own pages, made of the titles, addresses and numbers of stored pages.
+
+@query("detail_pages", r"""WITH p AS (SELECT page_id AS k, url, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+d AS (SELECT *, t || ' terreno de ' || (150 + k % 300) || ' m² ' || CASE WHEN k % 3 = 0 THEN 'e ' || (60 + k % 90) || ' m² de construção ' ELSE '' END || 'fim ' || k AS text, 'Casa ' || k AS stored, k % 4 AS n FROM p)
+SELECT k, CASE WHEN length(t) > length(stored) THEN t ELSE stored END AS title, text AS description, (150 + k % 300)::DOUBLE AS land, CASE WHEN k % 3 = 0 THEN 60 + k % 90 WHEN k % 2 = 0 THEN 80.5 ELSE 77 END::DOUBLE AS built,
+  CASE WHEN k % 2 = 0 THEN (k % 5)::INT ELSE 9 END AS rooms, CASE WHEN k % 5 = 1 OR k % 7 = 0 THEN true END AS financing, CASE WHEN n > 1 THEN array_to_string(list_transform(range(n), lambda i: 'https://i.org/f/1200x900/' || k || '-' || i || '.jpg'), ' ') ELSE 'old' END AS photos FROM d""")
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a listing's own: features and gallery in its script, the description with markup inside; merged into what was stored of it."""
+    k = F.col("page_id").cast("string")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "&[a-z]+;", " "), r"\s+", " "))
+    number = lambda base, of: (F.lit(base) + F.col("page_id") % of).cast("string")
+    text = said("<p>", title, "</p> terreno de <b>", number(150, 300), "</b> m² <br>", F.when(F.col("page_id") % 3 == 0, said("<i>e ", number(60, 90), " m² de construção</i>")).otherwise(""), "<div>fim</div><script>no</script> ", k)
+    n = (F.col("page_id") % 4).cast("int")
+    picture = lambda i: said('{"order": ', i.cast("string"), ', "url730x532": "https://i.org/f/730x532/', k, "-", i.cast("string"), '.jpg?v=1"}')
+    shots = F.reverse(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), picture)).otherwise(F.array().cast("array<string>")))
+    gallery = F.array_join(F.concat(shots, F.when(n > 1, F.slice(shots, 1, 1)).otherwise(F.array().cast("array<string>"))), ", ")
+    features = F.when(F.col("page_id") % 2 == 0, said('{"CFT100": {"label": "tot.", "value": "80,5"}, "CFT2": {"value": "', (F.col("page_id") % 5).cast("string"), '"}}')).otherwise('{"CFT101": {"value": 77}, "CFT2": null}')
+    body = said('<html><h1 class="x">', title, ' por R$ 770.000</h1><div class="a description-module__wrapper-description-1">', text, "</div><div>other</div>", F.when(F.col("page_id") % 5 == 1, '<span class="pills-module__pill-item-span">Melhor financiamento</span>').otherwise(""),
+                "<script>const mainFeatures = ", features, "; x = {'pictures': [", gallery, "], 'y': [1]}</script></html>")
+    pages = v.table(spark, sf_dir, "pages")
+    stored = pages.select("page_id", "url", said("Casa ", k).alias("title"), F.lit("").alias("description"), F.lit(1.0).alias("land"), F.lit(2.0).alias("built"), F.lit(9).alias("rooms"), F.lit(None).cast("int").alias("baths"), F.lit(None).cast("int").alias("parking"), F.when(F.col("page_id") % 7 == 0, True).alias("financing"), F.array(F.lit("old")).alias("photos"))
+    found = pg.merged_details(stored.withColumn("url", F.concat(F.lit("https://x.org/"), k)), pg.detail_pages(pages.select(F.concat(F.lit("https://x.org/"), k, F.lit("?utm=1")).alias("url"), body.alias("html"))))
+    return found.select(F.col("page_id").alias("k"), "title", "description", "land", "built", "rooms", "financing", F.array_join("photos", " ").alias("photos"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import brazilian_number
-from ..functions.rules import canonical_url, usable_photo
+from ..functions.rules import accepts_financing, built_area, canonical_url, land_area, sized_photo, usable_photo
 
 _SKIP = {"script", "style", "nav", "template"}
 
@@ -119,14 +120,6 @@ def page_kind(html: Column, detail: str, listing: str) -> Column:
     return F.when(F.contains(html, F.lit(detail)), "detail").when(F.contains(html, F.lit(listing)), "listing").otherwise("other")
 
 
-def merged_details(listings: DataFrame, details: DataFrame) -> DataFrame:
-    """Listings with the longer description and title of their detail page."""
-    d = details.select(canonical_url(F.col("url")).alias("__url"), F.col("title").alias("__title"), F.col("description").alias("__description"))
-    longer = lambda a, b: F.when(F.length(F.coalesce(b, F.lit(""))) > F.length(F.coalesce(a, F.lit(""))), b).otherwise(a)
-    joined = listings.join(d, canonical_url(F.col("url")) == F.col("__url"), "left")
-    return joined.withColumns({"title": longer(F.col("title"), F.col("__title")), "description": longer(F.col("description"), F.col("__description"))}).select(*listings.columns)
-
-
 def embedded_array(html: str | None, name: str) -> str | None:
     """The JSON array behind ``name``, by counting brackets outside strings; null if it doesn't end."""
     start = (html or "").find(name)
@@ -151,15 +144,118 @@ def embedded_array(html: str | None, name: str) -> str | None:
     return None
 
 
-def embedded_json(html: Column, name: str) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda x: embedded_array(x, name)), "string")(html)
+# How a portal marks a listing's own page, and the codes of its features.
+DETAIL_TEXT, DETAIL_PILLS = "description-module__wrapper-description", ("pill-item", "pills-module")
+FEATURES_MARK, PICTURES_MARK, PICTURE_SIZES = "const mainFeatures = ", r"""['"]pictures['"]\s*:\s*\[""", "url1200x1200|resizeUrl1200x1200|url730x532|resizeUrl720x532"
+BUILT_CODES, ROOMS_CODE, BATHS_CODE, PARKING_CODE, FINANCE_PILL = ("CFT100", "CFT101"), "CFT2", "CFT3", "CFT7", "melhor financiamento"
+_VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr", "area", "base", "col", "embed", "track"}
+
+
+class _Detail(HTMLParser):
+    """The texts of the elements that a listing's own page marks by class, its first heading and its description for searches."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str]] = []
+        self.texts: dict[str, list[str]] = {"text": [], "pill": [], "h1": []}
+        self.begun: set[str] = set()
+        self.meta, self.hidden = "", 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        found = dict(attrs)
+        if tag == "meta" and found.get("name") == "description" and not self.meta:
+            self.meta = found.get("content") or ""
+        if tag in _VOID:
+            return
+        marks = found.get("class") or ""
+        kind = "text" if DETAIL_TEXT in marks else "pill" if any(p in marks for p in DETAIL_PILLS) else "h1" if tag == "h1" else ""
+        if kind in ("text", "h1") and kind in self.begun:
+            kind = ""  # only the first counts
+        self.begun.add(kind)
+        self.hidden += tag in ("script", "style")
+        self.open.append((tag, kind))
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _ in self.open):
+            while True:
+                last, _ = self.open.pop()
+                self.hidden -= last in ("script", "style")
+                if last == tag:
+                    break
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            for kind in {k for _, k in self.open if k}:
+                self.texts[kind].append(data)
+
+
+def page_features(html: str) -> dict[str, str]:
+    """Values by code of the page's own object of features; empty if it isn't JSON."""
+    at = html.find(FEATURES_MARK)
+    try:
+        found = json.JSONDecoder().raw_decode(html[at + len(FEATURES_MARK) :].lstrip())[0] if at >= 0 else {}
+    except ValueError:
+        return {}
+    return {k: str(v["value"]) for k, v in found.items() if isinstance(v, dict) and v.get("value") is not None} if isinstance(found, dict) else {}
+
+
+def page_pictures(html: str) -> list[str]:
+    """The gallery in its own order, each file once; empty if its list doesn't end."""
+    begin = re.search(PICTURES_MARK, html)
+    block = embedded_array(html[begin.end() - 1 :], "[") if begin else None
+    found: dict[str, tuple[int, str]] = {}
+    for item in re.findall(r"\{[^{}]*\}", block or ""):
+        url, order = re.search(rf'"(?:{PICTURE_SIZES})"\s*:\s*"([^"]+)"', item), re.search(r'"order"\s*:\s*(\d+)', item)
+        if url:
+            found.setdefault(url[1].split("?")[0].rsplit("/", 1)[-1], (int(order[1]) if order else len(found), url[1]))
+    return [url for _, url in sorted(found.values(), key=lambda x: x[0])]
+
+
+def parse_detail(html: str | None) -> dict:
+    reader = _Detail()
+    reader.feed(html or "")
+    reader.close()
+    text = {k: _squeezed(" ".join(v)) for k, v in reader.texts.items()}
+    return {"description": text["text"], "heading": text["h1"], "meta": reader.meta, "pills": text["pill"], "features": page_features(html or ""), "pictures": page_pictures(html or "")}
+
+
+DETAIL_SCHEMA = "description string, heading string, meta string, pills string, features map<string, string>, pictures array<string>"
 
 
-def gallery(photos: Column) -> Column:
-    """Photos in order, each once."""
-    return F.array_distinct(F.filter(photos, lambda p: F.length(p) > 0))
+def detail_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Page columns, title, description, land, built, rooms, baths, parking, financing, photos of listings' own pages.
 
+    The parser runs on Arrow batches; what it finds is read by column expressions. Areas that the text states come before
+    the features'; what a page doesn't say is null, a text that it lacks empty.
+    """
+
+    def parse(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in frames:
+            yield pd.DataFrame([parse_detail(x) for x in s], columns=["description", "heading", "meta", "pills", "features", "pictures"])
 
-def json_ld(html: Column) -> Column:
-    """The first JSON-LD block as VARIANT; null if there is none or it isn't JSON."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(html, r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1), F.lit("")))
+    keys = [c for c in pages.columns if c != html]
+    d = pages.select(*keys, F.pandas_udf(parse, DETAIL_SCHEMA)(F.col(html)).alias("__d")).select(*keys, "__d.*")
+    feature = lambda code: F.replace(F.try_element_at("features", F.lit(code)), F.lit(","), F.lit(".")).try_cast("double")
+    whole = lambda code: F.try_element_at("features", F.lit(code)).try_cast("double").cast("int")
+    said = F.coalesce(*[F.nullif(feature(c), F.lit(0.0)) for c in BUILT_CODES])
+    title = F.regexp_replace(F.regexp_replace("heading", r"\s+por\s+R\$\s*[\d.,]+\s*$", ""), r"^[ \-–—]+|[ \-–—]+$", "")
+    return d.select(
+        *keys, title.alias("title"), "description", F.coalesce(land_area(F.col("description")), land_area(F.col("meta"))).alias("land"), F.coalesce(built_area(F.col("description")), said).alias("built"),
+        whole(ROOMS_CODE).alias("rooms"), whole(BATHS_CODE).alias("baths"), whole(PARKING_CODE).alias("parking"), accepts_financing(F.col("description"), F.contains(F.lower("pills"), F.lit(FINANCE_PILL))).alias("financing"), F.transform("pictures", lambda p: sized_photo(p)).alias("photos"),
+    )
+
+
+def merged_details(listings: DataFrame, details: DataFrame) -> DataFrame:
+    """Listings with what their own pages say: the longer title and description, the larger gallery, areas and numbers that the page has; financing that was known stays.
+
+    Of several pages of an address the one with the longest description counts.
+    """
+    known = {"title": "", "description": "", "land": None, "built": None, "rooms": None, "baths": None, "parking": None, "financing": None, "photos": None}
+    one = details.withColumn("__url", canonical_url(F.col("url"))).groupBy("__url").agg(F.max_by(F.struct(*known), F.struct(F.length("description"), F.col("url"))).alias("__d"))
+    joined = listings.join(one, canonical_url(F.col("url")) == F.col("__url"), "left")
+    new, own = (lambda c: F.col(f"__d.{c}")), F.col
+    longer = {c: F.when(F.length(F.coalesce(new(c), F.lit(""))) > F.length(F.coalesce(own(c), F.lit(""))), new(c)).otherwise(own(c)) for c in ("title", "description")}
+    size = lambda x: F.coalesce(F.size(x), F.lit(-1))
+    larger = {"photos": F.when(F.greatest(size(new("photos")), F.lit(0)) > F.greatest(size(own("photos")), F.lit(0)), new("photos")).otherwise(own("photos"))}
+    filled = {c: F.coalesce(new(c), own(c)) for c in ("land", "built", "rooms", "baths", "parking")}
+    return joined.withColumns(longer | larger | filled | {"financing": F.when(own("financing"), True).otherwise(F.coalesce(new("financing"), own("financing")))}).select(*listings.columns)
