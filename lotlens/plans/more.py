@@ -214,7 +214,8 @@ def text_yard_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", ru.keyword_score(F.col("text"), _WANTED, _UNWANTED).alias("score"))
 
 
-@query("text_financing", None)
+@query("text_financing", r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), s AS (SELECT doc_id, low, list_filter(list_transform(regexp_split_to_array(low, '[.;\n!?]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM d)
+SELECT doc_id, CASE WHEN contains(low, 'the of and') THEN false WHEN contains(low, 'tion') AND (contains(low, 'mente') OR len(list_filter(range(1, len(s) + 1), lambda i: contains(s[i], 'tion') AND NOT contains(s[i], 'ing') AND (regexp_matches(s[i], 'that|pour|que') OR i > 1 AND regexp_matches(s[i - 1], 'that|pour|que')))) > 0) THEN true END AS accepts FROM s""")
 def text_financing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence rule with words of the documents' own vocabulary."""
     rule = ru.accepts_financing(F.col("text"), stem="tion", refusing=["the of and"], accepting=["that", "pour", "que"], advertising=["ing"], certain=["mente"])

@@ -287,7 +287,10 @@ def unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_matches(v.listings(spark, sf_dir).select("url", "street", "number", "price"), v.sales(spark, sf_dir), ["street", "number"]).select("url", "value", F.round("ratio", 6).alias("ratio"))
 
 
-@query("weighted_fit", None)
+@query("weighted_fit", f"""{_UNITS}, m AS (SELECT sum(1 / area) AS a, count(*)::DOUBLE AS b, sum(area) AS c, sum(area * area) AS d, sum(area * area * area) AS e, sum(value / area) AS x, sum(value) AS y, sum(value * area) AS z FROM u),
+t AS (SELECT *, a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c) AS det FROM m)
+SELECT 'constant' AS term, round((x * (c * e - d * d) - b * (y * e - z * d) + c * (y * d - z * c)) / det, 4) AS coefficient FROM t UNION ALL SELECT 'area', round((a * (y * e - z * d) - x * (b * e - c * d) + c * (b * z - c * y)) / det, 4) FROM t
+UNION ALL SELECT 'square', round((a * (c * z - d * y) - b * (b * z - c * y) + x * (b * d - c * c)) / det, 4) FROM t""")
 def weighted_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value explained by area, area squared and a constant, weighted by 1 / area."""
     u = units(spark, sf_dir).withColumns({"one": F.lit(1.0), "square": F.col("area") * F.col("area"), "w": 1 / F.col("area")})
