@@ -23,9 +23,40 @@ def any_date(text: Column) -> Column:
     return F.date_format(day, "yyyyMMdd")
 
 
+def _dotted(value: Column, decimals: int = 0) -> Column:
+    """1.234.567,8: points between thousands, a comma before decimals."""
+    return F.translate(F.format_number(value, decimals), ",.", ".,")
+
+
 def money(value: Column) -> Column:
     """'R$ 1.234.567'."""
-    return F.concat(F.lit("R$ "), F.translate(F.format_number(value, 0), ",", "."))
+    return F.concat(F.lit("R$ "), _dotted(value))
+
+
+def price_text(price: Column) -> Column:
+    return F.coalesce(money(price), F.lit("Preço a consultar"))
+
+
+def short_money(value: Column) -> Column:
+    """'R$ 1,71 mi', 'R$ 480 mil', 'R$ 95'; a dash where there is none."""
+    bare = lambda x, n: F.translate(F.format_number(x, n), ".,", ",")
+    millions, thousands = F.concat(F.lit("R$ "), bare(value / 1e6, 2), F.lit(" mi")), F.concat(F.lit("R$ "), bare(value / 1e3, 0), F.lit(" mil"))
+    return F.when(value.isNull(), "—").when(value >= 1e6, millions).when(value >= 1e3, thousands).otherwise(F.concat(F.lit("R$ "), bare(value, 0)))
+
+
+def area_text(value: Column) -> Column:
+    return F.coalesce(F.concat(_dotted(value), F.lit(" m²")), F.lit("?"))
+
+
+def number_text(value: Column) -> Column:
+    """A whole number without decimals, others with one; '?' where there is none."""
+    return F.when(value.isNull(), "?").when(value == F.floor(value), _dotted(value)).otherwise(_dotted(value, 1))
+
+
+def register_text(number: Column) -> Column:
+    """A register's number of 11 digits as 000.000.0000-0; others stay as they are, null is empty."""
+    digits = F.regexp_replace(F.coalesce(number.cast("string"), F.lit("")), r"\D", "")
+    return F.when(F.length(digits) == 11, F.regexp_replace(digits, r"^(\d{3})(\d{3})(\d{4})(\d)$", "$1.$2.$3-$4")).otherwise(F.coalesce(number.cast("string"), F.lit("")))
 
 
 def distance_text(metres: Column) -> Column:

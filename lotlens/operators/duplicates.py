@@ -101,3 +101,11 @@ def price_ranges(members: DataFrame) -> DataFrame:
     """group, copies, low, high, saving, and the members as an array from the cheapest on (groups of copies of one listing: bounded)."""
     entry = F.struct(F.col("price").isNull().alias("unknown"), "price", "id")
     return members.groupBy("group").agg(F.count("*").alias("copies"), F.min("price").alias("low"), F.max("price").alias("high"), F.array_sort(F.collect_list(entry)).alias("detail")).withColumn("saving", F.col("high") - F.col("low"))
+
+
+def copy_places(members: DataFrame) -> DataFrame:
+    """Members with copies, place (1 is the cheapest; those without a price come last, equal ones by id), cheaper (how many cost less) and above (what the member costs above the cheapest). members: group, id, price."""
+    group = Window.partitionBy("group")  # copies of one listing: bounded
+    ordered = group.orderBy(F.col("price").isNull(), "price", "id")
+    less = F.when(F.col("price").isNotNull(), F.rank().over(group.orderBy(F.col("price").isNull(), "price")) - 1)
+    return members.select("*", F.count("*").over(group).alias("copies"), F.row_number().over(ordered).alias("place"), less.cast("long").alias("cheaper"), (F.col("price") - F.min("price").over(group)).alias("above"))

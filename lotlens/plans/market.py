@@ -217,6 +217,16 @@ def group_price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_ranges(members).select(F.col("group").alias("grp"), F.get("detail", F.lit(0))["id"].alias("cheapest"), "copies", "low", "high", F.round("saving", 2).alias("saving"))
 
 
+@query("copy_places", f"""WITH {v.AD}, g AS (SELECT url // 10 AS grp, url, CASE WHEN url % 9 > 0 THEN floor(price / 5000) * 5000 END AS price FROM ad)
+SELECT grp, url, count(*) OVER (PARTITION BY grp) AS copies, (row_number() OVER (PARTITION BY grp ORDER BY price IS NULL, price, url))::INT AS place, CASE WHEN price IS NOT NULL THEN rank() OVER (PARTITION BY grp ORDER BY price IS NULL, price) - 1 END AS cheaper, price - min(price) OVER (PARTITION BY grp) AS above FROM g""")
+def copy_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each listing stands among its copies."""
+    from ..operators.duplicates import copy_places as places
+
+    members = v.listings(spark, sf_dir).select(F.expr("url div 10").alias("group"), F.col("url").alias("id"), F.when(F.col("url") % 9 > 0, F.floor(F.col("price") / 5000) * 5000.0).alias("price"))
+    return places(members).select(F.col("group").alias("grp"), F.col("id").alias("url"), "copies", "place", "cheaper", "above")
+
+
 @query("group_guard_principal", f"""WITH {v.AD}, m AS (SELECT url // 10 AS grp, url AS id, CASE WHEN url % 10 < 5 THEN 'x' ELSE area_name END AS area_name, url // 30 AS street, price, url % 4 AS photos FROM ad)
 SELECT grp, count(*) AS n, arg_min(id, ROW(price IS NULL, price, -photos, id)) AS principal, count(DISTINCT street) > 1 OR count(DISTINCT nullif(area_name, '')) > 1 AS dropped FROM m GROUP BY grp""")
 def group_guard_principal(spark: SparkSession, sf_dir: str) -> DataFrame:

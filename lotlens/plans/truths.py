@@ -185,6 +185,20 @@ def vision_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("formatted_values", r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars * 1731.0::DOUBLE WHEN 1 THEN n_chars + 0.25::DOUBLE WHEN 2 THEN n_chars / 7.0::DOUBLE END AS x, CASE doc_id % 3 WHEN 0 THEN lpad((doc_id * 7919)::VARCHAR, 11, '0') WHEN 1 THEN '123.' || lpad(doc_id::VARCHAR, 7, '0') || '-5' END AS n FROM documents),
+t AS (SELECT *, replace(format('{:,.0f}', x), ',', '.') AS whole, translate(format('{:,.1f}', x), ',.', '.,') AS one, regexp_replace(coalesce(n, ''), '[^0-9]', '', 'g') AS d FROM r)
+SELECT doc_id, coalesce('R$ ' || whole, 'Preço a consultar') AS price, CASE WHEN x IS NULL THEN '—' WHEN x >= 1000000 THEN 'R$ ' || replace(format('{:.2f}', x / 1000000), '.', ',') || ' mi' WHEN x >= 1000 THEN 'R$ ' || format('{:.0f}', x / 1000) || ' mil' ELSE 'R$ ' || format('{:.0f}', x) END AS short,
+  coalesce(whole || ' m²', '?') AS area, CASE WHEN x IS NULL THEN '?' WHEN x = floor(x) THEN whole ELSE one END AS number, CASE WHEN length(d) = 11 THEN d[1:3] || '.' || d[4:6] || '.' || d[7:10] || '-' || d[11:] ELSE coalesce(n, '') END AS register FROM t""")
+def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, areas, numbers and register numbers as pages show them."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    x = F.when(k % 4 == 0, n * F.lit(1731.0)).when(k % 4 == 1, n + F.lit(0.25)).when(k % 4 == 2, n / F.lit(7.0))
+    code = F.when(k % 3 == 0, F.lpad((k * 7919).cast("string"), 11, "0")).when(k % 3 == 1, F.concat(F.lit("123."), F.lpad(k.cast("string"), 7, "0"), F.lit("-5")))
+    rows = v.table(spark, sf_dir, "documents").select("doc_id", x.alias("x"), code.alias("n"))
+    at = F.col("x")
+    return rows.select("doc_id", nu.price_text(at).alias("price"), nu.short_money(at).alias("short"), nu.area_text(at).alias("area"), nu.number_text(at).alias("number"), nu.register_text(F.col("n")).alias("register"))
+
+
 # Lines, as arithmetic on a plane.
 
 @query("line_geometry", """WITH p AS (SELECT c_custkey AS k, -46.6 + (c_custkey % 37) * 0.0003 AS lon, -23.5 + (c_custkey % 23) * 0.0002 AS lat FROM customer), s AS (SELECT *, 111320.0 * cos(radians(lat)) AS kx FROM p),
