@@ -1,4 +1,4 @@
-"""Modified Kneser-Ney over the characters of a whole corpus, one model per language.
+"""Modified Kneser-Ney over the characters of a whole corpus.
 
 An n-gram of ORDER characters is packed into one long, 21 bits a code point, so
 counts, contexts and suffixes are exact. All n-grams of all documents are

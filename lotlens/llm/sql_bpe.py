@@ -27,10 +27,7 @@ from pyspark.sql import functions as F
 from .common import plain
 
 #: Matches that are looked up together, characters of new words that a query takes and steps that it goes, entries and bytes of each half of a worker's table of words, and tokens that a query decodes.
-CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 400_000, 1 << 19, 16, 200_000, 24 << 20, 400_000
-
-#: Characters of a text that Spark cuts in one piece.
-WHOLE = 1 << 20
+CHUNK, BYTES, STEPS, KNOWN, KNOWN_BYTES, TOKENS = 300_000, 3 << 17, 16, 180_000, 24 << 20, 300_000
 
 #: The rows of each word after its last step; ``done`` if no pair is left. behind, ahead: the bytes beside a token, -1 at a word's ends.
 _CONTRACT = f"""
@@ -144,8 +141,8 @@ class Coder:
         if todo:
             self._keep(dict(zip(todo, self.contracted([w.encode() for w in todo]), strict=True)))
 
-    def encode(self, texts: Iterator[str | list[str]]) -> Iterator[bytes]:
-        """The ids of each text, or of its matches, little-endian and of 32 bits each; CHUNK matches are held at once, of one text or of many."""
+    def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """The ids of each text, little-endian and of 32 bits each; CHUNK matches are held at once, of one text or of many."""
         waiting: list[tuple[bool, list[str]]] = []  # does the text end here, its matches
         n, parts = 0, []
 
@@ -162,8 +159,7 @@ class Coder:
 
         for text in texts:
             words: list[str] = []
-            whole = isinstance(text, list)
-            for match in self.pattern.finditer(text) if not whole and len(text) > CHUNK else (text if whole else self.pattern.findall(text),):
+            for match in self.pattern.finditer(text) if len(text) > CHUNK else (self.pattern.findall(text),):
                 if isinstance(match, list):
                     words = match
                     continue
@@ -217,55 +213,36 @@ class Coder:
         yield from flush()
 
 
-def _regrouped(batch: pa.RecordBatch, rest: list[str], made: Iterator[bytes], name: str) -> Iterator[pa.RecordBatch]:
-    """Columns of the batch with what was made of its rows; batches out end where their bytes are many."""
-    begin, held, size = 0, [], 0
-    for out in made:
-        held.append(out)
-        size += len(out)
-        if size > 16 << 20 or begin + len(held) == batch.num_rows:
-            part = batch.slice(begin, len(held))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(held, pa.binary())], [*rest, name])
-            begin, held, size = begin + len(held), [], 0
+def _mapped(df: DataFrame, ranks: str, pattern: str, column: str, kind: str) -> DataFrame:
+    """doc_id and what the coder's method ``kind`` makes of ``column``; batches out end where their bytes are many."""
+    rest = [c for c in df.columns if c != column] + ([column] if kind == "decode" else [])
+    made = "ids" if kind == "encode" else "decoded"
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + f", {made} binary"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder.of(ranks, pattern)
+        for b in batches:
+            begin, held, size = 0, [], 0
+            for out in getattr(coder, kind)(x.as_py() for x in b.column(column)):
+                held.append(out)
+                size += len(out)
+                if size > 16 << 20 or begin + len(held) == b.num_rows:
+                    part = b.slice(begin, len(held))
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(held, pa.binary())], [*rest, made])
+                    begin, held, size = begin + len(held), [], 0
 
-def _matches(column: pa.ListArray, texts: pa.Array) -> Iterator[str | list[str]]:
-    """Per row the matches that Spark found, or else the text; some rows' matches become Python's at a time."""
-    offsets, begin = column.offsets.to_numpy(), 0
-    while begin < len(column):
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK // 4, side="right")) - 1)
-        words = column.values.slice(offsets[begin], offsets[end] - offsets[begin]).to_numpy(zero_copy_only=False)
-        for i in range(begin, end):
-            yield words[offsets[i] - offsets[begin] : offsets[i + 1] - offsets[begin]].tolist() if column[i].is_valid else texts[i].as_py()
-        begin = end
+    return df.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, 32 bits each): as the library encodes ordinary text with these ranks, special strings being text.
 
     One row per input row. Null and empty texts have no ids. Empty tables give no rows; other columns are ignored.
-    Spark's own expression cuts the texts, except long ones and those with characters that its Unicode tables don't know,
-    which the workers cut; the pattern must mean the same to both.
     """
-    src = plain(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    simple = (F.length("text") <= WHOLE) & ~F.col("text").rlike(r"\p{Cn}")
-    cut = src.select("doc_id", F.when(simple, F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))).alias("matches"), F.when(~simple, F.col("text")).alias("text"))
-    id_type = src.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(ranks, pattern)
-        for b in batches:
-            yield from _regrouped(b, ["doc_id"], coder.encode(_matches(b.column("matches"), b.column("text"))), "ids")
-
-    return cut.mapInArrow(run, f"doc_id {id_type}, ids binary")
+    src = plain(docs, id_col, text_col).toDF("doc_id", "text")
+    return _mapped(src.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), ranks, pattern, "text", "encode")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """The rows of ``encode`` with decoded, the bytes that their ids stand for. An id outside of the vocabulary is an error."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(ranks, pattern)
-        for b in batches:
-            yield from _regrouped(b, b.schema.names, coder.decode(x.as_py() for x in b.column("ids")), "decoded")
-
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")
+    return _mapped(encoded, ranks, pattern, "ids", "decode")
