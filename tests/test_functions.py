@@ -107,6 +107,14 @@ def test_vision_answers(spark) -> None:
     assert value(spark, r.json_object(F.lit('x ```json {"a": 1} ```')).cast("string")) == '{"a":1}'
 
 
+def test_values_as_pages_show_them(spark) -> None:
+    number = lambda f, *xs: [value(spark, f(F.lit(x).cast("double"))) for x in xs]
+    assert number(n.price_text, 1712300.4, None) == ["R$ 1.712.300", "Preço a consultar"]
+    assert number(n.short_money, 1712300, 480000, 95, 1234e6, None) == ["R$ 1,71 mi", "R$ 480 mil", "R$ 95", "R$ 1234,00 mi", "—"]
+    assert number(n.area_text, 1250.4, None) == ["1.250 m²", "?"] and number(n.number_text, 1250, 1250.25, -3, None) == ["1.250", "1.250,2", "-3", "?"]
+    assert [value(spark, n.register_text(F.lit(x))) for x in ("12345678901", "123.456.7890-1", "123", None)] == ["123.456.7890-1", "123.456.7890-1", "123", ""]
+
+
 def test_addresses_of_pages_and_photos(spark) -> None:
     title = lambda x: value(spark, r.title_from_url(F.lit(x)))
     assert title("https://x.org/propriedades/casa-3-quartos-a-venda-122-m-3000246816.html?n=1") == "Casa 3 quartos a venda 122 m" and title("https://x.org/v/loja-12/") == ""

@@ -48,6 +48,12 @@ def test_the_newest_of_several_details_counts(spark) -> None:
     assert sorted(map(tuple, found.collect())) == [(1, "newer", "xy"), (2, "b", "y")]
 
 
+def test_places_among_copies(spark) -> None:
+    members = spark.createDataFrame([(1, 5, 10.0), (1, 4, 10.0), (1, 3, 30.0), (1, 2, None), (2, 9, None)], "group long, id long, price double")
+    found = {r["id"]: (r["copies"], r["place"], r["cheaper"], r["above"]) for r in du.copy_places(members).collect()}
+    assert found == {4: (4, 1, 0, 0.0), 5: (4, 2, 0, 0.0), 3: (4, 3, 2, 20.0), 2: (4, 4, None, None), 9: (1, 1, None, None)}
+
+
 def test_marts_are_replaced_and_read_again(spark, tmp_path, sf_dir) -> None:
     sv.publish({"a": spark.range(3), "b": spark.range(1)}, f"file://{tmp_path}/m")
     sv.replace_table(spark.range(5), f"file://{tmp_path}/m/a")
