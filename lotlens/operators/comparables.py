@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import confidence_class
+from ..storage import growing
 
 # How alike areas must be, how many sales a step needs and takes, how old sales may be, and what a usable sale is.
 AREA_TOLERANCE, LEAST, MOST, YEARS, LEAST_NUMBERS = 0.25, 3, 500, 10, 3
@@ -44,11 +45,12 @@ def cascade(listings: DataFrame, sales: DataFrame, tie: list[str], tolerance: fl
     ads = ads.withColumn("ad_band", F.explode(F.sequence(band(low), band(high))))
     sized = sales.where("area > 0").withColumn("__band", band(F.col("area").cast("double")))
     alike = (F.col("__band") == F.col("ad_band")) & F.col("area").between(low, high)
-    on_street = sized.join(ads, (F.col("street") == F.col("ad_street")) & alike).withColumn("levels", F.when(F.col("cep") == F.col("ad_cep"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
-    in_code = sized.join(ads, (F.col("cep") == F.col("ad_cep")) & alike).withColumn("levels", F.array(F.lit(3)))
-    found = on_street.unionByName(in_code)
+    on_street = sized.join(growing(ads), (F.col("street") == F.col("ad_street")) & alike).withColumn("levels", F.when(F.col("cep") == F.col("ad_cep"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))
+    in_code = sized.join(growing(ads), (F.col("cep") == F.col("ad_cep")) & alike).withColumn("levels", F.array(F.lit(3)))
+    # One shuffle, of pairs before they are listed under their steps: all windows here and the summary's groups lie within a listing.
+    found = on_street.unionByName(in_code).drop("ad_street", "ad_cep", "ad_band", "__band").repartition("url")
     steps = F.when(F.col("financed"), F.concat("levels", F.transform("levels", lambda x: x + 3))).otherwise(F.transform("levels", lambda x: x + 3))
-    rows = found.withColumn("step", F.explode(steps)).drop("levels", "ad_street", "ad_cep", "ad_band", "__band")
+    rows = found.withColumn("step", F.explode(steps)).drop("levels")
     step = Window.partitionBy("url", "step")
     newest = step.orderBy(F.col("sold").desc_nulls_last(), *[F.col(c).desc() for c in tie])
     recent = rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
@@ -68,17 +70,18 @@ def summary(comparables: DataFrame, least_numbers: int = LEAST_NUMBERS) -> DataF
     a number count as one number.
     """
     rows = comparables.withColumn("unit", F.col("value") / F.col("area")).withColumn("number", F.coalesce(F.nullif(F.trim(F.col("number").cast("string")), F.lit("")), F.lit("?")))
+    # Over a window and not joined, for which the comparables would be computed twice.
+    rows = rows.withColumn("of_sales", F.median("unit").over(Window.partitionBy("url")))
     by_number = rows.groupBy("url", "step", "listing_area", "price", "number").agg(
         F.median("unit").alias("number_median"), F.count("*").alias("k"), F.sum("unit").alias("total"), F.min("unit").alias("low"), F.max("unit").alias("high"),
-        F.sum(F.col("financed").cast("long")).alias("financed"), F.min(F.year("sold")).alias("first"), F.max(F.year("sold")).alias("last"),
+        F.sum(F.col("financed").cast("long")).alias("financed"), F.min(F.year("sold")).alias("first"), F.max(F.year("sold")).alias("last"), F.first("of_sales").alias("of_sales"),
     )
     by_ad = by_number.groupBy("url", "step", "listing_area", "price").agg(
         F.sum("k").alias("n"), F.count("*").alias("n_numbers"), F.sum("financed").alias("n_financed"), F.median("number_median").alias("of_numbers"),
-        (F.sum("total") / F.sum("k")).alias("unit_mean"), F.min("low").alias("unit_low"), F.max("high").alias("unit_high"), F.min("first").alias("first_year"), F.max("last").alias("last_year"),
+        (F.sum("total") / F.sum("k")).alias("unit_mean"), F.min("low").alias("unit_low"), F.max("high").alias("unit_high"), F.min("first").alias("first_year"), F.max("last").alias("last_year"), F.first("of_sales").alias("of_sales"),
     )
-    all_sales = rows.groupBy("url").agg(F.median("unit").alias("of_sales"))
     robust = F.col("n_numbers") >= least_numbers
-    out = by_ad.join(all_sales, "url").withColumn("unit_median", F.when(robust, F.col("of_numbers")).otherwise(F.col("of_sales"))).withColumn("method", F.when(robust, "por_numero").otherwise("simples"))
+    out = by_ad.withColumn("unit_median", F.when(robust, F.col("of_numbers")).otherwise(F.col("of_sales"))).withColumn("method", F.when(robust, "por_numero").otherwise("simples"))
     estimate = F.col("unit_median") * F.col("listing_area")
     return out.select(
         "url", "step", "n", "n_numbers", "n_financed", "method", "unit_median", estimate.alias("estimate"), "unit_mean", "unit_low", "unit_high", F.try_divide("price", estimate).alias("ratio"),
@@ -89,10 +92,10 @@ def summary(comparables: DataFrame, least_numbers: int = LEAST_NUMBERS) -> DataF
 def todo(listings: DataFrame, done: DataFrame, change: float = 1.0) -> DataFrame:
     """Listings without a comparison, or whose price moved by ``change`` or more since."""
     same = (F.col("a.url") == F.col("d.url")) & (F.abs(F.coalesce(F.col("a.price"), F.lit(0.0)) - F.coalesce(F.col("d.price"), F.lit(0.0))) < change)
-    return listings.alias("a").join(done.alias("d"), same, "left_anti")
+    return listings.alias("a").join(growing(done.alias("d")), same, "left_anti")
 
 
 def unique_matches(listings: DataFrame, sales: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Listings at whose place, told by the keys, exactly one sale is known: all their columns, value and ratio of the price to it."""
     single = sales.groupBy(*keys).agg(F.count("*").alias("__n"), F.max(value).alias("__value")).where("__n = 1").drop("__n")
-    return listings.join(single, keys).select(*listings.columns, F.col("__value").alias("value"), F.try_divide("price", "__value").alias("ratio"))
+    return listings.join(growing(single), keys).select(*listings.columns, F.col("__value").alias("value"), F.try_divide("price", "__value").alias("ratio"))

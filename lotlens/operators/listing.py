@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import search_text
 from ..functions.scores import fit_score
+from ..storage import growing
 
 # Rows a page, and days that a listing is new.
 PAGE, NEW_DAYS = 60, 2
@@ -89,7 +90,7 @@ class Filters:
 
 def with_comparisons(listings: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Listings with ratio, confidence and score; null where there is no comparison."""
-    joined = listings.join(comparisons.select("url", "ratio", "confidence"), "url", "left")
+    joined = listings.join(growing(comparisons.select("url", "ratio", "confidence")), "url", "left")
     return joined.withColumn("score", fit_score(F.col("ratio"), F.col("upkeep"), F.col("has_problem"), F.col("confidence")))
 
 

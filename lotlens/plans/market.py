@@ -12,7 +12,7 @@ from ..operators import comparables as c
 from ..operators import listing as ls
 from ..operators import serving as sv
 from ..sources import views as v
-from ..storage import file_state, materialized, shared_folder
+from ..storage import file_state, growing, materialized, shared_folder
 from .registry import query
 
 
@@ -141,7 +141,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(100.0 * avg((step <= 3)::INT), 4) AS pct_financed FROM summary JOIN ad USING (url) GROUP BY area_name HAVING count(*) >= 5""",
 )
 def report_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = summaries(spark, sf_dir).join(v.listings(spark, sf_dir).select("url", "area_name"), "url")
+    joined = summaries(spark, sf_dir).join(growing(v.listings(spark, sf_dir).select("url", "area_name")), "url")
     return _report(joined.groupBy("area_name")).where("n >= 5")
 
 
@@ -151,7 +151,7 @@ def report_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(100.0 * avg((step <= 3)::INT), 4) AS pct_financed FROM summary JOIN ad USING (url) WHERE area_name ILIKE '%#1%' GROUP BY street, area_name""",
 )
 def report_by_street(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = summaries(spark, sf_dir).join(v.listings(spark, sf_dir).select("url", "street", "area_name").where(F.col("area_name").ilike("%#1%")), "url")
+    joined = summaries(spark, sf_dir).join(growing(v.listings(spark, sf_dir).select("url", "street", "area_name").where(F.col("area_name").ilike("%#1%"))), "url")
     return _report(joined.groupBy("street", "area_name"))
 
 
@@ -184,7 +184,7 @@ def fit_score_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.scores import FIT_SCORE_SQL
 
     spark.sql(FIT_SCORE_SQL)
-    rows = v.listings(spark, sf_dir).join(summaries(spark, sf_dir).select("url", "ratio", "confidence"), "url", "left")
+    rows = v.listings(spark, sf_dir).join(growing(summaries(spark, sf_dir).select("url", "ratio", "confidence")), "url", "left")
     return rows.select("url", F.expr("fit_score(ratio, cast(upkeep as double), has_problem, confidence)").alias("score")).where("score is not null")
 
 

@@ -9,6 +9,7 @@ from ..functions import scores as s
 from ..operators import pairs as pr
 from ..operators import valuation as val
 from ..sources import views as v
+from ..storage import growing
 from .registry import query
 
 #: Customers' regions, finest first: customer group, nation, region, all.
@@ -250,7 +251,7 @@ def assessed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = v.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("street"), (F.col("l_suppkey") % 3).alias("part"), F.lit(1).cast("long").alias("one"))
     street = val.dominant(rows, "street", "part", "one", share=0.5).select("street", "part")
-    ads = v.listings(spark, sf_dir).select("url", "street", "price").join(summaries(spark, sf_dir).select("url", "estimate"), "url", "left").join(street, "street", "left")
+    ads = v.listings(spark, sf_dir).select("url", "street", "price").join(growing(summaries(spark, sf_dir).select("url", "estimate")), "url", "left").join(growing(street), "street", "left")
     z = ads.select("url", F.when(F.col("url") % 2 == 0, F.col("url") % 3).otherwise(F.col("part")).alias("zone"), F.coalesce("estimate", "price").alias("base"), (F.col("url") % 3).alias("corners")).where("zone is not null")
     assessed = F.col("base") * (0.4 + 0.1 * F.col("zone"))
     return z.select("url", "zone", F.round(assessed, 6).alias("assessed"), F.round(s.reference_value(assessed, F.col("corners")), 6).alias("reference"))
@@ -272,7 +273,7 @@ def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .market import summaries
 
-    rows = summaries(spark, sf_dir).select("url", "ratio").join(v.listings(spark, sf_dir).select("url", "upkeep"), "url").where("upkeep is not null")
+    rows = summaries(spark, sf_dir).select("url", "ratio").join(growing(v.listings(spark, sf_dir).select("url", "upkeep")), "url").where("upkeep is not null")
     r = rows.agg(F.round(F.corr("upkeep", "ratio"), 6).alias("r"))
     by = rows.groupBy("upkeep").agg(F.count("*").alias("n"), F.round(100.0 * F.avg((F.col("ratio") < 1).cast("int")), 4).alias("pct_below"))
     medians = val.percentiles(rows, ["upkeep"], "ratio", {"median_ratio": 0.5}).select("upkeep", F.round("median_ratio", 6).alias("median_ratio"))

@@ -23,6 +23,11 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and so is shuffled: its files are far smaller than its rows, and by their size Spark would collect and broadcast more than the driver holds."""
+    return df.hint("shuffle_merge")
+
+
 def file_state(spark: SparkSession, *paths: str) -> str:
     """A digest of the names, sizes and times of all files of the paths, wherever they are stored: another one as soon as a table is written anew."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
