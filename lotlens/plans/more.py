@@ -37,7 +37,7 @@ _NEAR = f"WITH RECURSIVE {BITS}, near AS (SELECT a.id AS a, b.id AS b, bit_count
 
 @query("hamming_pairs", f"{_NEAR} SELECT a, b, distance FROM near")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return du.alike(hashes(spark, sf_dir), 18)
+    return du.all_alike(hashes(spark, sf_dir), 18)
 
 
 @query("duplicate_groups", f"""{_NEAR}, e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), r(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a) SELECT id, min(root) AS grp FROM r GROUP BY id""")
