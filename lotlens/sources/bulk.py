@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 from ..functions.address import street_key
 from .fetching import announced, fetched, fetcher
 
-# Rows of a page, and the attributes of a lot.
-PAGE_ROWS = 1000
+# Rows of a page, batches of a download of any length, and the attributes of a lot.
+PAGE_ROWS, MOST_BATCHES = 1000, 32
 LOT_FIELDS = [
     "cd_setor_fiscal", "cd_quadra_fiscal", "cd_lote", "tx_complemento_endereco", "nm_logradouro_completo", "cd_numero_porta", "dc_tipo_uso_imovel", "cd_tipo_terreno_imovel", "tx_situ_lote", "qt_area_terreno", "qt_area_construida",
 ]
@@ -45,7 +45,9 @@ class PageRequests(SimpleDataSourceStreamReader):
             if total is None:
                 raise RuntimeError(f"the service doesn't say how many rows {self.layer} has")
             self.total = total
-        end = {"row": max(start["row"], min(start["row"] + self.size * self.per, self.total))}
+        # A batch costs the same whatever it holds: there are at most MOST_BATCHES or so, and a run that is killed loses at most one.
+        pages = max(self.per, -(-self.total // (self.size * MOST_BATCHES)))
+        end = {"row": max(start["row"], min(start["row"] + self.size * pages, self.total))}
         return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
@@ -102,7 +104,7 @@ def lots(bodies: DataFrame) -> DataFrame:
 
 
 def download(spark: SparkSession, target: str, path: str, layer: str, size: int = PAGE_ROWS, pages_per_batch: int = 32, tasks: int = 8, **options: str) -> int:
-    """Fetches all pages that no earlier run has into ``target``; the number of batches of this run. An error ends the run, and the next goes on behind its last batch."""
+    """Fetches, by batches of ``pages_per_batch`` pages, more in a long download, all pages that no earlier run has into ``target``; the number of batches of this run. An error ends the run, and the next goes on behind its last batch."""
     spark.dataSource.register(PageRequestSource)
     source = spark.readStream.format("page_requests").options(fetcher=path, layer=layer, size=size, pagesPerBatch=pages_per_batch, **options).load()
     done: list[int] = []

@@ -236,3 +236,15 @@ def test_answers_are_asked_for_again(monkeypatch) -> None:
     monkeypatch.setattr(fetching, "fetcher", lambda path: flaky)
     assert fetching.announced(fetching.fetched("any", {}, wait=0)) == 12
     assert fetching.announced('{"features": [], "numberMatched": 7}') == 7 and fetching.announced("{}") is None
+
+
+def test_a_long_download_has_few_batches(tmp_path) -> None:
+    (tmp_path / "layer=lots" / "start=0").mkdir(parents=True)
+    (tmp_path / "layer=lots" / "start=0" / "part-0").write_text('{"numberMatched": 900000, "features": []}')
+    reader = bulk.PageRequests({"fetcher": SAVED, "layer": "lots", "size": "100", "pagesPerBatch": "3", "folder": f"file://{tmp_path}"})
+    at, batches, asked = reader.initialOffset(), 0, []
+    while at["row"] < 900_000:
+        rows, at = reader.read(at)
+        asked += rows
+        batches += 1
+    assert batches <= bulk.MOST_BATCHES + 1 and [(r[1], r[2]) for r in asked] == [(n, 100) for n in range(0, 900_000, 100)]
