@@ -2,7 +2,8 @@
 
 Spark lists and reads the files (``binaryFile``). Of a workbook, every sheet whose name fits goes to a task of its own, which
 reads the sheet's XML as a stream and holds the table of shared texts and one batch of rows; columns are found by the titles
-in the sheet's own head row. Of an archive, a task unpacks the members as a stream.
+in the sheet's own head row. The sheets of a small workbook stay together, so that it is sent, and its shared texts are read,
+once. Of an archive, a task unpacks the members as a stream.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from ..functions.address import number_without_zeros, postal_code, street_key, u
 from ..functions.numbers import any_date
 
 BATCH = 5_000
+#: Bytes of a workbook above which its sheets are read apart.
+SMALL_BOOK = 2_000_000
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_CELL, _VALUE = f"{_MAIN}c", f"{_MAIN}v"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Built-in number formats that show dates.
 _DATES = {*range(14, 23), *range(45, 48)}
@@ -109,15 +113,14 @@ def _place(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(book: zipfile.ZipFile, member: str) -> Iterator[list[str | None]]:
-    """The rows of a sheet as texts: numbers as they are written, dates as yyyy-mm-dd."""
-    shared, dates = _shared(book), _date_styles(book)
+def sheet_rows(book: zipfile.ZipFile, member: str, shared: list[str], dates: set[str]) -> Iterator[list[str | None]]:
+    """The rows of a sheet as texts: numbers as they are written, dates as yyyy-mm-dd. shared, dates: the book's."""
     for row in _streamed(book, member, "row"):
         cells: list[str | None] = []
-        for c in row.iter(f"{_MAIN}c"):
-            at = _place(c.get("r", "")) if c.get("r") else len(cells)
+        for c in row.iterfind(_CELL):
+            at = _place(r) if (r := c.get("r")) else len(cells)
             cells += [None] * (at + 1 - len(cells))
-            kind, value = c.get("t", "n"), c.findtext(f"{_MAIN}v")
+            kind, value = c.get("t", "n"), c.findtext(_VALUE)
             if kind == "inlineStr":
                 cells[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
             elif value is not None:
@@ -129,9 +132,11 @@ def _titled(rows: Iterator[list[str | None]], titles: dict[str, str], needed: st
     """The titled columns of the rows behind the head row, which is the first; nothing if the needed column isn't there."""
     places = columns_of(next(rows, []), titles)
     if needed in places:
+        order = [places.get(name, -1) for name in titles]
         for cells in rows:
             if any(x is not None for x in cells):
-                yield [cells[i] if (i := places.get(name)) is not None and i < len(cells) else None for name in titles]
+                size = len(cells)
+                yield [cells[i] if 0 <= i < size else None for i in order]
 
 
 def _batches(fixed: dict[str, str], rows: Iterator[list[str | None]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +167,20 @@ def workbook_rows(spark: SparkSession, path: str, titles: dict[str, str], needed
                 with zipfile.ZipFile(io.BytesIO(raw)) as book:
                     every = _sheets(book).items()
                     found = [x for x in every if re.search(sheets, x[0])] or [x for x in every if not re.search(not_sheets, title_key(x[0]))]
-                for name, member in found:
-                    yield pa.RecordBatch.from_pydict({"path": [file], "sheet": [name], "member": [member], "content": [raw]})
+                for together in [found] if found and len(raw) <= SMALL_BOOK else [[x] for x in found]:
+                    names, members = map(list, zip(*together, strict=True))
+                    yield pa.RecordBatch.from_pydict({"path": [file], "sheets": [names], "members": [members], "content": [raw]})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                file, name, member, raw = (b.column(c)[i].as_py() for c in ("path", "sheet", "member", "content"))
+                file, names, members, raw = (b.column(c)[i].as_py() for c in ("path", "sheets", "members", "content"))
                 with zipfile.ZipFile(io.BytesIO(raw)) as book:
-                    yield from _batches({"path": file, "sheet": name}, _titled(sheet_rows(book, member), titles, needed), list(titles))
+                    shared, dates = _shared(book), _date_styles(book)
+                    for name, member in zip(names, members, strict=True):
+                        yield from _batches({"path": file, "sheet": name}, _titled(sheet_rows(book, member, shared, dates), titles, needed), list(titles))
 
-    each = files.mapInArrow(listed, "path string, sheet string, member string, content binary").repartition("path", "sheet")
+    each = files.mapInArrow(listed, "path string, sheets array<string>, members array<string>, content binary").repartition("path", "sheets")
     return each.mapInArrow(read, "path string, sheet string, " + ", ".join(f"{n} string" for n in titles))
 
 

@@ -7,7 +7,9 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from lotlens.plans import QUERIES, books
 from lotlens.plans.books import workbook
 from lotlens.sources import files
 from lotlens.sources import workbooks as wb
@@ -50,6 +52,34 @@ def test_rows_beyond_a_batch(spark, tmp_path, monkeypatch) -> None:
     assert sorted(int(r[1]) for r in rows_of(spark, tmp_path)) == list(range(50))
 
 
+def test_shared_texts_of_a_small_book_are_read_once(spark, tmp_path, monkeypatch) -> None:
+    """Not once a sheet, as those of a large one."""
+    (tmp_path / "x.xlsx").write_bytes(workbook({f"S{i}": [HEAD, [f"Rua {i}", i, None]] for i in range(5)}))
+    shared, log = wb._shared, tmp_path / "log"
+
+    def noted(book):
+        with log.open("a") as f:
+            f.write("x")
+        return shared(book)
+
+    monkeypatch.setattr(wb, "_shared", noted)
+    for most, times in ((2_000_000, 1), (0, 6)):
+        monkeypatch.setattr(wb, "SMALL_BOOK", most, raising=False)
+        assert [r[1] for r in rows_of(spark, tmp_path / "x.xlsx")] == ["0", "1", "2", "3", "4"]
+        assert len(log.read_text()) == times
+
+
+def test_a_year_of_many_rows_has_several_books(spark, sf_dir, tmp_path, monkeypatch) -> None:
+    """No task makes or holds more than one book's rows."""
+    wanted = {(r["mes"], r["n"]) for r in QUERIES["workbook_sales"](spark, sf_dir).collect()}
+    monkeypatch.setattr(books, "BOOK_ROWS", 300)
+    monkeypatch.setattr(books, "shared_folder", lambda s: f"file://{tmp_path}")
+    assert {(r["mes"], r["n"]) for r in QUERIES["workbook_sales"](spark, sf_dir).collect()} == wanted
+    sheets = wb.workbook_rows(spark, f"file://{tmp_path}/books-*", wb.SALE_TITLES, "valor_transacao", wb.MONTH_SHEETS)
+    by_book = [r["count"] for r in sheets.groupBy("path").count().collect()]
+    assert len(by_book) > 7 and max(by_book) < 600 and sum(by_book) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
 @pytest.mark.parametrize(("text", "wanted"), [("R$ 1.234.567,89", 1234567.89), ("1234.5", 1234.5), ("1.234", 1.234), ("12,5", 12.5), ("", None), ("x", None), (None, None)])
 def test_numbers_of_cells(spark, text, wanted) -> None:
     df = spark.createDataFrame([(text,)], "t string")
