@@ -20,7 +20,9 @@ for scores; they are read as Zipf's law: log p = -log(rank + 1) - log(H). As no
 scores of single pieces give the segmentation that its merges make, an arc that
 the merges don't take costs LEAVE for each of its characters, more than any
 change of pieces gains. So the best segmentation is the one that the library
-gives, and the next are those that leave it for the fewest characters.
+gives, and the next are those that leave it for the fewest characters. Two is the
+fewest; what that costs a pre-token is read off its pieces, and the lattice of one
+that can't be left so cheaply is searched only where a text has too few that can.
 Characters without a piece are spelt in byte pieces, each below the least score.
 """
 
@@ -29,8 +31,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -43,7 +45,7 @@ from .token_counts import PieceCounter
 
 BYTE_PENALTY, UNIT = 10.0, 1 << 20
 #: Entries of a generation of the cache, and the longest pre-token that it takes.
-CACHE, CACHE_CHARS = 850_000, 64
+CACHE, CACHE_CHARS = 400_000, 64
 
 Path = tuple[float, tuple[int, ...]]
 _FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
@@ -79,11 +81,20 @@ class Lattice:
         self.on_path = [0.0] * len(proto.pieces)
         for i, _, score in normal:
             self.on_path[i] = score
+        #: What it costs to take a piece of two characters apart, by id; minus infinity for pieces of bytes, beside which ``beside`` looks.
+        self.apart = [math.inf if p.type == 1 else -math.inf for p in proto.pieces]
+        for i, piece, score in normal:
+            if len(piece) == 2:
+                self.apart[i] = score - sum(self._off(c) for c in piece)
+        self.single = [n == 1 for n in self.lengths]
+        #: Leaving the path for three characters or more costs this at least: no character has more than one piece of the path.
+        self.far = 3 * (self.leave + min(s for _, _, s in normal))
         self.text_of = [p.piece.replace("▁", " ").encode() if p.type == 1 else b"" for p in proto.pieces]
         for b, i in self.byte_ids.items():
             self.text_of[i] = bytes([b])
-        self.young: dict[str, tuple[float, float, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[float, float, tuple[int, ...]]] = {}
+        #: pre-token -> score, what the second best loses (``far`` if that isn't known, but is as much or more), ids of four bytes each.
+        self.young: dict[str, tuple[float, float, bytes]] = {}
+        self.old: dict[str, tuple[float, float, bytes]] = {}
         self.several: dict[tuple[str, int], list[Path]] = {}
 
     @classmethod
@@ -93,6 +104,11 @@ class Lattice:
             cls.loaded[model] = cls(model)
         return cls.loaded[model]
 
+    def _off(self, char: str) -> float:
+        """The score of a character off the merges' path."""
+        alone = self.off_path.get(char, -math.inf)
+        return alone if alone > -math.inf else self.byte_score * len(char.encode("utf-8", "surrogatepass")) - self.leave
+
     def path(self, pre: str, ids: list[int]) -> list[int]:
         """Where the library's piece at each place of a pre-token ends; 0 where none begins."""
         ends, at, k = [0] * len(pre), 0, 0
@@ -151,8 +167,8 @@ class Lattice:
                 heapq.heappush(agenda, (-(best[start] + s + score), tick, start, s + score, (ids, tail)))
         return found
 
-    def beside(self, text: str, ids: list[int]) -> tuple[float, float, tuple[int, ...]]:
-        """Score and ids of the library's segmentation, which is the best, and what the second best loses (infinite if there is none).
+    def beside(self, text: str, ids: list[int]) -> tuple[float, float]:
+        """Score of the library's segmentation, which is the best, and what the second best loses (infinite if there is none).
 
         left holds at each place the best score of those that have left the library's path before it.
         """
@@ -191,7 +207,20 @@ class Lattice:
                     break
                 if j != to and at + found > left[j]:
                     left[j] = at + found
-        return score, score - left[size], tuple(ids)
+        return score, score - left[size]
+
+    def nearly(self, text: str, ids: list[int]) -> tuple[float, float]:
+        """Score of the library's segmentation, and what the second best loses if it leaves it for two characters: a piece of two taken apart, or two of one made one. Else ``far``."""
+        loss = min(map(self.apart.__getitem__, ids))
+        if loss == -math.inf:
+            return self.beside(text, ids)
+        if sum(map(self.single.__getitem__, ids)) > 1:
+            at = 0
+            for a, b in zip(ids, ids[1:], strict=False):
+                if self.single[a] and self.single[b] and (both := self.off_path.get(text[at : at + 2], -math.inf)) > -math.inf:
+                    loss = min(loss, self.on_path[a] + self.on_path[b] - both)
+                at += self.lengths[a]
+        return sum(map(self.on_path.__getitem__, ids)), min(loss, self.far)
 
     def _looked_up(self, pre_tokens: list[str]) -> None:
         """Brings the pre-tokens into the young generation, whatever their length; ``nbest`` removes the long ones."""
@@ -206,10 +235,17 @@ class Lattice:
         for pre, ids in zip(new, self.counter.encode(new) if self.leave else new, strict=True):
             text = pre.replace(" ", "▁")
             if self.leave:
-                self.young[pre] = self.beside(text, ids)
+                self.young[pre] = (*self.nearly(text, ids), array("i", ids).tobytes())
             else:
                 found = self.search(text, 2, [])
-                self.young[pre] = (found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, found[0][1])
+                self.young[pre] = (found[0][0], found[0][0] - found[1][0] if len(found) > 1 else math.inf, array("i", found[0][1]).tobytes())
+
+    def _resolved(self, pre: str, found: tuple[float, float, bytes]) -> float:
+        """What the second best really loses."""
+        _, loss = self.beside(pre.replace(" ", "▁"), np.frombuffer(found[2], np.int32).tolist())
+        if loss != self.far and pre in self.young:
+            self.young[pre] = (found[0], loss, found[2])
+        return loss
 
     def _several(self, pre: str, n: int) -> list[Path]:
         found = self.several.get((pre, n))
@@ -237,10 +273,13 @@ class Lattice:
                     del self.young[p]
         total = sum(map(_FIRST, each))
         parts = list(map(_THIRD, each))
-        ids = np.fromiter(chain.from_iterable(parts), np.int32)
+        ids = np.frombuffer(b"".join(parts), np.int32)
         if n == 1 or not pre:
             return [(total / UNIT, ids)], True
         loss = np.fromiter(map(_SECOND, each), np.float64, len(each))
+        if self.leave and np.count_nonzero(loss < self.far) < min(n - 1, len(loss)):
+            for i in np.flatnonzero(loss == self.far).tolist():
+                loss[i] = self._resolved(pre[i], each[i])
         few = [int(i) for i in np.sort(self._least(loss, min(n - 1, len(loss)))) if loss[i] < math.inf]
         # The chain of the places that may change: a hypothesis is the choice at each of them from the last on.
         choices = [self._several(pre[i], n) for i in few]
@@ -253,16 +292,16 @@ class Lattice:
             for k, (score, _) in enumerate(choices[at - 1]):
                 tick += 1
                 heapq.heappush(agenda, (lost + choices[at - 1][0][0] - score, tick, at - 1, (k, *tail)))
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
         out, alike = [], True
         for lost, picks in picked:
             pieces, at = [], 0
             for c, (i, k) in enumerate(zip(few, picks, strict=True)):
-                changed = choices[c][k][1]
-                if changed != parts[i]:
-                    pieces += [ids[at : ends[i] - len(parts[i])], np.array(changed, np.int32)]
+                changed, own = choices[c][k][1], ids[ends[i] - len(parts[i]) // 4 : ends[i]].tolist()
+                if list(changed) != own:
+                    pieces += [ids[at : ends[i] - len(own)], np.array(changed, np.int32)]
                     at = int(ends[i])
-                    alike = alike and self.bytes_of(changed) == self.bytes_of(parts[i])
+                    alike = alike and self.bytes_of(changed) == self.bytes_of(own)
             out.append(((total - lost) / UNIT, np.concatenate([*pieces, ids[at:]]) if pieces else ids))
         return out, alike
 
