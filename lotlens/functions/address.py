@@ -96,14 +96,22 @@ def street_name(street: Column) -> Column:
     return F.array_join(street_words(street), " ")
 
 
-def street_key(street: Column, tolerance: int = 0) -> Column:
-    """The name without its type. tolerance 1 spells out the cadastre's abbreviations, 2 the tax register's too."""
+def _key(words: Column, tolerance: int) -> Column:
     table = [{}, CADASTRE_WORDS, CADASTRE_WORDS | FISCAL_WORDS][tolerance]
-    words = street_words(street)
     untyped = lambda w: F.when(F.get(w, F.lit(0)).isin(SHORT_TYPES), F.slice(w, F.lit(2), F.size(w))).otherwise(w)
     return F.array_join(bound(_mapped(words, table) if table else words, untyped), " ")
 
 
+def street_key(street: Column, tolerance: int = 0) -> Column:
+    """The name without its type. tolerance 1 spells out the cadastre's abbreviations, 2 the tax register's too."""
+    return _key(street_words(street), tolerance)
+
+
+def street_name_and_key(street: Column, tolerance: int = 0) -> Column:
+    """A struct of name and key, whose words are made once."""
+    return bound(street_words(street), lambda w: F.struct(F.array_join(w, " ").alias("name"), _key(w, tolerance).alias("key")))
+
+
 def search_term(street: Column) -> Column:
     """The longest word of three letters or more that isn't a title, the first of equal ones; else the longest."""
 

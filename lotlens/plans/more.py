@@ -203,7 +203,8 @@ def street_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat("part", F.lit(", "), (F.col("doc_id") % 400).cast("string"))
     rows = parts.select("doc_id", (F.col("at") + 1).cast("long").alias("place"), line.alias("line"))
     md5 = lambda x: F.md5(x.cast("binary"))
-    return rows.select("doc_id", "place", md5(ad.street_name(F.col("line"))).alias("name"), md5(ad.street_key(F.col("line"), 1)).alias("key"), ad.house_number(F.col("line")).alias("number"))
+    both = rows.select("doc_id", "place", ad.house_number(F.col("line")).alias("number"), F.inline(F.array(ad.street_name_and_key(F.col("line"), 1))))
+    return both.select("doc_id", "place", md5(F.col("name")).alias("name"), md5(F.col("key")).alias("key"), "number")
 
 
 _WANTED, _UNWANTED = ["tion", "garden", "mente", "und"], ["the of", "clown"]
