@@ -15,14 +15,16 @@ are copies of leads. A pair is only given if the MinHash values that it shares
 let its similarity be LIKELY or more; at 0.8 that misses a pair with a
 probability of 1e-6. In the second the shards give all pairs within
 the radius that the checked links of the first have not connected: components
-come from the smallest on, and the largest only looks for the others.
+come from the smallest on, and the largest only looks for the others. Texts of a
+shard of more than HEAVY rows bring their shingles along, so that of such a shard
+only links are given, and none that those before it make needless.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 BANDS, WIDTH = 24, 4
 #: Share of the MinHash values, of which a byte is kept, that a pair needs.
 LIKELY = 0.6
+#: Rows of a shard above which its texts are compared by their shingles, and shingles that a text is known by.
+HEAVY, KNOWN = 64, 2048
+#: How much lower the similarity of longer texts may be in the shingles that they are known by: at 0.8 that misses a pair with a probability of 1e-6.
+SLACK = 0.06
 #: Pairs that a task gathers before it sends them on.
 SENT = 100_000
 _RANDOM = np.random.default_rng(SEED)
@@ -70,6 +76,44 @@ def likely(own: bytes, others: list[bytes]) -> np.ndarray:
     return (both == np.frombuffer(own, np.uint8)).mean(axis=1)
 
 
+def known(values: np.ndarray) -> bytes:
+    """A number of bits and those of the values in which these low bits are zero, KNOWN at most: all values with 0 bits, a sample of a long text's."""
+    bits = 0
+    while len(values) > KNOWN:
+        bits += 1
+        values = values[values & np.uint64((1 << bits) - 1) == 0]
+    return np.concatenate([np.array([bits], np.uint64), values]).tobytes()
+
+
+class Known:
+    """Texts of a shard by their known shingles, numbered as they come."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.columns = similarity, {}
+        self.bits: list[int] = []
+        self.sizes: list[np.ndarray] = []
+        self.texts: list[np.ndarray] = []
+
+    def add(self, sketch: bytes) -> int:
+        values = np.frombuffer(sketch, np.uint64)
+        self.bits.append(int(values[0]))
+        self.sizes.append(np.array([np.count_nonzero(values[1:] & np.uint64((1 << b) - 1) == 0) for b in range(24)]))
+        self.texts.append(np.array([self.columns.setdefault(x, len(self.columns)) for x in values[1:].tolist()], np.int64))
+        return len(self.texts) - 1
+
+    def similar(self, own: int, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each other text whether it may have the similarity to a text, and whether all shingles of both tell it."""
+        marks = np.zeros(len(self.columns), np.int64)
+        marks[self.texts[own]] = 1
+        upto = np.concatenate([[0], np.cumsum(marks[np.concatenate([self.texts[i] for i in others])])])
+        ends = np.cumsum([len(self.texts[i]) for i in others])
+        both = upto[ends] - upto[np.concatenate([[0], ends[:-1]])]
+        bits = np.maximum(self.bits[own], [self.bits[i] for i in others])
+        either = self.sizes[own][bits] + np.array([self.sizes[i] for i in others])[np.arange(len(others)), bits] - both
+        share = np.where(either > 0, both / np.maximum(either, 1), 1.0)
+        return share >= np.where(bits > 0, self.similarity - SLACK, self.similarity), bits == 0
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
@@ -94,29 +138,50 @@ class Leaders:
 
 
 class Unconnected:
-    """The likely pairs within the radius of a shard's texts whose components differ; a component's texts come one behind another."""
+    """The likely pairs within the radius of a shard's texts whose components differ; a component's texts come one behind another.
 
-    def __init__(self, radius: int) -> None:
-        self.radius, self.tree, self.nodes = radius, BKTree(), defaultdict(list)
+    Where texts are known by their shingles, the pairs that have the similarity, without those of components that such pairs have connected.
+    """
+
+    def __init__(self, radius: int, similarity: float = SIMILARITY) -> None:
+        self.radius, self.tree, self.nodes, self.known = radius, BKTree(), defaultdict(list), Known(similarity)
         self.component: int | None = None
-        self.own: list[tuple[int, int, bytes]] = []
+        self.own: list[tuple[int, int, bytes, int | None]] = []
+        self.joined: dict[int, int] = {}
 
-    def step(self, node: int, fp: int, component: int, sig: bytes) -> list[tuple[int, int]]:
+    def top(self, component: int) -> int:
+        while (above := self.joined.get(component, component)) != component:
+            self.joined[component] = self.joined.get(above, above)
+            component = above
+        return component
+
+    def step(self, node: int, fp: int, component: int, sig: bytes, sketch: bytes | None = None) -> list[tuple[int, int]]:
         if component != self.component:
-            for other, x, s in self.own:
+            for other, x, s, i in self.own:
                 if x not in self.nodes:
                     self.tree.add(x)
-                self.nodes[x].append((other, s))
+                self.nodes[x].append((other, s, self.component, i))
             self.component, self.own = component, []
-        self.own.append((node, fp, sig))
+        number = None if sketch is None else self.known.add(sketch)
+        self.own.append((node, fp, sig, number))
         near = [x for f in self.tree.within(fp, self.radius) for x in self.nodes[f]]
         if not near:
             return []
-        return [(near[i][0], node) for i in np.flatnonzero(likely(sig, [s for _, s in near]) >= LIKELY).tolist()]
-
-
-def _by_shard(rows: DataFrame, links: type, radius: int, order: list[str]) -> DataFrame:
-    """rows: band, key, node, fp, component, sig. Returns u, v."""
+        near = [near[i] for i in np.flatnonzero(likely(sig, [x[1] for x in near]) >= LIKELY).tolist()]
+        if number is None or not near:
+            return [(x[0], node) for x in near]
+        pairs = []
+        for (other, _, of, _), ok, whole in zip(near, *(x.tolist() for x in self.known.similar(number, [x[3] for x in near])), strict=True):
+            if ok and (a := self.top(of)) != (b := self.top(component)):
+                pairs.append((other, node))
+                if whole:
+                    self.joined[a] = b
+        return pairs
+
+
+def _by_shard(rows: DataFrame, links: Callable[[int], Leaders | Unconnected], radius: int, order: list[str]) -> DataFrame:
+    """rows: band, key, node, fp, component, sig, and known where texts are compared by it. Returns u, v."""
+    given = ["band", "key", "node", "fp", "component", "sig", *(["known"] if "known" in rows.columns else [])]
 
     def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(out, np.int64).reshape(-1, 2)
@@ -126,10 +191,10 @@ def _by_shard(rows: DataFrame, links: type, radius: int, order: list[str]) -> Da
         at, shard = None, None
         for b in batches:
             out: list[tuple[int, int]] = []
-            for band, key, node, fp, component, sig in zip(*[b.column(c).to_pylist() for c in ("band", "key", "node", "fp", "component", "sig")], strict=True):
+            for band, key, node, fp, component, *sketches in zip(*[b.column(c).to_pylist() for c in given], strict=True):
                 if at != (band, key):
                     at, shard = (band, key), links(radius)
-                out += shard.step(node, fp & (1 << 64) - 1, component, sig)
+                out += shard.step(node, fp & (1 << 64) - 1, component, *sketches)
                 if len(out) > SENT:
                     yield told(out)
                     out = []
@@ -145,6 +210,18 @@ def middles(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("band", "key").agg(F.count("*").alias("n"), *ones).select("band", "key", reduce(lambda a, b: a.bitwiseOR(b), bit).alias("middle"))
 
 
+def _known(texts: DataFrame) -> DataFrame:
+    """node, known. texts: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 512):  # up to 16 KB a text
+                part = b.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([known(shingles(x.as_py())) for x in part.column("text")], pa.binary())], ["node", "known"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, known binary")
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts have the similarity. texts: node, text."""
 
@@ -189,8 +266,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = placed.where("root is not null").groupBy("component").agg(F.count("*").alias("size"))
     sized = placed.join(sizes, "component", "left").select("band", "key", "node", "fp", "sig", "component", F.coalesce("size", F.lit(1)).alias("size"))
     # Shards of one component have no pairs to give.
-    mixed = sized.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
-    more = _checked(stored(_by_shard(sized.join(mixed, ["band", "key"], "left_semi"), Unconnected, radius, ["size", "component", "node"])), texts, similarity)
+    mixed = sized.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", "key", (F.col("n") > HEAVY).alias("heavy"))
+    open_rows = stored(sized.join(mixed, ["band", "key"]))
+    sketches = _known(texts.join(open_rows.where("heavy").select("node").distinct(), "node", "left_semi")).withColumn("heavy", F.lit(True))
+    more = _checked(stored(_by_shard(open_rows.join(sketches, ["node", "heavy"], "left"), partial(Unconnected, similarity=similarity), radius, ["size", "component", "node"])), texts, similarity)
     roots = components(links.unionByName(more))
     groups = first.select("same", F.col("node").alias("first")).join(roots.withColumnRenamed("node", "first"), "first", "left").select("same", F.coalesce("root", "first").alias("component"))
     placed = prints.select("node", "same").join(groups, "same").join(rows.select("node", "id"), "node")

@@ -77,3 +77,37 @@ def test_shares_of_minhash_values_follow_similarity() -> None:
     parts = near_copies.np.array(values, near_copies.np.uint64)
     a, b = near_copies.signature(parts[:1000])[1], near_copies.signature(parts[100:1100])[1]
     assert abs(near_copies.likely(a, [b, a])[0] - 900 / 1100) < 0.17 and near_copies.likely(a, [a])[0] == 1
+
+
+def test_a_large_group_of_unlike_texts_gives_only_its_links() -> None:
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    texts = [[*base[:164], *(rng.getrandbits(64) for _ in range(36))] for _ in range(150)]  # alike by 0.69
+    texts += [[*texts[3][:-4], *(rng.getrandbits(64) for _ in range(4))], [*texts[9][:-2], *(rng.getrandbits(64) for _ in range(2))], texts[9][:-1]]
+    parts = [near_copies.np.unique(near_copies.np.array(t, near_copies.np.uint64)) for t in texts]
+    shard, plain, given, before = near_copies.Unconnected(64), near_copies.Unconnected(64), [], []
+    for i, x in enumerate(parts):
+        sig = near_copies.signature(x)[1]
+        given += shard.step(i, 0, i, sig, near_copies.known(x))
+        before += plain.step(i, 0, i, sig)
+    assert len(before) > 8000
+    assert given == [(3, 150), (9, 151), (9, 152)]  # 151 and 152 are connected by 9
+
+
+def test_long_texts_are_known_by_a_sample() -> None:
+    rng = random.Random(10)
+    base = [rng.getrandbits(64) for _ in range(9000)]
+    found = near_copies.Known(0.8)
+    for shared in (9000, 8100, 6500, 9000):
+        values = near_copies.np.unique(near_copies.np.array([*base[:shared], *(rng.getrandbits(64) for _ in range(9000 - shared))][: 1800 if len(found.texts) == 3 else None], near_copies.np.uint64))
+        sketch = near_copies.known(values)
+        assert len(sketch) <= 8 * (near_copies.KNOWN + 1)
+        found.add(sketch)
+    ok, whole = found.similar(0, [1, 2, 3])
+    assert ok.tolist() == [True, False, False] and not whole.any()
+    assert [x.tolist() for x in found.similar(3, [3])] == [[True], [True]]
+
+
+def test_heavy_shards_against_all_pairs(spark, sf_dir, monkeypatch) -> None:
+    monkeypatch.setattr(near_copies, "HEAVY", 1)
+    test_stage_against_all_pairs(spark, sf_dir)
