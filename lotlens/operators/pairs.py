@@ -5,7 +5,7 @@ band or in neighbouring ones. Two cells far enough apart in time hold as many pa
 to end, these number all pairs that can fit. A multiplier that shares no factor with their number deals the numbers out in
 another order, and as many of them as it takes, in rounds, are turned back into two sales and looked at. So a street costs
 its cells' pairs and its draws: months and bands bound the first, ``most`` and the share of pairs that fit the second. A
-street with few pairs has them all drawn.
+street with few pairs, as most have, has them all drawn, without Python.
 """
 
 from __future__ import annotations
@@ -43,6 +43,19 @@ def cell_pairs(cells: DataFrame, key: str, months: int = MONTHS) -> DataFrame:
     return first.join(second, [key, "b1"]).where(F.col("m1") - F.col("m0") >= months).select(key, "m0", "b0", "m1", "b1", "k1", (F.col("k0") * F.col("k1")).alias("pairs"))
 
 
+def numbered_pairs(pairs: DataFrame, key: str) -> DataFrame:
+    """``cell_pairs`` with start, the number of a row's first pair, and total, the pairs of its key."""
+    of_key = Window.partitionBy(key)
+    return pairs.withColumns({"start": F.sum("pairs").over(of_key.orderBy("m0", "b0", "m1", "b1")) - F.col("pairs"), "total": F.sum("pairs").over(of_key)})
+
+
+def _all_drawn(numbered: DataFrame, key: str) -> DataFrame:
+    """What ``_drawn`` gives for keys that have all pairs drawn; numbered: ``numbered_pairs`` with totals of less than 2 ** 31."""
+    each = numbered.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pairs") - 1)))
+    turn = (F.col("start") + F.col("__i")) * (F.lit(MULTIPLIER) % F.col("total")) % F.col("total")
+    return each.select(key, turn.alias("turn"), "m0", "b0", F.expr("__i div k1").alias("p0"), "m1", "b1", (F.col("__i") % F.col("k1")).alias("p1"), "total")
+
+
 def _drawn(numbered: DataFrame, key: str, begin: int, count: int) -> DataFrame:
     """key, turn, m0, b0, p0, m1, b1, p1, total: the pairs whose turn is from ``begin`` on, ``count`` a key. numbered: ``cell_pairs``, a key's in one group."""
     kind = numbered.schema[key].dataType.simpleString()
@@ -71,12 +84,15 @@ def drawn_pairs(sales: DataFrame, key: str, day: str, area: str, tie: list[str],
     """
     rows = materialized(celled(sales, key, day, area, tie, ratio))
     columns = sales.columns
-    pairs = materialized(cell_pairs(rows.groupBy(key, "__month", "__band").agg(F.count("*").alias("k")), key, months))
+    pairs = materialized(numbered_pairs(cell_pairs(rows.groupBy(key, "__month", "__band").agg(F.count("*").alias("k")), key, months), key))
     side = lambda x, n: rows.select(F.col(key), F.col("__month").alias(f"m{n}"), F.col("__band").alias(f"b{n}"), F.col("__place").alias(f"p{n}"), F.struct(*columns).alias(x))
     fits = F.abs(F.log(F.col(f"b.{area}") / F.col(f"a.{area}"))) <= log(ratio)
-    found, open_keys, begin, count = None, pairs.select(key).distinct(), 0, first_draw * most
+    found, begin, count = None, 0, first_draw * most
+    # The first draw is of all keys, and takes all pairs of those with few.
+    few = F.col("total") <= min(count, 2**31 - 1)
+    draw = _all_drawn(pairs.where(few), key).unionByName(_drawn(pairs.where(~few), key, begin, count))
     while True:
-        tried = materialized(_drawn(pairs.join(open_keys, key, "left_semi"), key, begin, count).join(side("a", 0), [key, "m0", "b0", "p0"]).join(side("b", 1), [key, "m1", "b1", "p1"]).withColumn("fits", fits))
+        tried = materialized(draw.join(side("a", 0), [key, "m0", "b0", "p0"]).join(side("b", 1), [key, "m1", "b1", "p1"]).withColumn("fits", fits))
         hits = tried.where("fits").select(key, "turn", "a", "b")
         found = hits if found is None else found.unionByName(hits)
         begin, count = begin + count, 4 * count
@@ -84,5 +100,6 @@ def drawn_pairs(sales: DataFrame, key: str, day: str, area: str, tie: list[str],
         open_keys = materialized(tried.where(F.col("total") > begin).select(key).distinct().join(done, key, "left_anti"))
         if open_keys.isEmpty():
             break
+        draw = _drawn(pairs.join(open_keys, key, "left_semi"), key, begin, count)
     place = F.row_number().over(Window.partitionBy(key).orderBy("turn"))  # most x 4 ^ rounds rows a key
     return found.withColumn("__n", place).where(F.col("__n") <= most).select(key, "turn", "a", "b")

@@ -95,3 +95,11 @@ def test_a_hot_street_costs_its_draws(spark) -> None:
 def test_no_sales_no_pairs(spark) -> None:
     none = spark.createDataFrame([], "street long, day date, area double, id long")
     assert pairs.drawn_pairs(none, "street", "day", "area", ["id"]).count() == 0
+
+
+def test_all_pairs_of_a_key_are_drawn_alike_without_python(spark) -> None:
+    cells = spark.createDataFrame([(k, 10 * i + k, i % 2, 1 + (i * k) % 4) for k in range(1, 5) for i in range(9)], "k long, __month int, __band long, n long").withColumnRenamed("n", "__n").withColumnRenamed("__n", "k_")
+    numbered = pairs.numbered_pairs(pairs.cell_pairs(cells.withColumnRenamed("k", "key").withColumnRenamed("k_", "k"), "key"), "key")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert "Python" not in pairs._all_drawn(numbered, "key")._jdf.queryExecution().executedPlan().toString()
+    assert told(pairs._all_drawn(numbered, "key")) == told(pairs._drawn(numbered, "key", 0, 10**6)) != []
