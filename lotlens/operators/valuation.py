@@ -32,36 +32,54 @@ def upper_median(values: Column) -> Column:
 def placed_values(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """keys, n and, under each name, the value at a place (from 0, of n) of each group's sorted values. Nulls and NaN don't count.
 
-    No group is sorted in one task, whatever its size and the range of its values: between a group's least and largest value
-    lie BINS bins, whose rows are counted; the bin that holds the place is cut into bins in the same way, between its own
-    least and largest value, until few rows or one value are left of it, and only these are ranked.
+    Small groups are sorted, each in a task. No other group is, whatever its size and the range of its values: between a group's
+    least and largest value lie BINS bins, whose rows are counted once for all places; the bin that holds a place is cut into
+    bins in the same way, between its own least and largest value, until few rows or one value are left of it, and only these
+    are ranked. There is a large group for SMALL rows at most, so large groups are broadcast and rows are never shuffled by them.
     """
     x = F.col("__x")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).alias("__value"), F.greatest(F.least(F.col(value).cast("double"), F.lit(1.7e308)), F.lit(-1.7e308)).alias("__x"))
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    large = materialized(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).where(F.col("n") > SMALL))
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], more: Column | None = None, how: str = "inner") -> DataFrame:
+        """left with the columns of right that aren't in on; nulls are equal. Only right is broadcast."""
+        named = right.select(*[F.col(c).alias(f"__of_{c}") if c in on else F.col(c) for c in right.columns])
+        met = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in on] + ([] if more is None else [more])
+        found = left.join(F.broadcast(named), reduce(lambda a, b: a & b, met, F.lit(True)) if met else None, how)
+        return found.drop(*[f"__of_{c}" for c in on])
+
+    any_large = not large.isEmpty()
+    group = Window.partitionBy(*keys)
+    few = (meet(rows, large.select(*keys), keys, how="left_anti") if keys else rows.limit(0)) if any_large else rows
+    few = few.withColumns({"n": F.count("*").over(group), "__at": (F.row_number().over(group.orderBy("__value")) - 1).cast("long")})  # SMALL rows a group
+    at = {name: F.col("__at") == place(F.col("n")).cast("long") for name, place in places.items()}
+    ranked = few.where(reduce(lambda a, b: a | b, at.values())).groupBy(*keys, "n").agg(*[F.min(F.when(here, F.col("__value"))).alias(name) for name, here in at.items()])
+    if not any_large:
+        return ranked
+
     names = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in places.items()])
-    state = groups.select(*keys, "n", F.col("n").alias("__in"), "__lo", "__hi", F.explode(names).alias("__w")).select(*keys, "n", "__in", "__lo", "__hi", F.col("__w.name").alias("__name"), F.col("__w.place").alias("__rest"))
+    state = large.select(*keys, "n", F.col("n").alias("__in"), "__lo", "__hi", F.explode(names).alias("__w")).select(*keys, "n", "__in", "__lo", "__hi", F.col("__w.name").alias("__name"), F.col("__w.place").alias("__rest"))
     state = materialized(state.where("__rest >= 0 and __rest < n"))
+    bounds = [*keys, "__lo", "__hi"]
 
     def inside(of: DataFrame) -> DataFrame:
-        """The rows between the bounds of their group's places."""
-        bounds = of.select(*[F.col(k).alias(f"__of_{k}") for k in keys], "n", "__lo", "__hi", "__name", "__rest", "__in")
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], x.between(F.col("__lo"), F.col("__hi")))
-        if not keys:  # a row for each place
-            return rows.join(F.broadcast(bounds), same)
-        return rows.join(bounds, same)
+        """The rows between bounds, which are those of one place or several of the group, and otherwise have no rows in common."""
+        return meet(rows, of.select(*bounds).distinct(), keys, x.between(F.col("__lo"), F.col("__hi")))
 
     wide = (F.col("__in") > SMALL) & (F.col("__lo") < F.col("__hi"))
     while not state.where(wide).isEmpty():
         share = (x / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
         bins = inside(state.where(wide)).withColumn("__bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
-        counts = bins.groupBy(*keys, "n", "__name", "__rest", "__bin").agg(F.count("*").alias("__in"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-        counts = counts.withColumn("__upto", F.sum("__in").over(Window.partitionBy(*keys, "__name").orderBy("__bin")))  # BINS rows a place
-        chosen = counts.where((F.col("__rest") < F.col("__upto")) & (F.col("__rest") >= F.col("__upto") - F.col("__in"))).withColumn("__rest", F.col("__rest") - F.col("__upto") + F.col("__in"))
+        counts = bins.groupBy(*bounds, "__bin").agg(F.count("*").alias("__k"), F.min("__x").alias("__least"), F.max("__x").alias("__most"))
+        counts = counts.withColumn("__upto", F.sum("__k").over(Window.partitionBy(*bounds).orderBy("__bin")))  # BINS rows
+        chosen = meet(counts, state.where(wide), bounds).where((F.col("__rest") < F.col("__upto")) & (F.col("__rest") >= F.col("__upto") - F.col("__k")))
+        chosen = chosen.select(*keys, "n", F.col("__k").alias("__in"), F.col("__least").alias("__lo"), F.col("__most").alias("__hi"), "__name", (F.col("__rest") - F.col("__upto") + F.col("__k")).alias("__rest"))
         state = materialized(state.where(~wide).unionByName(chosen.select(*state.columns)))
-    values = inside(state).groupBy(*keys, "n", "__name", "__rest", "__value").agg(F.count("*").alias("__k"))
-    upto = F.sum("__k").over(Window.partitionBy(*keys, "__name").orderBy("__value"))  # SMALL rows a place, or one
-    return values.withColumn("__upto", upto).where(F.col("__rest") < F.col("__upto")).groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__name") == name, F.col("__value"))).alias(name) for name in places])
+    values = inside(state).groupBy(*bounds, "__value").agg(F.count("*").alias("__k"))
+    values = values.withColumn("__upto", F.sum("__k").over(Window.partitionBy(*bounds).orderBy("__value")))  # SMALL rows, or one
+    chosen = meet(values, state, bounds).where((F.col("__rest") < F.col("__upto")) & (F.col("__rest") >= F.col("__upto") - F.col("__k")))
+    found = chosen.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("__name") == name, F.col("__value"))).alias(name) for name in places])
+    return ranked.unionByName(found) if keys else found
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:

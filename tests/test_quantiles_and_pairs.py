@@ -97,6 +97,24 @@ def test_no_sales_no_pairs(spark) -> None:
     assert pairs.drawn_pairs(none, "street", "day", "area", ["id"]).count() == 0
 
 
+def test_rows_of_large_groups_are_not_shuffled_to_their_places(spark, monkeypatch) -> None:
+    """However small joins must be to be broadcast by themselves: a join by group would bring a large group to one task."""
+    monkeypatch.setattr(valuation, "SMALL", 50)
+    monkeypatch.setattr(valuation, "BINS", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(3000).selectExpr("if(id % 10 < 8, null, id % 500) as k", "cast((id * 7919) % 3000 as double) as v")
+        out = valuation.ranked_quantiles(df, ["k"], "v", {"a": 0.0, "m": 0.5, "z": 1.0})
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        found = {r["k"]: tuple(r)[1:] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    groups: dict = {}
+    for i in range(3000):
+        groups.setdefault(None if i % 10 < 8 else i % 500, []).append(float(i * 7919 % 3000))
+    assert found == {k: (len(v), min(v), sorted(v)[len(v) // 2], max(v)) for k, v in groups.items()}
+
+
 def test_all_pairs_of_a_key_are_drawn_alike_without_python(spark) -> None:
     cells = spark.createDataFrame([(k, 10 * i + k, i % 2, 1 + (i * k) % 4) for k in range(1, 5) for i in range(9)], "k long, __month int, __band long, n long").withColumnRenamed("n", "__n").withColumnRenamed("__n", "k_")
     numbered = pairs.numbered_pairs(pairs.cell_pairs(cells.withColumnRenamed("k", "key").withColumnRenamed("k_", "k"), "key"), "key")
