@@ -35,6 +35,11 @@ def test_words_and_their_places_are_those_of_single_texts(size: int, monkeypatch
         assert {w["word"]: w["at"] for w in r["words"]} == {w: [i for i, x in enumerate(words) if x == w] for w in words if w not in items}
 
 
+def test_long_words_are_named_by_their_digest() -> None:
+    for words in ([], [b"a", b"b"], [b"a", b"q" * 41, b"b" * 40, "é".encode() * 30]):
+        assert class_lm._entries(pa.array(words, pa.binary())).to_pylist() == [class_lm.entry(w) for w in words]
+
+
 def test_encoding_takes_few_times_as_long_as_splitting() -> None:
     rng = random.Random(4)
     names = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(60_000)]
